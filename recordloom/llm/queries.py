@@ -4,11 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from recordloom.llm.near_duplicates import near_duplicates
+from recordloom.llm.packing import pack, token_pieces
+from recordloom.llm.staging import new_path
+from recordloom.llm.token_files import read_token_files, write_token_files
 
 Query = Callable[[SparkSession, str], DataFrame]
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,5 +25,17 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Query] = {"op3_near_duplicates": op3_near_duplicates}
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "tokens")
+    write_token_files(documents(spark, sf_dir), path, TOKENIZER, end=1)
+    return read_token_files(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = token_pieces(documents(spark, sf_dir), TOKENIZER)
+    placed = pack(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
+    return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+QUERIES: dict[str, Query] = {"op3_near_duplicates": op3_near_duplicates, "op6_token_files": op6_token_files, "op7_packing": op7_packing}
 ORACLE_SQL: dict[str, str] = {}
