@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recordloom.llm import secret_scans
 from recordloom.llm.near_duplicates import near_duplicates
 from recordloom.llm.packing import pack, token_pieces
 from recordloom.llm.staging import new_path
@@ -21,6 +22,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = secret_scans.scan_secrets(documents(spark, sf_dir))
+    return secret_scans.digest(found)
+
+
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
@@ -37,5 +43,5 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
-QUERIES: dict[str, Query] = {"op3_near_duplicates": op3_near_duplicates, "op6_token_files": op6_token_files, "op7_packing": op7_packing}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_secret_scans, op3_near_duplicates, op6_token_files, op7_packing)}
+ORACLE_SQL: dict[str, str] = {"op2_secret_scans": secret_scans.ORACLE_SQL}
