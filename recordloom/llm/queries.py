@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordloom.llm import secret_scans
+from recordloom.llm.html_extraction import extract_main_text
 from recordloom.llm.near_duplicates import near_duplicates
 from recordloom.llm.packing import pack, token_pieces
 from recordloom.llm.staging import new_path
@@ -43,5 +44,9 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_secret_scans, op3_near_duplicates, op6_token_files, op7_packing)}
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_secret_scans, op3_near_duplicates, op6_token_files, op7_packing, op8_html_extraction)}
 ORACLE_SQL: dict[str, str] = {"op2_secret_scans": secret_scans.ORACLE_SQL}
