@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recordloom.llm import secret_scans
+from recordloom.llm.decontamination import contaminated
 from recordloom.llm.html_extraction import extract_main_text
 from recordloom.llm.near_duplicates import near_duplicates
 from recordloom.llm.packing import pack, token_pieces
@@ -48,5 +49,9 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_secret_scans, op3_near_duplicates, op6_token_files, op7_packing, op8_html_extraction)}
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_secret_scans, op3_near_duplicates, op6_token_files, op7_packing, op8_html_extraction, op9_decontamination)}
 ORACLE_SQL: dict[str, str] = {"op2_secret_scans": secret_scans.ORACLE_SQL}
