@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from recordloom.llm import secret_scans
 from recordloom.llm.decontamination import contaminated
 from recordloom.llm.html_extraction import extract_main_text
+from recordloom.llm.language_id import identify
 from recordloom.llm.near_duplicates import near_duplicates
 from recordloom.llm.packing import pack, token_pieces
+from recordloom.llm.quality import assess
 from recordloom.llm.staging import new_path
 from recordloom.llm.token_files import read_token_files, write_token_files
 
@@ -24,6 +26,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return assess(documents(spark, sf_dir), labels, host="source", path=F.col("lang"))
+
+
 def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, _ = secret_scans.scan_secrets(documents(spark, sf_dir))
     return secret_scans.digest(found)
@@ -33,6 +40,10 @@ def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(documents(spark, sf_dir))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(documents(spark, sf_dir), declared="lang", host="source")
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "tokens")
     write_token_files(documents(spark, sf_dir), path, TOKENIZER, end=1)
@@ -53,5 +64,5 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op2_secret_scans, op3_near_duplicates, op6_token_files, op7_packing, op8_html_extraction, op9_decontamination)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality, op2_secret_scans, op3_near_duplicates, op4_language_id, op6_token_files, op7_packing, op8_html_extraction, op9_decontamination)}
 ORACLE_SQL: dict[str, str] = {"op2_secret_scans": secret_scans.ORACLE_SQL}
