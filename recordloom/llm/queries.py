@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.llm import secret_scans
+from recordloom.llm import language_model, secret_scans
 from recordloom.llm.decontamination import contaminated
 from recordloom.llm.html_extraction import extract_main_text
 from recordloom.llm.language_id import identify
@@ -44,6 +44,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(documents(spark, sf_dir), declared="lang", host="source")
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(documents(spark, sf_dir))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "tokens")
     write_token_files(documents(spark, sf_dir), path, TOKENIZER, end=1)
@@ -64,5 +68,5 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality, op2_secret_scans, op3_near_duplicates, op4_language_id, op6_token_files, op7_packing, op8_html_extraction, op9_decontamination)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality, op2_secret_scans, op3_near_duplicates, op4_language_id, op5_lm_scoring, op6_token_files, op7_packing, op8_html_extraction, op9_decontamination)}
 ORACLE_SQL: dict[str, str] = {"op2_secret_scans": secret_scans.ORACLE_SQL}
