@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from recordloom.llm import language_model, secret_scans
 from recordloom.llm.decontamination import contaminated
+from recordloom.llm.fingerprints import fingerprints_and_edits
 from recordloom.llm.html_extraction import extract_main_text
 from recordloom.llm.language_id import identify
 from recordloom.llm.near_duplicates import near_duplicates
@@ -68,5 +69,9 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality, op2_secret_scans, op3_near_duplicates, op4_language_id, op5_lm_scoring, op6_token_files, op7_packing, op8_html_extraction, op9_decontamination)}
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints_and_edits(documents(spark, sf_dir))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality, op2_secret_scans, op3_near_duplicates, op4_language_id, op5_lm_scoring, op6_token_files, op7_packing, op8_html_extraction, op9_decontamination, op10_fingerprints)}
 ORACLE_SQL: dict[str, str] = {"op2_secret_scans": secret_scans.ORACLE_SQL}
