@@ -1,4 +1,9 @@
 """The registry of queries and of their SQL twins."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from recordloom.plans import queries_batch, queries_values
+
+PARTS = (queries_values, queries_batch)
+QUERIES = {name: f for part in PARTS for name, f in part.query.queries.items()}
+ORACLE_SQL = {name: sql for part in PARTS for name, sql in part.query.sql.items()}
