@@ -22,7 +22,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordloom.llm.staging import stage
-from recordloom.llm.tokens import WordEncoder, binaries
+from recordloom.llm.textblocks import slices
+from recordloom.llm.tokens import binaries, encoder_of
 
 CAPACITY = 2048
 
@@ -122,10 +123,9 @@ def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 def _cut(path: str, end: int, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(path)
+        encoder = encoder_of(path)
         for whole in batches:
-            for at in range(0, whole.num_rows, 4000):
-                batch = whole.slice(at, 4000)
+            for batch in slices(whole, size=6_000_000):
                 ids, starts = encoder.encode(batch["text"], end)
                 n = np.diff(starts)
                 pieces = -(-n // capacity)

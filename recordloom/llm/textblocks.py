@@ -5,6 +5,7 @@ Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z. All functions take wh
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -64,3 +65,16 @@ def sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
 def owners(starts: np.ndarray) -> np.ndarray:
     """The document of each value."""
     return np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+
+
+def slices(batch: pa.RecordBatch, column: str = "text", size: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """The batch in consecutive parts of about ``size`` bytes of text (one row at least), so working memory is bounded."""
+    if not batch.num_rows:
+        return
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64)
+    at = 0
+    while at < batch.num_rows:
+        base = ends[at - 1] if at else 0
+        upto = max(at + 1, int(np.searchsorted(ends, base + size, "right")))
+        yield batch.slice(at, upto - at)
+        at = upto
