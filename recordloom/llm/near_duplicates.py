@@ -12,17 +12,19 @@ unbiased estimate of the Jaccard similarity with Chernoff-type concentration.
 Steps, each a distributed plan:
 
 1. sketch every text in one pass; exact copies share a digest of their set and are represented by their least id;
-2. cut sketches into bands; a bucket holds the representatives that agree on a whole band;
-3. link every member of a bucket with the bucket's least member (a star, not all pairs), and confirm on full sets;
+2. cut sketches into bands; a bucket holds the representatives that agree on a whole band; the texts of those in a
+   bucket of two or more are set apart once, for all confirmations;
+3. link every representative with the least one that it shares a bucket with (one pair each), and confirm on full sets;
 4. components by minimum-label propagation with pointer jumping;
-5. in buckets that still hold more than one component, compare members of different components by their whole
-   sketches, blocks against blocks in numpy; pairs whose estimate is not far below the threshold are confirmed on
-   full sets, and components are joined again.
-
-No step drops a candidate by rank or count. A pair at exactly 0.75 meets in no bucket with probability
-(1 - 0.75^6)^48 < 1e-4, at 0.85 below 1e-9. The sketch filter of step 5 (estimate < threshold - 0.2) has a tail
-below exp(-2 * 288 * 0.04) < 1e-9. Large groups of copies cost one row each after step 1; stars of large buckets are
-confirmed in salted groups of bounded size.
+5. twice: in buckets that still hold more than one component, compare members of different components by their whole
+   sketches, blocks against blocks in numpy, take each member's most similar one, confirm, and join components;
+6. pairs of components that still hold a pair of members in one bucket which the sketches don't rule out are compared
+   as wholes: the members of the smaller ones, in blocks, against the larger one's, in blocks, on full sets.
+
+Steps 3 and 5 only save work: step 6 confirms all that they leave, so no step drops a candidate by rank or count. A
+pair at exactly 0.75 meets in no bucket with probability (1 - 0.75^6)^48 < 1e-4, at 0.85 below 1e-9. The sketches rule
+a pair out if their agreement is 0.13 below the threshold, five standard deviations of 288 coordinates. A large group
+of exact copies costs one row after step 1, and a large group of near copies a pair or two for each member.
 """
 
 from __future__ import annotations
@@ -35,14 +37,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recordloom.llm.staging import stage
-from recordloom.llm.textblocks import GOLD, POLY, U, Words, mix, owners, split_words, sums
+from recordloom.llm.textblocks import GOLD, POLY, U, Words, mix, owners, slices, split_words, sums
 
 SHINGLE, BANDS, BAND_ROWS = 5, 48, 6
 COORDINATES = BANDS * BAND_ROWS
 #: Members of a star that one group confirms, and members of a block of a bucket.
 STAR_BLOCK, BUCKET_BLOCK = 256, 1024
-#: How far below the threshold a sketch's estimate may be before step 5 leaves the pair out.
-MARGIN = 0.2
+#: How far below the threshold a sketch's estimate may be before the pair is ruled out.
+MARGIN = 0.13
 EMPTY = U(0xFFFFFFFFFFFFFFFF)
 
 
@@ -126,18 +128,17 @@ def _binaries(values: np.ndarray) -> pa.Array:
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        for at in range(0, whole.num_rows, 2000):
-            batch = whole.slice(at, 2000)
+        for batch in slices(whole):
             values, starts = shingle_sets(split_words(batch["text"]))
             table = sketches(values, starts)
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], pa.array(np.diff(starts)), pa.array(sums(mix(values + GOLD), starts).view(np.int64)), pa.array(sums(mix(values ^ POLY), starts).view(np.int64)), _lists(band_keys(table)), _binaries((table & U(0xFFFF)).astype(np.uint16))],
+                [batch["doc_id"], pa.array(np.diff(starts)), pa.array(sums(mix(values + GOLD), starts).view(np.int64)), pa.array(sums(mix(values ^ POLY), starts).view(np.int64)), _lists(band_keys(table)), _binaries((table & U(0xFF)).astype(np.uint8))],
                 ["doc_id", "n_shingles", "d1", "d2", "bands", "sketch"],
             )
 
 
 def sketch_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, a 128-bit digest of the set (d1, d2), band keys and the sketch's low 16 bits."""
+    """doc_id, n_shingles, a 128-bit digest of the set (d1, d2), band keys and the sketch's low 8 bits (two differing coordinates agree in them once in 256)."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sketched, "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, sketch binary")
 
 
@@ -168,7 +169,7 @@ def confirm(docs: DataFrame, pairs: DataFrame, threshold: int) -> DataFrame:
     salts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / STAR_BLOCK).cast("int").alias("k"))
     members = pairs.join(salts, "a").select(F.col("b").alias("doc_id"), F.col("a").alias("centre"), F.pmod(F.xxhash64("b"), "k").cast("int").alias("salt"), F.lit(1).alias("role"))
     centres = salts.select(F.col("a").alias("doc_id"), F.col("a").alias("centre"), F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("salt"), F.lit(0).alias("role"))
-    routed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(members.unionByName(centres), "doc_id")
+    routed = docs.join(members.unionByName(centres).hint("merge"), "doc_id")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     grouped = routed.repartition(n, "centre", "salt").sortWithinPartitions("centre", "salt", "role")
     return grouped.mapInArrow(_confirmed(threshold), "a long, b long")
@@ -188,55 +189,144 @@ def components(edges: DataFrame) -> DataFrame:
         label = new.select("node", "comp")
 
 
-def _compared(least: float):
+def _compared(least: float, best: bool):
+    """For two blocks of a bucket, pairs of members of different components: with ``best`` the likest y of each x as
+    (x, y, likeness), else the pairs of components (x, y) that such members belong to."""
+
     def run(key: tuple, table: pa.Table) -> pa.Table:
         i, j = key[1].as_py(), key[2].as_py()
         rep, comp, n, block = (table[c].to_numpy() for c in ("rep", "comp", "n_shingles", "block"))
         rows = table["sketch"].combine_chunks()
-        rows = np.frombuffer(rows.buffers()[2], np.uint16)[rows.offset * COORDINATES :][: len(rep) * COORDINATES].reshape(-1, COORDINATES)
-        one, other = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        left, right = [], []
-        for x in one:
-            y = other[(comp[other] != comp[x]) & (100 * n[other] >= 75 * n[x]) & (100 * n[x] >= 75 * n[other])]
-            if i == j:
-                y = y[y > x]
-            if len(y):
-                y = y[(rows[y] == rows[x]).mean(axis=1) >= least]
-                left += [int(min(rep[x], r)) for r in rep[y]]
-                right += [int(max(rep[x], r)) for r in rep[y]]
-        return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
+        rows = np.frombuffer(rows.buffers()[2], np.uint8)[rows.offset * COORDINATES :][: len(rep) * COORDINATES].reshape(-1, COORDINATES)
+        found, likest = set(), []
+        for ones, others in ((i, j), (j, i)) if i != j else ((i, i),):
+            other = np.flatnonzero(block == others)
+            for x in np.flatnonzero(block == ones):
+                y = other[(comp[other] != comp[x]) & (100 * n[other] >= 75 * n[x]) & (100 * n[x] >= 75 * n[other])]
+                if not len(y):
+                    continue
+                agree = (rows[y] == rows[x]).mean(axis=1)
+                if best:
+                    k = int(agree.argmax())
+                    if agree[k] >= least:
+                        likest.append((int(rep[x]), int(rep[y[k]]), float(agree[k])))
+                else:
+                    found.update((int(min(comp[x], c)), int(max(comp[x], c))) for c in np.unique(comp[y[agree >= least]]))
+        rows_ = likest if best else [(a, b, 1.0) for a, b in found]
+        left, right, likeness = (list(c) for c in zip(*rows_, strict=True)) if rows_ else ([], [], [])
+        return pa.table({"x": pa.array(left, pa.int64()), "y": pa.array(right, pa.int64()), "likeness": pa.array(likeness, pa.float64())})
+
+    return run
+
+
+def _across(named: DataFrame, reps: DataFrame, least: float, best: bool) -> DataFrame:
+    """What _compared() finds in buckets that hold several components. named: key, rep, comp."""
+    mixed = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m")).filter("lo <> hi").select("key", F.ceil(F.col("m") / BUCKET_BLOCK).cast("int").alias("nb"))
+    open_ = named.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("rep"), "nb").cast("int"))
+    spread = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    spread = spread.join(reps.select("rep", "n_shingles", "sketch"), "rep").select("key", "i", "j", "rep", "comp", "n_shingles", "block", "sketch")
+    return spread.groupBy("key", "i", "j").applyInArrow(_compared(least, best), "x long, y long, likeness double")
+
+
+def _linked(threshold: int):
+    """Links between the x and the y documents of each group, on full sets. Rows come sorted by group."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, int, int, np.ndarray]] = []
+        key = None
+
+        def flush() -> pa.RecordBatch:
+            ys = [h for h in held if h[1] == 1]
+            left, right = [], []
+            if ys:
+                sizes = np.array([len(h[3]) for h in ys])
+                values = np.concatenate([h[3] for h in ys])
+                order = np.argsort(values, kind="stable")
+                values, owner = values[order], np.repeat(np.arange(len(ys)), sizes)[order]
+                ids, comps = np.array([h[0] for h in ys]), np.array([h[2] for h in ys])
+                for rep, role, comp, own in held:
+                    if role == 0 and len(own):
+                        lo, hi = np.searchsorted(values, own, "left"), np.searchsorted(values, own, "right")
+                        n = hi - lo
+                        at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                        both = np.bincount(owner[at], minlength=len(ys))
+                        for k in np.flatnonzero((100 * both >= threshold * (len(own) + sizes - both)) & (both > 0) & (comps != comp)):
+                            left.append(min(rep, int(ids[k])))
+                            right.append(max(rep, int(ids[k])))
+            return pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            sets, starts = shingle_sets(split_words(batch["text"]))
+            rows = zip(*(batch[c].to_pylist() for c in ("big", "xb", "yb", "doc_id", "role", "comp")), strict=True)
+            for k, (big, xb, yb, rep, role, comp) in enumerate(rows):
+                if key != (big, xb, yb):
+                    if held:
+                        yield flush()
+                    held, key = [], (big, xb, yb)
+                held.append((rep, role, comp, sets[starts[k] : starts[k + 1]].copy()))
+        if held:
+            yield flush()
 
     return run
 
 
+def _between(pairs: DataFrame, members: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
+    """Links between members of the given pairs of components (x, y). members: rep, comp.
+
+    A larger component meets all the smaller ones paired with it at once, block against block, so a text is sent once
+    for every STAR_BLOCK documents on the other side and no pair of documents is a row.
+    """
+    sizes = members.groupBy("comp").agg(F.count(F.lit(1)).alias("m"))
+    sized = pairs.join(sizes.select(F.col("comp").alias("x"), F.col("m").alias("mx")), "x").join(sizes.select(F.col("comp").alias("y"), F.col("m").alias("my")), "y")
+    first = (F.col("mx") > F.col("my")) | ((F.col("mx") == F.col("my")) & (F.col("x") < F.col("y")))
+    sided = stage(sized.select(F.when(first, F.col("x")).otherwise(F.col("y")).alias("big"), F.when(first, F.col("y")).otherwise(F.col("x")).alias("comp"), F.when(first, F.col("mx")).otherwise(F.col("my")).alias("n_y"), F.least("mx", "my").alias("n_x")), "sides")
+    blocks = sided.groupBy("big").agg(F.ceil(F.sum("n_x") / STAR_BLOCK).cast("int").alias("kx"), F.ceil(F.first("n_y") / STAR_BLOCK).cast("int").alias("ky"))
+    rows = sided.select("big", "comp", F.lit(0).alias("role")).unionByName(blocks.select("big", F.col("big").alias("comp"), F.lit(1).alias("role")))
+    rows = rows.join(members, "comp").join(blocks, "big")
+    own = F.pmod(F.xxhash64("rep"), F.when(F.col("role") == 0, F.col("kx")).otherwise(F.col("ky"))).cast("int")
+    others = F.explode(F.sequence(F.lit(0), F.when(F.col("role") == 0, F.col("ky")).otherwise(F.col("kx")) - 1))
+    rows = rows.withColumn("own", own).withColumn("other", others)
+    side = lambda zero: F.when(F.col("role") == zero, F.col("own")).otherwise(F.col("other"))
+    dealt = rows.select("big", side(0).alias("xb"), side(1).alias("yb"), F.col("rep").alias("doc_id"), "role", "comp")
+    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    routed = texts.join(dealt.hint("merge"), "doc_id").repartition(n, "big", "xb", "yb").sortWithinPartitions("big", "xb", "yb", "role")
+    return routed.select("big", "xb", "yb", "doc_id", "role", "comp", "text").mapInArrow(_linked(threshold), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, threshold: int = 75) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (least reachable doc_id), kept (doc_id = component_id), class_id.
 
     class_id is the least doc_id with exactly the same set. Links are 100 * intersection >= threshold * union over
     full sets. Nulls and texts without words: n_shingles 0, linked with nothing. Rows that repeat a doc_id give a
-    row each. An empty table gives no rows. Other columns of ``docs`` are ignored.
+    row each; rows without a doc_id give none. An empty table gives no rows. Other columns of ``docs`` are ignored.
     """
-    sketched = stage(sketch_documents(docs.filter("doc_id is not null")), "sketches")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
+    sketched = stage(sketch_documents(docs), "sketches")
     some = sketched.filter("n_shingles > 0")
     classes = some.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"))
     member = stage(sketched.select("doc_id", "n_shingles", "d1", "d2").join(classes, ["d1", "d2", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")), "members")
-    reps = stage(some.join(member.filter("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "n_shingles", "bands", "sketch").dropDuplicates(["rep"]), "reps")
+    own = member.filter("doc_id = rep").select("doc_id").distinct()
+    reps = stage(some.join(own.hint("merge"), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "n_shingles", "bands", "sketch").dropDuplicates(["rep"]), "reps")
     buckets = reps.select("rep", F.explode("bands").alias("key"))
     shared = buckets.groupBy("key").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).filter("a <> z").drop("z")
-    together = stage(buckets.join(shared, "key"), "buckets")
-    pairs = stage(together.filter("a <> rep").select("a", F.col("rep").alias("b")).distinct(), "pairs")
-    edges = stage(confirm(docs, pairs, threshold), "links")
+    together = stage(buckets.join(shared.hint("merge"), "key"), "buckets")
+    texts = stage(docs.join(together.select(F.col("rep").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi"), "texts")
+    together, reps = together.select("key", "rep", "a"), reps.drop("bands")
+    tested = stage(together.filter("a <> rep").groupBy(F.col("rep").alias("b")).agg(F.min("a").alias("a")).select("a", "b"), "pairs")
+    edges = stage(confirm(texts, tested, threshold), "links")
     label = components(edges)
-    named = together.select("key", "rep").join(label, together.rep == label.node, "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"))
-    named = stage(named, "named")
-    mixed = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m")).filter("lo <> hi").select("key", F.ceil(F.col("m") / BUCKET_BLOCK).cast("int").alias("nb"))
-    open_ = named.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("rep"), "nb").cast("int"))
-    spread = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    spread = spread.join(reps.select("rep", "n_shingles", "sketch"), "rep").select("key", "i", "j", "rep", "comp", "n_shingles", "block", "sketch")
-    more = spread.groupBy("key", "i", "j").applyInArrow(_compared(threshold / 100 - MARGIN), "a long, b long").distinct()
-    more = stage(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
-    if more.limit(1).count():
-        found = stage(confirm(docs, more, threshold), "links")
-        if found.limit(1).count():
-            label = components(edges.union(found))
+    everyone = together.select("rep").distinct()
+    for best in (True, True, False):
+        members = stage(everyone.join(label, everyone.rep == label.node, "left").select("rep", F.coalesce("comp", "rep").alias("comp")), "components")
+        named = stage(together.select("key", "rep").join(members, "rep"), "named")
+        across = _across(named, reps, threshold / 100 - MARGIN, best)
+        if best:
+            likest = across.groupBy("x").agg(F.max_by("y", F.struct("likeness", "y")).alias("y"))
+            pairs = stage(likest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
+            new, tested = stage(confirm(texts, pairs, threshold), "links"), tested.union(pairs)
+        else:
+            new = stage(_between(stage(across.select("x", "y").distinct(), "pairs"), members, texts, threshold), "links")
+        if new.limit(1).count():
+            edges = edges.union(new)
+            label = components(edges)
     return member.join(label, member.rep == label.node, "left").select("doc_id", "n_shingles", F.coalesce("comp", "rep").alias("component_id"), (F.col("doc_id") == F.coalesce("comp", "rep")).alias("kept"), F.col("rep").alias("class_id"))
