@@ -24,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.llm.textblocks import GOLD, U, mix, owners, split_words
+from recordloom.llm.ranges import cuts_of, range_of
+from recordloom.llm.textblocks import GOLD, U, mix, owners, slices, split_words
 
 LOW, HIGH, SUBSETS, MOST_CANDIDATES = 0.0005, 0.1, 48, 4_000_000
 SEEDS = [U((int(GOLD) * (r + 1)) & 0xFFFFFFFFFFFFFFFF) for r in range(SUBSETS)]
@@ -88,8 +89,8 @@ def _local(batches: Iterator[pa.RecordBatch], only: np.ndarray | None, share: fl
     """(term, df) of a task's documents: of all terms that reach ``share`` of them, or of the terms in ``only``."""
     terms, counts, n = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
     for batch in batches:
-        for at in range(0, batch.num_rows, 4000):
-            values, starts = term_sets(batch["text"].slice(at, 4000))
+        for part in slices(batch):
+            values, starts = term_sets(part["text"])
             n += len(starts) - 1
             if only is not None:
                 values = values[within(values, only)]
@@ -121,8 +122,7 @@ def _edited(table: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, helped = None, False
         for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                batch = whole.slice(at, 2000)
+            for batch in slices(whole):
                 own = batch.num_rows - sum(batch["extra"].to_pylist())
                 batch = batch.slice(0, own + (own < batch.num_rows and not helped))  # of rows that repeat the head's id, one
                 helped = helped or own < batch.num_rows
@@ -149,8 +149,7 @@ def _edited(table: np.ndarray):
 def _printed(table: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                batch = whole.slice(at, 2000)
+            for batch in slices(whole):
                 yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(map(text_of, fingerprints(batch["text"], table)))], ["doc_id", "fingerprint"])
 
     return run
@@ -174,9 +173,8 @@ def fingerprints_and_edits(docs: DataFrame) -> DataFrame:
     rows = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ids = rows.select("doc_id")
-    cuts = sorted(set(ids.approxQuantile("doc_id", [k / n for k in range(1, n)], 1 / (20 * n)))) if n > 1 else []
-    edges = F.array(*[F.lit(int(c)) for c in cuts]).cast("array<bigint>")
-    part = (F.lit(len(cuts)) - F.aggregate(edges, F.lit(0), lambda a, c: a + F.when(c < F.col("doc_id"), 1).otherwise(0))).cast("int")
+    cuts = cuts_of(ids, "doc_id", n)
+    part = F.lit(len(cuts)) - range_of("doc_id", cuts)
     heads = {r["part"]: r["head"] for r in ids.select(part.alias("part"), "doc_id").groupBy("part").agg(F.max("doc_id").alias("head")).collect()}  # a row for each range
     used = sorted(heads)
     schema = "after long, goes int"

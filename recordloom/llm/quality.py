@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from recordloom.llm.near_duplicates import shingle_sets
 from recordloom.llm.staging import stage
-from recordloom.llm.textblocks import U, mix, owners, split_words
+from recordloom.llm.textblocks import U, mix, owners, slices, split_words
 
 SAMPLE, FEATURES, LEAST_Z, LEAST_DF, RIDGE = 6000, 600, 7.0, 8, 1.0
 PREFIXES = (3, 5, 7)
@@ -141,8 +141,7 @@ class Classifier:
 def _scored(model: Classifier):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, 2000):
-                batch = whole.slice(at, 2000)
+            for batch in slices(whole):
                 scores = model.score(pa.concat_arrays([batch["text"]]))
                 yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["host"], batch["path"], pa.array(scores[:, 0]), pa.array(scores[:, 1])], ["doc_id", "host", "path", "quality", "toxic"])
 
