@@ -397,3 +397,10 @@ def _(spark, d):
     sql = df.select(F.lit(0).alias("id"), F.explode(Q.blocks(F.col("s"))).alias("body"), F.lit(None).cast("string").alias("command"))
     cics = df.select(F.lit(1).alias("id"), F.explode(Q.blocks(F.col("s"), "CICS")).alias("body"))
     return sql.unionByName(cics.withColumn("command", Q.cics_options(F.col("body"))[0]))
+
+
+@query("rate_windows", "SELECT CAST(epoch(ws) AS BIGINT) AS start, count(*) AS n, count(*) > 100 AS \"over\" FROM (SELECT time_bucket(INTERVAL 10 MINUTE, ts) - INTERVAL 10 MINUTE * k AS ws FROM events, range(6) r(k)) GROUP BY ws")
+def _(spark, d):
+    from recordloom.streaming.posting import rate_windows
+
+    return rate_windows(table(spark, d, "events"), "ts", budget=100).select(F.unix_timestamp("start").alias("start"), "n", "over")
