@@ -77,7 +77,7 @@ def levels(edges: DataFrame, roots: DataFrame, most: int = 10_000) -> DataFrame:
     for level in range(1, most):
         new = frontier.join(pairs, frontier.name == pairs.src).select(F.col("dst").alias("name")).distinct().join(seen.select("name"), "name", "left_anti").withColumn("level", F.lit(level))
         frontier = settled(new)
-        if frontier.limit(1).count() == 0:
+        if frontier.isEmpty():
             return seen
         seen = settled(seen.unionByName(frontier)) if level % 4 == 0 else seen.unionByName(frontier)
     raise RuntimeError("no end after the most rounds")
@@ -92,10 +92,10 @@ def topological_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     pairs = settled(edges.select("src", "dst").distinct())
     left = settled(nodes.select("name").union(pairs.select("src")).union(pairs.select("dst")).distinct())
     done, level = None, 0
-    while left.limit(1).count():
+    while not left.isEmpty():
         inner = pairs.join(left, pairs.src == left.name, "left_semi")
         ready = settled(left.join(inner.select(F.col("dst").alias("name")).distinct(), "name", "left_anti").withColumn("level", F.lit(level)))
-        if ready.limit(1).count() == 0:
+        if ready.isEmpty():
             raise ValueError("the graph has a cycle")
         done = ready if done is None else done.unionByName(ready)
         left = settled(left.join(ready.select("name"), "name", "left_anti"))
@@ -138,7 +138,7 @@ def least_root(nodes: DataFrame, edges: DataFrame, roots: DataFrame | None = Non
     while True:
         offered = frontier.join(pairs, frontier.name == pairs.src).groupBy(F.col("dst").alias("name")).agg(F.min("root").alias("new"))
         better = settled(offered.join(label, "name", "left").filter("root is null or new < root").select("name", F.col("new").alias("root")))
-        if better.limit(1).count() == 0:
+        if better.isEmpty():
             return label
         label = settled(label.join(better.select("name"), "name", "left_anti").unionByName(better))
         frontier = better

@@ -134,7 +134,8 @@ def order_records(spark, d):
         F.col("o_orderkey").alias("ord_key"), F.date_format("o_orderdate", "yyyyMMdd").cast("int").alias("ord_date"), F.col("o_orderstatus").alias("ord_status"),
         F.col("o_totalprice").cast("decimal(11,2)").alias("ord_total"), F.col("o_custkey").cast("int").alias("ord_customer"), F.array(slot(1), slot(2), slot(3)).alias("ord_slots"),
     )
-    return copybook.encode(rows, root), root
+    # one value a row, as a file scan hands it over, not an expression that every field would work out anew
+    return copybook.encode(rows, root).select(F.explode(F.array("record")).alias("record")), root
 
 
 @query("record_layout_decode", """
