@@ -13,12 +13,14 @@ from recordloom.plans.registry import Registry, table
 query = Registry()
 MONEY = "decimal(15,2)"
 
-#: Keyed store: customers whose key isn't a multiple of 7. Requests: the customer keys of orders.
-STORE_SQL = "store AS (SELECT c_custkey, c_name, CAST(c_acctbal AS DECIMAL(15,2)) AS bal FROM customer WHERE c_custkey % 7 <> 0)"
+#: Keyed store: all customers, those with multiples of 7 under another key, so that both sides of every match have
+#: rows without a partner.
+STORE_SQL = "store AS (SELECT CASE WHEN c_custkey % 7 = 0 THEN c_custkey + 1000000000 ELSE c_custkey END AS c_custkey, c_name, CAST(c_acctbal AS DECIMAL(15,2)) AS bal FROM customer)"
 
 
 def store(spark, d):
-    return table(spark, d, "customer").filter("c_custkey % 7 <> 0").select("c_custkey", "c_name", F.col("c_acctbal").cast(MONEY).alias("bal"))
+    key = F.when(F.col("c_custkey") % 7 == 0, F.col("c_custkey") + 1_000_000_000).otherwise(F.col("c_custkey"))
+    return table(spark, d, "customer").select(key.alias("c_custkey"), "c_name", F.col("c_acctbal").cast(MONEY).alias("bal"))
 
 
 @query("keyed_read_status", f"WITH {STORE_SQL} SELECT o_orderkey, o_custkey AS c_custkey, c_name, CASE WHEN c_name IS NULL THEN '23' ELSE '00' END AS file_status FROM orders LEFT JOIN store ON o_custkey = c_custkey")
@@ -33,53 +35,54 @@ def _(spark, d):
     return K.insert(store(spark, d), rows, ["c_custkey"])[1].select("c_custkey", "file_status")
 
 
-@query("keyed_insert_store", "SELECT count(*) AS n, CAST(sum(CAST(c_acctbal AS DECIMAL(15,2))) AS DOUBLE) AS bal FROM customer")
+@query("keyed_insert_store", f"WITH {STORE_SQL} SELECT count(*) AS n, CAST(sum(bal) AS DOUBLE) AS bal FROM (SELECT bal FROM store UNION ALL SELECT CAST(c_acctbal AS DECIMAL(15,2)) FROM customer WHERE c_custkey NOT IN (SELECT c_custkey FROM store))")
 def _(spark, d):
     rows = table(spark, d, "customer").select("c_custkey", "c_name", F.col("c_acctbal").cast(MONEY).alias("bal"))
     new, _ = K.insert(store(spark, d), rows, ["c_custkey"])
     return new.agg(F.count(F.lit(1)).alias("n"), F.sum("bal").cast("double").alias("bal"))
 
 
-@query("keyed_update", f"WITH {STORE_SQL} SELECT c_custkey, c_name, CAST(CASE WHEN c_custkey % 3 = 0 THEN 1.5 ELSE bal END AS DOUBLE) AS bal FROM store")
+@query("keyed_update", f"WITH {STORE_SQL} SELECT c_custkey, c_name, CAST(CASE WHEN c_custkey < 1000000000 THEN 1.5 ELSE bal END AS DOUBLE) AS bal FROM store")
 def _(spark, d):
-    changes = table(spark, d, "customer").filter("c_custkey % 3 = 0").select("c_custkey", F.lit("1.5").cast(MONEY).alias("bal"))
+    changes = table(spark, d, "customer").select("c_custkey", F.lit("1.5").cast(MONEY).alias("bal"))
     new, _ = K.update(store(spark, d), changes, ["c_custkey"])
     return new.withColumn("bal", F.col("bal").cast("double"))
 
 
-@query("keyed_update_status", "SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN '23' ELSE '00' END AS file_status FROM customer WHERE c_custkey % 3 = 0")
+@query("keyed_update_status", "SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN '23' ELSE '00' END AS file_status FROM customer")
 def _(spark, d):
-    changes = table(spark, d, "customer").filter("c_custkey % 3 = 0").select("c_custkey", F.lit("1.5").cast(MONEY).alias("bal"))
+    changes = table(spark, d, "customer").select("c_custkey", F.lit("1.5").cast(MONEY).alias("bal"))
     return K.update(store(spark, d), changes, ["c_custkey"])[1].select("c_custkey", "file_status")
 
 
-@query("keyed_delete", f"WITH {STORE_SQL} SELECT c_custkey, c_name FROM store WHERE c_custkey % 5 <> 0")
+@query("keyed_delete", f"WITH {STORE_SQL} SELECT c_custkey, c_name FROM store WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
 def _(spark, d):
-    gone = table(spark, d, "customer").filter("c_custkey % 5 = 0").select("c_custkey")
+    gone = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
     return K.delete(store(spark, d), gone, ["c_custkey"])[0].select("c_custkey", "c_name")
 
 
+def moves(spark, d):
+    """Of every customer: an add of multiples of 7, else an add and an update of multiples of 3, else a delete and an
+    update of even keys, else nothing."""
+    k = F.col("c_custkey")
+    step = lambda seq, act, name: F.struct(F.lit(seq).alias("seq"), F.lit(act).alias("act"), F.lit(name).alias("c_name"))
+    steps = F.when(k % 7 == 0, F.array(step(1, "A", "ADDED"))).when(k % 3 == 0, F.array(step(1, "A", "TWICE"), step(2, "U", "CHANGED"))).when(k % 2 == 0, F.array(step(1, "D", ""), step(2, "U", "LATE")))
+    return table(spark, d, "customer").select("c_custkey", F.inline(steps))
+
+
 @query("keyed_maintenance", """
-SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN 'ADDED' WHEN c_custkey % 3 = 0 THEN 'CHANGED' ELSE c_name END AS c_name FROM customer WHERE NOT (c_custkey % 7 <> 0 AND c_custkey % 3 <> 0 AND c_custkey % 2 = 0)""")
+SELECT c_custkey, CASE WHEN c_custkey % 7 = 0 THEN 'ADDED' WHEN c_custkey % 3 = 0 THEN 'CHANGED' ELSE c_name END AS c_name FROM customer WHERE NOT (c_custkey % 7 <> 0 AND c_custkey % 3 <> 0 AND c_custkey % 2 = 0)
+UNION ALL SELECT c_custkey + 1000000000, c_name FROM customer WHERE c_custkey % 7 = 0""")
 def _(spark, d):
-    """Adds for every third and seventh key, an update of every third, a delete of the even rest."""
-    keys = table(spark, d, "customer").select("c_custkey")
-    k = F.col("c_custkey")
-    tx = lambda rows, seq, act, name: rows.select("c_custkey", F.lit(seq).alias("seq"), F.lit(act).alias("act"), F.lit(name).alias("c_name"))
-    moves = tx(keys.filter((k % 3 == 0) & (k % 7 != 0)), 1, "A", "TWICE").unionByName(tx(keys.filter(k % 7 == 0), 1, "A", "ADDED")).unionByName(tx(keys.filter((k % 3 == 0) & (k % 7 != 0)), 2, "U", "CHANGED"))
-    moves = moves.unionByName(tx(keys.filter((k % 7 != 0) & (k % 3 != 0) & (k % 2 == 0)), 1, "D", "")).unionByName(tx(keys.filter((k % 7 != 0) & (k % 3 != 0) & (k % 2 == 0)), 2, "U", "LATE"))
-    return K.maintain(store(spark, d).select("c_custkey", "c_name"), moves, "c_custkey", "seq", "act", ["c_name"])[0]
+    return K.maintain(store(spark, d).select("c_custkey", "c_name"), moves(spark, d), "c_custkey", "seq", "act", ["c_name"])[0]
 
 
 @query("keyed_maintenance_status", """
-SELECT '22' AS file_status, count(*) AS n FROM customer WHERE c_custkey % 3 = 0 AND c_custkey % 7 <> 0 UNION ALL SELECT '00', count(*) FROM customer WHERE c_custkey % 7 <> 0 AND (c_custkey % 3 = 0 OR c_custkey % 2 = 0) UNION ALL SELECT '23', count(*) FROM customer WHERE c_custkey % 7 <> 0 AND c_custkey % 3 <> 0 AND c_custkey % 2 = 0""")
+SELECT '22' AS file_status, count(*) AS n FROM customer WHERE c_custkey % 3 = 0 AND c_custkey % 7 <> 0 UNION ALL SELECT '00', count(*) FROM customer WHERE c_custkey % 7 = 0 OR c_custkey % 3 = 0 OR c_custkey % 2 = 0
+UNION ALL SELECT '23', count(*) FROM customer WHERE c_custkey % 7 <> 0 AND c_custkey % 3 <> 0 AND c_custkey % 2 = 0""")
 def _(spark, d):
-    keys = table(spark, d, "customer").select("c_custkey")
-    k = F.col("c_custkey")
-    tx = lambda rows, seq, act: rows.select("c_custkey", F.lit(seq).alias("seq"), F.lit(act).alias("act"), F.lit("X").alias("c_name"))
-    third, even = keys.filter((k % 3 == 0) & (k % 7 != 0)), keys.filter((k % 7 != 0) & (k % 3 != 0) & (k % 2 == 0))
-    moves = tx(third, 1, "A").unionByName(tx(third, 2, "U")).unionByName(tx(even, 1, "D")).unionByName(tx(even, 2, "U"))
-    return K.maintain(store(spark, d).select("c_custkey", "c_name"), moves, "c_custkey", "seq", "act", ["c_name"])[1].groupBy("file_status").agg(F.count(F.lit(1)).alias("n"))
+    status = K.maintain(store(spark, d).select("c_custkey", "c_name"), moves(spark, d), "c_custkey", "seq", "act", ["c_name"])[1]
+    return status.groupBy("file_status").agg(F.count(F.lit(1)).alias("n"))
 
 
 for _name, _rel in (("ge", ">="), ("gt", ">"), ("le", "<="), ("lt", "<"), ("eq", "=")):
@@ -127,14 +130,14 @@ def _(spark, d):
     return table(spark, d, "customer").select("c_custkey", K.search(grades, lambda e: F.col("c_acctbal") < e["upto"])["g"].alias("grade"))
 
 
-#: Masters are customers without multiples of 7, transactions every fifth order; the kind follows from the order key.
-TX_SQL = """tx AS (SELECT o_orderkey, o_custkey AS k, ['DP', 'WD', 'IN', 'FE'][CAST(o_orderkey // 5 % 4 AS INT) + 1] AS kind, CAST(o_totalprice AS DECIMAL(15,2)) AS amt, CAST(strftime(o_orderdate, '%Y%m%d') AS INT) AS dt FROM orders WHERE o_orderkey % 5 = 0),
+#: Masters are the store, transactions all orders; the kind follows from the order key.
+TX_SQL = """tx AS (SELECT o_orderkey, o_custkey AS k, ['DP', 'WD', 'IN', 'FE'][CAST(o_orderkey % 4 AS INT) + 1] AS kind, CAST(o_totalprice AS DECIMAL(15,2)) AS amt, CAST(strftime(o_orderdate, '%Y%m%d') AS INT) AS dt FROM orders),
 work AS (SELECT k, sum(CASE WHEN kind IN ('DP', 'IN') THEN amt ELSE -amt END) AS change, arg_max(dt, o_orderkey) AS last_date, count(*) AS n FROM tx GROUP BY k)"""
 
 
 def merge_inputs(spark, d):
-    kind = F.element_at(F.array(*[F.lit(x) for x in ("DP", "WD", "IN", "FE")]), (F.floor(F.col("o_orderkey") / 5) % 4 + 1).cast("int"))
-    tx = table(spark, d, "orders").filter("o_orderkey % 5 = 0").select("o_orderkey", F.col("o_custkey").alias("c_custkey"), kind.alias("kind"), F.col("o_totalprice").cast(MONEY).alias("amt"), F.date_format("o_orderdate", "yyyyMMdd").cast("int").alias("dt"))
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("DP", "WD", "IN", "FE")]), (F.col("o_orderkey") % 4 + 1).cast("int"))
+    tx = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey"), kind.alias("kind"), F.col("o_totalprice").cast(MONEY).alias("amt"), F.date_format("o_orderdate", "yyyyMMdd").cast("int").alias("dt"))
     return B.match_merge(store(spark, d), tx, "c_custkey", "bal", "kind", "amt", "dt", "o_orderkey")
 
 
@@ -250,12 +253,10 @@ def _(spark, d):
     return faulty(spark, d).agg(F.count_if(n > 0).alias("w"), F.count_if(n > 3).alias("e")).select(B.return_code(F.col("w"), F.col("e")).alias("rc"))
 
 
-@query("sort_multi_key", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderpriority, o_totalprice DESC, o_orderkey) AS rn FROM orders ORDER BY o_orderpriority, o_totalprice DESC, o_orderkey LIMIT 200")
+@query("sort_multi_key", "SELECT o_orderkey, o_orderpriority, o_totalprice FROM orders ORDER BY o_orderpriority, o_totalprice DESC, o_orderkey")
 def _(spark, d):
-    from pyspark.sql import Window
-
-    rows = B.sort_file(table(spark, d, "orders"), [("o_orderpriority", "ASC"), ("o_totalprice", "DESC"), ("o_orderkey", "ASC")]).limit(200)
-    return rows.select("o_orderkey", F.row_number().over(Window.orderBy("o_orderpriority", F.desc("o_totalprice"), "o_orderkey")).cast("long").alias("rn"))
+    rows = table(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
+    return B.sort_file(rows, [("o_orderpriority", "ASC"), ("o_totalprice", "DESC"), ("o_orderkey", "ASC")])
 
 
 @query("sort_input_procedure", "SELECT o_orderkey, o_totalprice * 2 AS twice FROM orders WHERE o_orderstatus = 'F'")
@@ -359,14 +360,14 @@ def _(spark, d):
     return spark.createDataFrame(rows, "o_orderkey long")
 
 
-@query("dml_transaction", "SELECT c_custkey, CAST(CASE WHEN c_custkey % 3 = 0 THEN bal + 1 ELSE bal END AS DOUBLE) AS bal FROM (SELECT c_custkey, CAST(c_acctbal AS DECIMAL(15,2)) AS bal FROM customer WHERE c_custkey % 7 <> 0 AND c_custkey % 10 <> 0)")
+@query("dml_transaction", f"WITH {STORE_SQL} SELECT c_custkey, CAST(CASE WHEN c_custkey % 3 = 0 THEN bal + 1 ELSE bal END AS DOUBLE) AS bal FROM store WHERE bal >= 0")
 def _(spark, d):
     tx = Q.Transaction({"acct": store(spark, d).select("c_custkey", "bal")})
     tx.update("acct", {"bal": F.col("bal") + 1}, F.col("c_custkey") % 3 == 0)
     tx.savepoint("s1")
     tx.update("acct", {"bal": F.lit(0)}, F.lit(True))
     tx.rollback_to("s1")
-    tx.delete("acct", F.col("c_custkey") % 10 == 0)
+    tx.delete("acct", F.col("bal") < F.when(F.col("c_custkey") % 3 == 0, 1).otherwise(0))
     tx.commit()
     return tx.published["acct"].withColumn("bal", F.col("bal").cast("double"))
 
@@ -383,10 +384,10 @@ def _(spark, d):
     return table(spark, d, "orders").select("o_orderkey", Q.indicator(value).alias("ind"), Q.with_default(value, Q.indicator(value), "N/A").alias("value"))
 
 
-@query("batch_execute", f"WITH {STORE_SQL} SELECT c.c_custkey, CAST(CASE WHEN s.c_custkey IS NULL THEN 0 ELSE 1 END AS BIGINT) AS updated FROM customer c LEFT JOIN store s USING (c_custkey) WHERE c.c_custkey % 4 = 0")
+@query("batch_execute", f"WITH {STORE_SQL} SELECT c.c_custkey, CAST(CASE WHEN s.c_custkey IS NULL THEN 0 ELSE 1 END AS BIGINT) AS updated FROM customer c LEFT JOIN store s USING (c_custkey)")
 def _(spark, d):
     tx = Q.Transaction({"acct": store(spark, d)})
-    params = table(spark, d, "customer").filter("c_custkey % 4 = 0").select("c_custkey", F.lit("9.99").cast(MONEY).alias("bal"))
+    params = table(spark, d, "customer").select("c_custkey", F.lit("9.99").cast(MONEY).alias("bal"))
     return tx.batch_update("acct", "c_custkey", params)
 
 

@@ -134,9 +134,9 @@ def _(spark, d):
     return S.search_programs(S.programs(sources(spark, d)), "p12", None).filter("type = 'cobol'").select("name", "path").unionByName(S.search_programs(S.programs(sources(spark, d)), "12", "cobol").select("name", "path")).distinct()
 
 
-# ---- the graph: nodes are part keys; CALL k -> 2k and 2k + 1, COPY k -> CB(k mod 10)
+# ---- the graph: nodes are part keys plus one; CALL k -> 2k and 2k + 1, COPY k -> CB(k mod 10)
 
-GRAPH_SQL = """n AS (SELECT p_partkey AS k FROM part WHERE p_partkey > 0),
+GRAPH_SQL = """n AS (SELECT p_partkey + 1 AS k FROM part),
 e AS (SELECT DISTINCT k AS s, t, kind FROM (SELECT k, 2 * k AS t, 'CALL' AS kind FROM n UNION ALL SELECT k, 2 * k + 1, 'CALL' FROM n UNION ALL SELECT k, -1 - (k % 10), 'COPY' FROM n))"""
 NAME_SQL = "CASE WHEN {0} < 0 THEN 'CB' || (-1 - {0}) ELSE 'P' || lpad(CAST({0} AS VARCHAR), 9, '0') END"
 
@@ -146,8 +146,8 @@ def name(k):
 
 
 def graph(spark, d):
-    parts = table(spark, d, "part").filter("p_partkey > 0")
-    k = F.col("p_partkey")
+    parts = table(spark, d, "part")
+    k = F.col("p_partkey") + 1
     programs = parts.select(name(k).alias("name"), F.array(name(2 * k), name(2 * k + 1)).alias("calls"), F.array(F.concat(F.lit("CB"), (k % 10).cast("string"))).alias("copybooks"))
     return programs, programs.select("name", F.lit("program").alias("type")), G.edges_of(programs)
 
@@ -211,18 +211,17 @@ def _(spark, d):
 
 
 def cyclic(spark, d):
-    """k -> k + 1 within groups of three, and the third back to the first, for keys of 30 and above; 5 -> 5."""
+    """k -> k + 1 within groups of three, and the third back to the first."""
     k = F.col("p_partkey")
-    rows = table(spark, d, "part").filter("p_partkey >= 30 or p_partkey = 5")
-    return rows.select(name(k).alias("src"), name(F.when(k == 5, k).when(k % 3 == 2, k - 2).otherwise(k + 1)).alias("dst"), F.lit("CALL").alias("type"))
+    return table(spark, d, "part").select(name(k).alias("src"), name(F.when(k % 3 == 2, k - 2).otherwise(k + 1)).alias("dst"), F.lit("CALL").alias("type"))
 
 
-@query("graph_cycles", "SELECT 'P000000005' AS cycle UNION ALL SELECT 'P' || lpad(CAST(p_partkey AS VARCHAR), 9, '0') || ',P' || lpad(CAST(p_partkey + 1 AS VARCHAR), 9, '0') || ',P' || lpad(CAST(p_partkey + 2 AS VARCHAR), 9, '0') FROM part WHERE p_partkey >= 30 AND p_partkey % 3 = 0 AND p_partkey + 2 <= (SELECT max(p_partkey) FROM part)")
+@query("graph_cycles", "SELECT 'P' || lpad(CAST(p_partkey AS VARCHAR), 9, '0') || ',P' || lpad(CAST(p_partkey + 1 AS VARCHAR), 9, '0') || ',P' || lpad(CAST(p_partkey + 2 AS VARCHAR), 9, '0') AS cycle FROM part WHERE p_partkey % 3 = 0 AND p_partkey + 2 <= (SELECT max(p_partkey) FROM part)")
 def _(spark, d):
     return G.cycles(cyclic(spark, d), 4).select(F.array_join("cycle", ",").alias("cycle"))
 
 
-@query("graph_on_cycles", "SELECT 'P' || lpad(CAST(p_partkey AS VARCHAR), 9, '0') AS name FROM part WHERE p_partkey = 5 OR p_partkey >= 30 AND p_partkey - p_partkey % 3 + 2 <= (SELECT max(p_partkey) FROM part)")
+@query("graph_on_cycles", "SELECT 'P' || lpad(CAST(p_partkey AS VARCHAR), 9, '0') AS name FROM part WHERE p_partkey - p_partkey % 3 + 2 <= (SELECT max(p_partkey) FROM part)")
 def _(spark, d):
     return G.on_cycles(cyclic(spark, d))
 
@@ -233,7 +232,7 @@ def _(spark, d):
     return G.least_root(nodes, edges.filter("type = 'CALL'"))
 
 
-@query("graph_weak_components", "SELECT 'P' || lpad(CAST(p_partkey AS VARCHAR), 9, '0') AS name, 'P' || lpad(CAST(CASE WHEN p_partkey = 5 THEN 5 ELSE p_partkey - p_partkey % 3 END AS VARCHAR), 9, '0') AS component FROM part WHERE p_partkey >= 30 AND p_partkey - p_partkey % 3 + 2 <= (SELECT max(p_partkey) FROM part) OR p_partkey = 5")
+@query("graph_weak_components", "SELECT 'P' || lpad(CAST(p_partkey AS VARCHAR), 9, '0') AS name, 'P' || lpad(CAST(p_partkey - p_partkey % 3 AS VARCHAR), 9, '0') AS component FROM part WHERE p_partkey - p_partkey % 3 + 2 <= (SELECT max(p_partkey) FROM part)")
 def _(spark, d):
     edges = cyclic(spark, d)
     inner = edges.join(G.on_cycles(edges).select(F.col("name").alias("src")), "src", "left_semi")
@@ -286,7 +285,7 @@ def _(spark, d):
     return nodes.join(edges.filter("type = 'CALL'").select(F.col("src").alias("name")).distinct(), "name", "left_semi").select("name")
 
 
-@query("program_sort", f"WITH {SOURCE_SQL} SELECT 'P' || k AS name, CASE WHEN path LIKE '%.cbl' THEN 4 ELSE 0 END AS n_calls FROM src ORDER BY n_calls DESC, name LIMIT 50")
+@query("program_sort", f"WITH {SOURCE_SQL} SELECT 'P' || k AS name, CASE WHEN path LIKE '%.cbl' THEN 4 ELSE 0 END AS n_calls FROM src ORDER BY n_calls DESC, name")
 def _(spark, d):
     programs = S.programs(sources(spark, d)).filter("type <> 'jcl'").unionByName(S.programs(sources(spark, d)).filter("type = 'jcl'"))
-    return programs.select("name", F.size("calls").alias("n_calls")).orderBy(F.desc("n_calls"), "name").limit(50)
+    return programs.select("name", F.size("calls").alias("n_calls")).orderBy(F.desc("n_calls"), "name")

@@ -314,12 +314,12 @@ def _(spark, d):
 
 @query("math_intrinsics", """
 SELECT c_custkey, abs(c_acctbal) AS a, sqrt(abs(c_acctbal)) AS s, floor(c_acctbal) AS i, trunc(c_acctbal) AS ip, CAST(c_custkey % 7 AS BIGINT) AS m, greatest(c_acctbal, 100.0) AS mx, least(c_acctbal, 100.0) AS mn,
-       round(ln(c_custkey), 9) AS l, round(log10(c_custkey), 9) AS l10, round(sin(c_custkey), 9) AS sn, round(exp(c_custkey % 5), 9) AS e FROM customer WHERE c_custkey > 0""")
+       round(ln(c_custkey + 1), 9) AS l, round(log10(c_custkey + 1), 9) AS l10, round(sin(c_custkey), 9) AS sn, round(exp(c_custkey % 5), 9) AS e FROM customer""")
 def _(spark, d):
     I, b, k = X.INTRINSICS, F.col("c_acctbal"), F.col("c_custkey")  # noqa: E741
-    return table(spark, d, "customer").filter("c_custkey > 0").select(
+    return table(spark, d, "customer").select(
         "c_custkey", I["ABS"](b).alias("a"), I["SQRT"](F.abs(b)).alias("s"), I["INTEGER"](b).cast("double").alias("i"), I["INTEGER-PART"](b).cast("double").alias("ip"), I["MOD"](k, F.lit(7).cast("long")).alias("m"),
-        I["MAX"](b, F.lit(100.0)).alias("mx"), I["MIN"](b, F.lit(100.0)).alias("mn"), F.round(I["LOG"](k), 9).alias("l"), F.round(I["LOG10"](k), 9).alias("l10"), F.round(I["SIN"](k), 9).alias("sn"), F.round(I["EXP"](k % 5), 9).alias("e"),
+        I["MAX"](b, F.lit(100.0)).alias("mx"), I["MIN"](b, F.lit(100.0)).alias("mn"), F.round(I["LOG"](k + 1), 9).alias("l"), F.round(I["LOG10"](k + 1), 9).alias("l10"), F.round(I["SIN"](k), 9).alias("sn"), F.round(I["EXP"](k % 5), 9).alias("e"),
     )
 
 
