@@ -9,9 +9,8 @@ or metadata declares, the suffix of its address, and its host. The posterior is
 * a prior over languages of the host, smoothed towards its parent domain and that towards the corpus:
   (counts + KAPPA prior of the parent) / (n + KAPPA), by grouped aggregation over all rows.
 
-The class ``und`` stands for text of none of the languages: its text model is an order-0 byte model of the sample
-mixed with a uniform one, which loses to any trigram model on that model's language. A row is rejected if ``und``
-wins; a text without letters leaves the decision to the other evidence, and without any of it is rejected.
+The class ``und`` stands for text of none of the languages: under it all trigrams are equally likely, so it loses to a
+language's model on that language and wins where most trigrams are unknown to all. A row is rejected if ``und`` wins; a text without letters leaves the decision to the other evidence, and without any of it is rejected.
 
 The text model is fitted on at most SAMPLE rows that declare a language (the ones with the least hash of their id); all
 counts and priors cover all rows.
@@ -28,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recordloom.llm.staging import stage
-from recordloom.llm.textblocks import slices
+from recordloom.llm.textblocks import slices, tidy
 
 SAMPLE, TEMPER, KAPPA, UND, BITS = 4000, 0.25, 20.0, "und", 16
 #: Bytes that are no letters count as one separator.
@@ -53,18 +52,15 @@ def trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class TextModel:
-    """log P(trigram | language) for each bucket, and the background of ``und``."""
+    """log P(trigram | language) for each bucket."""
 
     def __init__(self, languages: list[str], texts: list[str], declared: list[str]):
         self.languages = languages
-        hashed, middle, starts = trigrams(pa.array(texts, pa.string()))
+        hashed, _, starts = trigrams(pa.array(texts, pa.string()))
         of = np.repeat(np.array([languages.index(d) for d in declared], np.int64), np.diff(starts))
-        hashed, middle = hashed[: len(of)], middle[: len(of)]
+        hashed = hashed[: len(of)]
         counts = np.bincount(of * (1 << BITS) + hashed, minlength=len(languages) << BITS).reshape(len(languages), -1).astype(np.float64)
         self.table = np.log((counts + 0.05) / (counts.sum(axis=1, keepdims=True) + 0.05 * (1 << BITS))).T.astype(np.float32)
-        seen = np.bincount(middle, minlength=256).astype(np.float64)
-        share = 0.5 * (seen + 1) / (seen.sum() + 256) + 0.5 / 256
-        self.background = (3 * np.log(share)).astype(np.float32)
 
     def score(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(log likelihoods by text and class, ``und`` last; number of trigrams with a letter)."""
@@ -77,7 +73,7 @@ class TextModel:
             if b > a:
                 use = lettered[a:b]
                 out[k, :-1] = self.table[hashed[a:b][use]].sum(axis=0, dtype=np.float64)
-                out[k, -1] = self.background[middle[a:b][use]].sum(dtype=np.float64)
+                out[k, -1] = -np.log(2.0) * BITS * use.sum()
         return out, n[starts[1:]] - n[starts[:-1]]
 
 
@@ -151,7 +147,7 @@ def identify(docs: DataFrame, declared: str | None = "lang", url: str | None = N
     used = sample[sample["declared"].isin(languages)]
     model = TextModel(languages, used["text"].tolist(), used["declared"].tolist())
     names, n = [*languages, UND], len(languages) + 1
-    scored = rows.mapInArrow(_scored(model), "doc_id long, declared string, suffix string, host string, loglik array<double>, n_grams long")
+    scored = rows.mapInArrow(tidy(_scored(model)), "doc_id long, declared string, suffix string, host string, loglik array<double>, n_grams long")
     scored = scored.withColumn("loglik", F.transform("loglik", lambda x: x * TEMPER))
     scored = stage(scored.withColumn("soft", _softmax(F.col("loglik"))), "likelihoods")
     informed = scored.filter("n_grams > 0")
@@ -174,7 +170,7 @@ def identify(docs: DataFrame, declared: str | None = "lang", url: str | None = N
     fused = fused.withColumn("logs", logs).withColumn("post", _softmax(F.col("logs")))
     label = F.array(*[F.lit(x) for x in names])
     best = F.element_at(label, F.array_position("post", F.array_max("post")).cast("int"))
-    evidence = (F.col("n_grams") > 0) | F.col("declared").isin(languages) | F.col("suffix").isin(languages)
+    evidence = (F.col("n_grams") > 0) | F.coalesce(F.col("declared").isin(languages), F.lit(False)) | F.coalesce(F.col("suffix").isin(languages), F.lit(False))
     return fused.select(
         "doc_id",
         F.when(evidence, best).otherwise(UND).alias("language"),
