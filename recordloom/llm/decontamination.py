@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.llm.textblocks import slices
+from recordloom.llm.textblocks import slices, tidy
 
 Q, WINDOW, STEP, EDITS, COVER = 8, 96, 48, 0.085, 0.5
 BLOCK_CHARS = 8_000_000
@@ -223,7 +223,7 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
         block.append((row["item_id"], row["text"]))
         size += len(row["text"])
     blocks += [block]
-    return reduce(DataFrame.unionByName, [docs.mapInArrow(_searched(b), schema) for b in blocks])
+    return reduce(DataFrame.unionByName, [docs.mapInArrow(tidy(_searched(b)), schema) for b in blocks])
 
 
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:

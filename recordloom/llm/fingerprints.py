@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recordloom.llm.ranges import cuts_of, range_of
-from recordloom.llm.textblocks import GOLD, U, mix, owners, slices, split_words
+from recordloom.llm.textblocks import GOLD, U, mix, owners, slices, split_words, tidy
 
 LOW, HIGH, SUBSETS, MOST_CANDIDATES = 0.0005, 0.1, 48, 4_000_000
 SEEDS = [U((int(GOLD) * (r + 1)) & 0xFFFFFFFFFFFFFFFF) for r in range(SUBSETS)]
@@ -107,13 +107,13 @@ def lexicon(docs: DataFrame, low: float = LOW, high: float = HIGH) -> np.ndarray
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text"))
     total = docs.count()
     schema = "term long, df long"
-    found = texts.mapInArrow(lambda b: _local(b, None, low), schema)
+    found = texts.mapInArrow(tidy(lambda b: _local(b, None, low)), schema)
     candidates = found.select("term").distinct().limit(MOST_CANDIDATES + 1).toPandas()["term"].to_numpy(np.int64)
     if len(candidates) > MOST_CANDIDATES:
-        counted = texts.mapInArrow(lambda b: _local(b, None, None), schema)
+        counted = texts.mapInArrow(tidy(lambda b: _local(b, None, None)), schema)
     else:
         only = np.sort(candidates.view(np.uint64))
-        counted = texts.mapInArrow(lambda b: _local(b, only, None), schema)
+        counted = texts.mapInArrow(tidy(lambda b: _local(b, only, None)), schema)
     band = counted.groupBy("term").agg(F.sum("df").alias("df")).filter((F.col("df") >= max(2, low * total)) & (F.col("df") <= max(2, high * total)))
     return np.sort(band.select("term").toPandas()["term"].to_numpy(np.int64).view(np.uint64))
 
@@ -158,7 +158,7 @@ def _printed(table: np.ndarray):
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint of every row. Null texts are empty (a fingerprint of zeros); other columns are ignored."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(_printed(lexicon(docs)), "doc_id long, fingerprint string")
+    return rows.mapInArrow(tidy(_printed(lexicon(docs))), "doc_id long, fingerprint string")
 
 
 def fingerprints_and_edits(docs: DataFrame) -> DataFrame:
@@ -182,4 +182,4 @@ def fingerprints_and_edits(docs: DataFrame) -> DataFrame:
     extra = rows.join(F.broadcast(after), rows.doc_id == after.after).select("doc_id", "text", F.col("goes").alias("part"), F.lit(1).alias("extra"))
     dealt = rows.withColumn("part", part).withColumn("extra", F.lit(0)).unionByName(extra)
     ordered = dealt.repartitionById(max(len(cuts) + 1, 1), "part").sortWithinPartitions("extra", F.desc("doc_id"), F.xxhash64("text"))
-    return ordered.select("doc_id", "text", "extra").mapInArrow(_edited(table), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return ordered.select("doc_id", "text", "extra").mapInArrow(tidy(_edited(table)), "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

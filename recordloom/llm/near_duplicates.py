@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recordloom.llm.staging import stage
-from recordloom.llm.textblocks import GOLD, POLY, U, Words, mix, owners, slices, split_words, sums
+from recordloom.llm.textblocks import GOLD, POLY, U, Words, mix, owners, slices, split_words, sums, tidy
 
 SHINGLE, BANDS, BAND_ROWS = 5, 48, 6
 COORDINATES = BANDS * BAND_ROWS
@@ -139,7 +139,7 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def sketch_documents(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, a 128-bit digest of the set (d1, d2), band keys and the sketch's low 8 bits (two differing coordinates agree in them once in 256)."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_sketched, "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, sketch binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(_sketched), "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>, sketch binary")
 
 
 def _confirmed(threshold: int):
@@ -172,7 +172,7 @@ def confirm(docs: DataFrame, pairs: DataFrame, threshold: int) -> DataFrame:
     routed = docs.join(members.unionByName(centres).hint("merge"), "doc_id")
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     grouped = routed.repartition(n, "centre", "salt").sortWithinPartitions("centre", "salt", "role")
-    return grouped.mapInArrow(_confirmed(threshold), "a long, b long")
+    return grouped.mapInArrow(tidy(_confirmed(threshold)), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -290,7 +290,7 @@ def _between(pairs: DataFrame, members: DataFrame, texts: DataFrame, threshold:
     dealt = rows.select("big", side(0).alias("xb"), side(1).alias("yb"), F.col("rep").alias("doc_id"), "role", "comp")
     n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     routed = texts.join(dealt.hint("merge"), "doc_id").repartition(n, "big", "xb", "yb").sortWithinPartitions("big", "xb", "yb", "role")
-    return routed.select("big", "xb", "yb", "doc_id", "role", "comp", "text").mapInArrow(_linked(threshold), "a long, b long")
+    return routed.select("big", "xb", "yb", "doc_id", "role", "comp", "text").mapInArrow(tidy(_linked(threshold)), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, threshold: int = 75) -> DataFrame:

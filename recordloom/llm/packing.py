@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordloom.llm.staging import stage
-from recordloom.llm.textblocks import slices
+from recordloom.llm.textblocks import slices, tidy
 from recordloom.llm.tokens import binaries, encoder_of
 
 CAPACITY = 2048
@@ -112,20 +112,20 @@ def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     items = items.drop("block", "nth", "number", "sequence_id", "offset")
     kept = items.withColumn("length", F.when(F.col("length").between(1, capacity), F.col("length").cast("long")).otherwise(F.raise_error(F.lit("length out of range")).cast("long")))
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    numbered = stage(kept.mapInArrow(_numbered, f"{fields}, block int, nth long"), "items")
+    numbered = stage(kept.mapInArrow(tidy(_numbered), f"{fields}, block int, nth long"), "items")
     per_block = stage(numbered.groupBy("length", "block").count(), "lengths")
     counts = {r["length"]: r["n"] for r in per_block.groupBy("length").agg(F.sum("count").alias("n")).collect()}  # at most `capacity` rows
     before = Window.partitionBy("length").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     bases = per_block.select("length", "block", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
     ranked = numbered.join(bases, ["length", "block"]).select(*kept.columns, (F.col("base") + F.col("nth")).alias("number"))
-    return ranked.mapInArrow(_placed(_table(counts, capacity), 48), f"{fields}, sequence_id long, offset long")
+    return ranked.mapInArrow(tidy(_placed(_table(counts, capacity), 48)), f"{fields}, sequence_id long, offset long")
 
 
 def _cut(path: str, end: int, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(path)
         for whole in batches:
-            for batch in slices(whole, size=6_000_000):
+            for batch in slices(whole, size=4_000_000):
                 ids, starts = encoder.encode(batch["text"], end)
                 n = np.diff(starts)
                 pieces = -(-n // capacity)
@@ -147,4 +147,4 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end: int = 0, capacity: i
     doc_id long, piece int, start long, length long, ids binary (little-endian unsigned 32 bit). A null or empty
     text is one piece that holds ``end``. Other columns are ignored; rows that repeat a doc_id give pieces each.
     """
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_cut(tokenizer_path, end, capacity), "doc_id long, piece int, start long, length long, ids binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(_cut(tokenizer_path, end, capacity)), "doc_id long, piece int, start long, length long, ids binary")
