@@ -32,11 +32,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recordloom.llm.staging import stage_by
-from recordloom.llm.textblocks import POLY, U, mix, split_words, sums
+from recordloom.llm.textblocks import POLY, U, mix, split_words, sums, tidy
 
 HELD_OUT, FOLD, MODULUS = 2, 0, 7
 #: Bytes of text in a block, and buckets of context frequency.
-BLOCK_BYTES, BUCKETS = 16_000_000, 16
+BLOCK_BYTES, BUCKETS = 5_000_000, 16
 END = U(0x9D8C1F3A5B7E6420)
 #: Quarter octaves kept for an estimate: 1 to 2^-40, and one for zero.
 GRID = 4 * 40 + 1
@@ -248,16 +248,16 @@ def score(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    blocks = stage_by(rows.mapInArrow(_blocks, "block long, ids array<long>, texts array<string>"), "blocks", "block")
+    blocks = stage_by(rows.mapInArrow(tidy(_blocks), "block long, ids array<long>, texts array<string>"), "blocks", "block")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     owners = max(n, 1)
-    asked = blocks.mapInArrow(_asked(owners), "owner int, block long, grams binary, train binary, deleted binary, words binary")
-    answers = asked.repartition(n, "owner").sortWithinPartitions("owner").mapInArrow(_answered, "block long, owner int, train binary, deleted binary, v long, n long, n_kept long")
+    asked = blocks.mapInArrow(tidy(_asked(owners)), "owner int, block long, grams binary, train binary, deleted binary, words binary")
+    answers = asked.repartition(n, "owner").sortWithinPartitions("owner").mapInArrow(tidy(_answered), "block long, owner int, train binary, deleted binary, v long, n long, n_kept long")
     answers = stage_by(answers, "answers", "block")
     facts = answers.agg(F.sum("v"), F.sum("n"), F.sum("n_kept")).first()
     vocabulary, tokens, n_kept = (int(x or 0) for x in facts)
     per_block = answers.groupBy("block").agg(F.collect_list(F.struct("owner", "train", "deleted")).alias("a")).select("block", F.col("a.owner").alias("owners"), F.col("a.train").alias("train"), F.col("a.deleted").alias("deleted"))
     joined = blocks.join(per_block.hint("merge"), "block").drop("block")  # both tables are bucketed: nothing moves
-    cells = joined.mapInArrow(_histogram(n_kept), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    cells = joined.mapInArrow(tidy(_histogram(n_kept)), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     weights = learned(cells["cell"].to_numpy(np.int64), cells["n"].to_numpy(np.float64), vocabulary) if len(cells) else np.tile([1.0, 0.0, 0.0], (BUCKETS, 1))
-    return joined.mapInArrow(_scores(weights, vocabulary, tokens), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return joined.mapInArrow(tidy(_scores(weights, vocabulary, tokens)), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
