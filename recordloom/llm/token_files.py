@@ -21,11 +21,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recordloom.llm.ranges import cuts_of, range_of
 from recordloom.llm.staging import stage
-from recordloom.llm.tokens import WordEncoder, binaries
+from recordloom.llm.textblocks import slices, tidy
+from recordloom.llm.tokens import binaries, encoder_of
 
-#: Documents in a segment at most.
-SEGMENT = 2000
+#: Bytes of text in a segment, about.
+SEGMENT = 4_000_000
 #: For each control byte its four lengths.
 LENGTHS = ((np.arange(256)[:, None] >> (2 * np.arange(4))) & 3).astype(np.uint8) + np.uint8(1)
 
@@ -33,12 +35,17 @@ LENGTHS = ((np.arange(256)[:, None] >> (2 * np.arange(4))) & 3).astype(np.uint8)
 def encode_values(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Control bytes and data bytes of unsigned 32-bit values."""
     values = np.ascontiguousarray(values, np.uint32)
-    lengths = (1 + (values >> 8 > 0) + (values >> 16 > 0) + (values >> 24 > 0)).astype(np.uint8)
+    wide = 4 if len(values) and values.max() > 0xFFFF else 2
+    if wide == 2:
+        values = values.astype(np.uint16)
+        lengths = (1 + (values > 0xFF)).astype(np.uint8)
+    else:
+        lengths = (1 + (values >> 8 > 0) + (values >> 16 > 0) + (values >> 24 > 0)).astype(np.uint8)
     padded = np.zeros(-(-len(values) // 4) * 4, np.uint8)
     padded[: len(values)] = lengths - 1
     quads = padded.reshape(-1, 4)
     control = quads[:, 0] | quads[:, 1] << 2 | quads[:, 2] << 4 | quads[:, 3] << 6
-    return control, values.view(np.uint8).reshape(-1, 4)[np.arange(4) < lengths[:, None]]
+    return control, values.view(np.uint8).reshape(-1, wide)[np.arange(wide) < lengths[:, None]]
 
 
 def decode_values(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
@@ -57,14 +64,13 @@ def decode_values(control: np.ndarray, data: np.ndarray, n: int) -> np.ndarray:
 
 def _segments(path: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, seq, inside = WordEncoder(path), TaskContext.get().partitionId(), 0, 0
+        encoder, part, seq, inside = encoder_of(path), TaskContext.get().partitionId(), 0, 0
         for whole in batches:
-            for at in range(0, whole.num_rows, SEGMENT):
-                batch = whole.slice(at, SEGMENT)
+            for batch in slices(whole, size=SEGMENT):
                 ids, starts = encoder.encode(batch["text"], end)
                 counts = np.diff(starts).astype(np.uint32)
                 doc_ids = batch["doc_id"].to_numpy(zero_copy_only=False).astype(np.int64)
-                yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "inside": pa.array([inside]), "n": pa.array([len(ids)]), "doc_ids": pa.array([doc_ids.tobytes()]), "counts": pa.array([counts.tobytes()]), "ids": pa.array([ids.tobytes()])})
+                yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "inside": pa.array([inside]), "n": pa.array([len(ids)]), "doc_ids": pa.array([doc_ids.tobytes()]), "counts": pa.array([counts.tobytes()]), "seen": pa.array([np.bincount(ids).astype(np.uint32).tobytes()]), "ids": pa.array([ids.tobytes()])})
                 seq, inside = seq + 1, inside + len(ids)
 
     return run
@@ -73,8 +79,8 @@ def _segments(path: str, end: int):
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total = np.zeros(0, np.int64)
     for batch in batches:
-        for value in batch["ids"]:
-            one = np.bincount(np.frombuffer(value.as_buffer(), np.uint32))
+        for value in batch["seen"]:
+            one = np.frombuffer(value.as_buffer(), np.uint32).astype(np.int64)
             if len(one) > len(total):
                 one, total = total, one
             total[: len(one)] += one
@@ -117,16 +123,18 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end: int)
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     doc_id = F.when(F.col("doc_id").isNull(), F.raise_error(F.lit("null doc_id")).cast("long")).otherwise(F.col("doc_id").cast("long"))
-    ordered = docs.select(doc_id.alias("doc_id"), "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id")
-    plain = stage(ordered.mapInArrow(_segments(tokenizer_path, end), "part int, seq int, inside long, n long, doc_ids binary, counts binary, ids binary"), "segments")
-    counts = plain.select("ids").mapInArrow(_counted, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    rows = docs.select(doc_id.alias("doc_id"), "text")
+    cuts = cuts_of(rows, "doc_id", n)
+    ordered = rows.withColumn("range", range_of("doc_id", cuts)).repartitionById(len(cuts) + 1, "range").sortWithinPartitions("doc_id").drop("range")
+    plain = stage(ordered.mapInArrow(tidy(_segments(tokenizer_path, end)), "part int, seq int, inside long, n long, doc_ids binary, counts binary, seen binary, ids binary"), "segments")
+    counts = plain.select("seen").mapInArrow(tidy(_counted), "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
     ranked = [r["id"] for r in counts.orderBy(F.desc("n"), "id").collect()]  # bounded by the vocabulary
     spark.createDataFrame(list(enumerate(ranked)), "rank int, id int").coalesce(1).write.mode("overwrite").parquet(f"{path}/ranks")
     ranks = np.zeros(max(ranked, default=0) + 1, np.uint32)
     ranks[ranked] = np.arange(len(ranked))
     totals = {r["part"]: r["n"] for r in plain.groupBy("part").agg(F.sum("n").alias("n")).collect()}  # a row for each shuffle partition
     before = np.concatenate([[0], np.cumsum([totals.get(p, 0) for p in range(max(totals, default=-1) + 1)])]).astype(np.int64)
-    coded = plain.mapInArrow(_coded(ranks, before), "part int, seq int, start long, doc_ids binary, counts binary, control binary, data binary")
+    coded = plain.drop("seen").mapInArrow(tidy(_coded(ranks, before)), "part int, seq int, start long, doc_ids binary, counts binary, control binary, data binary")
     coded.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/segments")
 
 
@@ -135,4 +143,4 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     ranked = {r["rank"]: r["id"] for r in spark.read.parquet(f"{path}/ranks").collect()}  # bounded by the vocabulary
     ids = np.array([ranked[k] for k in range(len(ranked))], np.uint32)
     segments = spark.read.parquet(f"{path}/segments")
-    return segments.mapInArrow(_decoded(ids), "doc_id long, start long, n_tokens long, ids binary")
+    return segments.mapInArrow(tidy(_decoded(ids)), "doc_id long, start long, n_tokens long, ids binary")
