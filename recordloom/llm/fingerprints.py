@@ -89,7 +89,7 @@ def _local(batches: Iterator[pa.RecordBatch], only: np.ndarray | None, share: fl
     """(term, df) of a task's documents: of all terms that reach ``share`` of them, or of the terms in ``only``."""
     terms, counts, n = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
     for batch in batches:
-        for part in slices(batch):
+        for part in slices(batch, size=4_000_000):
             values, starts = term_sets(part["text"])
             n += len(starts) - 1
             if only is not None:
@@ -122,7 +122,7 @@ def _edited(table: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, helped = None, False
         for whole in batches:
-            for batch in slices(whole):
+            for batch in slices(whole, size=4_000_000):
                 own = batch.num_rows - sum(batch["extra"].to_pylist())
                 batch = batch.slice(0, own + (own < batch.num_rows and not helped))  # of rows that repeat the head's id, one
                 helped = helped or own < batch.num_rows
@@ -149,7 +149,7 @@ def _edited(table: np.ndarray):
 def _printed(table: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole):
+            for batch in slices(whole, size=4_000_000):
                 yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(map(text_of, fingerprints(batch["text"], table)))], ["doc_id", "fingerprint"])
 
     return run
