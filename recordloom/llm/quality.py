@@ -7,8 +7,8 @@ variance between hosts and between paths beyond what their sizes explain (method
 to their parent and uniform corpora shrink everything. A labelled document counts in these sums with its label, any
 other with its classifier probability. The final log-odds add the path's log-odds relative to the corpus.
 
-The classifier is fitted on at most SAMPLE labelled rows (least hash of the id), of which near copies count once so
-that one mislabelled original and its copies don't pass for evidence; the grouped sums cover all rows.
+The classifier is fitted on at most SAMPLE labelled rows (least hash of the id), of which near copies count once,
+with their mean label, so that a mislabelled original and its copies don't pass for evidence; the grouped sums cover all rows.
 """
 
 from __future__ import annotations
@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 
 from recordloom.llm.near_duplicates import shingle_sets
 from recordloom.llm.staging import stage
-from recordloom.llm.textblocks import U, mix, owners, slices, split_words
+from recordloom.llm.textblocks import U, mix, owners, slices, split_words, tidy
 
-SAMPLE, FEATURES, LEAST_Z, LEAST_DF, RIDGE = 6000, 600, 7.0, 8, 1.0
+SAMPLE, FEATURES, LEAST_Z, LEAST_DF, LEAST_SHIFT, RIDGE = 6000, 600, 6.0, 8, 0.25, 1.0
 PREFIXES = (3, 5, 7)
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 SYMBOLS = np.zeros(256, bool)
@@ -75,55 +75,61 @@ def logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     w = np.zeros(x.shape[1])
     ridge = np.full(x.shape[1], RIDGE)
     ridge[-1] = 1e-6
-    for _ in range(25):
+    loss = lambda v: np.logaddexp(0, x @ v).sum() - y @ (x @ v) + 0.5 * (ridge * v * v).sum()
+    now = loss(w)
+    for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         step = np.linalg.solve((x * (p * (1 - p) + 1e-9)[:, None]).T @ x + np.diag(ridge), x.T @ (y - p) - ridge * w)
-        w += step
-        if np.abs(step).max() < 1e-6:
+        while (new := loss(w + step)) > now and np.abs(step).max() > 1e-9:
+            step /= 2
+        w, gain, now = w + step, now - new, new
+        if gain < 1e-6 * len(y):
             break
     return w
 
 
-def originals(texts: list[str]) -> list[int]:
-    """The first of the texts that share the least hash of their five-word shingles, under either of two hashes."""
+def groups(texts: list[str]) -> np.ndarray:
+    """The group of each text: texts with the same least hash of their five-word shingles, under each of three hashes."""
     values, starts = shingle_sets(split_words(pa.array(texts, pa.string())))
-    seen: tuple[set, set] = (set(), set())
+    seen: dict[tuple, int] = {}
     out = []
-    for k, (a, b) in enumerate(zip(starts[:-1], starts[1:], strict=True)):
-        keys = [int(mix(values[a:b] + U(salt)).min()) for salt in (1, 2)] if b > a else [0, 0]
-        if not any(key in s for key, s in zip(keys, seen, strict=True)):
-            out.append(k)
-        for key, s in zip(keys, seen, strict=True):
-            s.add(key)
-    return out
+    for a, b in zip(starts[:-1], starts[1:], strict=True):
+        key = tuple(int(mix(values[a:b] + U(salt)).min()) for salt in (1, 2, 3)) if b > a else ()
+        out.append(seen.setdefault(key, len(seen)))
+    return np.array(out, np.int64)
 
 
 class Classifier:
     """Two logistic models over the presence of selected words and the shape features."""
 
     def __init__(self, texts: list[str], labels: np.ndarray):
-        used = originals(texts)
-        texts, labels = [texts[k] for k in used], labels[used]
+        of = groups(texts)
+        first = np.unique(of, return_index=True)[1]
+        texts, labels = [texts[k] for k in first], np.stack([np.bincount(of, weights=y) / np.bincount(of) for y in labels.T], axis=1)
         forms, codes, starts, shape = read(pa.array(texts, pa.string()))
         coded = pa.concat_arrays(forms).dictionary_encode()
         size, merged = len(coded.dictionary), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
         pairs = [presence(starts, codes, part, size) for part in np.split(merged, len(forms))]
         doc, word = (np.concatenate(x) for x in zip(*pairs, strict=True))
         df = np.bincount(word, minlength=size).astype(float)
-        z = np.zeros(len(df))
+        own = []
         for y in labels.T:
             rate, n = y.mean(), len(y)
             got = np.bincount(word, weights=y[doc], minlength=len(df))
-            z = np.maximum(z, np.abs(got - df * rate) / np.sqrt(np.maximum(df * rate * (1 - rate) * (1 - df / n), 1e-9) + 1e-6))
-        z[(df < LEAST_DF) | (df > 0.999 * len(labels))] = 0
-        chosen = [k for k in np.argsort(-z, kind="stable")[:FEATURES] if z[k] >= LEAST_Z]
+            z = np.abs(got - df * rate) / np.sqrt(np.maximum(df * rate * (1 - rate) * (1 - df / n), 1e-9) + 1e-6)
+            z[(df < LEAST_DF) | (np.abs(got / np.maximum(df, 1) - rate) < LEAST_SHIFT)] = 0  # a common word may be sure of a small shift
+            own.append([k for k in np.argsort(-z, kind="stable")[: FEATURES // 2] if z[k] >= LEAST_Z])
+        chosen = sorted({k for some in own for k in some})
         self.words = coded.dictionary.take(pa.array(chosen, pa.int64()))
         x = np.zeros((len(labels), len(chosen)))
         place = np.full(len(df), -1)
         place[chosen] = np.arange(len(chosen))
         used = place[word] >= 0
         x[doc[used], place[word][used]] = 1
-        self.weights = np.stack([logistic(np.hstack([x, shape]), y) for y in labels.T], axis=1)
+        self.weights = np.zeros((len(chosen) + SHAPES + 1, labels.shape[1]))
+        for j, (some, y) in enumerate(zip(own, labels.T, strict=True)):
+            rows = np.concatenate([place[some].astype(np.int64), np.arange(len(chosen), len(chosen) + SHAPES + 1)])
+            self.weights[rows, j] = logistic(np.hstack([x[:, place[some].astype(np.int64)], shape]), y)
 
     def score(self, texts: pa.Array) -> np.ndarray:
         """Log-odds of each property for each text."""
@@ -179,7 +185,7 @@ def assess(docs: DataFrame, labels: DataFrame, host: str = "source", path: Colum
         half = F.lit(0.5)
         return rows.select("doc_id", half.alias("quality"), half.alias("toxicity"), half.alias("document_quality"), half.alias("document_toxicity"), F.lit(True).alias("kept"))
     model = Classifier(sample["text"].tolist(), (sample[["lq", "lt"]].to_numpy() >= 0.5).astype(float))
-    scored = rows.mapInArrow(_scored(model), "doc_id long, host string, path string, quality double, toxic double")
+    scored = rows.mapInArrow(tidy(_scored(model)), "doc_id long, host string, path string, quality double, toxic double")
     scored = scored.join(known, "doc_id", "left").select("doc_id", "host", "path", "quality", "toxic", F.coalesce("lq", _sigmoid(F.col("quality"))).alias("q"), F.coalesce("lt", _sigmoid(F.col("toxic"))).alias("t"))
     scored = stage(scored, "evidence")
     sums = [F.count(F.lit(1)).alias("n"), F.sum("q").alias("q"), F.sum("t").alias("t")]
