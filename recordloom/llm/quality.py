@@ -23,9 +23,9 @@ from pyspark.sql import functions as F
 
 from recordloom.llm.near_duplicates import shingle_sets
 from recordloom.llm.staging import stage
-from recordloom.llm.textblocks import U, mix, owners, slices, split_words, tidy
+from recordloom.llm.textblocks import U, mix, owners, release, slices, split_words, tidy
 
-SAMPLE, FEATURES, LEAST_Z, LEAST_DF, LEAST_SHIFT, RIDGE = 6000, 600, 6.0, 8, 0.25, 1.0
+SAMPLE, FEATURES, LEAST_Z, LEAST_DF, LEAST_SHIFT, RIDGE = 4000, 600, 6.0, 8, 0.25, 1.0
 PREFIXES = (3, 5, 7)
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 SYMBOLS = np.zeros(256, bool)
@@ -185,6 +185,8 @@ def assess(docs: DataFrame, labels: DataFrame, host: str = "source", path: Colum
         half = F.lit(0.5)
         return rows.select("doc_id", half.alias("quality"), half.alias("toxicity"), half.alias("document_quality"), half.alias("document_toxicity"), F.lit(True).alias("kept"))
     model = Classifier(sample["text"].tolist(), (sample[["lq", "lt"]].to_numpy() >= 0.5).astype(float))
+    del sample
+    release()  # the fit ran on the driver
     scored = rows.mapInArrow(tidy(_scored(model)), "doc_id long, host string, path string, quality double, toxic double")
     scored = scored.join(known, "doc_id", "left").select("doc_id", "host", "path", "quality", "toxic", F.coalesce("lq", _sigmoid(F.col("quality"))).alias("q"), F.coalesce("lt", _sigmoid(F.col("toxic"))).alias("t"))
     scored = stage(scored, "evidence")

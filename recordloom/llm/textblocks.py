@@ -81,6 +81,15 @@ def slices(batch: pa.RecordBatch, column: str = "text", size: int = 2_000_000) -
         at = upto
 
 
+def release() -> None:
+    """Give freed memory of this process back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def tidy(run: Callable) -> Callable:
     """``run`` for mapInArrow, giving what it used back to the system when a task ends (workers outlive their tasks)."""
 
@@ -88,10 +97,6 @@ def tidy(run: Callable) -> Callable:
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL("libc.so.6").malloc_trim(0)
-            except (OSError, AttributeError):  # another C library
-                pass
+            release()
 
     return wrapped
