@@ -5,14 +5,15 @@ sidebar, notice, advert, form, comments, script or style are left out. If the pa
 main, or an element named as content), only its blocks are candidates and they are firm; else all remaining blocks
 are candidates and are soft.
 
-The candidate blocks of a host's pages are concatenated into one token stream with separators; a suffix array by
-prefix doubling orders all positions by their next RUN tokens, so equal ranks are occurrences of one run. A run's
-support is the number of distinct pages (by content) that hold it. A soft block goes if half of its tokens lie in runs
-of SOFT_PAGES pages or more; a firm block only if nine tenths of them lie in runs that are on more than half of the
-host's pages (MIN_PAGES at least), which a notice on every page does and a passage quoted by some pages doesn't.
-
-Hosts are streamed in chunks of CHUNK to 2 CHUNK pages, so a task's memory is bounded; hosts with a thousandth of all
-pages or more (at most a thousand of them) are dealt over several tasks.
+A run is RUN tokens in a row, known by a 64-bit hash of its host and tokens. Its support is the number of distinct pages
+(by content) of the whole host that hold it. A soft block goes if half of its tokens lie in runs of SOFT_PAGES pages or
+more; a firm block only if nine tenths of them lie in runs that are on more than half of the host's pages (MIN_PAGES at
+least), which a notice on every page does and a passage quoted by some pages doesn't.
+
+Hosts are dealt in units; hosts with a thousandth of all pages or more (at most a thousand of them) make several. Units
+and chunks of CHUNK pages bound memory only: each unit sends the hashes of its runs with the contents that hold them to
+ranges of the hash, where they are counted over all units, and gets back the supports of those that are repeated and
+the number of its host's distinct pages.
 """
 
 from __future__ import annotations
@@ -24,12 +25,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pandas.util import hash_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.llm.textblocks import tidy
+from recordloom.llm.textblocks import GOLD, POLY, U, mix, owners, release, split_words, tidy
 
 RUN, SOFT_PAGES, MIN_PAGES, CHUNK = 8, 3, 8, 1000
+#: Pages whose runs one range of hashes takes.
+RANGE_PAGES = 20_000
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
@@ -124,47 +128,81 @@ def read_page(source: str) -> Page:
     return Page([t for kind, t in done if kind == best], best > 0)
 
 
+def hashed(values: list[str]) -> np.ndarray:
+    return hash_array(np.array(values, object), categorize=False) if values else np.zeros(0, np.uint64)
+
+
+def host_key(host: str) -> np.uint64:
+    """The key that each page of a host holds, so its support is the number of the host's distinct pages."""
+    return mix(hashed([host]) + GOLD)[0]
+
+
+def runs(pages: list[Page], host: str, run: int = RUN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key of the run at each token, whether the page holds all of it, where each page's tokens begin)."""
+    words = split_words(pa.array([" ".join(p.blocks) for p in pages], pa.string()), lower=False)
+    size, starts = len(words.codes), words.starts
+    tokens = np.concatenate([words.hashes()[words.codes] if size else np.zeros(0, np.uint64), np.zeros(run, np.uint64)])
+    keys = np.full(size, hashed([host])[0])
+    for k in range(run):
+        keys = mix(keys * POLY + tokens[k : k + size])
+    return keys, np.arange(size) + run <= np.repeat(starts[1:], np.diff(starts)), starts
+
+
+def contents(pages: list[Page]) -> np.ndarray:
+    """A number of each page's content: pages with equal blocks count once."""
+    return hashed(["\n".join(p.blocks) for p in pages])
+
+
+def held(pages: list[Page], host: str, run: int = RUN) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs (key, content that holds it)."""
+    content, first, same = np.unique(contents(pages), return_index=True, return_inverse=True)
+    keys, whole, starts = runs([pages[k] for k in first], host, run)
+    pairs = np.stack([np.append(keys[whole], np.full(len(first), host_key(host))), np.append(content[owners(starts)[whole]], content)], axis=1)
+    order = np.lexsort((pairs[:, 1], pairs[:, 0]))
+    pairs = pairs[order]
+    new = np.ones(len(pairs), bool)
+    new[1:] = (pairs[1:] != pairs[:-1]).any(axis=1)
+    return pairs[new, 0], pairs[new, 1]
+
+
+def counted(keys: np.ndarray, content: np.ndarray, least: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """(keys in order, number of distinct contents) of the keys that are given ``least`` times or more."""
+    order = np.argsort(keys, kind="stable")
+    keys, content = keys[order], content[order]
+    begins = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    sizes = np.diff(np.append(begins, len(keys)))
+    some = np.repeat(sizes >= least, sizes)
+    keys, content = keys[some], content[some]
+    order = np.lexsort((content, keys))
+    keys, content = keys[order], content[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (content[1:] != content[:-1])
+    return np.unique(keys[new], return_counts=True)
+
+
+def supported(pages: list[Page], host: str, table: np.ndarray, supports: np.ndarray, run: int = RUN) -> list[np.ndarray]:
+    """For each page and token the most pages that hold a run over it; 0 for runs that aren't in the sorted table."""
+    keys, whole, starts = runs(pages, host, run)
+    at = np.searchsorted(table, keys)
+    at[at == len(table)] = 0
+    support = np.where(whole & (table[at] == keys), supports[at], 0) if len(table) else np.zeros(len(keys), np.int64)
+    over = support.copy()
+    for k in range(1, run):
+        np.maximum(over[k:], support[:-k], out=over[k:])
+    return [over[a:b] for a, b in zip(starts[:-1], starts[1:], strict=True)]
+
+
 def repeated(pages: list[Page], run: int = RUN) -> tuple[list[np.ndarray], int]:
     """For each page and token the most pages that hold a run over it; and the number of distinct pages.
 
     Pages with equal blocks count once.
     """
-    known: dict[str, int] = {}
-    contents: dict[tuple, int] = {}
-    content, stream, starts = [], [], [0]
-    for page in pages:
-        content.append(contents.setdefault(tuple(page.blocks), len(contents)))
-        tokens = [known.setdefault(w, len(known) + 1) for b in page.blocks for w in b.split()]
-        stream += tokens
-        stream.append(0)
-        starts.append(len(stream))
-    ranks = np.array(stream, np.int64)
-    breaks = np.flatnonzero(ranks == 0)
-    ranks[breaks] = len(known) + 1 + np.arange(len(breaks))  # a separator equals nothing else
-    size, width = len(ranks), 1
-    while width < run:
-        step = min(width, run - width)
-        second = np.concatenate([ranks[step:], np.full(step, -1)])
-        order = np.lexsort((second, ranks))
-        new = np.ones(size, bool)
-        new[1:] = (ranks[order][1:] != ranks[order][:-1]) | (second[order][1:] != second[order][:-1])
-        ranks = np.empty(size, np.int64)
-        ranks[order] = np.cumsum(new)
-        width += step
-    owner = np.repeat(np.array(content), np.diff(starts))
-    pairs = np.unique(ranks * np.int64(len(contents) + 1) + owner)
-    support = np.bincount(pairs // (len(contents) + 1), minlength=int(ranks.max()) + 1)[ranks]
-    over = support.copy()
-    for k in range(1, run):
-        np.maximum(over[k:], support[:-k], out=over[k:])
-    return [over[a : b - 1] for a, b in zip(starts[:-1], starts[1:], strict=True)], len(contents)
+    table, supports = counted(*held(pages, "", run))
+    return supported(pages, "", table, supports, run), int(supports[np.searchsorted(table, host_key(""))])
 
 
-def clean(pages: list[Page]) -> list[str]:
-    """The main text of each page of one host."""
-    if not any(p.blocks for p in pages):
-        return ["" for _ in pages]
-    supports, distinct = repeated(pages)
+def without(pages: list[Page], supports: list[np.ndarray], distinct: int) -> list[str]:
+    """The text of each page without the blocks that its host repeats."""
     out = []
     for page, support in zip(pages, supports, strict=True):
         kept, at = [], 0
@@ -181,33 +219,125 @@ def clean(pages: list[Page]) -> list[str]:
     return out
 
 
+def clean(pages: list[Page]) -> list[str]:
+    """The main text of each page of one host."""
+    if not any(p.blocks for p in pages):
+        return ["" for _ in pages]
+    return without(pages, *repeated(pages))
+
+
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         pages = [read_page(h or "") for h in batch["html"].to_pylist()]
         yield pa.RecordBatch.from_arrays([batch["page_id"], batch["url"], batch["host"], batch["salt"], pa.array([p.blocks for p in pages], pa.list_(pa.string())), pa.array([p.firm for p in pages], pa.bool_())], ["page_id", "url", "host", "salt", "blocks", "firm"])
 
 
-def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held, key = [], None
-
-    def flush(rows: list) -> pa.RecordBatch:
-        pages = [r[2] for r in rows]
-        texts = clean(pages) if key[0] else ["\n\n".join(p.blocks) for p in pages]
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array(texts, pa.string())], ["page_id", "url", "text"])
-
+def _planes(values: np.ndarray) -> bytes:
+    return values.view(np.uint8).reshape(len(values), -1).T.tobytes()
+
+
+def packed(keys: np.ndarray, numbers: np.ndarray) -> bytes:
+    """Keys in order, with a number below 2**32 each."""
+    raw = _planes(keys.astype(np.uint64)) + _planes(numbers.astype(np.uint32))
+    return pa.Codec("zstd").compress(raw, asbytes=True)
+
+
+def unpacked(packed: bytes, n: int) -> tuple[np.ndarray, np.ndarray]:
+    raw = np.frombuffer(pa.Codec("zstd").decompress(packed, 12 * n, asbytes=True), np.uint8)
+    keys = np.ascontiguousarray(raw[: 8 * n].reshape(8, n).T).view(np.uint64).ravel()
+    return keys, np.ascontiguousarray(raw[8 * n :].reshape(4, n).T).view(np.uint32).ravel()
+
+
+HELD = "part int, host string, salt int, n int, packed binary, contents binary"
+SUPPORTS = "host string, salt int, n int, packed binary"
+
+
+def _rows(rows: list[tuple], names: str) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "string": pa.string(), "binary": pa.binary()}
+    fields = [one.split() for one in names.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[t]) for k, (_, t) in enumerate(fields)], [f for f, _ in fields])
+
+
+def _held(parts: int):
+    """The runs of each chunk of a unit, by range of their hash."""
+
+    def sent(pages: list[Page], host: str, salt: int) -> pa.RecordBatch:
+        keys, content = held(pages, host)
+        part = ((keys >> U(32)) * U(parts)) >> U(32)
+        cuts = np.searchsorted(part, np.arange(parts + 1).astype(np.uint64))
+        rows = []
+        for k in np.flatnonzero(np.diff(cuts)).tolist():
+            own, number = np.unique(content[cuts[k] : cuts[k + 1]], return_inverse=True)
+            rows.append((k, host, salt, int(cuts[k + 1] - cuts[k]), packed(keys[cuts[k] : cuts[k + 1]], number), own.tobytes()))
+        return _rows(rows, HELD)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pages, key = [], None
+        for batch in batches:
+            for host, salt, blocks in zip(*[batch[c].to_pylist() for c in ("host", "salt", "blocks")], strict=True):
+                if pages and (key != (host, salt) or len(pages) == CHUNK):
+                    yield sent(pages, *key)
+                    pages = []
+                key = (host, salt)
+                if host:
+                    pages.append(Page(blocks, False))
+        if pages:
+            yield sent(pages, *key)
+
+    return run
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each row of a range the supports of its keys that are repeated on their host, and of the host's own key."""
+
+    def answers(rows: list[dict]) -> pa.RecordBatch:
+        keys = [unpacked(r["packed"], r["n"]) for r in rows]
+        content = np.concatenate([np.frombuffer(r["contents"], np.uint64)[number] for r, (_, number) in zip(rows, keys, strict=True)])
+        hosts = {r["host"]: host_key(r["host"]) for r in rows}
+        every = np.concatenate([k for k, _ in keys])
+        table, supports = counted(every, content, SOFT_PAGES)
+        few = np.isin(every, np.array(list(hosts.values()), np.uint64))  # hosts of few pages
+        own, pages = counted(every[few], content[few])
+        out = []
+        for row, (k, _) in zip(rows, keys, strict=True):
+            k = np.unique(k)
+            at = np.searchsorted(table, k)
+            at[at == len(table)] = 0
+            got = np.where(table[at] == k, supports[at], 0) if len(table) else np.zeros(len(k), np.int64)
+            got[got < SOFT_PAGES] = 0
+            is_own = k == hosts[row["host"]]
+            if is_own.any():
+                got[is_own] = pages[np.searchsorted(own, hosts[row["host"]])]
+            if got.any():
+                out.append((row["host"], row["salt"], int((got > 0).sum()), packed(k[got > 0], got[got > 0])))
+        return _rows(out, SUPPORTS)
+
+    rows = []
     for batch in batches:
-        columns = [batch[c].to_pylist() for c in ("page_id", "url", "host", "salt", "blocks", "firm")]
-        for page_id, url, host, salt, blocks, firm in zip(*columns, strict=True):
-            if key != (host, salt):
-                if held:
-                    yield flush(held)
-                held, key = [], (host, salt)
-            held.append((page_id, url, Page(blocks, firm)))
-            if len(held) == 2 * CHUNK:
-                yield flush(held[:CHUNK])
-                held = held[CHUNK:]
-    if held:
-        yield flush(held)
+        for row in batch.to_pylist():
+            if rows and rows[0]["part"] != row["part"]:
+                yield answers(rows)
+                rows = []
+            rows.append(row)
+    if rows:
+        yield answers(rows)
+
+
+def _extracted(key: tuple, pages: pa.Table, supports: pa.Table) -> pa.Table:
+    host = key[0].as_py()
+    found = [unpacked(p, n) for p, n in zip(supports["packed"].to_pylist(), supports["n"].to_pylist(), strict=True)]
+    table, first = np.unique(np.concatenate([np.zeros(0, np.uint64), *[k for k, _ in found]]), return_index=True)
+    number = np.concatenate([np.zeros(0, np.int64), *[n.astype(np.int64) for _, n in found]])[first]
+    texts = []
+    for at in range(0, pages.num_rows, CHUNK):
+        some = pages.slice(at, CHUNK)
+        read = [Page(b, f) for b, f in zip(some["blocks"].to_pylist(), some["firm"].to_pylist(), strict=True)]
+        if host:
+            texts += without(read, supported(read, host, table, number), int(number[np.searchsorted(table, host_key(host))]))
+        else:
+            texts += ["\n\n".join(p.blocks) for p in read]
+    release()
+    return pa.table({"page_id": pages["page_id"], "url": pages["url"], "text": pa.array(texts, pa.string())})
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:
@@ -225,5 +355,9 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     salted = rows.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.coalesce(shares, F.lit(1))).cast("int"))
     read = salted.mapInArrow(tidy(_read), "page_id long, url string, host string, salt int, blocks array<string>, firm boolean")
     n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    by_host = read.repartition(n, "host", "salt").sortWithinPartitions("host", "salt")
-    return by_host.mapInArrow(tidy(_extracted), "page_id long, url string, text string").withColumn("n_chars", F.char_length("text").cast("long"))
+    units = read.repartition(n, "host", "salt")
+    parts = max(n, total // RANGE_PAGES)
+    ranges = units.sortWithinPartitions("host", "salt").mapInArrow(tidy(_held(parts)), HELD).repartition(parts, "part").sortWithinPartitions("part")
+    supports = ranges.mapInArrow(tidy(_counted), SUPPORTS)
+    texts = units.groupBy("host", "salt").cogroup(supports.groupBy("host", "salt")).applyInArrow(_extracted, "page_id long, url string, text string")
+    return texts.withColumn("n_chars", F.char_length("text").cast("long"))

@@ -81,3 +81,12 @@ def test_tables(spark, monkeypatch):
     assert "member of this site" not in out[7]["text"] and "member of this site" in out[10]["text"]
     assert H.extract_main_text(pages.limit(0)).count() == 0
     assert H.extract_main_text(pages.union(pages)).count() == 120
+
+
+def test_runs_are_counted_over_the_whole_host(spark, monkeypatch):
+    monkeypatch.setattr(H, "CHUNK", 5)
+    notice = "<div>All rights reserved by the owners of this great site forever</div>"
+    rows = [(k, f"https://one.example.com/p/{k}", f"<p>{' '.join(f'w{k}x{j}' for j in range(20))}</p>{notice if k % 40 == 0 else ''}") for k in range(160)]
+    out = {r["page_id"]: r["text"] for r in H.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    want = dict(zip(range(160), H.clean([H.read_page(h) for _, _, h in rows]), strict=True))
+    assert out == want and not any("reserved" in t for t in out.values()) and all(t.startswith(f"w{k}x0 ") for k, t in out.items())
