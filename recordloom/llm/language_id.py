@@ -12,8 +12,9 @@ or metadata declares, the suffix of its address, and its host. The posterior is
 The class ``und`` stands for text of none of the languages: under it all trigrams are equally likely, so it loses to a
 language's model on that language and wins where most trigrams are unknown to all. A row is rejected if ``und`` wins; a text without letters leaves the decision to the other evidence, and without any of it is rejected.
 
-The text model is fitted on at most SAMPLE rows that declare a language (the ones with the least hash of their id); all
-counts and priors cover all rows.
+The languages are all well-formed codes that any row declares. The text model is fitted on a bounded sample of each: the
+SAMPLE / languages (LEAST at least) distinct rows with the least hash of id and text; all counts and priors cover all
+rows. A table of 2^BITS numbers a language goes to the tasks, so memory grows with the number of declared codes.
 """
 
 from __future__ import annotations
@@ -23,13 +24,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recordloom.llm.staging import stage
 from recordloom.llm.textblocks import slices, tidy
 
-SAMPLE, TEMPER, KAPPA, UND, BITS = 4000, 0.25, 20.0, "und", 16
+SAMPLE, LEAST, TEMPER, KAPPA, UND, BITS = 4000, 100, 0.25, 20.0, "und", 16
+#: Codes that name no language.
+NO_LANGUAGE = [UND, "mis", "mul", "zxx"]
 #: Bytes that are no letters count as one separator.
 FOLD = np.array([b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256)], np.uint8)
 
@@ -100,23 +103,46 @@ def suffix_of(url: Column) -> Column:
     return F.when(path != "", path).when(top != "", top)
 
 
-def _given(rows: DataFrame, column: str, n: int) -> dict[str, list[float]]:
-    """log P(value | language) of each value with a share of 0.0001 or more (so at most 10,000)."""
-    sums = [F.sum(F.element_at("soft", k + 1)).alias(f"s{k}") for k in range(n)]
-    counts = rows.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n"), *sums)
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    found = counts.filter(F.col("n") >= total / 10_000).collect()
-    table = np.array([[r[f"s{k}"] for k in range(n)] for r in found]).reshape(len(found), n)
-    logs = np.log((table + 1) / (table.sum(axis=0) + len(found) + 1))
-    return {r[column]: logs[k].tolist() for k, r in enumerate(found)}
+def _least(each: int):
+    """(declared, order) of the ``each`` least distinct orders of each language in a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[str, np.ndarray] = {}
+        for batch in batches:
+            coded = batch["declared"].dictionary_encode()
+            codes, order = coded.indices.to_numpy(zero_copy_only=False), batch["order"].to_numpy()
+            for k, name in enumerate(coded.dictionary.to_pylist()):
+                best[name] = np.unique(np.append(best.get(name, order[:0]), order[codes == k]))[:each]
+        for name, order in best.items():
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(order)), pa.array(order)], ["declared", "order"])
+
+    return run
 
 
-def _looked_up(table: dict[str, list[float]], column: str, n: int) -> Column:
-    nothing = F.array(*[F.lit(0.0)] * n)
-    if not table:
-        return nothing
-    pairs = F.map_from_entries(F.array(*[F.struct(F.lit(k), F.array(*[F.lit(float(x)) for x in v])) for k, v in table.items()]))
-    return F.coalesce(F.element_at(pairs, F.col(column)), nothing)
+def _sample(rows: DataFrame, languages: list[str]) -> tuple[list[str], list[str]]:
+    """(texts, declared) of a bounded sample of each language."""
+    each = max(SAMPLE // len(languages), LEAST)
+    told = rows.filter(F.col("declared").isin(languages)).withColumn("order", F.xxhash64("doc_id", "text"))
+    least = told.select("declared", "order").mapInArrow(tidy(_least(each)), "declared string, order long").distinct()
+    nth = F.row_number().over(Window.partitionBy("declared").orderBy("order"))
+    last = least.withColumn("nth", nth).filter(F.col("nth") <= each).groupBy("declared").agg(F.max("order").alias("last"))
+    used = told.join(F.broadcast(last), "declared").filter("order <= last").select("declared", "text", "order").repartition("declared", "order").dropDuplicates(["declared", "order"]).toPandas()
+    return used["text"].tolist(), used["declared"].tolist()
+
+
+def _given(rows: DataFrame, column: str, names: list[str]) -> DataFrame:
+    """(column, given): log P(value | language) of each value. There are at most 26^2 + 26^3 values, so none is dropped.
+
+    Besides add-one smoothing, a value that names a language is counted once more as right.
+    """
+    n = len(names)
+    sums = [F.sum(F.element_at("soft", k + 1)).alias(f"s{k}") for k in range(n)]
+    found = rows.filter(F.col(column).isNotNull()).groupBy(column).agg(*sums).collect()
+    values = [r[column] for r in found] + sorted({*names} - {UND} - {r[column] for r in found})
+    table = np.array([[r[f"s{k}"] for k in range(n)] for r in found] + [[0.0] * n] * (len(values) - len(found))).reshape(len(values), n)
+    table += [[value == name for name in names] for value in values]
+    logs = np.log((table + 1) / (table.sum(axis=0) + len(values) + 1))
+    return rows.sparkSession.createDataFrame(list(zip(values, logs.tolist(), strict=True)), f"{column} string, {column}_given array<double>")
 
 
 def _softmax(logs: Column) -> Column:
@@ -138,25 +164,23 @@ def identify(docs: DataFrame, declared: str | None = "lang", url: str | None = N
     site = F.lower(F.col(host).cast("string")) if host else F.nullif(F.lower(F.regexp_extract(F.coalesce(address, F.lit("")), r"^\w+://(?:[^/@?#]*@)?([^/:?#]+)", 1)), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.regexp_extract(F.coalesce(F.nullif(named, F.lit("")), F.lit("")), r"^([a-z]{2,3})\b", 1).alias("declared"), suffix_of(address).alias("suffix"), site.alias("host"))
     rows = rows.withColumn("declared", F.nullif("declared", F.lit("")))
-    ids = rows.filter("declared is not null").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-    sample = rows.join(F.broadcast(ids.distinct()), "doc_id", "left_semi").filter("declared is not null").select("declared", "text").limit(2 * SAMPLE).toPandas()
-    shares = sample["declared"].value_counts(normalize=True)
-    languages = sorted(shares[shares >= 0.005].index)
+    told = rows.filter(F.col("declared").isNotNull() & ~F.col("declared").isin(NO_LANGUAGE))
+    languages = sorted(r["declared"] for r in told.select("declared").distinct().collect())  # at most 26^2 + 26^3
     if not languages:
         return rows.select("doc_id", F.lit(UND).alias("language"), F.lit(1.0).alias("posterior"), F.lit(UND).alias("text_language"), F.lit(0).cast("long").alias("n_grams"), F.lit(False).alias("kept"))
-    used = sample[sample["declared"].isin(languages)]
-    model = TextModel(languages, used["text"].tolist(), used["declared"].tolist())
+    model = TextModel(languages, *_sample(rows, languages))
     names, n = [*languages, UND], len(languages) + 1
     scored = rows.mapInArrow(tidy(_scored(model)), "doc_id long, declared string, suffix string, host string, loglik array<double>, n_grams long")
     scored = scored.withColumn("loglik", F.transform("loglik", lambda x: x * TEMPER))
     scored = stage(scored.withColumn("soft", _softmax(F.col("loglik"))), "likelihoods")
     informed = scored.filter("n_grams > 0")
-    declared_given, suffix_given = _given(informed, "declared", n), _given(informed, "suffix", n)
+    given = [(_given(informed, column, names), column) for column in ("declared", "suffix")]
     sums = [F.sum(F.element_at("soft", k + 1)).alias(f"s{k}") for k in range(n)]
     total = informed.agg(*sums).first()
     counts = np.array([total[k] or 0.0 for k in range(n)]) + 1.0
     corpus = F.array(*[F.lit(float(x)) for x in counts / counts.sum()])
-    smooth = lambda prior: F.array(*[(F.coalesce(F.col(f"s{k}"), F.lit(0.0)) + KAPPA * F.element_at(prior, k + 1)) / (F.coalesce(F.col("m"), F.lit(0)) + KAPPA) for k in range(n)])
+    summed = F.array(*[F.coalesce(F.col(f"s{k}"), F.lit(0.0)) for k in range(n)])
+    smooth = lambda prior: F.zip_with(summed, prior, lambda s, p: (s + KAPPA * p) / (F.coalesce(F.col("m"), F.lit(0)) + KAPPA))
     counted = [F.count(F.lit(1)).alias("m"), *sums]
     by_host = informed.filter("host is not null").groupBy("host").agg(*counted)
     above = by_host.select(parent(F.col("host")).alias("up"), *[c for c in by_host.columns if c != "host"]).filter("up is not null").groupBy("up").agg(F.sum("m").alias("m"), *[F.sum(f"s{k}").alias(f"s{k}") for k in range(n)])
@@ -165,8 +189,9 @@ def identify(docs: DataFrame, declared: str | None = "lang", url: str | None = N
     priors = priors.select("host", smooth(F.col("up_prior")).alias("prior"))
     fused = scored.join(priors, "host", "left").withColumn("prior", F.coalesce("prior", corpus))
     logs = F.zip_with("loglik", F.transform("prior", F.ln), lambda a, b: a + b)
-    for table, column in ((declared_given, "declared"), (suffix_given, "suffix")):
-        logs = F.zip_with(logs, _looked_up(table, column, n), lambda a, b: a + b)
+    for table, column in given:
+        fused = fused.join(F.broadcast(table), column, "left")
+        logs = F.zip_with(logs, F.coalesce(F.col(f"{column}_given"), F.array(*[F.lit(0.0)] * n)), lambda a, b: a + b)
     fused = fused.withColumn("logs", logs).withColumn("post", _softmax(F.col("logs")))
     label = F.array(*[F.lit(x) for x in names])
     best = F.element_at(label, F.array_position("post", F.array_max("post")).cast("int"))

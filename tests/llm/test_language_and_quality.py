@@ -36,6 +36,19 @@ def test_languages(spark):
     assert not out[901]["kept"] and not out[902]["kept"] and out[902]["language"] == "und" and out[901]["kept"] is False
 
 
+def test_rare_languages_are_classes(spark, monkeypatch):
+    monkeypatch.setattr(I, "SAMPLE", 300)
+    rng = random.Random(2)
+    rows = [(k, speech(rng, list(TONGUES)[k % 3], 20), list(TONGUES)[k % 3], "s") for k in range(1500)]
+    rows += [(5000 + k, "これは日本語のテキストです。とても長い文章です。" * 3, "ja", "s") for k in range(3)]
+    rows += [(6000, "これは日本語のテキストです。", None, "s"), (7000, None, "ru", "s")]
+    rows += [(None, f"это русский текст и он очень длинный {k}", "ru", "s") for k in range(4)]
+    out = {r["doc_id"]: r for r in I.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert all(out[5000 + k]["language"] == "ja" and out[5000 + k]["kept"] for k in range(3))
+    assert out[6000]["language"] == "ja" and out[None]["language"] == "ru" and out[7000]["language"] == "ru"
+    assert all(out[k]["language"] == list(TONGUES)[k % 3] for k in range(1500))
+
+
 def test_address_evidence(spark):
     assert spark.range(1).select(I.suffix_of(F.lit("https://x.example.com/fr/825?p=2"))).first()[0] == "fr"
     assert spark.range(1).select(I.suffix_of(F.lit("http://a.de/x"))).first()[0] == "de"
