@@ -115,17 +115,21 @@ def on_cycles(edges: DataFrame) -> DataFrame:
         pairs = kept
 
 
-def cycles(edges: DataFrame, longest: int = 6) -> DataFrame:
-    """(cycle): each simple cycle of at most ``longest`` nodes once, as its nodes from the least name on."""
+def cycles(edges: DataFrame, longest: int | None = None) -> DataFrame:
+    """(cycle): each simple cycle once, as its nodes from the least name on; with ``longest``, those of at most so many
+    nodes. Paths grow until none is left, and a path ends when it meets itself, so rounds number the longest path
+    among nodes on cycles, and rows the simple paths, which dense graphs have very many of."""
     pairs = settled(edges.select("src", "dst").distinct())
     core = on_cycles(edges)
     pairs = settled(pairs.join(core.select(F.col("name").alias("src")), "src", "left_semi").join(core.select(F.col("name").alias("dst")), "dst", "left_semi"))
-    paths = pairs.select(F.col("src").alias("first"), F.array("src").alias("path"), F.col("dst").alias("at"))
+    paths = settled(pairs.filter("dst >= src").select(F.col("src").alias("first"), F.array("src").alias("path"), F.col("dst").alias("at")))
     found = paths.filter("at = first").select(F.col("path").alias("cycle"))
-    for _ in range(longest - 1):
+    size = 1
+    while (longest is None or size < longest) and not paths.isEmpty():
         grown = paths.filter((F.col("at") > F.col("first")) & ~F.array_contains("path", F.col("at"))).withColumn("path", F.array_append("path", F.col("at")))
-        paths = settled(grown.join(pairs, grown["at"] == pairs["src"]).select("first", "path", F.col("dst").alias("at")))
+        paths = settled(grown.join(pairs, grown["at"] == pairs["src"]).filter("dst >= first").select("first", "path", F.col("dst").alias("at")))
         found = found.union(paths.filter("at = first").select("path"))
+        size += 1
     return found
 
 

@@ -218,7 +218,7 @@ def cyclic(spark, d):
 
 @query("graph_cycles", "SELECT 'P' || lpad(CAST(p_partkey AS VARCHAR), 9, '0') || ',P' || lpad(CAST(p_partkey + 1 AS VARCHAR), 9, '0') || ',P' || lpad(CAST(p_partkey + 2 AS VARCHAR), 9, '0') AS cycle FROM part WHERE p_partkey % 3 = 0 AND p_partkey + 2 <= (SELECT max(p_partkey) FROM part)")
 def _(spark, d):
-    return G.cycles(cyclic(spark, d), 4).select(F.array_join("cycle", ",").alias("cycle"))
+    return G.cycles(cyclic(spark, d)).select(F.array_join("cycle", ",").alias("cycle"))
 
 
 @query("graph_on_cycles", "SELECT 'P' || lpad(CAST(p_partkey AS VARCHAR), 9, '0') AS name FROM part WHERE p_partkey - p_partkey % 3 + 2 <= (SELECT max(p_partkey) FROM part)")

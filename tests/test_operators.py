@@ -96,6 +96,13 @@ def test_graph(spark):
     assert {r["name"]: r["component"] for r in G.weak_components(nodes, edges).collect()}["b"] == "a"
 
 
+def test_cycles_of_any_length(spark):
+    ring = [(f"n{k:02d}", f"n{(k + 1) % 9:02d}") for k in range(9)] + [("n03", "n00"), ("x", "y"), ("y", "n01")]
+    edges = spark.createDataFrame(ring, "src string, dst string")
+    assert {tuple(r["cycle"]) for r in G.cycles(edges).collect()} == {tuple(f"n{k:02d}" for k in range(9)), ("n00", "n01", "n02", "n03")}
+    assert G.cycles(edges, 4).count() == 1
+
+
 def test_graph_empty(spark):
     edges = spark.createDataFrame([], "src string, dst string, type string")
     nodes = spark.createDataFrame([("a", "program")], "name string, type string")
