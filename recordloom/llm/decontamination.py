@@ -5,7 +5,8 @@ windows of WINDOW characters (a shorter item is one window). A window within k e
 ``length - q + 1 - k q`` q-grams with it, and all of them lie on k + 1 neighbouring diagonals (text position minus
 item position). Shared q-grams are counted in diagonal bands of width 2 (k + 1) that overlap by half, so every such
 region lies whole in one band; bands under the bound are left out, and the others are verified by an edit-distance
-programme limited to the band. A document holds an item if verified windows cover at least half of it.
+programme limited to the band. A document holds an item if verified windows cover at least half of it, or STRETCH
+characters of it without a gap.
 
 Before exact look-up, text positions are screened: a region with a match has at least the bound's number of positions
 in the window's reach whose q-gram occurs in some item, whatever the item, so sparse stretches are skipped exactly.
@@ -25,7 +26,9 @@ from pyspark.sql import functions as F
 
 from recordloom.llm.textblocks import slices, tidy
 
-Q, WINDOW, STEP, EDITS, COVER = 8, 96, 48, 0.085, 0.5
+Q, WINDOW, STEP, EDITS, COVER = 6, 96, 48, 0.125, 0.5
+#: Characters (about 50 words) of an item in one verified stretch that are a hit whatever the item's length.
+STRETCH = 300
 BLOCK_CHARS = 8_000_000
 #: Bits of the screening table.
 SCREEN = 22
@@ -179,12 +182,14 @@ def search(texts: list[str], items: Items) -> list[tuple[int, int, int, int, int
                 held.setdefault((doc, int(items.item[w[k]])), []).append((int(items.start[w[k]]), int(items.length[w[k]]), int(cost[k]), max(0, int(low[k]))))
     out = []
     for (doc, item), parts in sorted(held.items()):
-        covered, upto = 0, 0
+        covered, upto, begin, longest = 0, 0, 0, 0
         for start, length, _, _ in sorted(parts):
+            begin = start if start > upto else begin
+            longest = max(longest, start + length - begin)
             covered += max(0, start + length - max(start, upto))
             upto = max(upto, start + length)
         size = len(items.points[item])
-        if covered >= COVER * size:
+        if covered >= COVER * size or longest >= STRETCH:
             out.append((doc, item, covered, size, min(p[3] for p in parts), min(p[2] for p in parts)))
     return out
 

@@ -86,3 +86,19 @@ def test_blocks_of_items(spark, docs, rows, monkeypatch):
     items = spark.createDataFrame([(k, r[1]) for k, r in enumerate(texts)], "item_id long, text string")
     found = {(r["doc_id"], r["item_id"]) for r in D.contaminated(docs, items).collect()}
     assert {(r[0], k) for k, r in enumerate(texts)} <= found
+
+
+def test_long_quotes_of_long_items_and_changed_words():
+    rng = random.Random(8)
+    item = prose(rng, 300)
+    words = item.split()
+    texts = [prose(rng, 60) + " " + " ".join(words[90:210]) + " " + prose(rng, 60), prose(rng, 60) + " " + " ".join(words[90:110])]
+    assert [r[:2] for r in D.search(texts, D.Items([(1, item)]))] == [(0, 0)]
+    items = [(k, prose(rng, 40)) for k in range(60)]
+    changed = []
+    for _, text in items:
+        some = text.split()
+        for at in rng.sample(range(40), 4):
+            some[at] = rng.choice("zebra yonder quick violet".split())
+        changed.append(prose(rng, 20) + " " + " ".join(some))
+    assert len({r[:2] for r in D.search(changed, D.Items(items))} & {(k, k) for k in range(60)}) >= 54
