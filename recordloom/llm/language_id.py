@@ -96,6 +96,11 @@ def parent(host: Column) -> Column:
     return F.when(host.contains("."), F.regexp_replace(host, r"^[^.]*\.", ""))
 
 
+def markup_language(html: Column) -> Column:
+    """What the lang attribute of a page's html element says; null if there is none."""
+    return F.nullif(F.regexp_extract(F.coalesce(html, F.lit("")), r"""(?is)<html\b[^>]*?\s(?:xml:)?lang\s*=\s*["']?\s*([a-z]{2,3}(?:-\w+)*)""", 1), F.lit(""))
+
+
 def suffix_of(url: Column) -> Column:
     """A two-letter first path segment or top-level domain of an address, lower-case; null if neither."""
     path = F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^\w+://[^/]+/([A-Za-z]{2})(?:[/?#]|$)", 1))

@@ -59,6 +59,18 @@ def test_address_evidence(spark):
     assert sum(r["language"] == list(TONGUES)[r["doc_id"] % 3] for r in out) >= 230
 
 
+def test_evidence_of_pages(spark):
+    rows = [(k, f"https://w{k % 4}.{lang}site.example.com/{lang}/{k}", f'<!DOCTYPE html><html class="a" lang="{lang.upper()}-XX"><p>', text) for k, text, _, _ in tongue_rows() for lang in [list(TONGUES)[k % 3]]]
+    rows += [(900, "https://other.example.com/de/1", "<p>", ""), (901, "https://other.example.com/x", "<html lang=fr>", ""), (902, "https://other.example.com/x", "<html><p lang='fr'>", "")]
+    # "der la" can be two languages; the domain above a host that is hardly known tells which
+    rows += [(910, "https://new.desite.example.com/x", "", "der la"), (911, "https://new.frsite.example.com/x", "", "der la")]
+    pages = spark.createDataFrame(rows, "doc_id long, url string, html string, text string")
+    out = {r["doc_id"]: r["language"] for r in I.identify(pages.withColumn("told", I.markup_language(F.col("html"))), declared="told", url="url", host=None).collect()}
+    assert all(out[k] == list(TONGUES)[k % 3] for k in range(240))
+    assert out[900] == "de" and out[901] == "fr" and out[902] == "und"
+    assert out[910] == "de" and out[911] == "fr"
+
+
 def test_language_of_odd_tables(spark, docs, clash, empty, rows):
     assert I.identify(empty).count() == 0
     assert I.identify(clash.union(clash)).count() == 2 * len(rows)
