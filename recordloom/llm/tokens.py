@@ -3,7 +3,8 @@
 The tokenizers this serves (a JSON file whose pre-tokenizer drops white space) never let a token reach over white
 space, nor from a letter or digit to an ASCII punctuation character other than an apostrophe's contraction, which
 starts at the punctuation. So a text's ids are the ids of its words, and a word's ids are those of its stem and of
-its run of trailing punctuation. Words that hold the opening of a special token are encoded whole; lower-casing
+its run of trailing punctuation, if the stem ends in a letter or digit after the tokenizer's own normaliser (some
+capitals become a letter and a mark, and marks join punctuation). Words that hold the opening of a special token are encoded whole; lower-casing
 before look-up is done on pure ASCII only, where it commutes with the tokenizer's own normaliser.
 """
 
@@ -43,8 +44,16 @@ class WordEncoder:
         self.tokenizer, self.kept = Tokenizer.from_file(path), kept
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.ends = np.array([(self.tokenizer.id_to_token(k) or "").endswith(END_OF_WORD) for k in range(size)])
+        self.apart: dict[str, bool] = {}
         self._forget()
 
+    def _ends_apart(self, stem: str) -> bool:
+        """Whether punctuation after the stem is a pre-token of its own."""
+        last = self.tokenizer.normalizer.normalize_str(stem)[-1:]
+        if last not in self.apart:
+            self.apart[last] = len(self.tokenizer.pre_tokenizer.pre_tokenize_str(f"{last}:")) == 2
+        return self.apart[last]
+
     def _forget(self) -> None:
         self.known: dict[str, int] = {"": 0}
         self.flat, self.begins, self.lengths = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(1, np.int64)
@@ -98,6 +107,11 @@ class WordEncoder:
         vocabulary = pc.if_else(plain, pc.ascii_lower(vocabulary), vocabulary)
         stems = pc.ascii_rtrim(vocabulary, TAIL)
         cut = pc.and_(pc.invert(special), pc.match_substring_regex(stems, r"[\p{L}\p{N}]$"))
+        unsure = pc.and_(pc.and_(cut, pc.not_equal(pc.binary_length(stems), pc.binary_length(vocabulary))), pc.invert(pc.match_substring_regex(stems, "[a-z0-9]$")))
+        if (at := np.flatnonzero(unsure.to_numpy(zero_copy_only=False))).size:
+            apart = cut.to_numpy(zero_copy_only=False).copy()
+            apart[at] = [self._ends_apart(stem) for stem in _strings(stems.take(pa.array(at)))]
+            cut = pa.array(apart)
         stems = pc.if_else(cut, stems, vocabulary)
         tail_length = pc.subtract(pc.binary_length(vocabulary), pc.binary_length(stems)).to_numpy(zero_copy_only=False)
         coded = stems.dictionary_encode()

@@ -23,7 +23,7 @@ def plain():
 
 
 @settings(max_examples=200, deadline=None)
-@given(st.lists(st.one_of(st.text(), st.text("ab'sT.,!?-|<>%0 1\n\té̈ΣİßǰH̱", max_size=40)), max_size=6))
+@given(st.lists(st.one_of(st.text(), st.text("ab'sT.,:!?-|<>%0 1\n\té̈ΣİßǰH̱\u0958", max_size=40)), max_size=6))
 def test_words_encode_as_whole_texts(texts):
     encoder = test_words_encode_as_whole_texts.__dict__.setdefault("encoder", WordEncoder(PATH, kept=50))
     try:
@@ -35,6 +35,18 @@ def test_words_encode_as_whole_texts(texts):
         assert ids[starts[k] : starts[k + 1]].tolist() == [*encoder.tokenizer.encode(text, add_special_tokens=False).ids, 7]
 
 
+def test_every_code_point_before_and_after_punctuation(plain):
+    """Capitals such as U+0130 and letters such as U+0958 normalise to a letter and a mark, which joins punctuation."""
+    encoder = WordEncoder(PATH)
+    points = [chr(c) for c in range(1, 0x30000) if not 0xD800 <= c < 0xE000]
+    for mark in ":>":
+        texts = [f"{c}{mark}" for c in points] + [f"{mark}x{c}" for c in points]
+        ids, starts = encoder.encode(pa.array(texts, pa.string()), 7)
+        whole = [e.ids for e in plain.encode_batch_fast(texts, add_special_tokens=False)]
+        assert np.diff(starts).tolist() == [len(w) + 1 for w in whole]
+        assert ids.tolist() == [i for w in whole for i in (*w, 7)]
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.integers(0, 2**32 - 1), max_size=50))
 def test_byte_codes_round_trip(values):
