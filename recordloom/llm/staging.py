@@ -14,6 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _written: list[str] = []
+_tables: list[str] = []
 _local: str | None = None
 
 
@@ -49,12 +50,15 @@ def stage_by(df: DataFrame, name: str, key: str) -> DataFrame:
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
     table = f"staged_{path.rpartition('-')[2]}"
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    _tables.append(table)
     df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(n, key).saveAsTable(table)
     return spark.table(table)
 
 
 def cleanup(spark: SparkSession) -> None:
     """Delete every table this process staged. Frames that still read them become unusable."""
+    while _tables:
+        spark.sql(f"drop table if exists {_tables.pop()}")
     jvm, jsc = spark.sparkContext._jvm, spark.sparkContext._jsc
     while _written:
         path = jvm.org.apache.hadoop.fs.Path(_written.pop())

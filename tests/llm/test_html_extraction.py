@@ -1,3 +1,8 @@
+import random
+
+import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from recordloom.llm import html_extraction as H
@@ -45,34 +50,95 @@ def test_soft_blocks():
     assert all("reserved" not in t and "Own text" in t for t in H.clean(pages))
 
 
-def brute_support(streams, run):
-    seen = {}
-    for k, s in enumerate(streams):
-        for j in range(len(s) - run + 1):
-            seen.setdefault(tuple(s[j : j + run]), set()).add(tuple(s))
-    out = []
-    for s in streams:
-        over = [0] * len(s)
-        for j in range(len(s) - run + 1):
-            for i in range(j, j + run):
-                over[i] = max(over[i], len(seen[tuple(s[j : j + run])]))
-        out.append([max(1, x) for x in over])
-    return out
+def longest_repeats(streams, run, pages):
+    """For each token the most distinct streams that share a substring of ``run`` tokens or more over it: by a suffix
+    array of all streams, compared token by token, and the intervals of its common-prefix lengths."""
+    distinct = sorted({tuple(s) for s in streams})
+    suffixes = sorted((s[i:], k, i) for k, s in enumerate(distinct) for i in range(len(s)))
+    common = lambda a, b: next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    over = [[1] * len(s) for s in distinct]
+    for low in range(len(suffixes)):  # every interval of neighbours, with the length that all of it shares
+        shared, owners = len(suffixes[low][0]), {suffixes[low][1]}
+        members = [low]
+        for high in range(low + 1, len(suffixes)):
+            shared = min(shared, common(suffixes[high - 1][0], suffixes[high][0]))
+            if shared < run:
+                break
+            owners.add(suffixes[high][1])
+            members.append(high)
+            for m in members:
+                _, k, i = suffixes[m]
+                for t in range(i, i + shared):
+                    over[k][t] = max(over[k][t], len(owners))
+    return [over[distinct.index(tuple(s))] for s in streams]
+
+
+def supports(streams):
+    blocks = pa.array([[" ".join(s)] if s else [] for s in streams], pa.list_(pa.string()))
+    own, content = H.Streams(["h"] * len(streams), blocks), H.contents(blocks)
+    counts = np.zeros(len(streams), bool)
+    counts[np.unique(content, return_index=True)[1]] = True
+    gram, several = own.grams(content)
+    return own.support(*own.held(gram[several], counts))
+
+
+@pytest.mark.parametrize("letters", ["ab", "abcdef"])
+def test_support_against_a_true_suffix_array(monkeypatch, letters):
+    rng = random.Random(1)
+    streams = [[rng.choice(letters) for _ in range(rng.randint(0, 40))] for _ in range(25)]
+    for k in range(5, 12):
+        at = rng.randint(0, len(streams[k]))
+        streams[k][at:at] = streams[4][3:30]
+    streams[7] = streams[3]
+    for got, want in zip(supports(streams), longest_repeats(streams, H.RUN, 2), strict=True):
+        assert got.tolist() == want
 
 
-def test_support_against_brute_force():
-    import random
+def story(k, n=40):
+    rng = random.Random(k)
+    return " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(n))
 
-    rng = random.Random(1)
-    streams = [[rng.choice("abc") for _ in range(rng.randint(1, 60))] for _ in range(25)]
-    streams[7] = streams[3]
-    supports, _ = H.repeated([H.Page([" ".join(s)], True) for s in streams], 4)
-    for got, want in zip(supports, brute_support(streams, 4), strict=True):
-        assert [max(1, x) for x in got.tolist()] == want
+
+NOTICE = "All rights reserved by the owners of this great site forever and for all time"
+
+
+def test_versions_of_an_article_stay_whole():
+    versions = [f"{story(1)} on day {k} {story(2)}" for k in range(5)]
+    soft = H.clean([H.read_page(f"<p>{v}</p><div>{NOTICE}</div>") for v in versions] + [H.read_page(f"<p>{story(k)}</p><div>{NOTICE}</div>") for k in range(10, 30)])
+    assert soft[:5] == versions and soft[5:] == [story(k) for k in range(10, 30)]
+    firm = H.clean([H.read_page(f"<article><p>{v}</p></article>") for v in versions + [story(8), story(9), story(10)]])
+    assert firm[:5] == versions
+
+
+def test_covered_runs_are_cut_and_unique_ones_stay():
+    pages = [H.read_page(f"<div>{story(k, 20)} {NOTICE} {story(k + 100, 20)}</div>") for k in range(4)]
+    assert H.clean(pages) == [f"{story(k, 20)} {story(k + 100, 20)}" for k in range(4)]
+
+
+def test_without_marks_repeats_still_go(monkeypatch):
+    monkeypatch.setattr(H, "MARKS", set())
+    monkeypatch.setattr(H, "DROPPED", {"script", "style"})
+    page = lambda k: f"<nav>Home News Sport Weather Culture Travel Shop Contact Help</nav><p>{story(k)}</p><footer>{NOTICE}</footer>"
+    assert H.clean([H.read_page(page(k)) for k in range(6)]) == [story(k) for k in range(6)]
+
+
+def test_title_in_the_header_of_an_article():
+    page = H.read_page("<header><h1>Site</h1></header><article><header class='entry-header'><h1>Own <b>title</b></h1><div>By me</div></header><p>Text</p></article>")
+    assert page.blocks == ["Own title", "Text"]
+
+
+def test_one_huge_page_ties_and_any_order(spark, monkeypatch):
+    monkeypatch.setattr(H, "BLOCK_BYTES", 3000)
+    text = lambda k: story(k, 30_000 if k == 3 else 30)
+    rows = [(k, "http://a.example.com/x", f"<p>{text(k % 17)}</p>" + (f"<div>{NOTICE}</div>" if k % 17 < 3 else "<div>A line that just two distinct pages of the host have got</div>" if k % 17 < 5 else "")) for k in range(40)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = {k: text(k % 17) + ("\n\nA line that just two distinct pages of the host have got" if 3 <= k % 17 < 5 else "") for k in range(40)}
+    for frame in (pages.repartition(7), pages.orderBy(F.desc("page_id")).coalesce(1)):
+        assert {r["page_id"]: r["text"] for r in H.extract_main_text(frame).collect()} == want
 
 
 def test_tables(spark, monkeypatch):
-    monkeypatch.setattr(H, "CHUNK", 6)
+    monkeypatch.setattr(H, "BLOCK_BYTES", 800)
     rows = [(k, f"https://h{k % 3}.example.com/p/{k}" if k % 10 else None, PAGE if k == 5 else None if k == 6 else notice(k)) for k in range(60)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
     out = {r["page_id"]: r for r in H.extract_main_text(pages.withColumn("host", F.lit("x")).withColumn("salt", F.lit(9))).collect()}
@@ -84,7 +150,7 @@ def test_tables(spark, monkeypatch):
 
 
 def test_runs_are_counted_over_the_whole_host(spark, monkeypatch):
-    monkeypatch.setattr(H, "CHUNK", 5)
+    monkeypatch.setattr(H, "BLOCK_BYTES", 1200)
     notice = "<div>All rights reserved by the owners of this great site forever</div>"
     rows = [(k, f"https://one.example.com/p/{k}", f"<p>{' '.join(f'w{k}x{j}' for j in range(20))}</p>{notice if k % 40 == 0 else ''}") for k in range(160)]
     out = {r["page_id"]: r["text"] for r in H.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
