@@ -8,14 +8,16 @@ region lies whole in one band; bands under the bound are left out, and the other
 programme limited to the band. A document holds an item if verified windows cover at least half of it, or STRETCH
 characters of it without a gap.
 
-Before exact look-up, text positions are screened: a region with a match has at least the bound's number of positions
-in the window's reach whose q-gram occurs in some item, whatever the item, so sparse stretches are skipped exactly.
+Common q-grams are left out exactly: if b of a window's n q-grams must be shared, then of its n - b + t rarest at least t
+must be, so only those are looked up and t = LEAST (or b, if less) is the bound. Occurrences are counted in slices of
+bounded size that overlap by the reach of a region, so one long text doesn't cost more memory than many short ones.
 
 Items go to the tasks in blocks of at most BLOCK_CHARS characters; more items take more passes over the documents.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 
@@ -24,14 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.llm.textblocks import slices, tidy
+from recordloom.llm.textblocks import U, slices, tidy
 
-Q, WINDOW, STEP, EDITS, COVER = 6, 96, 48, 0.125, 0.5
+Q, WINDOW, STEP, EDITS, COVER = 6, 64, 32, 0.125, 0.5
 #: Characters (about 50 words) of an item in one verified stretch that are a hit whatever the item's length.
 STRETCH = 300
 BLOCK_CHARS = 8_000_000
-#: Bits of the screening table.
-SCREEN = 22
+#: Shared q-grams asked of a window's rarest, and occurrences that are counted at once.
+LEAST, SLICE = 8, 4_000_000
 CODE = np.uint64(0x100000001B3)
 
 
@@ -60,7 +62,7 @@ def points_of(text: str) -> np.ndarray:
 
 
 class Items:
-    """The windows of a block of items, and where their q-grams occur."""
+    """The windows of a block of items, and where the grams that a match can't all miss occur."""
 
     def __init__(self, items: list[tuple[int, str]]):
         self.ids = np.array([i for i, _ in items], np.int64)
@@ -75,40 +77,110 @@ class Items:
                 length += [min(m, WINDOW)] * len(begins)
         self.item, self.start, self.length = (np.array(x, np.int64) for x in (item, start, length))
         self.edits = (self.length * EDITS).astype(np.int64)
-        self.least = np.maximum(self.length - Q + 1 - self.edits * Q, 1)
-        parts, windows, offsets = [], [], []
-        for w in range(len(self.item)):
-            g = grams(self.points[self.item[w]][self.start[w] : self.start[w] + self.length[w]])
-            parts.append(g)
-            windows.append(np.full(len(g), w))
-            offsets.append(np.arange(len(g)))
-        cat = lambda xs, kind: np.concatenate(xs) if xs else np.zeros(0, kind)
-        g, self.window, self.offset = cat(parts, np.uint64), cat(windows, np.int64), cat(offsets, np.int64)
-        order = np.argsort(g, kind="stable")
-        self.window, self.offset = self.window[order], self.offset[order]
-        self.keys, self.first = np.unique(g[order], return_index=True)
-        self.counts = np.diff(np.append(self.first, len(g)))
-        self.screen = np.zeros(1 << SCREEN, bool)
-        self.screen[self.keys >> np.uint64(64 - SCREEN)] = True
-        self.reach = int((self.length + self.edits).max(initial=1))
-        self.fewest = int(self.least.min()) if len(self.least) else 1
-
-
-def banded(text: np.ndarray, low: np.ndarray, width: int, windows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The least edits that turn window i into a region of ``text`` whose diagonals lie in [low[i], low[i] + width)."""
-    cells = np.arange(width)
-    row = np.zeros((len(low), width), np.int32)
-    done = np.zeros(len(low), np.int32)
+        self.half = (self.edits + 1).astype(np.int32)
+        whole = self.length - Q + 1
+        least = np.maximum(whole - self.edits * Q, 1)
+        parts = [grams(self.points[k][a : a + n]) for k, a, n in zip(item, start, length, strict=True)]
+        g = np.concatenate([np.zeros(0, np.uint64), *parts])
+        window = np.repeat(np.arange(len(item)), whole)
+        offset = np.arange(len(g)) - np.repeat(np.cumsum(whole) - whole, whole)
+        every, place, often = np.unique(g, return_inverse=True, return_counts=True)
+        self.least = np.minimum(least, LEAST)
+        order = np.lexsort((offset, often[place], window))  # each window's grams, rare ones first
+        nth = np.empty(len(g), np.int64)
+        nth[order] = offset  # as many places in the window's run as it has grams
+        rare = nth < (whole - least + self.least)[window]
+        place, window, offset = place[rare], window[rare], offset[rare]
+        order = np.argsort(place, kind="stable")
+        self.window, self.offset = window[order].astype(np.int32), offset[order].astype(np.int32)
+        used, self.counts = np.unique(place, return_counts=True)
+        self.keys, self.first = every[used], np.cumsum(self.counts) - self.counts
+        self.bits = min(max(len(self.keys).bit_length() + 6, 12), 24)
+        self.slots = np.full(1 << self.bits, -1, np.int32)  # the first key of those with the same leading bits
+        self.slots[(self.keys >> U(64 - self.bits))[::-1]] = np.arange(len(self.keys) - 1, -1, -1)
+        self.reach = int((self.length + 2 * self.half).max(initial=1))
+
+    def found(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places of the hashes that are keys, the key of each)."""
+        key = self.slots[hashes >> U(64 - self.bits)]
+        at = np.flatnonzero(key >= 0)
+        key, own = key[at], hashes[at]
+        wrong = np.flatnonzero(self.keys[key] != own)
+        while len(wrong):  # keys with the same leading bits stand side by side
+            key[wrong] += 1
+            key[wrong[key[wrong] == len(self.keys)]] = -1
+            on = key[wrong] >= 0
+            on[on] = (self.keys[key[wrong[on]]] >> U(64 - self.bits)) == (own[wrong[on]] >> U(64 - self.bits))
+            key[wrong[~on]] = -1
+            wrong = wrong[on]
+            wrong = wrong[self.keys[key[wrong]] != own[wrong]]
+        is_key = key >= 0
+        return at[is_key], key[is_key]
+
+
+def banded(text: np.ndarray, begin: np.ndarray, end: np.ndarray, low: np.ndarray, width: int, windows: np.ndarray, sizes: np.ndarray, most: int) -> np.ndarray:
+    """The least edits that turn window i into a region of text[begin[i] : end[i]] whose diagonals lie in
+    [low[i], low[i] + width); ``most`` + 1 if they are more than ``most``. Rows that got there are dropped on the way."""
+    cells = np.arange(width, dtype=np.int32)
+    out = np.full(len(low), most + 1, np.int32)
+    left, row = np.arange(len(low)), np.zeros((len(low), width), np.int32)
+    first = (begin + low)[:, None] + cells
     for r in range(windows.shape[1]):
-        at = low[:, None] + cells + r
-        inside = (at >= 0) & (at < len(text))
-        same = np.where(inside, text[np.clip(at, 0, max(len(text) - 1, 0))], 0) == windows[:, r][:, None]
-        new = row + ~(same & inside)
+        at = first + r
+        same = (text[np.minimum(np.maximum(at, 0), len(text) - 1)] == windows[left, r][:, None]) & (at >= begin[left, None]) & (at < end[left, None])
+        new = row + ~same
         new[:, :-1] = np.minimum(new[:, :-1], row[:, 1:] + 1)
-        row = (np.minimum.accumulate(new - cells, axis=1) + cells).astype(np.int32)
-        ends = sizes == r + 1
-        done[ends] = row[ends].min(axis=1)
-    return done
+        new -= cells
+        row = np.minimum.accumulate(new, axis=1) + cells
+        if r % 4 == 3 or r + 1 == windows.shape[1] or (sizes[left] == r + 1).any():
+            least = row.min(axis=1)
+            ends = sizes[left] == r + 1
+            out[left[ends]] = np.minimum(least[ends], most + 1)
+            on = ~ends & (least <= most)
+            left, row, first = left[on], row[on], first[on]
+            if not len(left):
+                break
+    return out
+
+
+def candidates(at: np.ndarray, key: np.ndarray, begins: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, window, band) of the bands with enough of the window's grams; band b covers diagonals from b * half on."""
+    none = np.zeros(0, np.int64)
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(none, none, none)]
+    doc = np.searchsorted(begins, at, "right") - 1
+    place = (at - begins[doc] + WINDOW).astype(np.int32)  # diagonals reach below the text's begin
+    bands = int(place.max(initial=0)) + 3
+    upto = np.cumsum(items.counts[key])
+    a = 0
+    while a < len(at):
+        b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + SLICE)))
+        back = int(np.searchsorted(at, at[a] - items.reach))  # a region that reaches over the cut is whole in the next slice
+        k, c = key[back:b], items.counts[key[back:b]]
+        index = np.repeat(items.first[k] - (np.cumsum(c) - c), c) + np.arange(c.sum())
+        window = items.window[index]
+        band = (np.repeat(place[back:b], c) - items.offset[index]) // items.half[window] + 1
+        cell = (np.repeat(doc[back:b], c) * np.int64(len(items.item)) + window) * bands + band
+        # a gram lies in bands band - 1 and band, each of width 2 * half; repeats of a gram can only add candidates
+        size = 1 << max(12, min(len(cell).bit_length(), 22))
+        slot = cell & (size - 1)  # slots may be shared, so a band with enough is never missed
+        tally = np.bincount(slot, minlength=size + 1)
+        tally[size] = tally[0]
+        enough = tally[:-1] + tally[1:] >= items.least.min()
+        enough |= np.roll(enough, 1)
+        cells, one = np.unique(cell[enough[slot]], return_counts=True)
+        if len(cells):
+            below = np.searchsorted(cells, cells + 1)
+            below[below == len(cells)] = 0
+            both = one + np.where(cells[below] == cells + 1, one[below], 0)
+            above = np.searchsorted(cells, cells - 1)
+            alone = np.where(cells[np.minimum(above, len(cells) - 1)] == cells - 1, 0, one)
+            for some, shared in ((cells, both), (cells - 1, alone)):
+                w = some // bands % len(items.item)
+                ok = shared >= items.least[w]
+                found.append((some[ok] // bands // len(items.item), w[ok], some[ok] % bands - 1))
+        a = b
+    rows = np.unique(np.stack([np.concatenate(c) for c in zip(*found, strict=True)], axis=1), axis=0)
+    return rows[:, 0], rows[:, 1], rows[:, 2]
 
 
 def search(texts: list[str], items: Items) -> list[tuple[int, int, int, int, int, int]]:
@@ -119,69 +191,22 @@ def search(texts: list[str], items: Items) -> list[tuple[int, int, int, int, int
     lengths = np.array([len(t) for t in cleaned], np.int64)
     begins = np.concatenate([[0], np.cumsum(lengths + 1)])[:-1]
     points = points_of("\0".join(cleaned) + "\0")
-    hashes = grams(points)
-    hit = items.screen[hashes >> np.uint64(64 - SCREEN)]
-    total = np.concatenate([[0], np.cumsum(hit, dtype=np.int64)])
-    n = len(hit)
-    # a stretch of `reach` positions is dense if it holds enough hits; positions in no dense stretch are skipped
-    dense = total[np.minimum(np.arange(n) + items.reach, n)] - total[:-1] >= items.fewest
-    opened = np.concatenate([[0], np.cumsum(dense, dtype=np.int64)])
-    near = opened[1:] - opened[np.maximum(np.arange(n) + 1 - items.reach, 0)] > 0
-    at = np.flatnonzero(hit & near)
-    key = np.searchsorted(items.keys, hashes[at])
-    key[key == len(items.keys)] = 0
-    at, key = at[items.keys[key] == hashes[at]], key[items.keys[key] == hashes[at]]
-    found: dict[tuple[int, int], list] = {}
-    # occurrences are expanded text by text in slices of bounded size
-    occurrences = np.cumsum(items.counts[key])
-    cuts = [0]
-    while cuts[-1] < len(at):
-        base = occurrences[cuts[-1] - 1] if cuts[-1] else 0
-        nxt = max(cuts[-1] + 1, int(np.searchsorted(occurrences, base + 4_000_000)))
-        if nxt < len(at):  # not within a text
-            doc = np.searchsorted(begins, at[nxt], "right") - 1
-            back = int(np.searchsorted(at, begins[doc]))
-            nxt = back if back > cuts[-1] else int(np.searchsorted(at, begins[doc + 1])) if doc + 1 < len(begins) else len(at)
-        cuts.append(nxt)
-    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-        c = items.counts[key[a:b]]
-        index = np.repeat(items.first[key[a:b]] - (np.cumsum(c) - c), c) + np.arange(c.sum())
-        window, position = items.window[index], np.repeat(at[a:b], c)
-        doc = np.searchsorted(begins, position, "right") - 1
-        diagonal = position - items.offset[index]
-        half = items.edits[window] + 1
-        shift = WINDOW  # diagonals reach below the text's begin
-        band = (diagonal - begins[doc] + shift) // half
-        bands = int(band.max(initial=0)) + 2
-        cell = (doc * np.int64(len(items.item)) + window) * bands + band + 1
-        # a q-gram lies in bands band - 1 and band, each of width 2 * half; repeats of a q-gram can only add candidates
-        cells, one = np.unique(cell, return_counts=True)
-        below = np.searchsorted(cells, cells + 1)
-        below[below == len(cells)] = 0
-        both = one + np.where(cells[below] == cells + 1, one[below], 0) if len(cells) else one
-        above = np.searchsorted(cells, cells - 1)
-        alone = np.where(cells[np.minimum(above, len(cells) - 1)] == cells - 1, 0, one) if len(cells) else one
-        for k, shared in ((cells, both), (cells - 1, alone)):
-            w, d = k // bands % len(items.item), k // bands // len(items.item)
-            ok = shared >= items.least[w]
-            k = k % bands - 1
-            for dd, ww, kk in zip(d[ok].tolist(), w[ok].tolist(), k[ok].tolist(), strict=True):
-                found.setdefault((dd, int(items.edits[ww])), []).append((ww, kk * (int(items.edits[ww]) + 1) - shift))
+    doc, window, band = candidates(*items.found(grams(points)), begins, items)
     held: dict[tuple[int, int], list] = {}
-    for (doc, edits), some in found.items():
-        text = points[begins[doc] : begins[doc] + lengths[doc]]
-        for part in range(0, len(some), 2048):
-            chunk = some[part : part + 2048]
-            w, low = np.array([x[0] for x in chunk]), np.array([x[1] for x in chunk])
+    for edits in np.unique(items.edits[window]).tolist():
+        own = np.flatnonzero(items.edits[window] == edits)
+        for part in range(0, len(own), 4096):
+            k = own[part : part + 4096]
+            d, w, low = doc[k], window[k], band[k] * (edits + 1) - WINDOW
             sizes = items.length[w]
             windows = np.zeros((len(w), int(sizes.max())), np.uint32)
-            for r, one in enumerate(w):
+            for r, one in enumerate(w.tolist()):
                 windows[r, : sizes[r]] = items.points[items.item[one]][items.start[one] : items.start[one] + sizes[r]]
-            cost = banded(text, low, 2 * (edits + 1), windows, sizes)
-            for k in np.flatnonzero(cost <= edits):
-                held.setdefault((doc, int(items.item[w[k]])), []).append((int(items.start[w[k]]), int(items.length[w[k]]), int(cost[k]), max(0, int(low[k]))))
+            cost = banded(points, begins[d], begins[d] + lengths[d], low, 2 * (edits + 1), windows, sizes, edits)
+            for j in np.flatnonzero(cost <= edits).tolist():
+                held.setdefault((int(d[j]), int(items.item[w[j]])), []).append((int(items.start[w[j]]), int(sizes[j]), int(cost[j]), max(0, int(low[j]))))
     out = []
-    for (doc, item), parts in sorted(held.items()):
+    for (d, item), parts in sorted(held.items()):
         covered, upto, begin, longest = 0, 0, 0, 0
         for start, length, _, _ in sorted(parts):
             begin = start if start > upto else begin
@@ -190,13 +215,22 @@ def search(texts: list[str], items: Items) -> list[tuple[int, int, int, int, int
             upto = max(upto, start + length)
         size = len(items.points[item])
         if covered >= COVER * size or longest >= STRETCH:
-            out.append((doc, item, covered, size, min(p[3] for p in parts), min(p[2] for p in parts)))
+            out.append((d, item, covered, size, min(p[3] for p in parts), min(p[2] for p in parts)))
     return out
 
 
+#: The items of the last block that this process searched for.
+_kept: dict[str, Items] = {}
+
+
 def _searched(block: list[tuple[int, str]]):
+    name = uuid.uuid4().hex
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = Items(block)
+        if name not in _kept:
+            _kept.clear()
+            _kept[name] = Items(block)
+        items = _kept[name]
         for whole in batches:
             for batch in slices(whole):
                 rows = search(batch["text"].to_pylist(), items)
@@ -214,8 +248,9 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
 
     doc_id, item_id, covered (characters of the item in verified windows), item_chars, text_start (a lower bound of
     where it begins in the normalised text), edits (of the best window): long. Null and empty texts hold nothing;
-    items shorter than a q-gram or null are held by nothing; repeated rows give rows each; without documents or items
-    there are no rows. Other columns are ignored.
+    items shorter than a q-gram or null are held by nothing; repeated rows give rows each, repeated items too; without
+    documents or items there are no rows. Very long texts are searched whole, in slices of bounded size. Of windows
+    that tie, the first counts for text_start. Other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     items = items.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("item_id is not null and text is not null")

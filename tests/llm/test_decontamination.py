@@ -67,8 +67,47 @@ def test_banded_alignment_against_full_table():
     for _ in range(30):
         a = "".join(rng.choice("ab") for _ in range(12))
         text = "".join(rng.choice("ab") for _ in range(20))
-        got = D.banded(D.points_of(text), np.array([-20]), 60, D.points_of(a)[None, :], np.array([12]))[0]
-        assert got == min(edits(a, text[i:j]) for i in range(21) for j in range(i, 21))
+        begin, end = np.array([3, 3]), np.array([23, 23])
+        points = D.points_of("ab\0" + text + "\0ab")
+        want = min(edits(a, text[i:j]) for i in range(21) for j in range(i, 21))
+        windows = np.stack([D.points_of(a)] * 2)
+        assert D.banded(points, begin, end, np.array([-20, -20]), 60, windows, np.array([12, 12]), 12).tolist() == [want, want]
+        assert D.banded(points, begin, end, np.array([-20, -20]), 60, windows, np.array([12, 12]), 1).tolist() == [min(want, 2)] * 2
+
+
+def test_recall_of_replaced_words():
+    """Items with a tenth of their words replaced: nine tenths and more are found."""
+    rng = random.Random(31)
+    items = [(k, prose(rng, rng.randint(30, 60))) for k in range(200)]
+    block, vocabulary = D.Items(items), prose(rng, 2000).split()
+    texts = []
+    for _, t in items:
+        words = [rng.choice(vocabulary) if rng.random() < 0.1 else w for w in t.split()]
+        texts.append(f"{prose(rng, 60)} {' '.join(words)} {prose(rng, 60)}")
+    found = {(r[0], r[1]) for r in D.search(texts, block)}
+    assert sum((k, k) in found for k in range(200)) >= 180
+
+
+def test_slices_do_not_change_results(monkeypatch):
+    rng = random.Random(5)
+    item = prose(rng, 50)
+    items = D.Items([(1, item), (2, item + " " + item), (3, prose(rng, 40))])
+    texts = [" ".join([prose(rng, 5), item] * 40), "", prose(rng, 400), item]
+    want = D.search(texts, items)
+    assert {(r[0], r[1]) for r in want} >= {(0, 0), (0, 1), (3, 0)}
+    monkeypatch.setattr(D, "SLICE", 50)
+    assert D.search(texts, items) == want
+
+
+def test_keys_that_share_a_slot():
+    items = D.Items(items_of())
+    points = np.random.default_rng(1).choice(items.keys, 500)
+    near = np.concatenate([points, points + np.uint64(1), points - np.uint64(1)])
+    items.bits, items.slots = 4, np.full(16, -1, np.int32)
+    items.slots[(items.keys >> np.uint64(60))[::-1]] = np.arange(len(items.keys) - 1, -1, -1)
+    at, key = items.found(near)
+    want = np.flatnonzero(np.isin(near, items.keys))
+    assert at.tolist() == want.tolist() and (items.keys[key] == near[want]).all()
 
 
 def test_tables(spark, docs, clash, empty, rows):
