@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from recordloom.llm.near_duplicates import shingle_sets
 from recordloom.llm.staging import stage
-from recordloom.llm.textblocks import U, mix, owners, release, slices, split_words, tidy
+from recordloom.llm.textblocks import U, distinct, mix, owners, release, slices, split_words, tidy
 
 SAMPLE, FEATURES, LEAST_Z, LEAST_DF, LEAST_SHIFT, RIDGE = 4000, 600, 6.0, 8, 0.25, 1.0
 PREFIXES = (3, 5, 7)
@@ -44,13 +44,13 @@ def read(texts: pa.Array) -> tuple[list[pa.Array], np.ndarray, np.ndarray, np.nd
     words = split_words(texts)
     n = np.diff(words.starts)
     of = owners(words.starts)
-    pairs = np.unique(of * np.int64(len(words.vocabulary) + 1) + words.codes)
-    distinct = np.bincount(pairs // (len(words.vocabulary) + 1), minlength=len(n)) / np.maximum(n, 1)
+    pairs = distinct(of * np.int64(len(words.vocabulary) + 1) + words.codes)
+    variety = np.bincount(pairs // (len(words.vocabulary) + 1), minlength=len(n)) / np.maximum(n, 1)
     offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset :][: len(texts) + 1].astype(np.int64)
     raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
     size = np.maximum(np.diff(offsets), 1)
     share = lambda mask: np.diff(np.concatenate([[0], np.cumsum(mask)])[offsets]) / size
-    values = {"distinct": distinct, "symbols": share(SYMBOLS[raw]), "capitals": share((raw >= 65) & (raw <= 90)), "length": n}
+    values = {"distinct": variety, "symbols": share(SYMBOLS[raw]), "capitals": share((raw >= 65) & (raw <= 90)), "length": n}
     shape, at = np.zeros((len(n), SHAPES)), 0
     for name, edges in EDGES.items():
         shape[np.arange(len(n)), at + np.searchsorted(edges, values[name], "right")] = 1
@@ -65,7 +65,7 @@ def presence(starts: np.ndarray, codes: np.ndarray, place: np.ndarray, n: int) -
     """The distinct (document, feature) pairs; ``place`` maps a vocabulary entry to its feature or -1."""
     at = place[codes]
     used = np.flatnonzero(at >= 0)
-    pairs = np.unique(owners(starts)[used] * np.int64(n + 1) + at[used])
+    pairs = distinct(owners(starts)[used] * np.int64(n + 1) + at[used])
     return pairs // (n + 1), pairs % (n + 1)
 
 

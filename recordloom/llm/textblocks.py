@@ -68,6 +68,14 @@ def owners(starts: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(starts) - 1), np.diff(starts))
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The distinct values, ascending (by sorting, which is faster than hashing for whole batches)."""
+    values = np.sort(values)
+    new = np.ones(len(values), bool)
+    new[1:] = values[1:] != values[:-1]
+    return values[new]
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", size: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """The batch in consecutive parts of about ``size`` bytes of text (one row at least), so working memory is bounded."""
     if not batch.num_rows:

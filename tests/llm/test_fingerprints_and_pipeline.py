@@ -43,10 +43,80 @@ def test_lexicon_against_brute_force(docs, rows):
     assert P.lexicon(docs, 0.05, 0.5).tolist() == want
 
 
-def test_many_candidates_take_the_other_way(docs, monkeypatch):
+def mix(x):
+    x ^= x >> 30
+    x = x * 0xBF58476D1CE4E5B9 % 2**64
+    x ^= x >> 27
+    x = x * 0x94D049BB133111EB % 2**64
+    return x ^ x >> 31
+
+
+GOLD = 0x9E3779B97F4A7C15
+
+
+def brute_print(text, lexicon):
+    """(whole, first rate, {(seed, rate): hash of what the fixed sub-lexicon leaves}) of one text, term by term."""
+    terms = {int(t) for t in P.term_sets(pa.array([text], pa.string()))[0]}
+    terms = sorted(terms & lexicon or terms)
+    if not terms:
+        return 0, 0, {}
+    hashed = lambda some: mix(sum(mix((t + GOLD) % 2**64) for t in some) % 2**64)
+    first = min(max(len(terms).bit_length() - 2, 1), P.RATES - P.SHOWN + 1)
+    parts = {}
+    for seed in range(P.SEEDS):
+        number = {t: mix(t ^ GOLD * (seed // 2 * 2 + 1) % 2**64) >> 32 * (seed % 2) & 0xFFFFFFFF for t in terms}
+        for rate in range(first, first + P.SHOWN):
+            left = [t for t in terms if number[t] < 2 ** (32 - rate)]
+            if left:
+                parts[seed, rate] = hashed(left) >> 48 | 1
+    return hashed(terms) | 1, first, parts
+
+
+def brute_likeness(a, b):
+    if a[0] == b[0]:
+        return 1.0
+    rates = set(range(a[1], a[1] + P.SHOWN)) & set(range(b[1], b[1] + P.SHOWN))
+    either = [k for k in {*a[2], *b[2]} if k[1] in rates]
+    return sum(a[2].get(k) == b[2].get(k) for k in either) / max(len(either), 1)
+
+
+def shown(print_):
+    whole, first, parts = print_
+    return f"{whole:016x}{first:02x}" + "".join(f"{parts.get((s, first + k), 0):04x}" for s in range(P.SEEDS) for k in range(P.SHOWN))
+
+
+def test_fingerprints_against_brute_force(docs, rows, monkeypatch):
+    monkeypatch.setattr(P, "LOW", 0.05)
+    monkeypatch.setattr(P.lexicon, "__defaults__", (0.05, 0.5))
+    lexicon = {int(t) for t in P.lexicon(docs)}
+    assert lexicon
+    got = {r["doc_id"]: r for r in P.fingerprints_and_edits(docs).collect()}
+    order = sorted(rows, reverse=True, key=lambda r: r[0])
+    for k, r in enumerate(order):
+        text, after = r[1] or "", order[(k + 1) % len(order)][1] or ""
+        own, new, next_ = (brute_print(t, lexicon) for t in (text, text[: len(text) - len(text) // 3] + after[: len(text) // 3], after))
+        row = got[r[0]]
+        assert (row["fingerprint"], row["edited_fingerprint"]) == (shown(own), shown(new))
+        assert row["near_edited"] == brute_likeness(own, new) and row["near_next"] == brute_likeness(own, next_)
+
+
+def test_likeness_is_about_jaccard():
+    rng = np.random.default_rng(3)
+    for shared, apart in ((1000, 0), (900, 50), (500, 250), (10, 1000)):
+        both, one, two = np.split(rng.integers(0, 2**63, shared + 2 * apart).astype(np.uint64), [shared, shared + apart])
+        a, b = (P.printed(np.concatenate([both, x]), np.zeros(shared + apart, int), 1) for x in (one, two))
+        assert abs(P.likeness(a, b)[0] - shared / (shared + 2 * apart)) < 0.2
+
+
+def test_large_lexicons_take_the_other_way(docs, clash, rows, monkeypatch):
     want = P.lexicon(docs, 0.05, 0.5).tolist()
-    monkeypatch.setattr(P, "MOST_CANDIDATES", 3)
-    assert P.lexicon(docs, 0.05, 0.5).tolist() == want
+    plain = sorted(P.fingerprints_and_edits(docs).collect())
+    alone = sorted(P.fingerprint_documents(docs).collect())
+    monkeypatch.setattr(P, "MOST_TERMS", 3)
+    table = P.lexicon(docs, 0.05, 0.5)
+    assert sorted(r["term"] for r in table.collect()) == np.sort(np.array(want, np.uint64).view(np.int64)).tolist()
+    assert sorted(P.fingerprints_and_edits(docs).collect()) == plain
+    assert sorted(P.fingerprint_documents(docs).collect()) == alone
 
 
 def test_fingerprints_of_odd_tables(spark, docs, clash, empty, rows):
@@ -55,6 +125,8 @@ def test_fingerprints_of_odd_tables(spark, docs, clash, empty, rows):
     assert P.fingerprints_and_edits(clash.union(clash)).count() == 2 * len(rows)
     plain = {r["doc_id"]: r["fingerprint"] for r in P.fingerprint_documents(docs).collect()}
     assert plain == {r["doc_id"]: r["fingerprint"] for r in P.fingerprints_and_edits(docs).collect()}
+    unnamed = docs.unionByName(docs.limit(2).withColumn("doc_id", F.lit(None).cast("long")))
+    assert P.fingerprints_and_edits(unnamed).filter("doc_id is null").count() == 2
 
 
 def test_ranges(spark):
