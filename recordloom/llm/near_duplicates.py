@@ -16,8 +16,9 @@ Steps, each a distributed plan:
    bucket of two or more are set apart once, for all confirmations;
 3. link every representative with the least one that it shares a bucket with (one pair each), and confirm on full sets;
 4. components by minimum-label propagation with pointer jumping;
-5. twice: in buckets that still hold more than one component, compare members of different components by their whole
-   sketches, blocks against blocks in numpy, take each member's most similar one, confirm, and join components;
+5. twice: in buckets that still hold more than one component, compare the members outside the bucket's largest
+   component with all others by their whole sketches, blocks against blocks in numpy, take the most similar one of
+   each, confirm, and join components;
 6. pairs of components that still hold a pair of members in one bucket which the sketches don't rule out are compared
    as wholes: the members of the smaller ones, in blocks, against the larger one's, in blocks, on full sets.
 
@@ -33,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recordloom.llm.staging import stage
@@ -46,6 +47,8 @@ STAR_BLOCK, BUCKET_BLOCK = 256, 1024
 #: How far below the threshold a sketch's estimate may be before the pair is ruled out.
 MARGIN = 0.13
 EMPTY = U(0xFFFFFFFFFFFFFFFF)
+#: What tells sets apart; parts of a class of equal sets; labels that may be broadcast (16 MB).
+SET, SALTS, MOST_BROADCAST = ["d1", "d2", "n_shingles"], 256, 1_000_000
 
 
 def shingle_sets(words: Words, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -181,37 +184,37 @@ def components(edges: DataFrame) -> DataFrame:
     label = stage(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp")), "labels")
     while True:
         heard = both.join(label, both.b == label.node).groupBy(F.col("a").alias("n")).agg(F.min("comp").alias("heard"))
-        near = label.join(heard, label.node == heard.n, "left").select("node", F.col("comp").alias("old"), F.least("comp", F.coalesce("heard", "comp")).alias("comp"))
-        up = label.select(F.col("node").alias("up"), F.col("comp").alias("top"))
-        new = stage(near.join(up, near.comp == up.up, "left").select("node", "old", F.least("comp", F.coalesce("top", "comp")).alias("comp")), "labels")
+        near = stage(label.join(heard, label.node == heard.n, "left").select("node", F.col("comp").alias("old"), F.least("comp", F.coalesce("heard", "comp")).alias("comp")), "heard")
+        # a label of many nodes is looked up once: only labels that have a lesser label themselves are joined back
+        tops = near.select(F.col("comp").alias("up")).distinct().join(near.select("node", F.col("comp").alias("top")), F.col("up") == F.col("node")).filter("top < up").select("up", "top")
+        tops = stage(tops, "tops")
+        few = tops.count() <= MOST_BROADCAST
+        new = stage(near.join(F.broadcast(tops) if few else tops, near.comp == tops.up, "left").select("node", "old", F.coalesce("top", "comp").alias("comp")), "labels")
         if new.filter("comp <> old").limit(1).count() == 0:
             return new.select("node", "comp")
         label = new.select("node", "comp")
 
 
 def _compared(least: float, best: bool):
-    """For two blocks of a bucket, pairs of members of different components: with ``best`` the likest y of each x as
-    (x, y, likeness), else the pairs of components (x, y) that such members belong to."""
+    """For a block of a bucket's outsiders (role 0) and one of all its members (role 1), pairs of members of different
+    components: with ``best`` the likest y of each outsider x as (x, y, likeness), else the pairs of components (x, y)."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        i, j = key[1].as_py(), key[2].as_py()
-        rep, comp, n, block = (table[c].to_numpy() for c in ("rep", "comp", "n_shingles", "block"))
+        rep, comp, n, role = (table[c].to_numpy() for c in ("rep", "comp", "n_shingles", "role"))
         rows = table["sketch"].combine_chunks()
         rows = np.frombuffer(rows.buffers()[2], np.uint8)[rows.offset * COORDINATES :][: len(rep) * COORDINATES].reshape(-1, COORDINATES)
-        found, likest = set(), []
-        for ones, others in ((i, j), (j, i)) if i != j else ((i, i),):
-            other = np.flatnonzero(block == others)
-            for x in np.flatnonzero(block == ones):
-                y = other[(comp[other] != comp[x]) & (100 * n[other] >= 75 * n[x]) & (100 * n[x] >= 75 * n[other])]
-                if not len(y):
-                    continue
-                agree = (rows[y] == rows[x]).mean(axis=1)
-                if best:
-                    k = int(agree.argmax())
-                    if agree[k] >= least:
-                        likest.append((int(rep[x]), int(rep[y[k]]), float(agree[k])))
-                else:
-                    found.update((int(min(comp[x], c)), int(max(comp[x], c))) for c in np.unique(comp[y[agree >= least]]))
+        found, likest, other = set(), [], np.flatnonzero(role == 1)
+        for x in np.flatnonzero(role == 0):
+            y = other[(comp[other] != comp[x]) & (100 * n[other] >= 75 * n[x]) & (100 * n[x] >= 75 * n[other])]
+            if not len(y):
+                continue
+            agree = (rows[y] == rows[x]).mean(axis=1)
+            if best:
+                k = int(agree.argmax())
+                if agree[k] >= least:
+                    likest.append((int(rep[x]), int(rep[y[k]]), float(agree[k])))
+            else:
+                found.update((int(min(comp[x], c)), int(max(comp[x], c))) for c in np.unique(comp[y[agree >= least]]))
         rows_ = likest if best else [(a, b, 1.0) for a, b in found]
         left, right, likeness = (list(c) for c in zip(*rows_, strict=True)) if rows_ else ([], [], [])
         return pa.table({"x": pa.array(left, pa.int64()), "y": pa.array(right, pa.int64()), "likeness": pa.array(likeness, pa.float64())})
@@ -219,12 +222,27 @@ def _compared(least: float, best: bool):
     return run
 
 
-def _across(named: DataFrame, reps: DataFrame, least: float, best: bool) -> DataFrame:
-    """What _compared() finds in buckets that hold several components. named: key, rep, comp."""
-    mixed = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m")).filter("lo <> hi").select("key", F.ceil(F.col("m") / BUCKET_BLOCK).cast("int").alias("nb"))
-    open_ = named.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("rep"), "nb").cast("int"))
-    spread = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    spread = spread.join(reps.select("rep", "n_shingles", "sketch"), "rep").select("key", "i", "j", "rep", "comp", "n_shingles", "block", "sketch")
+def _mixed(named: DataFrame) -> DataFrame:
+    """Buckets of several components: key, their largest component, numbers of blocks of outsiders and of members."""
+    sizes = named.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("m"))
+    whole = sizes.groupBy("key").agg(F.max_by("comp", F.struct("m", "comp")).alias("main"), F.sum("m").alias("all"), F.max("m").alias("most"))
+    blocks = lambda n: F.ceil(n / BUCKET_BLOCK).cast("int")
+    return whole.filter(F.col("all") > F.col("most")).select("key", "main", blocks(F.col("all") - F.col("most")).alias("n_out"), blocks(F.col("all")).alias("n_all"))
+
+
+def _across(named: DataFrame, mixed: DataFrame, reps: DataFrame, least: float, best: bool) -> DataFrame:
+    """What _compared() finds in buckets that hold several components. named: key, rep, comp.
+
+    Members of a bucket's largest component meet only the others, so a bucket of one large component and a few
+    outsiders is sent about once.
+    """
+    open_ = named.join(mixed, "key")
+    block = lambda n: F.pmod(F.xxhash64("rep"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    columns = ["key", "i", "j", "rep", "comp", "role"]
+    members = open_.withColumn("j", block(F.col("n_all"))).withColumn("i", every("n_out")).withColumn("role", F.lit(1)).select(columns)
+    outside = open_.filter("comp <> main").withColumn("i", block(F.col("n_out"))).withColumn("j", every("n_all")).withColumn("role", F.lit(0)).select(columns)
+    spread = members.union(outside).join(reps.select("rep", "n_shingles", "sketch"), "rep").select(*columns, "n_shingles", "sketch")
     return spread.groupBy("key", "i", "j").applyInArrow(_compared(least, best), "x long, y long, likeness double")
 
 
@@ -293,20 +311,35 @@ def _between(pairs: DataFrame, members: DataFrame, texts: DataFrame, threshold:
     return routed.select("big", "xb", "yb", "doc_id", "role", "comp", "text").mapInArrow(tidy(_linked(threshold)), "a long, b long")
 
 
+def _classes(sketched: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(salted part of each class of equal sets, classes with rep, the least doc_id). A class has SALTS parts at most, so
+    no join or grouping takes a large class in one task."""
+    parts = stage(sketched.filter("n_shingles > 0").withColumn("salt", _salt()).groupBy(*SET, "salt").agg(F.min("doc_id").alias("rep")), "parts")
+    return parts, parts.groupBy(*SET).agg(F.min("rep").alias("rep"))
+
+
+def _salt() -> Column:
+    return F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")
+
+
 def near_duplicates(docs: DataFrame, threshold: int = 75) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (least reachable doc_id), kept (doc_id = component_id), class_id.
 
     class_id is the least doc_id with exactly the same set. Links are 100 * intersection >= threshold * union over
     full sets. Nulls and texts without words: n_shingles 0, linked with nothing. Rows that repeat a doc_id give a
-    row each; rows without a doc_id give none. An empty table gives no rows. Other columns of ``docs`` are ignored.
+    row each; sets that share their least doc_id share its links, which are those of the set with the least digest. A
+    row without a doc_id is linked with nothing: component_id and class_id are null, kept is true. Very long texts are
+    taken whole; ties go to the least doc_id. An empty table gives no rows. Other columns of ``docs`` are ignored.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id is not null")
-    sketched = stage(sketch_documents(docs), "sketches")
-    some = sketched.filter("n_shingles > 0")
-    classes = some.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    member = stage(sketched.select("doc_id", "n_shingles", "d1", "d2").join(classes, ["d1", "d2", "n_shingles"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")), "members")
-    own = member.filter("doc_id = rep").select("doc_id").distinct()
-    reps = stage(some.join(own.hint("merge"), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "n_shingles", "bands", "sketch").dropDuplicates(["rep"]), "reps")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = rows.filter("doc_id is not null")
+    sketched = stage(sketch_documents(rows), "sketches")
+    unnamed = sketched.filter("doc_id is null").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept"), F.lit(None).cast("long").alias("class_id"))
+    sketched = sketched.filter("doc_id is not null")
+    parts, classes = _classes(sketched)
+    firsts = classes.groupBy("rep").agg(F.min(F.struct(*SET)).alias("s")).select("rep", "s.*")
+    own = [F.col("doc_id") == F.col("rep"), *(F.col(f"o.{c}") == F.col(f"f.{c}") for c in SET)]
+    reps = stage(sketched.filter("n_shingles > 0").alias("o").join(firsts.hint("merge").alias("f"), own, "left_semi").select(F.col("doc_id").alias("rep"), "n_shingles", "bands", "sketch").dropDuplicates(["rep"]), "reps")
     buckets = reps.select("rep", F.explode("bands").alias("key"))
     shared = buckets.groupBy("key").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).filter("a <> z").drop("z")
     together = stage(buckets.join(shared.hint("merge"), "key"), "buckets")
@@ -319,7 +352,10 @@ def near_duplicates(docs: DataFrame, threshold: int = 75) -> DataFrame:
     for best in (True, True, False):
         members = stage(everyone.join(label, everyone.rep == label.node, "left").select("rep", F.coalesce("comp", "rep").alias("comp")), "components")
         named = stage(together.select("key", "rep").join(members, "rep"), "named")
-        across = _across(named, reps, threshold / 100 - MARGIN, best)
+        mixed = stage(_mixed(named), "mixed")
+        if not mixed.limit(1).count():
+            break
+        across = _across(named, mixed, reps, threshold / 100 - MARGIN, best)
         if best:
             likest = across.groupBy("x").agg(F.max_by("y", F.struct("likeness", "y")).alias("y"))
             pairs = stage(likest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
@@ -329,4 +365,8 @@ def near_duplicates(docs: DataFrame, threshold: int = 75) -> DataFrame:
         if new.limit(1).count():
             edges = edges.union(new)
             label = components(edges)
-    return member.join(label, member.rep == label.node, "left").select("doc_id", "n_shingles", F.coalesce("comp", "rep").alias("component_id"), (F.col("doc_id") == F.coalesce("comp", "rep")).alias("kept"), F.col("rep").alias("class_id"))
+    labelled = classes.join(label, classes.rep == label.node, "left").select(*SET, F.col("rep").alias("class_id"), F.coalesce("comp", "rep").alias("component_id"))
+    answers = parts.select(*SET, "salt").join(labelled, SET)
+    found = sketched.select("doc_id", *SET).withColumn("salt", _salt()).join(answers, [*SET, "salt"], "left")
+    component, class_ = F.coalesce("component_id", "doc_id"), F.coalesce("class_id", "doc_id")
+    return found.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"), class_.alias("class_id")).unionByName(unnamed)

@@ -67,4 +67,16 @@ def test_odd_tables(spark, docs, clash, empty, rows):
     got = {r["doc_id"]: r["component_id"] for r in N.near_duplicates(clash.union(clash)).collect()}
     assert got == {i: c for i, (_, c) in brute(rows).items()}
     none = spark.createDataFrame([(None, "a b c d e f"), (1, None)], "doc_id long, text string")
-    assert [tuple(r)[:4] for r in N.near_duplicates(none).collect()] == [(1, 0, 1, True)]
+    assert sorted((tuple(r)[:4] for r in N.near_duplicates(none).collect()), key=str) == [(1, 0, 1, True), (None, 2, None, True)]
+    again = spark.createDataFrame([(1, "a b c d e f g"), (1, "p q r s t u v"), (2, "a b c d e f g"), (3, "p q r s t u v")], "doc_id long, text string")
+    assert len(N.near_duplicates(again).collect()) == 4
+
+
+def test_one_large_class_and_one_large_component(spark, monkeypatch):
+    """100,000 rows: copies of one text, versions of another, and odd ones; everything lands in its group."""
+    monkeypatch.setattr(N, "MOST_BROADCAST", 0)
+    base = [f"w{k}" for k in range(40)]
+    text = lambda k: " ".join(base) if k % 50 else " ".join(base[:20] + [f"v{k}"] + base[20:]) if k % 100 else f"alone {k} " * 3
+    docs = spark.createDataFrame([(k, text(k)) for k in range(100_000)], "doc_id long, text string")
+    counts = {r["component_id"]: r["count"] for r in N.near_duplicates(docs).groupBy("component_id").count().collect()}
+    assert counts == {1: 99_000} | {100 * k: 1 for k in range(1000)}
