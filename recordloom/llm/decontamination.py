@@ -243,6 +243,34 @@ def _searched(block: list[tuple[int, str]]):
     return run
 
 
+def _clean(block: list[tuple[int, str]]):
+    found = _searched(block)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole):
+                rows = pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), batch["text"]], ["doc_id", "text"])
+                left = np.ones(batch.num_rows, bool)
+                for held in found(iter([rows])):
+                    left[held["doc_id"].to_numpy()] = False
+                yield batch.filter(pa.array(left))
+
+    return run
+
+
+def _blocks(items: DataFrame) -> list[list[tuple[int, str]]]:
+    """The items in blocks of BLOCK_CHARS, one at least. They pass the driver: a benchmark is far smaller than a corpus."""
+    items = items.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("item_id is not null and text is not null")
+    blocks, block, size = [], [], 0
+    for row in items.orderBy("item_id").toLocalIterator():
+        if block and size + len(row["text"]) > BLOCK_CHARS:
+            blocks.append(block)
+            block, size = [], 0
+        block.append((row["item_id"], row["text"]))
+        size += len(row["text"])
+    return [*blocks, block]
+
+
 def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """One row for each document and benchmark item that it holds.
 
@@ -253,20 +281,13 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     that tie, the first counts for text_start. Other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    items = items.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("item_id is not null and text is not null")
     schema = "doc_id long, item_id long, covered long, item_chars long, text_start long, edits long"
-    blocks, block, size = [], [], 0
-    for row in items.orderBy("item_id").toLocalIterator():
-        if block and size + len(row["text"]) > BLOCK_CHARS:
-            blocks.append(block)
-            block, size = [], 0
-        block.append((row["item_id"], row["text"]))
-        size += len(row["text"])
-    blocks += [block]
-    return reduce(DataFrame.unionByName, [docs.mapInArrow(tidy(_searched(b)), schema) for b in blocks])
+    return reduce(DataFrame.unionByName, [docs.mapInArrow(tidy(_searched(b)), schema) for b in _blocks(items)])
 
 
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that hold no item, with their columns."""
-    held = contaminated(docs, items).select(F.col("doc_id").alias("_held")).distinct()
-    return docs.join(held, F.col("doc_id") == F.col("_held"), "left_anti")
+    """The rows of ``docs`` that hold no item, with their columns, whatever their ids; nothing is shuffled."""
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    for block in _blocks(items):
+        docs = docs.mapInArrow(tidy(_clean(block)), fields)
+    return docs

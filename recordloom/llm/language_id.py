@@ -27,10 +27,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from recordloom.llm.staging import stage
+from recordloom.llm.staging import look_up, stage
 from recordloom.llm.textblocks import slices, tidy
 
 SAMPLE, LEAST, TEMPER, KAPPA, UND, BITS = 4000, 100, 0.25, 20.0, "und", 16
+#: Bytes of host priors that may be broadcast.
+MOST_BYTES = 20_000_000
 #: Codes that name no language.
 NO_LANGUAGE = [UND, "mis", "mul", "zxx"]
 #: Bytes that are no letters count as one separator.
@@ -192,7 +194,7 @@ def identify(docs: DataFrame, declared: str | None = "lang", url: str | None = N
     above = above.select("up", smooth(corpus).alias("up_prior"))
     priors = by_host.withColumn("up", parent(F.col("host"))).join(above, "up", "left").withColumn("up_prior", F.coalesce("up_prior", corpus))
     priors = priors.select("host", smooth(F.col("up_prior")).alias("prior"))
-    fused = scored.join(priors, "host", "left").withColumn("prior", F.coalesce("prior", corpus))
+    fused = look_up(scored, priors, ["host"], F.struct("doc_id", "n_grams", "loglik"), most=MOST_BYTES // (8 * n + 64)).withColumn("prior", F.coalesce("prior", corpus))
     logs = F.zip_with("loglik", F.transform("prior", F.ln), lambda a, b: a + b)
     for table, column in given:
         fused = fused.join(F.broadcast(table), column, "left")

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recordloom.llm.packs import cut_at, grown, packed, small, unpacked
-from recordloom.llm.staging import stage_by
+from recordloom.llm.staging import buckets, stage_by
 from recordloom.llm.textblocks import POLY, U, mix, slices, split_words, tidy
 
 HELD_OUT, FOLD, MODULUS = 2, 0, 7
@@ -263,7 +263,7 @@ def score(docs: DataFrame) -> DataFrame:
     owners, bits = max(n, int(n_blocks * RANGES_A_BLOCK)), key_bits(n_blocks)
     asked = blocks.mapInArrow(tidy(_asked(owners, bits)), "owner int, block long, grams binary, train binary")
     answers = asked.repartitionById(owners, "owner").sortWithinPartitions("owner").mapInArrow(tidy(_answered), "block long, owner int, train binary, v long, n long")
-    answers = stage_by(answers.repartition(n, "block"), "answers", "block")  # a file for each bucket
+    answers = stage_by(answers.repartition(buckets(spark), "block"), "answers", "block")  # a file for each bucket
     facts = answers.agg(F.sum("v"), F.sum("n")).first()
     vocabulary, tokens = (int(x or 0) for x in facts)
     per_block = answers.groupBy("block").agg(F.collect_list(F.struct("owner", "train")).alias("a")).select("block", F.col("a.owner").alias("owners"), F.col("a.train").alias("train"))

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recordloom.llm.near_duplicates import shingle_sets
-from recordloom.llm.staging import stage
+from recordloom.llm.staging import SALTS, look_up, stage
 from recordloom.llm.textblocks import U, distinct, mix, owners, release, slices, split_words, tidy
 
 SAMPLE, FEATURES, LEAST_Z, LEAST_DF, LEAST_SHIFT, RIDGE = 4000, 600, 6.0, 8, 0.25, 1.0
@@ -188,7 +188,8 @@ def assess(docs: DataFrame, labels: DataFrame, host: str = "source", path: Colum
     del sample
     release()  # the fit ran on the driver
     scored = rows.mapInArrow(tidy(_scored(model)), "doc_id long, host string, path string, quality double, toxic double")
-    scored = scored.join(known, "doc_id", "left").select("doc_id", "host", "path", "quality", "toxic", F.coalesce("lq", _sigmoid(F.col("quality"))).alias("q"), F.coalesce("lt", _sigmoid(F.col("toxic"))).alias("t"))
+    unnamed = F.when(F.col("doc_id").isNull(), 1 + F.pmod(F.xxhash64("quality", "toxic"), F.lit(SALTS))).otherwise(0)  # rows without an id don't meet in one task
+    scored = scored.withColumn("_salt", unnamed).join(known.withColumn("_salt", F.lit(0).cast("long")), ["doc_id", "_salt"], "left").select("doc_id", "host", "path", "quality", "toxic", F.coalesce("lq", _sigmoid(F.col("quality"))).alias("q"), F.coalesce("lt", _sigmoid(F.col("toxic"))).alias("t"))
     scored = stage(scored, "evidence")
     sums = [F.count(F.lit(1)).alias("n"), F.sum("q").alias("q"), F.sum("t").alias("t")]
     paths = stage(scored.groupBy("host", "path").agg(*sums), "paths")
@@ -211,6 +212,6 @@ def assess(docs: DataFrame, labels: DataFrame, host: str = "source", path: Colum
         joined = joined.withColumn(f"{c}_host", (F.col(f"h{c}") + k_host * mean[c]) / (F.col("hn") + k_host))
         joined = joined.withColumn(f"{c}_site", (F.col(c) + k_path * F.col(f"{c}_host")) / (F.col("n") + k_path))
     sites = joined.select("host", "path", *[(_logit(F.col(f"{c}_site")) - _logit(F.lit(mean[c]))).alias(f"{c}_shift") for c in "qt"])
-    fused = scored.join(sites, ["host", "path"])
+    fused = look_up(scored, sites, ["host", "path"], F.struct("doc_id", "quality", "toxic"), "inner")
     quality, toxic = _sigmoid(F.col("quality") + F.col("q_shift")), _sigmoid(F.col("toxic") + F.col("t_shift"))
     return fused.select("doc_id", quality.alias("quality"), toxic.alias("toxicity"), _sigmoid(F.col("quality")).alias("document_quality"), _sigmoid(F.col("toxic")).alias("document_toxicity"), ((quality >= least_quality) & (toxic < most_toxic)).alias("kept"))

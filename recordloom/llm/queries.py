@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.llm import language_model, secret_scans
+from recordloom.llm import language_model, pipeline, secret_scans
 from recordloom.llm.decontamination import contaminated
 from recordloom.llm.fingerprints import fingerprints_and_edits
 from recordloom.llm.html_extraction import extract_main_text
@@ -75,5 +74,5 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality, op2_secret_scans, op3_near_duplicates, op4_language_id, op5_lm_scoring, op6_token_files, op7_packing, op8_html_extraction, op9_decontamination, op10_fingerprints)}
-QUERIES["pipeline"] = corpus_pipeline.run
+QUERIES["pipeline"] = pipeline.run
 ORACLE_SQL: dict[str, str] = {"op2_secret_scans": secret_scans.ORACLE_SQL}

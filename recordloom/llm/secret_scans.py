@@ -11,12 +11,13 @@ the matches and of the gaps between them.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recordloom.llm.staging import stage
+from recordloom.llm.staging import look_up, stage
 
 
 @dataclass(frozen=True)
@@ -37,6 +38,8 @@ RULES = (
 #: The same matches of hex runs and access keys, found without stopping at every short run.
 FAST = {"access": r"AKIA[A-Z0-9]{12,}", "hex": r"[0-9a-f]{32,}"}
 LEDGER = "blob string, rule string, version int, spans array<struct<start: bigint, end: bigint>>"
+#: Matches whose spans are gathered at once.
+CHUNK = 500
 SPANS = "array<struct<start: bigint, end: bigint>>"
 
 
@@ -50,34 +53,57 @@ def spans_of(text: Column, rule: Rule) -> Column:
         F.transform(matches, lambda m: F.char_length(m).cast("long")).alias("length"),
         F.transform(sized, lambda m: F.char_length(m) >= rule.least).alias("counts"),
     )
-    walked = F.aggregate(
-        measured,
-        F.struct(F.lit(0).cast("long").alias("at"), F.expr(f"cast(array() as {SPANS})").alias("spans")),
-        lambda acc, m: F.struct(
-            (acc["at"] + m["gap"] + F.coalesce(m["length"], F.lit(0))).alias("at"),
-            F.when(m["counts"], F.concat(acc["spans"], F.array(F.struct((acc["at"] + m["gap"]).alias("start"), (acc["at"] + m["gap"] + m["length"]).alias("end"))))).otherwise(acc["spans"]).alias("spans"),
-        ),
-        lambda acc: acc["spans"],
-    )
-    return F.when(text.rlike(pattern), walked).otherwise(F.expr(f"cast(array() as {SPANS})"))
+    size = lambda m: m["gap"] + F.coalesce(m["length"], F.lit(0))
+    nothing = F.expr(f"cast(array() as {SPANS})")
+
+    def walked(chunk: Column, start: Column) -> Column:
+        """The spans of some matches and gaps, of which the first begins at ``start``."""
+        return F.aggregate(
+            chunk,
+            F.struct(start.alias("at"), nothing.alias("spans")),
+            lambda acc, m: F.struct(
+                (acc["at"] + size(m)).alias("at"),
+                F.when(m["counts"], F.concat(acc["spans"], F.array(F.struct((acc["at"] + m["gap"]).alias("start"), (acc["at"] + m["gap"] + m["length"]).alias("end"))))).otherwise(acc["spans"]).alias("spans"),
+            ),
+            lambda acc: acc["spans"],
+        )
+
+    def gathered(chunks: Column) -> Column:
+        """In chunks, so that no array grows by one element at a time over a whole text."""
+        sums = F.transform(chunks, lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda at, m: at + size(m)))
+        starts = F.aggregate(sums, F.array(F.lit(0).cast("long")), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+        return F.flatten(F.zip_with(chunks, F.slice(starts, F.lit(1), F.size(chunks)), walked))
+
+    chunked = lambda m: F.transform(F.sequence(F.lit(0), F.floor((F.size(m) - 1) / CHUNK).cast("int")), lambda k: F.slice(m, k * CHUNK + 1, F.lit(CHUNK)))
+    return F.when(text.rlike(pattern), _let(measured, lambda m: _let(chunked(m), gathered))).otherwise(nothing)
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def blob_of(text: Column) -> Column:
     return F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)
 
 
+def _place() -> Column:
+    """Where a blob's text is found: rows without an id go by the blob, so they don't meet in one task."""
+    return F.coalesce("doc_id", F.xxhash64("blob"))
+
+
 def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The ledger rows that ``docs`` (doc_id, text) add to ``ledger``: pairs of blob and rule version not in it yet."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     blobs = rows.withColumn("blob", blob_of(F.col("text")))
-    first = blobs.select("blob", F.coalesce("doc_id", F.lit(-1)).alias("doc_id")).groupBy("blob").agg(F.min("doc_id").alias("doc_id"))
+    first = blobs.select("blob", _place().alias("doc_id")).groupBy("blob").agg(F.min("doc_id").alias("doc_id"))
     versions = F.array(*[F.struct(F.lit(r.name).alias("rule"), F.lit(r.version).alias("version")) for r in rules])
     if ledger is None:
         todo = first.withColumn("todo", F.transform(versions, lambda v: v["rule"]))
     else:
         pairs = first.select("blob", "doc_id", F.inline(versions))
         todo = pairs.join(ledger.select("blob", "rule", "version"), ["blob", "rule", "version"], "left_anti").groupBy("blob", "doc_id").agg(F.collect_set("rule").alias("todo"))
-    texts = blobs.withColumn("doc_id", F.coalesce("doc_id", F.lit(-1))).join(todo.withColumnRenamed("blob", "owner"), "doc_id").filter("blob = owner")
+    texts = blobs.withColumn("doc_id", _place()).join(todo.withColumnRenamed("blob", "owner"), "doc_id").filter("blob = owner")
     found = [
         F.struct(F.lit(r.name).alias("rule"), F.lit(r.version).alias("version"), F.when(F.array_contains("todo", r.name), spans_of(F.col("text"), r)).alias("spans"))
         for r in rules
@@ -97,17 +123,18 @@ def findings(docs: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES
         current = current | ((F.col("rule") == r.name) & (F.col("version") == r.version))
     spans = ledger.filter(current & (F.size("spans") > 0)).select("blob", F.transform("spans", lambda s: F.struct(s["start"].alias("start"), kind_no[F.col("rule")].alias("kind_no"), s["end"].alias("end"), F.col("rule").alias("kind"))).alias("own"))
     per_blob = spans.groupBy(F.col("blob").alias("_blob")).agg(F.array_sort(F.flatten(F.collect_list("own"))).alias("found"))
-    joined = docs.withColumn("_key", blob_of(F.col("text"))).join(per_blob, F.col("_key") == F.col("_blob"), "left")
-    return joined.withColumn("found", F.coalesce("found", F.expr("cast(array() as array<struct<start: bigint, kind_no: int, end: bigint, kind: string>>)"))).drop("_key", "_blob")
+    joined = look_up(docs.withColumn("_blob", blob_of(F.col("text"))), per_blob, ["_blob"], F.col("doc_id"), most=50_000)
+    return joined.withColumn("found", F.coalesce("found", F.expr("cast(array() as array<struct<start: bigint, kind_no: int, end: bigint, kind: string>>)"))).drop("_blob")
 
 
 def scan_secrets(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> tuple[DataFrame, DataFrame]:
     """(findings of every row of ``docs``, the ledger with the new rows).
 
     Null text is the empty text; rows that repeat a doc_id or a text get findings each; an empty table gives none.
-    Columns of ``docs`` named found, _key or _blob are replaced.
+    Very long texts are scanned whole, and matches that begin
+    together are ordered by kind. Columns of ``docs`` named found, _blob or _salt are replaced.
     """
-    docs = docs.drop("found", "_key", "_blob")
+    docs = docs.drop("found", "_blob", "_salt")
     new = stage(scan(docs, ledger, rules), "ledger")
     whole = new if ledger is None else ledger.select(*new.columns).unionByName(new)
     return findings(docs, whole, rules), whole

@@ -11,7 +11,11 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Buckets for each shuffle partition; numbers that the rows of one key are dealt by.
+SPREAD, SALTS = 3, 256
 
 _written: list[str] = []
 _tables: list[str] = []
@@ -46,15 +50,36 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 
 def stage_by(df: DataFrame, name: str, key: str) -> DataFrame:
-    """As stage(), in buckets of ``key``: joins and groupings of such tables by the key need no exchange."""
+    """As stage(), in buckets of ``key``: joins and groupings of such tables by the key need no exchange.
+
+    There are SPREAD buckets for each shuffle partition, as the few rows of a table of blocks fall on them unevenly.
+    """
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
     table = f"staged_{path.rpartition('-')[2]}"
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = buckets(spark)
     _tables.append(table)
     df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(n, key).saveAsTable(table)
     return spark.table(table)
 
 
+def buckets(spark: SparkSession) -> int:
+    return SPREAD * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def look_up(rows: DataFrame, table: DataFrame, keys: list[str], spread: Column, how: str = "left", most: int = 200_000) -> DataFrame:
+    """``rows`` joined with a table of distinct ``keys``, whatever share of the rows one key has.
+
+    A table of ``most`` rows or fewer is broadcast. Else rows are dealt by keys and one of SALTS numbers made from
+    ``spread``, and the table goes to those numbers that its keys' rows have.
+    """
+    table = stage(table, "table")
+    if table.count() <= most:
+        return rows.join(F.broadcast(table), keys, how)
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
+    parts = salted.select(*keys, "_salt").distinct().join(table, keys)
+    return salted.join(parts, [*keys, "_salt"], how).drop("_salt")
+
+
 def cleanup(spark: SparkSession) -> None:
     """Delete every table this process staged. Frames that still read them become unusable."""
     while _tables:

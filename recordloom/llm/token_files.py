@@ -26,6 +26,8 @@ from recordloom.llm.staging import stage
 from recordloom.llm.textblocks import slices, tidy
 from recordloom.llm.tokens import binaries, encoder_of
 
+#: Stands for a null doc_id, below all others.
+NO_ID = -(2**63)
 #: Bytes of text in a segment, about.
 SEGMENT = 4_000_000
 #: For each control byte its four lengths.
@@ -117,13 +119,12 @@ def _decoded(ids: np.ndarray):
 def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end: int) -> None:
     """Tokenise whole texts in ascending doc_id order, end each with ``end``, and write a file set to ``path``.
 
-    A null text is empty; rows with a null doc_id are refused; rows that repeat a doc_id stand side by side in any
-    order. An empty table writes an empty file set.
+    A null text is empty; rows with a null doc_id come first; rows that repeat a doc_id stand side by side in any
+    order. Very long texts are a segment each. An empty table writes an empty file set. Other columns are ignored.
     """
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    doc_id = F.when(F.col("doc_id").isNull(), F.raise_error(F.lit("null doc_id")).cast("long")).otherwise(F.col("doc_id").cast("long"))
-    rows = docs.select(doc_id.alias("doc_id"), "text")
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text")
     cuts = cuts_of(rows, "doc_id", n)
     ordered = rows.withColumn("range", range_of("doc_id", cuts)).repartitionById(len(cuts) + 1, "range").sortWithinPartitions("doc_id").drop("range")
     plain = stage(ordered.mapInArrow(tidy(_segments(tokenizer_path, end)), "part int, seq int, inside long, n long, doc_ids binary, counts binary, seen binary, ids binary"), "segments")
@@ -143,4 +144,5 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     ranked = {r["rank"]: r["id"] for r in spark.read.parquet(f"{path}/ranks").collect()}  # bounded by the vocabulary
     ids = np.array([ranked[k] for k in range(len(ranked))], np.uint32)
     segments = spark.read.parquet(f"{path}/segments")
-    return segments.mapInArrow(tidy(_decoded(ids)), "doc_id long, start long, n_tokens long, ids binary")
+    decoded = segments.mapInArrow(tidy(_decoded(ids)), "doc_id long, start long, n_tokens long, ids binary")
+    return decoded.withColumn("doc_id", F.nullif("doc_id", F.lit(NO_ID)))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from recordloom.llm import fingerprints as P
+from recordloom.llm import pipeline
 from recordloom.llm.ranges import cuts_of, range_of
 from recordloom.llm.staging import stage
 
@@ -170,6 +171,32 @@ def test_stages(spark, docs, rows, tmp_path):
     assert set(packed["doc_id"]) == want and (packed.groupby("sequence_id")["length"].sum() <= 2048).all()
 
 
+def test_rows_without_an_id_and_ids_of_several_texts(spark, rows, tmp_path):
+    prose = [r for r in rows[:60]]
+    odd = [(None, prose[0][1] + " and more words of its own here", "en", "s0", 1), (None, prose[1][1], "en", "s0", 1), (500, prose[2][1] + " x y z", "en", "s1", 1), (500, prose[3][1] * 2, "en", "s1", 1), (500, prose[3][1] * 2, "en", "s1", 1), (None, None, None, None, None)]
+    table = [(r[0], r[1], "en", "s1", r[4]) for r in prose] + odd
+    spark.createDataFrame([(1, "none of the documents holds this passage, as it has quite other words")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(table, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    data = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, apply in pipeline.STAGES[:4]:
+        data = stage(apply(spark, data, str(tmp_path)), name)
+    texts = sorted((r["doc_id"] or -1, r["text"]) for r in data.collect() if r["text"])
+    sets = brute_sets(table)
+    assert texts == sorted((-1 if i is None else i, t) for i, t in sets if t)
+
+
+def brute_sets(table):
+    """(doc_id, text) of one row of each group of near duplicates: the least id, rows without one last."""
+    from tests.llm.test_near_duplicates import brute
+
+    distinct = list(dict.fromkeys((r[0], r[1]) for r in table))
+    component = brute([(k, t) for k, (_, t) in enumerate(distinct)])
+    groups = collections.defaultdict(list)
+    for k, (i, t) in enumerate(distinct):
+        groups[component[k][1]].append((i is None, i or 0, k))
+    return [distinct[min(g)[2]] for g in groups.values()]
+
+
 def test_stages_of_an_empty_table(spark, empty, tmp_path):
     spark.createDataFrame([(1, "x")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     empty.write.parquet(f"{tmp_path}/documents.parquet")

@@ -27,6 +27,23 @@ def test_against_brute_force(spark):
         assert sum(got[k][f"n_{r.name}"] for r in S.RULES) == (brute(text).count(",") + 1 if brute(text) else 0)
 
 
+def test_very_long_texts_and_many_matches(spark, monkeypatch):
+    monkeypatch.setattr(S, "CHUNK", 7)
+    text = " ".join(f"é token=value{k:05d} {'ab' * (k % 20)}" for k in range(3000))
+    docs = spark.createDataFrame([(1, text), (2, "secret: 12345678"), (3, text)], "doc_id long, text string")
+    assert {r["doc_id"]: r["spans"] for r in S.digest(S.scan_secrets(docs)[0]).collect()} == {1: brute(text), 2: brute("secret: 12345678"), 3: brute(text)}
+
+
+def test_a_hot_blob_and_rows_without_an_id(spark, monkeypatch):
+    rows = [(k if k % 5 else None, "token=abcdefgh" if k % 3 else f"t{k} secret: 12345678") for k in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = sorted(map(str, S.digest(S.scan_secrets(docs)[0]).collect()))
+    real = S.look_up
+    monkeypatch.setattr(S, "look_up", lambda *a, **b: real(*a, **b | {"most": 0}))
+    assert sorted(map(str, S.digest(S.scan_secrets(docs)[0]).collect())) == whole and len(whole) == 2000
+    assert "n_assign=0" not in str(whole)
+
+
 def test_ledger_is_incremental(spark):
     old = spark.createDataFrame([(1, TEXTS[0]), (2, TEXTS[2])], "doc_id long, text string")
     _, ledger = S.scan_secrets(old)

@@ -78,6 +78,13 @@ def test_files_of_odd_tables(spark, clash, empty, rows):
     assert T.read_token_files(spark, path).count() == 2 * len(rows)
 
 
+def test_rows_without_an_id_come_first(spark, plain):
+    table = spark.createDataFrame([(3, "a b"), (None, "c"), (1, None)], "doc_id long, text string")
+    path = new_path(spark, "tokens")
+    T.write_token_files(table, path, PATH, 1)
+    assert [(r["doc_id"], r["start"]) for r in T.read_token_files(spark, path).orderBy("start").collect()] == [(None, 0), (1, 2), (3, 3)]
+
+
 def check_packed(packed, capacity):
     for _, bin_ in packed.groupby("sequence_id"):
         at = 0
