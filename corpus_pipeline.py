@@ -1,71 +1,5 @@
-"""A corpus pipeline of five stages; counted as part of recordloom.llm.
+"""The corpus pipeline: STAGES, ORACLE_SQL and run(). Its code is in recordloom.llm.pipeline."""
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read again as the next
-stage's docs. All stages but the last return the columns of documents.
+from recordloom.llm.pipeline import ORACLE_SQL, STAGES, run
 
-1. language_id drops documents whose language can't be told;
-2. near_duplicates keeps one document, the least doc_id, of each group;
-3. decontamination drops documents that hold a benchmark item;
-4. secret_scans replaces every secret by a mark and counts the characters anew;
-5. packing cuts token sequences of at most 2048 from what is left and fills them.
-
-Documents with equal doc_ids are one document for the decisions of stages 1 to 3; rows without a doc_id are dropped by
-stage 2. No stage samples or caps rows.
-"""
-
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from recordloom.llm import secret_scans
-from recordloom.llm.decontamination import decontaminate
-from recordloom.llm.language_id import identify
-from recordloom.llm.near_duplicates import near_duplicates as find_near_duplicates
-from recordloom.llm.packing import pack, token_pieces
-from recordloom.llm.staging import stage
-
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-
-
-def _only(docs: DataFrame, decided: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is kept by some row of (doc_id, kept)."""
-    ids = decided.filter("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(ids, F.col("doc_id") == F.col("_id"), "left_semi")
-
-
-def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _only(docs.select(COLUMNS), identify(docs, declared="lang", host="source"))
-
-
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _only(docs.select(COLUMNS), find_near_duplicates(docs)).dropDuplicates(["doc_id"])
-
-
-def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontaminate(docs.select(COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-
-
-def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found, _ = secret_scans.scan_secrets(docs.select(COLUMNS))
-    return secret_scans.redact(found).withColumn("n_chars", F.char_length("text").cast("long")).select(COLUMNS)
-
-
-def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    import public_tokenizers
-
-    return pack(token_pieces(docs, public_tokenizers.path("word_bpe_49k.json")))
-
-
-STAGES = [("language_id", language_id), ("near_duplicates", near_duplicates), ("decontamination", decontamination), ("secret_scans", secrets), ("packing", packing)]
-
-#: Near duplicates, banded alignment and subword tokens are not expressible in SQL.
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to the documents of ``sf_dir``, each to the written result of the one before."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, apply in STAGES:
-        docs = stage(apply(spark, docs, sf_dir), name)
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
