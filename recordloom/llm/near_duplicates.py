@@ -47,8 +47,8 @@ STAR_BLOCK, BUCKET_BLOCK = 256, 1024
 #: How far below the threshold a sketch's estimate may be before the pair is ruled out.
 MARGIN = 0.13
 EMPTY = U(0xFFFFFFFFFFFFFFFF)
-#: What tells sets apart; parts of a class of equal sets; labels that may be broadcast (16 MB).
-SET, SALTS, MOST_BROADCAST = ["d1", "d2", "n_shingles"], 256, 1_000_000
+#: What tells sets apart; parts of a class of equal sets.
+SET, SALTS = ["d1", "d2", "n_shingles"], 256
 
 
 def shingle_sets(words: Words, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -184,12 +184,11 @@ def components(edges: DataFrame) -> DataFrame:
     label = stage(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp")), "labels")
     while True:
         heard = both.join(label, both.b == label.node).groupBy(F.col("a").alias("n")).agg(F.min("comp").alias("heard"))
-        near = stage(label.join(heard, label.node == heard.n, "left").select("node", F.col("comp").alias("old"), F.least("comp", F.coalesce("heard", "comp")).alias("comp")), "heard")
-        # a label of many nodes is looked up once: only labels that have a lesser label themselves are joined back
-        tops = near.select(F.col("comp").alias("up")).distinct().join(near.select("node", F.col("comp").alias("top")), F.col("up") == F.col("node")).filter("top < up").select("up", "top")
-        tops = stage(tops, "tops")
-        few = tops.count() <= MOST_BROADCAST
-        new = stage(near.join(F.broadcast(tops) if few else tops, near.comp == tops.up, "left").select("node", "old", F.coalesce("top", "comp").alias("comp")), "labels")
+        near = label.join(heard, label.node == heard.n, "left").select("node", F.col("comp").alias("old"), F.least("comp", F.coalesce("heard", "comp")).alias("comp"))
+        # a label of many nodes is looked up once, and only those that have a lesser label themselves are joined back
+        own = label.select(F.col("node").alias("up"), F.col("comp").alias("top")).filter("top < up")
+        tops = near.select(F.col("comp").alias("used")).distinct().join(own, F.col("used") == F.col("up")).select("up", "top")
+        new = stage(near.join(tops, near.comp == tops.up, "left").select("node", "old", F.coalesce("top", "comp").alias("comp")), "labels")
         if new.filter("comp <> old").limit(1).count() == 0:
             return new.select("node", "comp")
         label = new.select("node", "comp")

@@ -72,9 +72,8 @@ def test_odd_tables(spark, docs, clash, empty, rows):
     assert len(N.near_duplicates(again).collect()) == 4
 
 
-def test_one_large_class_and_one_large_component(spark, monkeypatch):
+def test_one_large_class_and_one_large_component(spark):
     """100,000 rows: copies of one text, versions of another, and odd ones; everything lands in its group."""
-    monkeypatch.setattr(N, "MOST_BROADCAST", 0)
     base = [f"w{k}" for k in range(40)]
     text = lambda k: " ".join(base) if k % 50 else " ".join(base[:20] + [f"v{k}"] + base[20:]) if k % 100 else f"alone {k} " * 3
     docs = spark.createDataFrame([(k, text(k)) for k in range(100_000)], "doc_id long, text string")
