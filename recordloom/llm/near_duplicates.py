@@ -185,10 +185,8 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         heard = both.join(label, both.b == label.node).groupBy(F.col("a").alias("n")).agg(F.min("comp").alias("heard"))
         near = label.join(heard, label.node == heard.n, "left").select("node", F.col("comp").alias("old"), F.least("comp", F.coalesce("heard", "comp")).alias("comp"))
-        # a label of many nodes is looked up once, and only those that have a lesser label themselves are joined back
-        own = label.select(F.col("node").alias("up"), F.col("comp").alias("top")).filter("top < up")
-        tops = near.select(F.col("comp").alias("used")).distinct().join(own, F.col("used") == F.col("up")).select("up", "top")
-        new = stage(near.join(tops, near.comp == tops.up, "left").select("node", "old", F.coalesce("top", "comp").alias("comp")), "labels")
+        up = label.select(F.col("node").alias("up"), F.col("comp").alias("top"))  # joined as is: Spark splits the rows of a label of many nodes
+        new = stage(near.join(up, near.comp == up.up, "left").select("node", "old", F.least("comp", F.coalesce("top", "comp")).alias("comp")), "labels")
         if new.filter("comp <> old").limit(1).count() == 0:
             return new.select("node", "comp")
         label = new.select("node", "comp")
