@@ -13,25 +13,51 @@ from pyspark.sql import functions as F
 DIFFERENT = {0x15: 0x0A, 0x25: 0x85, 0x5F: 0x5E, 0xAD: 0x5B, 0xB0: 0xAC, 0xBA: 0xDD, 0xBB: 0xA8, 0xBD: 0x5D}
 EBCDIC_1047 = "".join(chr(DIFFERENT.get(b, ord(bytes([b]).decode("cp037")))) for b in range(256))
 LATIN_1 = "".join(map(chr, range(256)))
+#: The characters of Latin-1 whose low half is a digit, zone by zone.
+ZONED = "".join(chr(16 * z + k) for z in range(16) for k in range(10))
 #: Overpunched last characters of +0..+9 and -0..-9.
 PLUS, MINUS = "{ABCDEFGHI", "}JKLMNOPQR"
 
 
-def _scaled(digits: Column, precision: int, scale: int) -> Column:
-    """A string of digits as decimal(precision, scale)."""
-    whole = digits.cast(f"decimal({max(precision, 1)},0)")
-    return (whole * F.lit(f"1e-{scale}").cast(f"decimal({scale},{scale})")).cast(f"decimal({precision},{scale})") if scale else whole
+def _zeros(text: Column, width: int) -> Column:
+    """The last ``width`` characters, zero-padded on the left."""
+    return F.right(F.concat(F.lit("0" * width), text), F.lit(width))
 
 
-def _unscaled(value: Column, scale: int) -> Column:
-    """The value times 10^scale as decimal(38, 0), truncated toward zero."""
-    scaled = value.cast("decimal(31,7)") * F.lit(10**scale).cast("decimal(10,0)") if scale else value
-    return F.when(value < 0, F.ceil(scaled)).otherwise(F.floor(scaled)).cast("decimal(38,0)")
+def _scaled(digits: Column, precision: int, scale: int, negative: Column | None = None) -> Column:
+    """A string of digits as decimal(precision, scale). Every argument is used once, so nothing is worked out twice."""
+    precision = max(precision, scale, 1)
+    sign = [F.when(negative, "-").otherwise("")] if negative is not None else []
+    text = _zeros(digits, precision)
+    body = [F.overlay(text, F.lit("."), F.lit(precision - scale + 1), F.lit(0))] if scale else [text]
+    return F.concat(*sign, *body).cast(f"decimal({precision},{scale})")
 
 
-def _digits(value: Column, scale: int, width: int) -> Column:
-    """The low-order ``width`` digits of |value| * 10^scale, zero-padded."""
-    return F.right(F.lpad(F.abs(_unscaled(value, scale)).cast("string"), 40, "0"), F.lit(width))
+def _digits(value: Column, scale: int, width: int, exact: bool = False) -> Column:
+    """The low-order ``width`` digits of |value| * 10^scale, zero-padded; fractions beyond the scale are truncated.
+
+    exact: the value is a decimal of just this scale, so there is nothing to cut.
+    """
+    size = F.abs(value) if exact else F.floor(F.abs(value), F.lit(scale)).cast(f"decimal(38,{scale})")
+    if scale < 7:
+        text = size.cast("string")
+        return _zeros(F.replace(text, F.lit("."), F.lit("")) if scale else text, width)
+    whole = max(width - scale, 0)  # a leading one keeps small numbers out of scientific notation
+    one = F.lit("1" + "0" * whole).cast(f"decimal({whole + 1},0)")
+    return F.right(F.replace(((size % one).cast(f"decimal({whole + scale + 1},{scale})") + one).cast("string"), F.lit("."), F.lit("")), F.lit(width))
+
+
+def _is_negative(value: Column, scale: int, exact: bool = False) -> Column:
+    """Whether the value is below zero after truncation to the scale."""
+    return (value if exact else F.ceil(value, F.lit(scale))) < 0
+
+
+def _unscaled(value: Column, scale: int, exact: bool = False) -> Column:
+    """The value times 10^scale as a long, truncated toward zero."""
+    if not scale:
+        return value.cast("long")
+    digits = _digits(value, scale, 18, exact).cast("long")
+    return F.when(value < 0, -digits).otherwise(digits)
 
 
 def packed_length(digits: int) -> int:
@@ -41,29 +67,32 @@ def packed_length(digits: int) -> int:
 def decode_packed(data: Column, digits: int, scale: int = 0) -> Column:
     """COMP-3: two digits a byte, the sign in the last half-byte; only D is negative; no bytes are zero."""
     text = F.hex(data)
-    body = F.when(F.length(text) > 0, F.substr(text, F.lit(1), F.length(text) - 1)).otherwise("0")
-    number = _scaled(F.right(body, F.lit(digits)), digits, scale)
-    return F.when(F.endswith(text, F.lit("D")), -number).otherwise(number).cast(f"decimal({digits},{scale})")
+    return _scaled(F.substr(text, F.lit(-digits - 1), F.lit(digits)), digits, scale, F.endswith(text, F.lit("D")))
 
 
-def encode_packed(value: Column, digits: int, scale: int = 0) -> Column:
+def encode_packed(value: Column, digits: int, scale: int = 0, exact: bool = False) -> Column:
     """COMP-3 bytes; the sign is C or D; fractions beyond the scale are truncated."""
     width = packed_length(digits) * 2 - 1
-    sign = F.when((value < 0) & (_unscaled(value, scale) != 0), "D").otherwise("C")
-    return F.unhex(F.concat(F.lpad(_digits(value, scale, digits), width, "0"), sign))
+    sign = F.when(_is_negative(value, scale, exact), "D").otherwise("C")
+    return F.unhex(F.concat(_zeros(_digits(value, scale, digits, exact), width), sign))
 
 
 def decode_binary(data: Column, size: int, signed: bool = True, scale: int = 0, digits: int = 18) -> Column:
     """Big-endian integer of 1 to 8 bytes."""
-    unsigned = F.conv(F.hex(data), 16, 10).cast("decimal(20,0)")
-    big = lambda bits: F.lit(str(2**bits)).cast("decimal(20,0)")
-    number = F.when(unsigned >= big(8 * size - 1), unsigned - big(8 * size)).otherwise(unsigned) if signed else unsigned
-    return _scaled(number.cast("string"), digits, scale) if scale else number.cast("long")
-
-
-def encode_binary(value: Column, size: int, scale: int = 0) -> Column:
+    text = _zeros(F.hex(data), 2 * size)
+    if size == 8 and not signed:
+        number = F.conv(text, 16, 10).cast("decimal(20,0)")
+    else:  # at the left end of eight bytes, then shifted back
+        shift = F.shiftright if signed else F.shiftrightunsigned
+        number = shift(F.conv(F.rpad(text, 16, "0"), 16, -10).cast("long"), 64 - 8 * size)
+    if not scale:
+        return number.cast("long")
+    return _scaled(F.replace(number.cast("string"), F.lit("-"), F.lit("")), max(digits, 19), scale, number < 0).cast(f"decimal({digits},{scale})")
+
+
+def encode_binary(value: Column, size: int, scale: int = 0, exact: bool = False) -> Column:
     """Big-endian bytes; a value that is too large wraps."""
-    return F.unhex(F.right(F.lpad(F.hex(_unscaled(value, scale).cast("long")), 16, "0"), F.lit(2 * size)))
+    return F.unhex(F.right(F.lpad(F.hex(_unscaled(value, scale, exact)), 16, "0"), F.lit(2 * size)))
 
 
 def decode_float(data: Column, size: int) -> Column:
@@ -80,20 +109,20 @@ def decode_float(data: Column, size: int) -> Column:
 
 def decode_zoned(data: Column, digits: int, scale: int = 0, signed: bool = True) -> Column:
     """A digit a byte in the low half; a last zone of D is negative if signed. ASCII and EBCDIC digits alike."""
-    text = F.hex(data)
-    body = F.regexp_replace(text, "(.)(.)", "$2")
-    number = _scaled(F.when(body == "", "0").otherwise(F.right(body, F.lit(digits))), digits, scale)
-    if not signed:
-        return number
-    return F.when(F.substr(text, F.length(text) - 1, F.lit(1)) == "D", -number).otherwise(number).cast(f"decimal({digits},{scale})")
+    body = F.right(F.translate(F.decode(data, "ISO-8859-1"), ZONED, "0123456789" * 16), F.lit(digits))
+    negative = F.startswith(F.hex(F.substr(data, F.lit(-1), F.lit(1))), F.lit("D")) if signed else None
+    return _scaled(body, digits, scale, negative)
 
 
-def encode_zoned(value: Column, digits: int, scale: int = 0, signed: bool = True) -> Column:
-    """EBCDIC digits; the last zone is C or D if signed, else F."""
-    text = _digits(value, scale, digits)
-    zones = F.regexp_replace(text, "(.)", "F$1")
-    sign = F.when((value < 0) & (_unscaled(value, scale) != 0), "D").otherwise("C") if signed else F.lit("F")
-    return F.unhex(F.concat(F.left(zones, F.lit(2 * digits - 2)), sign, F.right(text, F.lit(1))))
+def encode_zoned(value: Column, digits: int, scale: int = 0, signed: bool = True, zone: int = 0xF, exact: bool = False) -> Column:
+    """Digits in ``zone`` (F: EBCDIC, 3: ASCII); the last zone is C or D if signed, else as the others."""
+    in_zone = lambda text, z: text if z == 3 else F.translate(text, "0123456789", "".join(chr(16 * z + k) for k in range(10)))
+    text = _digits(value, scale, digits, exact)
+    if not signed:
+        return F.encode(in_zone(text, zone), "ISO-8859-1")
+    last = F.right(text, F.lit(1))
+    sign = F.when(_is_negative(value, scale, exact), in_zone(last, 0xD)).otherwise(in_zone(last, 0xC))
+    return F.encode(F.concat(in_zone(F.left(text, F.lit(digits - 1)), zone), sign), "ISO-8859-1")
 
 
 def decode_overpunch(text: Column, digits: int, scale: int = 0, leading: bool = False) -> Column:
@@ -101,8 +130,7 @@ def decode_overpunch(text: Column, digits: int, scale: int = 0, leading: bool =
     mark = F.left(text, F.lit(1)) if leading else F.right(text, F.lit(1))
     rest = F.substr(text, F.lit(2)) if leading else F.left(text, F.length(text) - 1)
     digit = F.translate(mark, PLUS + MINUS, "01234567890123456789")
-    number = _scaled(F.concat(digit, rest) if leading else F.concat(rest, digit), digits, scale)
-    return F.when(F.instr(F.lit(MINUS), mark) > 0, -number).otherwise(number).cast(f"decimal({digits},{scale})")
+    return _scaled(F.concat(digit, rest) if leading else F.concat(rest, digit), digits, scale, F.instr(F.lit(MINUS), mark) > 0)
 
 
 def encode_overpunch(value: Column, digits: int, scale: int = 0, leading: bool = False) -> Column:
@@ -117,8 +145,7 @@ def decode_separate_sign(text: Column, digits: int, scale: int = 0, leading: boo
     """A sign character of its own before or after the digits."""
     mark = F.left(text, F.lit(1)) if leading else F.right(text, F.lit(1))
     body = F.substr(text, F.lit(2)) if leading else F.left(text, F.length(text) - 1)
-    number = _scaled(body, digits, scale)
-    return F.when(mark == "-", -number).otherwise(number).cast(f"decimal({digits},{scale})")
+    return _scaled(body, digits, scale, mark == "-")
 
 
 def encode_separate_sign(value: Column, digits: int, scale: int = 0, leading: bool = True) -> Column:

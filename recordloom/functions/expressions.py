@@ -295,17 +295,28 @@ def string_overflow(parts: Sequence[tuple[Column, str | None]], size: int, point
     return F.length(string_into(parts)) > size - (pointer - 1)
 
 
-def unstring(text: Column, delimiters: Sequence[str], targets: int, all_: bool = False) -> dict[str, Column]:
-    """UNSTRING: fields ("" if missing), their delimiters and counts, and the number of fields filled."""
+def unstring(text: Column, delimiters: Sequence[str], targets: int, all_: bool = False, pointer: Column | None = None) -> dict[str, Column]:
+    """UNSTRING: fields ("" if missing), their delimiters and counts, and the number of fields filled.
+
+    With a pointer (from 1) the scan begins there; ``pointer`` is then the place after what was taken, and ``overflow``
+    tells of a pointer outside the text, which fills nothing, or of text that is left.
+    """
     pattern = "|".join(f"(?:{_quoted(d)})" + ("+" if all_ else "") for d in delimiters)
-    parts = F.split(text, pattern)
-    marks = F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))
+    fits = pointer.between(1, F.length(text)) if pointer is not None else F.lit(True)
+    rest = text if pointer is None else F.when(fits, F.substr(text, pointer))
+    parts = F.split(rest, pattern)
+    marks = F.regexp_extract_all(rest, F.lit(f"({pattern})"), F.lit(1))
     out = {}
     for k in range(targets):
         out[f"field_{k + 1}"] = F.coalesce(F.get(parts, F.lit(k)), F.lit(""))
         out[f"delimiter_{k + 1}"] = F.coalesce(F.get(marks, F.lit(k)), F.lit(""))
         out[f"count_{k + 1}"] = F.length(out[f"field_{k + 1}"]).cast("long")
-    return out | {"tally": F.least(F.size(parts), F.lit(targets)).cast("long")}
+    out["tally"] = F.least(F.coalesce(F.size(parts), F.lit(0)), F.lit(targets)).cast("long") if pointer is None else F.when(fits, F.least(F.size(parts), F.lit(targets))).otherwise(0).cast("long")
+    if pointer is not None:
+        taken = sum((out[f"count_{k + 1}"] + F.length(out[f"delimiter_{k + 1}"]) for k in range(targets)), F.lit(0))
+        out["pointer"] = (pointer + F.when(fits, taken).otherwise(0)).cast("long")
+        out["overflow"] = ~fits | (F.size(parts) > targets)
+    return out
 
 
 def to_display(value: Column, size: int) -> Column:

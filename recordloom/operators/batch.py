@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from recordloom.sources.staged import numbered, settled
+
 
 def signed_amount(kind: Column, amount: Column) -> Column:
     """Deposits and interest count up, withdrawals and fees down, anything else not at all."""
@@ -44,19 +46,30 @@ def control_break(df: DataFrame, levels: Sequence[str], amount: Column) -> DataF
 
 
 def break_flags(df: DataFrame, levels: Sequence[str], order: Sequence[str], within: str) -> DataFrame:
-    """Whether each row starts a new value of each level, in ``order`` within partitions of ``within``."""
-    w = Window.partitionBy(within).orderBy(*order)
-    out, above = df, F.row_number().over(w) == 1
+    """Whether each row starts a new value of each level, in ``order`` within values of ``within``.
+
+    Rows are dealt by ranges of the order, however many rows one value of ``within`` has; the first row of a range is
+    held against the last one of the range before.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = settled(df.repartitionByRange(n, within, *order).withColumn("_p", F.spark_partition_id()))
+    last = ranged.groupBy(F.col(within).alias("_w"), F.col("_p").alias("_q")).agg(F.max_by(F.struct(*[F.col(c).alias(c) for c in levels]), F.struct(*order)).alias("_end"))
+    ends = last.withColumn("_end", F.lag("_end").over(Window.partitionBy("_w").orderBy("_q")))  # a row for each range
+    joined = ranged.join(ends, F.col(within).eqNullSafe(F.col("_w")) & (F.col("_p") == F.col("_q")))
+    w = Window.partitionBy(within, "_p").orderBy(*order)
+    before = F.coalesce(F.lag(F.struct(*levels)).over(w), F.col("_end"))
+    out = joined.withColumn("_before", before)
+    above = F.col("_before").isNull()
     for level in levels:
-        above = above | ~F.col(level).eqNullSafe(F.lag(level).over(w))
+        above = above | ~F.col(level).eqNullSafe(F.col("_before")[level])
         out = out.withColumn(f"{level}_break", above)
-    return out
+    return out.select(*df.columns, *[f"{level}_break" for level in levels])
 
 
 def page_numbers(df: DataFrame, within: str, order: Sequence[str], per_page: int = 55) -> DataFrame:
-    """Line and page number of each row; numbering starts anew in each ``within``."""
-    rn = F.row_number().over(Window.partitionBy(within).orderBy(*order))
-    return df.withColumn("line", (F.pmod(rn - 1, F.lit(per_page)) + 1).cast("long")).withColumn("page", (F.floor((rn - 1) / per_page) + 1).cast("long"))
+    """Line and page number of each row; numbering starts anew in each ``within``, whatever its share of the rows."""
+    rn = F.col("_line")
+    return numbered(df, order, "_line", [within]).select(*df.columns, (F.pmod(rn - 1, F.lit(per_page)) + 1).cast("long").alias("line"), (F.floor((rn - 1) / per_page) + 1).cast("long").alias("page"))
 
 
 def running_balance(df: DataFrame, key: str, order: Sequence[str], amount: Column) -> DataFrame:
@@ -71,13 +84,8 @@ def commit_groups(df: DataFrame, within: str, order: Sequence[str], every: int)
 
 
 def commit_groups_global(df: DataFrame, order: str, every: int) -> DataFrame:
-    """Commit numbers over a total order, without one task for all rows: range partitions, then offsets of their sizes."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, order).withColumn("_p", F.spark_partition_id())
-    sizes = ranged.groupBy("_p").count()
-    base = sizes.select("_p", F.coalesce(F.sum("count").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
-    rn = F.row_number().over(Window.partitionBy("_p").orderBy(order)) + F.col("_base")
-    return ranged.join(F.broadcast(base), "_p").withColumn("commit_group", F.floor((rn - 1) / every).cast("long")).drop("_p", "_base")  # a row for each partition
+    """Commit numbers over a total order, without one task for all rows."""
+    return numbered(df, [order], "_rn").select(*df.columns, F.floor((F.col("_rn") - 1) / every).cast("long").alias("commit_group"))
 
 
 def validate(df: DataFrame, rules: Sequence[tuple[str, str, str, Column]], most: int = 20) -> DataFrame:
@@ -134,3 +142,21 @@ def progress(df: DataFrame, within: str, order: Sequence[str]) -> DataFrame:
     """The rounded percentage of a partition's rows done after each row."""
     w = Window.partitionBy(within)
     return df.withColumn("percent", F.round(F.row_number().over(w.orderBy(*order)) * 100.0 / F.count(F.lit(1)).over(w)).cast("long"))
+
+
+def publish_groups(df: DataFrame, path: str, group: str = "commit_group") -> DataFrame:
+    """Write each commit group as a part of its own of the table at ``path``, and give the table. Groups that are there
+    already were committed by an earlier run and are left alone, so a restart goes on after the last one."""
+    from recordloom.sources.files import exists
+
+    spark = df.sparkSession
+    if exists(spark, f"{path}/{group}=*"):
+        done = spark.read.parquet(path).select(F.col(group).alias("_g")).distinct()
+        df = df.join(done, F.col(group) == F.col("_g"), "left_anti")
+    df.repartition(group).write.mode("append").partitionBy(group).parquet(path)
+    return spark.read.parquet(path)
+
+
+def run_summary(df: DataFrame, success: Column) -> DataFrame:
+    """One row: total, success, failed."""
+    return df.agg(F.count(F.lit(1)).alias("total"), F.count_if(success).alias("success"), F.count_if(~F.coalesce(success, F.lit(False))).alias("failed"))

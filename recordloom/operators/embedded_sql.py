@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator, Mapping
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -158,16 +159,16 @@ class Cursor:
     """Forward fetches over a frame, a partition at a time on the driver."""
 
     def __init__(self, df: DataFrame):
-        self.df, self.rows, self.fetched = df, None, 0
+        self.df, self.rows, self.fetched, self.current = df, None, 0, None
 
     def open(self) -> Outcome:
-        self.rows, self.fetched = self.df.toLocalIterator(), 0
+        self.rows, self.fetched, self.current = self.df.toLocalIterator(), 0, None
         return Outcome()
 
     def fetch(self) -> Outcome:
         if self.rows is None:
             return Outcome(None, -501, "24000")
-        row = next(self.rows, None)
+        self.current = row = next(self.rows, None)
         if row is None:
             return Outcome(None, 100, "02000")
         self.fetched += 1
@@ -176,9 +177,15 @@ class Cursor:
     def close(self) -> Outcome:
         if self.rows is None:
             return Outcome(None, -501, "24000")
-        self.rows = None
+        self.rows = self.current = None
         return Outcome()
 
+    def where_current(self, keys: list[str]) -> Column | None:
+        """WHERE CURRENT OF, as a condition on the keys of the row fetched last; None before a fetch and after the end."""
+        if self.current is None:
+            return None
+        return reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.lit(self.current[k])) for k in keys])
+
     def __iter__(self) -> Iterator[Row]:
         while (one := self.fetch()).is_success:
             yield one.value
@@ -220,6 +227,15 @@ class Transaction:
         counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
         return params.join(counts, key, "left").select(key, F.coalesce("n", F.lit(0)).alias("updated"))
 
+    def update_current(self, name: str, cursor: Cursor, keys: list[str], values: Mapping[str, Column]) -> Outcome:
+        """UPDATE … WHERE CURRENT OF; -508 if the cursor is on no row."""
+        where = cursor.where_current(keys)
+        return Outcome(None, -508, "24504") if where is None else self.update(name, values, where)
+
+    def delete_current(self, name: str, cursor: Cursor, keys: list[str]) -> Outcome:
+        where = cursor.where_current(keys)
+        return Outcome(None, -508, "24504") if where is None else self.delete(name, where)
+
     def savepoint(self, name: str) -> None:
         self.savepoints[name] = dict(self.staged)
 

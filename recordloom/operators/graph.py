@@ -1,25 +1,16 @@
 """The dependency graph as two frames, nodes(name, type) and edges(src, dst, type), and its queries.
 
 Traversals are frontier joins over DataFrames: each round joins the frontier with the edges, drops what is known, and
-cuts its lineage with checkpoint() every few rounds where the session has a checkpoint folder. Order-dependent results
-take names in ascending order.
+writes what is new to the shared folder: that cuts lineage, and small frontiers and graphs are broadcast as their sizes are
+known. Order-dependent results take names in ascending order.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def settled(df: DataFrame) -> DataFrame:
-    """Materialised, with its lineage cut if the session names a checkpoint folder."""
-    context = df.sparkSession.sparkContext
-    named = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    if named and not context.getCheckpointDir():
-        context.setCheckpointDir(named)
-    if context.getCheckpointDir():
-        return df.checkpoint()
-    return df.cache()
+from recordloom.sources.staged import numbered, settled
 
 
 def edges_of(programs: DataFrame) -> DataFrame:
@@ -72,14 +63,13 @@ def lookup(edges: DataFrame, name: str) -> DataFrame:
 def levels(edges: DataFrame, roots: DataFrame, most: int = 10_000) -> DataFrame:
     """(name, level): the fewest edges from a root. roots: name."""
     pairs = settled(edges.select("src", "dst").distinct())
-    seen = settled(roots.select("name").distinct().withColumn("level", F.lit(0)))
-    frontier = seen
+    seen = frontier = settled(roots.select("name").distinct().withColumn("level", F.lit(0)))
     for level in range(1, most):
-        new = frontier.join(pairs, frontier.name == pairs.src).select(F.col("dst").alias("name")).distinct().join(seen.select("name"), "name", "left_anti").withColumn("level", F.lit(level))
-        frontier = settled(new)
+        reached = frontier.join(pairs, frontier.name == pairs.src).select(F.col("dst").alias("name")).distinct()
+        frontier = settled(reached.join(seen.select("name"), "name", "left_anti").withColumn("level", F.lit(level)))
         if frontier.isEmpty():
             return seen
-        seen = settled(seen.unionByName(frontier)) if level % 4 == 0 else seen.unionByName(frontier)
+        seen = seen.unionByName(frontier) if level % 16 else settled(seen.unionByName(frontier))
     raise RuntimeError("no end after the most rounds")
 
 
@@ -91,26 +81,30 @@ def topological_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(name, level): callers have lower levels than what they call. Raises on a cycle."""
     pairs = settled(edges.select("src", "dst").distinct())
     left = settled(nodes.select("name").union(pairs.select("src")).union(pairs.select("dst")).distinct())
-    done, level = None, 0
-    while not left.isEmpty():
-        inner = pairs.join(left, pairs.src == left.name, "left_semi")
-        ready = settled(left.join(inner.select(F.col("dst").alias("name")).distinct(), "name", "left_anti").withColumn("level", F.lit(level)))
-        if ready.isEmpty():
+    done, level = left.withColumn("level", F.lit(0)).limit(0), 0
+    while True:
+        # a node is ready if none that is left calls it; the others stay
+        inner = pairs.join(left, pairs.src == left.name, "left_semi").select(F.col("dst").alias("name")).distinct().withColumn("waits", F.lit(True))
+        both = settled(left.join(inner, "name", "left"))
+        n, waiting = both.agg(F.count(F.lit(1)), F.count("waits")).first()
+        if n and n == waiting:
             raise ValueError("the graph has a cycle")
-        done = ready if done is None else done.unionByName(ready)
-        left = settled(left.join(ready.select("name"), "name", "left_anti"))
-        level += 1
-    return done if done is not None else nodes.select("name").withColumn("level", F.lit(0)).limit(0)
+        done = done.unionByName(both.filter("waits is null").select("name", F.lit(level).alias("level")))
+        if not waiting:
+            return done
+        left, level = both.filter("waits").select("name"), level + 1
 
 
 def on_cycles(edges: DataFrame) -> DataFrame:
     """(name): nodes left after those without callers, and those without callees, are taken away again and again —
     every cycle and what lies between cycles."""
     pairs = settled(edges.select("src", "dst").distinct())
+    n = pairs.count()
     while True:
         kept = pairs.join(pairs.select(F.col("dst").alias("k")).distinct(), F.col("src") == F.col("k"), "left_semi").join(pairs.select(F.col("src").alias("k")).distinct(), F.col("dst") == F.col("k"), "left_semi")
-        kept = settled(kept)
-        if kept.count() == pairs.count():
+        kept, before = settled(kept), n
+        n = kept.count()
+        if n == before:
             return kept.select(F.col("src").alias("name")).union(kept.select("dst")).distinct()
         pairs = kept
 
@@ -181,22 +175,17 @@ def hierarchical_layout(nodes: DataFrame, edges: DataFrame, level_gap: int = 250
     placed = levels(calls, entry_programs(nodes, edges))
     below = placed.agg(F.coalesce(F.max("level") + 1, F.lit(0)).alias("below")).first()[0]
     every = nodes.select("name").join(placed, "name", "left").withColumn("level", F.coalesce("level", F.lit(below)))
-    w = Window.partitionBy("level").orderBy("name")
-    width = F.count(F.lit(1)).over(Window.partitionBy("level"))
-    index = F.row_number().over(w) - 1
-    return every.select("name", "level", (index * node_gap - (width - 1) * node_gap / 2).alias("x"), (F.col("level") * level_gap).cast("double").alias("y"))
+    width = every.groupBy("level").agg(F.count(F.lit(1)).alias("width"))
+    placed = numbered(every.select("name", "level"), ["name"], "nth", ["level"]).join(width, "level")
+    return placed.select("name", "level", ((F.col("nth") - 1) * node_gap - (F.col("width") - 1) * node_gap / 2).alias("x"), (F.col("level") * level_gap).cast("double").alias("y"))
 
 
 def circular_layout(nodes: DataFrame) -> DataFrame:
     """(name, x, y) on a circle in the order of names. Positions come from a distributed sort, not from one task."""
     n = nodes.count()
     radius = float(max(200, n * 30))
-    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = nodes.select("name").repartitionByRange(parts, "name").withColumn("_p", F.spark_partition_id())
-    before = ranged.groupBy("_p").count().select("_p", F.coalesce(F.sum("count").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
-    k = F.row_number().over(Window.partitionBy("_p").orderBy("name")) - 1 + F.col("_base")
-    angle: Column = k * (2 * 3.141592653589793 / max(n, 1))
-    return ranged.join(F.broadcast(before), "_p").select("name", (F.cos(angle) * radius).alias("x"), (F.sin(angle) * radius).alias("y"))
+    angle: Column = (F.col("nth") - 1) * (2 * 3.141592653589793 / max(n, 1))
+    return numbered(nodes.select("name"), ["name"], "nth").select("name", (F.cos(angle) * radius).alias("x"), (F.sin(angle) * radius).alias("y"))
 
 
 def most_called(edges: DataFrame, k: int = 10) -> DataFrame:

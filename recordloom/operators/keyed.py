@@ -8,7 +8,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from recordloom.functions.expressions import condition_name  # noqa: F401  (part of this module's surface)
+from recordloom.sources.staged import numbered
+
+#: Bytes of a table that may be broadcast.
+MOST_BYTES = 64 * 1024 * 1024
 
 
 def load_last(df: DataFrame, keys: list[str], position: str) -> DataFrame:
@@ -27,20 +30,26 @@ def read_keys(requests: DataFrame, store: DataFrame, keys: list[str]) -> DataFra
     return requests.join(found, keys, "left").withColumn("file_status", F.when(F.col("_hit"), "00").otherwise("23")).drop("_hit")
 
 
-def insert(store: DataFrame, rows: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(new store, rows with file_status 00 or 22)."""
-    known = store.select(*keys).withColumn("_hit", F.lit(True))
-    judged = rows.join(known, keys, "left").withColumn("file_status", F.when(F.col("_hit"), "22").otherwise("00")).drop("_hit")
+def insert(store: DataFrame, rows: DataFrame, keys: list[str], sequence: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(new store, rows with file_status 00 or 22). Of rows with one key the first is stored, and the others are
+    duplicates: the first by ``sequence``, or by all other columns."""
+    known = store.select(*keys).distinct().withColumn("_hit", F.lit(True))
+    order = [sequence] if sequence else [c for c in rows.columns if c not in keys] or keys
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    judged = rows.withColumn("_nth", nth).join(known, keys, "left")
+    judged = judged.withColumn("file_status", F.when(F.col("_hit") | (F.col("_nth") > 1), "22").otherwise("00")).drop("_hit", "_nth")
     accepted = judged.filter("file_status = '00'").drop("file_status")
     return store.unionByName(accepted.select(*store.columns)), judged
 
 
-def update(store: DataFrame, changes: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(new store with the changed columns, changes with file_status 00 or 23). One change a key at most."""
-    columns = [c for c in changes.columns if c not in keys]
-    changed = changes.select(*keys, F.struct(*columns).alias("_new"))
-    new = store.join(changed, keys, "left").select(*[F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in store.columns])
-    return new, read_keys(changes, store.select(*keys), keys)
+def update(store: DataFrame, changes: DataFrame, keys: list[str], sequence: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(new store with the changed columns, changes with file_status 00 or 23). Of changes of one key the last counts:
+    by ``sequence``, which is no column of the store, or by the changed values."""
+    columns = [c for c in changes.columns if c not in keys and c != sequence]
+    new = F.struct(*columns)
+    changed = changes.groupBy(*keys).agg(F.max_by(new, sequence).alias("_new") if sequence else F.max(new).alias("_new"))
+    values = [F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in store.columns]
+    return store.join(changed, keys, "left").select(*values), read_keys(changes, store.select(*keys).distinct(), keys)
 
 
 def delete(store: DataFrame, requests: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -66,11 +75,14 @@ def read_previous(store: DataFrame, key: str, n: int = 1, before: object | None
 
 
 def fetch(rows: DataFrame, order: list[str], position: int, relative_to: int = 0) -> DataFrame:
-    """FETCH ABSOLUTE (or RELATIVE to a position); negative positions count from the end. Ordered top-k, no full window."""
+    """FETCH ABSOLUTE (or RELATIVE to a position); negative positions count from the end. Near positions are an ordered
+    top-k; others are found in rows that are numbered range by range."""
     at = position + relative_to
     if at == 0:
         return rows.limit(0)
-    by = [F.col(c) for c in order] if at > 0 else [F.desc(c) for c in order]
+    by = [F.col(c) if at > 0 else F.desc(c) for c in order]
+    if abs(at) > 10_000:
+        return numbered(rows, by, "_rn").filter(F.col("_rn") == abs(at)).drop("_rn")
     head = rows.orderBy(*by).limit(abs(at))
     return head.withColumn("_rn", F.row_number().over(Window.orderBy(*by))).filter(F.col("_rn") == abs(at)).drop("_rn")
 
@@ -103,12 +115,27 @@ def maintain(store: DataFrame, transactions: DataFrame, key: str, sequence: str,
     return new.select(*columns), tx.select(*transactions.columns, "file_status")
 
 
-def lookup(rows: DataFrame, table: DataFrame, on: list[str], most_rows: int = 1_000_000) -> DataFrame:
-    """SEARCH ALL: a left join with a table; it is broadcast only if a count shows that it is small."""
-    small = table.limit(most_rows + 1).count() <= most_rows
+def lookup(rows: DataFrame, table: DataFrame, on: list[str], most_bytes: int = MOST_BYTES) -> DataFrame:
+    """SEARCH ALL: a left join with a table; it is broadcast only if its values are counted to be small."""
+    wide = {f.name for f in table.schema if f.dataType.typeName() in ("string", "binary")}
+    if any(f.dataType.typeName() in ("array", "map", "struct") for f in table.schema):
+        return rows.join(table, on, "left")  # left to the planner
+    size = sum((F.coalesce(F.octet_length(c), F.lit(0)) + 16 if c in wide else F.lit(16) for c in table.columns), F.lit(16))
+    small = (table.agg(F.sum(size)).first()[0] or 0) <= most_bytes
     return rows.join(F.broadcast(table) if small else table, on, "left")
 
 
+def alternate_read(store: DataFrame, alternates: list[str], requests: DataFrame, key: str) -> DataFrame:
+    """READ by an alternate key with duplicates: every request with all rows that have its alternate key, numbered in
+    the order of the prime key, and file_status 00, 02 (another follows) or 23."""
+    other = [c for c in store.columns if c not in alternates]
+    found = requests.join(store.select(*alternates, *other).withColumn("_hit", F.lit(True)), alternates, "left")
+    w = Window.partitionBy(*requests.columns).orderBy(key)
+    more = F.lead("_hit").over(w).isNotNull()
+    status = F.when(F.col("_hit").isNull(), "23").when(more, "02").otherwise("00")
+    return found.withColumn("duplicate", F.row_number().over(w)).withColumn("file_status", status).drop("_hit")
+
+
 def search(array: Column, test: object) -> Column:
     """SEARCH: the first element of an array that passes; null (AT END) if none does."""
     return F.get(F.filter(array, test), F.lit(0))

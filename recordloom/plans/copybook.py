@@ -239,6 +239,10 @@ def flatten(spark: SparkSession, roots: list[Item]) -> DataFrame:
     return spark.createDataFrame(rows, "position int, path string, level int, picture string, usage string, offset int, length int, occurs int")
 
 
+#: Occurrences of a table that are written out one by one.
+UNROLLED = 64
+
+
 def column_name(name: str) -> str:
     return name.lower().replace("-", "_")
 
@@ -284,14 +288,17 @@ def spark_type(item: Item) -> str:
 
 def _reading(item: Item, record: Column, base: Column | int, ebcdic: bool) -> Column:
     """The item at byte offset ``base`` of the record."""
-    base = F.lit(base) if isinstance(base, int) else base
     if item.occurs > 1:
         one = Item(**{**item.__dict__, "occurs": 1})
+        if item.occurs <= UNROLLED:  # stays in generated code
+            return F.array(*[_reading(one, record, base + k * item.size, ebcdic) for k in range(item.occurs)])
         count = F.lit(item.occurs)
-        return F.transform(F.sequence(F.lit(0), count - 1), lambda k: _reading(one, record, base + k * item.size, ebcdic))
+        begin = F.lit(base) if isinstance(base, int) else base
+        return F.transform(F.sequence(F.lit(0), count - 1), lambda k: _reading(one, record, begin + k * item.size, ebcdic))
     if item.children:
         return F.struct(*[_reading(c, record, base + (c.offset - item.offset), ebcdic).alias(column_name(c.name)) for c in item.children if not c.renames])
-    return _decode(item, F.substr(record, base + 1, F.lit(item.size)), ebcdic)
+    at = F.lit(base + 1) if isinstance(base, int) else base + 1
+    return _decode(item, F.substr(record, at, F.lit(item.size)), ebcdic)
 
 
 def decode(df: DataFrame, root: Item, record: str = "record", ebcdic: bool = False) -> DataFrame:
@@ -315,6 +322,10 @@ def _bytes(item: Item, value: Column, ebcdic: bool) -> Column:
     p, usage = item.picture, item.usage
     if item.occurs > 1:
         one = Item(**{**item.__dict__, "occurs": 1})
+        if item.occurs <= UNROLLED:
+            every = F.concat(*[_bytes(one, F.get(value, F.lit(k)), ebcdic) for k in range(item.occurs)])
+            there = F.substr(every, F.lit(1), F.size(value) * item.size)  # bytes of zero for what is not there
+            return F.when(value.isNotNull(), F.call_function("rpad", there, F.lit(item.size * item.occurs), F.lit(b"\0")))
         hexes = F.transform(value, lambda v: F.hex(_bytes(one, v, ebcdic)))
         return F.unhex(F.rpad(F.array_join(hexes, ""), 2 * item.size * item.occurs, "0"))
     if item.children:
@@ -324,15 +335,14 @@ def _bytes(item: Item, value: Column, ebcdic: bool) -> Column:
         return text(codecs.justified_right(F.coalesce(value, F.lit("")), item.size) if item.justified else F.coalesce(value, F.lit("")))
     number = F.coalesce(value.cast(f"decimal({max(p.digits, 1)},{p.decimals})"), F.lit(0))
     if usage == "packed":
-        return codecs.encode_packed(number, p.digits, p.decimals)
+        return codecs.encode_packed(number, p.digits, p.decimals, exact=True)
     if usage in ("binary", "native"):
-        return codecs.encode_binary(number, item.size, p.decimals)
+        return codecs.encode_binary(number, item.size, p.decimals, exact=True)
     if item.sign and item.sign[1]:
         return text(codecs.encode_separate_sign(number, p.digits, p.decimals, item.sign[0]))
     if item.sign and item.sign[0]:
         return text(codecs.encode_overpunch(number, p.digits, p.decimals, True))
-    zoned = codecs.encode_zoned(number, p.digits, p.decimals, p.signed)
-    return zoned if ebcdic else F.unhex(F.regexp_replace(F.hex(zoned), "F(.)", "3$1"))
+    return codecs.encode_zoned(number, p.digits, p.decimals, p.signed, 0xF if ebcdic else 0x3, exact=True)
 
 
 def encode(df: DataFrame, root: Item, record: str = "record", ebcdic: bool = False) -> DataFrame:

@@ -102,9 +102,14 @@ def _(spark, d):
     return K.read_previous(store(spark, d).select("c_custkey", "c_name"), "c_custkey", 25, 100)
 
 
-@query("alternate_key_read", "SELECT c_custkey, c_name FROM customer WHERE c_mktsegment = 'BUILDING' AND c_nationkey = 3")
+@query("alternate_key_read", """WITH asked AS (SELECT DISTINCT c_mktsegment, c_nationkey FROM customer WHERE c_nationkey < 12 UNION ALL SELECT 'NOWHERE', 1)
+SELECT a.c_mktsegment, CAST(a.c_nationkey AS BIGINT) AS c_nationkey, c.c_custkey, CAST(row_number() OVER w AS INT) AS duplicate, CASE WHEN c.c_custkey IS NULL THEN '23' WHEN lead(c.c_custkey) OVER w IS NULL THEN '00' ELSE '02' END AS file_status
+FROM asked a LEFT JOIN customer c ON a.c_mktsegment = c.c_mktsegment AND a.c_nationkey = c.c_nationkey WINDOW w AS (PARTITION BY a.c_mktsegment, a.c_nationkey ORDER BY c.c_custkey)""")
 def _(spark, d):
-    return table(spark, d, "customer").filter("c_mktsegment = 'BUILDING' and c_nationkey = 3").select("c_custkey", "c_name")
+    """READ by segment and nation, an alternate key with duplicates, for all pairs of some nations and one that isn't there."""
+    rows = table(spark, d, "customer").select(F.col("c_custkey"), "c_mktsegment", F.col("c_nationkey").cast("long").alias("c_nationkey"))
+    asked = rows.filter("c_nationkey < 12").select("c_mktsegment", "c_nationkey").distinct().union(spark.createDataFrame([("NOWHERE", 1)], "c_mktsegment string, c_nationkey long"))
+    return K.alternate_read(rows, ["c_mktsegment", "c_nationkey"], asked, "c_custkey").select("c_mktsegment", "c_nationkey", "c_custkey", "duplicate", "file_status")
 
 
 @query("last_dup_wins", "SELECT o_custkey, max(o_orderkey) AS o_orderkey, arg_max(o_orderstatus, o_orderkey) AS o_orderstatus FROM orders GROUP BY o_custkey")
@@ -299,42 +304,56 @@ def _(spark, d):
 
 # ---- embedded SQL
 
+#: A statement for each order, by its key modulo 13; # is the customer's key.
 STATEMENTS = (
-    "SELECT CUST-NAME INTO :WS-NAME:WS-IND FROM CUSTOMERS WHERE CUST_ID = :WS-ID ORDER BY 1",
-    "INSERT INTO ORDERS (A, B) VALUES (:WS-A, :WS-B)",
-    "UPDATE ACCOUNTS SET BAL = BAL + :AMT WHERE ID = :WS-ID",
-    "DELETE FROM AUDIT.TRAIL WHERE D < :LIMIT-DATE",
-    "DECLARE C1 CURSOR FOR SELECT A FROM T1 JOIN T2 ON T1.X = T2.X WHERE T1.Y > 5 GROUP BY A",
-    "OPEN C1", "FETCH C1 INTO :A, :B", "CLOSE C1", "COMMIT", "ROLLBACK", "WHENEVER SQLERROR GO TO X", "SAVEPOINT S1", "MERGE INTO Z",
+    "SELECT CUST-NAME INTO :WS-NAME:WS-IND FROM CUST# WHERE CUST_ID = :WS-ID# ORDER BY 1",
+    "INSERT INTO ORD# (A, B) VALUES (:WS-A#, :WS-B)",
+    "UPDATE ACCT# SET BAL = BAL + :AMT WHERE ID = :WS-ID",
+    "DELETE FROM AUDIT.T# WHERE D < :LIMIT-DATE",
+    "DECLARE C# CURSOR FOR SELECT A FROM T# JOIN U# ON T#.X = U#.X WHERE T#.Y > # GROUP BY A",
+    "OPEN C#", "FETCH C# INTO :A, :B", "CLOSE C#", "COMMIT", "ROLLBACK", "WHENEVER SQLERROR GO TO X", "SAVEPOINT S1", "MERGE INTO Z#",
 )
 
 
-def statements(spark):
-    return spark.createDataFrame(list(enumerate(STATEMENTS)), "id int, sql string")
+def statements(spark, d):
+    orders = table(spark, d, "orders")
+    text = F.element_at(F.array(*[F.lit(s) for s in STATEMENTS]), (F.col("o_orderkey") % 13 + 1).cast("int"))
+    return orders.select("o_orderkey", F.replace(text, F.lit("#"), F.col("o_custkey").cast("string")).alias("sql"))
 
 
 def values(rows):
     return "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join("NULL" if x is None else str(x) if isinstance(x, int) else f"'{x}'" for x in r) + ")" for r in rows) + ")"
 
 
-@query("sql_classify", values(enumerate("SELECT INSERT UPDATE DELETE DECLARE_CURSOR OPEN_CURSOR FETCH CLOSE_CURSOR COMMIT ROLLBACK WHENEVER SAVEPOINT UNKNOWN".split())) + " t(id, kind)")
+def of_orders(rows, *names):
+    """SQL of the given rows (id, names) for every order whose key modulo 13 is id, with # as the customer's key."""
+    shown = ", ".join(f"replace({n}, '#', CAST(o_custkey AS VARCHAR)) AS {n}" for n in names)
+    return f"SELECT o_orderkey, {shown} FROM orders JOIN ({values(rows)} t(id, {', '.join(names)})) t ON o_orderkey % 13 = id"
+
+
+@query("sql_classify", of_orders(enumerate("SELECT INSERT UPDATE DELETE DECLARE_CURSOR OPEN_CURSOR FETCH CLOSE_CURSOR COMMIT ROLLBACK WHENEVER SAVEPOINT UNKNOWN".split()), "kind"))
+def _(spark, d):
+    return statements(spark, d).select("o_orderkey", Q.statement_type(F.col("sql")).alias("kind"))
+
+
+@query("sql_tables", of_orders([(0, "CUST#"), (1, "ORD#"), (2, "ACCT#"), (3, "AUDIT.T#"), (4, "T#"), (4, "U#"), (12, "Z#")], "name"))
 def _(spark, d):
-    return statements(spark).select("id", Q.statement_type(F.col("sql")).alias("kind"))
+    return statements(spark, d).select("o_orderkey", F.explode(Q.tables(F.col("sql"))).alias("name"))
 
 
-@query("sql_tables", values([(0, "CUSTOMERS"), (1, "ORDERS"), (2, "ACCOUNTS"), (3, "AUDIT.TRAIL"), (4, "T1"), (4, "T2"), (12, "Z")]) + " t(id, name)")
+@query("sql_host_vars", of_orders([(0, "WS-NAME", "WS-IND"), (0, "WS-ID#", None), (1, "WS-A#", None), (1, "WS-B", None), (2, "AMT", None), (2, "WS-ID", None), (3, "LIMIT-DATE", None), (6, "A", None), (6, "B", None)], "name", "indicator"))
 def _(spark, d):
-    return statements(spark).select("id", F.explode(Q.tables(F.col("sql"))).alias("name"))
+    return statements(spark, d).select("o_orderkey", F.inline(Q.host_variables(F.col("sql"))))
 
 
-@query("sql_host_vars", values([(0, "WS-NAME", "WS-IND"), (0, "WS-ID", None), (1, "WS-A", None), (1, "WS-B", None), (2, "AMT", None), (2, "WS-ID", None), (3, "LIMIT-DATE", None), (6, "A", None), (6, "B", None)]) + " t(id, name, indicator)")
+@query("sql_into_variables", of_orders([(0, "WS-NAME")], "name"))
 def _(spark, d):
-    return statements(spark).select("id", F.inline(Q.host_variables(F.col("sql"))))
+    return statements(spark, d).select("o_orderkey", F.get(Q.into_variables(F.col("sql")), F.lit(0)).alias("name")).filter("name is not null")
 
 
-@query("sql_where_cursor", values([(0, "CUST_ID = :WS-ID", None), (1, None, None), (2, "ID = :WS-ID", None), (3, "D < :LIMIT-DATE", None), (4, "T1.Y > 5", "C1"), (5, None, "C1"), (6, None, "C1"), (7, None, "C1"), (8, None, None), (9, None, None), (10, None, None), (11, None, None), (12, None, None)]) + " t(id, cond, cursor)")
+@query("sql_where_cursor", of_orders([(0, "CUST_ID = :WS-ID#", None), (1, None, None), (2, "ID = :WS-ID", None), (3, "D < :LIMIT-DATE", None), (4, "T#.Y > #", "C#"), (5, None, "C#"), (6, None, "C#"), (7, None, "C#"), (8, None, None), (9, None, None), (10, None, None), (11, None, None), (12, None, None)], "cond", "cursor"))
 def _(spark, d):
-    return statements(spark).select("id", Q.where_clause(F.col("sql")).alias("cond"), Q.cursor_name(F.col("sql")).alias("cursor"))
+    return statements(spark, d).select("o_orderkey", Q.where_clause(F.col("sql")).alias("cond"), Q.cursor_name(F.col("sql")).alias("cursor"))
 
 
 @query("select_into", "SELECT * FROM (VALUES ('one', 0, '00000'), ('none', 100, '02000'), ('many', 1, '01000'), ('strict', -811, '21000')) t(asked, sqlcode, sqlstate)")
@@ -372,10 +391,10 @@ def _(spark, d):
     return tx.published["acct"].withColumn("bal", F.col("bal").cast("double"))
 
 
-@query("sqlcode_classify", values([(0, "success", None), (100, "not_found", "No data found"), (7, "warning", None), (-803, "error", "Duplicate key"), (-1, "error", "SQL error: -1"), (200, "other", None)]) + " t(code, class, text)")
+@query("sqlcode_classify", "SELECT o_orderkey, class, text FROM orders JOIN (VALUES (0, 'success', NULL), (1, 'not_found', 'No data found'), (2, 'warning', NULL), (3, 'error', 'Duplicate key'), (4, 'error', 'SQL error: -1'), (5, 'other', NULL)) t(id, class, text) ON o_orderkey % 6 = id")
 def _(spark, d):
-    codes = spark.createDataFrame([(c,) for c in (0, 100, 7, -803, -1, 200)], "code int")
-    return codes.select("code", Q.sqlcode_class(F.col("code")).alias("class"), Q.sqlcode_text(F.col("code")).alias("text"))
+    code = F.element_at(F.array(*[F.lit(c) for c in (0, 100, 7, -803, -1, 200)]), (F.col("o_orderkey") % 6 + 1).cast("int"))
+    return table(spark, d, "orders").select("o_orderkey", Q.sqlcode_class(code).alias("class"), Q.sqlcode_text(code).alias("text"))
 
 
 @query("null_indicator", "SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN -1 ELSE 0 END AS ind, CASE WHEN o_orderkey % 4 = 0 THEN 'N/A' ELSE o_orderstatus END AS value FROM orders")
@@ -391,12 +410,12 @@ def _(spark, d):
     return tx.batch_update("acct", "c_custkey", params)
 
 
-@query("exec_blocks", "SELECT * FROM (VALUES (0, 'SELECT A INTO :B FROM T', NULL), (1, 'READ FILE(''CUST'') INTO(WS-REC) RIDFLD(WS-KEY)', 'READ')) t(id, body, command)")
+@query("exec_blocks", "SELECT o_orderkey, 'SELECT A' || o_custkey || ' INTO :B FROM T' AS body, NULL AS command FROM orders UNION ALL SELECT o_orderkey, 'READ FILE(''CUST' || o_custkey || ''') INTO(WS-REC) RIDFLD(WS-KEY)', 'READ' FROM orders")
 def _(spark, d):
-    text = "MOVE 1 TO A.\n EXEC SQL\n  SELECT A\n  INTO :B FROM T\n END-EXEC.\n EXEC CICS READ FILE('CUST') INTO(WS-REC)\n RIDFLD(WS-KEY) END-EXEC."
-    df = spark.createDataFrame([(text,)], "s string")
-    sql = df.select(F.lit(0).alias("id"), F.explode(Q.blocks(F.col("s"))).alias("body"), F.lit(None).cast("string").alias("command"))
-    cics = df.select(F.lit(1).alias("id"), F.explode(Q.blocks(F.col("s"), "CICS")).alias("body"))
+    text = "MOVE 1 TO A.\n EXEC SQL\n  SELECT A#\n  INTO :B FROM T\n END-EXEC.\n EXEC CICS READ FILE('CUST#') INTO(WS-REC)\n RIDFLD(WS-KEY) END-EXEC."
+    df = table(spark, d, "orders").select("o_orderkey", F.replace(F.lit(text), F.lit("#"), F.col("o_custkey").cast("string")).alias("s"))
+    sql = df.select("o_orderkey", F.explode(Q.blocks(F.col("s"))).alias("body"), F.lit(None).cast("string").alias("command"))
+    cics = df.select("o_orderkey", F.explode(Q.blocks(F.col("s"), "CICS")).alias("body"))
     return sql.unionByName(cics.withColumn("command", Q.cics_options(F.col("body"))[0]))
 
 

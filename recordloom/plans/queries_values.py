@@ -172,16 +172,16 @@ def _(spark, d):
 
 
 @query("copybook_items", """
-SELECT * FROM (VALUES ('ORDER-RECORD', 0, 48), ('ORDER-RECORD.ORD-KEY', 0, 10), ('ORDER-RECORD.ORD-DATE', 10, 8), ('ORDER-RECORD.ORD-DATE-PARTS', 10, 8), ('ORDER-RECORD.ORD-DATE-PARTS.ORD-YEAR', 10, 4),
+SELECT * FROM (VALUES ('ORDER-RECORD', 0, 50), ('ORDER-RECORD.ORD-KEY', 0, 10), ('ORDER-RECORD.ORD-DATE', 10, 8), ('ORDER-RECORD.ORD-DATE-PARTS', 10, 8), ('ORDER-RECORD.ORD-DATE-PARTS.ORD-YEAR', 10, 4),
  ('ORDER-RECORD.ORD-DATE-PARTS.ORD-MONTH', 14, 2), ('ORDER-RECORD.ORD-DATE-PARTS.ORD-DAY', 16, 2), ('ORDER-RECORD.ORD-STATUS', 18, 1), ('ORDER-RECORD.ORD-TOTAL', 19, 6), ('ORDER-RECORD.ORD-CUSTOMER', 25, 4),
- ('ORDER-RECORD.ORD-SLOTS', 29, 7), ('ORDER-RECORD.ORD-SLOTS.SLOT-NO', 29, 2), ('ORDER-RECORD.ORD-SLOTS.SLOT-AMOUNT', 31, 5)) t(path, "offset", length)""".replace("0, 48", "0, 50"))
+ ('ORDER-RECORD.ORD-SLOTS', 29, 7), ('ORDER-RECORD.ORD-SLOTS.SLOT-NO', 29, 2), ('ORDER-RECORD.ORD-SLOTS.SLOT-AMOUNT', 31, 5)) t(path, "offset", length)""")
 def _(spark, d):
     return copybook.flatten(spark, copybook.parse(ORDER_COPYBOOK)).filter("level <> 66").select("path", "offset", "length")
 
 
 @query("edited_report_amounts", """
-SELECT c_custkey, lpad(CASE WHEN c < 0 THEN '-' ELSE '' END || regexp_replace(reverse(regexp_replace(reverse(CAST(abs(c) // 100 AS VARCHAR)), '(\\d{3})(?=\\d)', '\\1,', 'g')), '^,', '') || '.' || lpad(CAST(abs(c) % 100 AS VARCHAR), 2, '0'), 14, ' ') AS text
-FROM (SELECT c_custkey, CAST(round(c_acctbal * 100) AS BIGINT) AS c FROM customer)""".replace("regexp_replace(reverse(CAST(abs(c) // 100 AS VARCHAR)), '(\\d{3})(?=\\d)', '\\1,', 'g')", "regexp_replace(reverse(CAST(abs(c) // 100 AS VARCHAR)), '(\\d{3})', '\\1,', 'g')"))
+SELECT c_custkey, lpad(CASE WHEN c < 0 THEN '-' ELSE '' END || regexp_replace(reverse(regexp_replace(reverse(CAST(abs(c) // 100 AS VARCHAR)), '(\\d{3})', '\\1,', 'g')), '^,', '') || '.' || lpad(CAST(abs(c) % 100 AS VARCHAR), 2, '0'), 14, ' ') AS text
+FROM (SELECT c_custkey, CAST(round(c_acctbal * 100) AS BIGINT) AS c FROM customer)""")
 def _(spark, d):
     text = C.edited(cents("c_acctbal"), "--,---,--9.99")
     return table(spark, d, "customer").select("c_custkey", F.lpad(F.ltrim(text), 14, " ").alias("text"))
@@ -296,8 +296,8 @@ def _(spark, d):
 
 
 @query("divide_remainder", """
-SELECT o_orderkey, o_totalcents // (o_orderkey % 7) AS quotient, o_totalcents % (o_orderkey % 7) AS remainder
-FROM (SELECT o_orderkey, CAST(round(o_totalprice * 100) AS BIGINT) AS o_totalcents FROM orders)""".replace("o_totalcents // (o_orderkey % 7)", "CASE WHEN o_orderkey % 7 <> 0 THEN CAST(o_totalcents // (o_orderkey % 7) AS BIGINT) END").replace("o_totalcents % (o_orderkey % 7)", "CASE WHEN o_orderkey % 7 <> 0 THEN CAST(o_totalcents % (o_orderkey % 7) AS BIGINT) END"))
+SELECT o_orderkey, CASE WHEN o_orderkey % 7 <> 0 THEN CAST(o_totalcents // (o_orderkey % 7) AS BIGINT) END AS quotient, CASE WHEN o_orderkey % 7 <> 0 THEN CAST(o_totalcents % (o_orderkey % 7) AS BIGINT) END AS remainder
+FROM (SELECT o_orderkey, CAST(round(o_totalprice * 100) AS BIGINT) AS o_totalcents FROM orders)""")
 def _(spark, d):
     value, by = F.round(F.col("o_totalprice") * 100).cast("decimal(12,0)"), (F.col("o_orderkey") % 7).cast("decimal(2,0)")
     q, r = X.divide(value, by)
@@ -369,8 +369,8 @@ def _(spark, d):
 
 
 @query("string_delimited", """
-SELECT p_partkey, split_part(p_name, ' ', 1) || '-' || p_brand AS joined, left(split_part(p_name, ' ', 1) || '-' || p_brand, 8) || substr('............', 1 + length(left(split_part(p_name, ' ', 1) || '-' || p_brand, 8)), 10 - length(left(split_part(p_name, ' ', 1) || '-' || p_brand, 8)) - 2) AS placed,
-       length(split_part(p_name, ' ', 1) || '-' || p_brand) > 8 AS overflow FROM part""".replace("left(split_part(p_name, ' ', 1) || '-' || p_brand, 8) || substr('............', 1 + length(left(split_part(p_name, ' ', 1) || '-' || p_brand, 8)), 10 - length(left(split_part(p_name, ' ', 1) || '-' || p_brand, 8)) - 2) AS placed", "'..' || rpad(left(split_part(p_name, ' ', 1) || '-' || p_brand, 8), 8, '.') AS placed"))
+SELECT p_partkey, split_part(p_name, ' ', 1) || '-' || p_brand AS joined, '..' || rpad(left(split_part(p_name, ' ', 1) || '-' || p_brand, 8), 8, '.') AS placed,
+       length(split_part(p_name, ' ', 1) || '-' || p_brand) > 8 AS overflow FROM part""")
 def _(spark, d):
     parts = [(F.col("p_name"), " "), (F.lit("-"), None), (F.col("p_brand"), None)]
     return table(spark, d, "part").select("p_partkey", X.string_into(parts).alias("joined"), X.string_into(parts, F.lit(".........."), 3).alias("placed"), X.string_overflow(parts, 10, 3).alias("overflow"))

@@ -1,22 +1,25 @@
 """Record files as DataFrames.
 
-Fixed-length and length-prefixed (RDW) files are read through a Python data source that plans byte ranges of local or
-mounted files, and line files through Spark's text source. Writers emit parts in the order of the rows' partitions.
+Fixed-length and length-prefixed (RDW) files are read through Spark's binary file source, and line files through its
+text source, so from any store that Spark reads. Spark has no writer of bare bytes: the record writer is a Python data
+source for paths that are mounted on all machines, which emits parts in the order of the rows' partitions.
 """
 
 from __future__ import annotations
 
-import glob
 import os
 import struct
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
-SPLIT = 64 * 1024 * 1024
+from recordloom.sources.staged import numbered
+
+#: Bytes of a file that one task cuts up, at most.
+LARGE = 256 * 1024 * 1024
 BATCH = 10_000
 
 # File status codes and their descriptions.
@@ -49,77 +52,6 @@ def status_success(code: Column) -> Column:
     return code.isin("00", "10")
 
 
-class _Range(InputPartition):
-    def __init__(self, path: str, start: int, end: int, index: int):
-        self.path, self.start, self.end, self.index = path, start, end, index
-
-
-def _paths(path: str) -> list[str]:
-    path = path.removeprefix("file://")
-    found = sorted(p for p in (glob.glob(f"{path}/*") if os.path.isdir(path) else glob.glob(path)) if os.path.isfile(p) and os.path.basename(p)[0] not in "._")
-    if not found:
-        raise FileNotFoundError(f"35: {path}")
-    return found
-
-
-def _batches(rows: Iterator[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
-    held: list[tuple[int, bytes]] = []
-    for row in rows:
-        held.append(row)
-        if len(held) == BATCH:
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in held], pa.int64()), pa.array([r[1] for r in held], pa.binary())], ["position", "record"])
-            held = []
-    if held:
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in held], pa.int64()), pa.array([r[1] for r in held], pa.binary())], ["position", "record"])
-
-
-class _FixedReader(DataSourceReader):
-    def __init__(self, options: dict):
-        self.path, self.length, self.ragged = options["path"], int(options["recordlength"]), options.get("ragged", "pad")
-        self.pad = bytes.fromhex(options.get("pad", "20"))
-
-    def partitions(self) -> list[_Range]:
-        out, step = [], max(1, SPLIT // self.length) * self.length
-        for k, path in enumerate(_paths(self.path)):
-            size = os.path.getsize(path)
-            out += [_Range(path, a, min(a + step, size), k) for a in range(0, size, step)]
-        return out
-
-    def read(self, part: _Range) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[tuple[int, bytes]]:
-            with open(part.path, "rb") as f:
-                f.seek(part.start)
-                for at in range(part.start, part.end, self.length):
-                    data = f.read(self.length)
-                    if len(data) < self.length:
-                        if self.ragged == "drop":
-                            return
-                        data = data + self.pad * (self.length - len(data))
-                    yield (part.index << 40) + at // self.length, data
-
-        return _batches(rows())
-
-
-class _VariableReader(DataSourceReader):
-    """Records behind a four-byte descriptor: big-endian length with the descriptor, and two zero bytes."""
-
-    def __init__(self, options: dict):
-        self.path = options["path"]
-
-    def partitions(self) -> list[_Range]:
-        return [_Range(p, 0, os.path.getsize(p), k) for k, p in enumerate(_paths(self.path))]
-
-    def read(self, part: _Range) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[tuple[int, bytes]]:
-            with open(part.path, "rb") as f:
-                k = 0
-                while head := f.read(4):
-                    yield (part.index << 40) + k, f.read(struct.unpack(">H", head[:2])[0] - 4)
-                    k += 1
-
-        return _batches(rows())
-
-
 class _RecordWriter(DataSourceArrowWriter):
     """Part files in a folder; a whole folder is replaced on overwrite, added to otherwise."""
 
@@ -161,7 +93,7 @@ class _RecordWriter(DataSourceArrowWriter):
 
 
 class RecordFiles(DataSource):
-    """Format ``records``: (position long, record binary). Options: recordLength, variable, ragged (pad, drop), pad (hex)."""
+    """Format ``records``, for writing (position long, record binary). Options: recordLength, variable, pad (hex)."""
 
     @classmethod
     def name(cls) -> str:
@@ -170,18 +102,39 @@ class RecordFiles(DataSource):
     def schema(self) -> str:
         return "position bigint, record binary"
 
-    def reader(self, schema: object) -> DataSourceReader:
-        options = {k.lower(): v for k, v in self.options.items()}
-        return _VariableReader(options) if options.get("variable") == "true" else _FixedReader(options)
-
     def writer(self, schema: object, overwrite: bool) -> DataSourceArrowWriter:
         return _RecordWriter({k.lower(): v for k, v in self.options.items()}, overwrite)
 
 
-def read_fixed(spark: SparkSession, path: str, length: int, ragged: str = "pad") -> DataFrame:
-    """Sequential scan: a short last record is blank-padded ("pad") or left out ("drop", as keyed files are loaded)."""
-    spark.dataSource.register(RecordFiles)
-    return spark.read.format("records").option("recordLength", length).option("ragged", ragged).load(path)
+def _contents(spark: SparkSession, path: str) -> DataFrame:
+    """(file, size, content) of the files of a path, pattern or folder, files numbered in the order of their names."""
+    files = spark.read.format("binaryFile").load(path)
+    names = files.select("path", F.col("length").alias("size")).withColumn("file", F.row_number().over(Window.orderBy("path")) - 1)  # a row for each file
+    return files.select("path", "content").join(F.broadcast(names), "path")
+
+
+def _records(spark: SparkSession, path: str, size: int, length: int, file: int, pad: bytes, ragged: str) -> DataFrame:
+    """The records of one large file, by input splits of whole records."""
+    if size % length:
+        raise ValueError(f"39: {path}: a file of {size} bytes holds no whole number of records of {length}")
+    lines = spark.sparkContext.newAPIHadoopFile(path, "org.apache.hadoop.mapreduce.lib.input.FixedLengthInputFormat", "org.apache.hadoop.io.LongWritable", "org.apache.hadoop.io.BytesWritable", conf={"fixedlengthinputformat.record.length": str(length)})
+    return spark.createDataFrame(lines.map(lambda r: ((file << 40) + r[0] // length, bytes(r[1]))), "position long, record binary")
+
+
+def read_fixed(spark: SparkSession, path: str, length: int, ragged: str = "pad", pad: bytes = b" ") -> DataFrame:
+    """Sequential scan of (position, record), from any store that Spark reads: a short last record is padded ("pad") or
+    left out ("drop", as keyed files are loaded). Files are cut up by their own task; one beyond LARGE is read in splits."""
+    files = spark.read.format("binaryFile").load(path).select("path", "length")
+    large = files.filter(F.col("length") > LARGE).collect()  # few: the others are cut without the driver
+    rows = _contents(spark, path).filter(F.col("size") <= LARGE)
+    whole = F.floor(F.col("size") / length) if ragged == "drop" else F.ceil(F.col("size") / length)
+    cut = F.when(whole > 0, F.transform(F.sequence(F.lit(0).cast("long"), whole - 1), lambda k: F.struct(k.alias("k"), F.call_function("rpad", F.substr("content", (k * length + 1).cast("int"), F.lit(length)), F.lit(length), F.lit(pad)).alias("record"))))
+    out = rows.select("file", F.explode(cut).alias("r")).select((F.shiftleft(F.col("file").cast("long"), 40) + F.col("r.k")).alias("position"), "r.record")
+    if large:
+        order = [r["path"] for r in files.orderBy("path").collect()]
+        for r in large:
+            out = out.unionByName(_records(spark, r["path"], r["length"], length, order.index(r["path"]), pad, ragged))
+    return out
 
 
 def write_fixed(df: DataFrame, path: str, length: int, mode: str = "overwrite") -> None:
@@ -190,9 +143,24 @@ def write_fixed(df: DataFrame, path: str, length: int, mode: str = "overwrite")
     df.select(F.lit(0).cast("long").alias("position"), F.col("record").cast("binary").alias("record")).write.format("records").mode(mode).option("recordLength", length).save(path)
 
 
+def _unwrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for file, data in zip(batch["file"].to_pylist(), batch["content"], strict=True):
+            data, at, k, held = data.as_buffer().to_pybytes(), 0, 0, []
+            while at + 4 <= len(data):
+                size = struct.unpack_from(">H", data, at)[0]
+                held.append(data[at + 4 : at + max(size, 4)])
+                at += max(size, 4)
+                k += 1
+                if len(held) == BATCH or at + 4 > len(data):
+                    yield pa.RecordBatch.from_arrays([pa.array(range((file << 40) + k - len(held), (file << 40) + k), pa.int64()), pa.array(held, pa.binary())], ["position", "record"])
+                    held = []
+
+
 def read_variable(spark: SparkSession, path: str) -> DataFrame:
-    spark.dataSource.register(RecordFiles)
-    return spark.read.format("records").option("variable", "true").load(path)
+    """(position, record) of records behind a four-byte descriptor: big-endian length with the descriptor, and two zero
+    bytes. Such a file can only be read from its start, so a task takes a file; large sets are folders of files."""
+    return _contents(spark, path).select("file", "content").mapInArrow(_unwrapped, "position long, record binary")
 
 
 def write_variable(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -200,13 +168,25 @@ def write_variable(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.select(F.lit(0).cast("long").alias("position"), F.col("record").cast("binary").alias("record")).write.format("records").mode(mode).option("variable", "true").save(path)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether the path, pattern or folder names a file, in any store."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = where.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(where)
+    return found is not None and len(found) > 0
+
+
 def open_input(spark: SparkSession, path: str, length: int) -> tuple[DataFrame | None, str]:
     """(records, status): "00", or None and "35" if there is no such file."""
-    try:
-        _paths(path)
-    except FileNotFoundError:
-        return None, "35"
-    return read_fixed(spark, path, length), "00"
+    return (read_fixed(spark, path, length), "00") if exists(spark, path) else (None, "35")
+
+
+def rewrite(records: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """REWRITE by position: (records with the changed ones replaced, changes with file_status 00 or 23). Both are
+    (position, record); of changes of one position the greatest counts."""
+    new = changes.groupBy("position").agg(F.max("record").alias("_new"))
+    done = records.join(new, "position", "left").select("position", F.coalesce("_new", "record").alias("record"))
+    known = records.select("position").distinct().withColumn("_hit", F.lit(True))
+    return done, changes.join(known, "position", "left").withColumn("file_status", F.when(F.col("_hit"), "00").otherwise("23")).drop("_hit")
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -232,11 +212,8 @@ def reconcile_trailer(details: DataFrame, amount: Column, trailer: DataFrame) ->
 def advancing(df: DataFrame, order: list[Column], line: Column, blank_before: Column, page: Column | None = None, lines_per_page: int = 55) -> DataFrame:
     """Report lines: ``blank_before`` empty lines before each, a form feed before a line whose ``page`` is true, and
     the page of each detail. Numbering is by the given total order."""
-    from pyspark.sql import Window
-
-    numbered = df.withColumn("rn", F.row_number().over(Window.orderBy(*order)))
     lines = F.concat(F.array_repeat(F.lit(""), blank_before), F.array(F.when(page, F.concat(F.lit("\f"), line)).otherwise(line) if page is not None else line))
-    return numbered.select("rn", (F.floor((F.col("rn") - 1) / lines_per_page) + 1).alias("page"), F.posexplode(lines).alias("part", "text"))
+    return numbered(df, order).select("rn", (F.floor((F.col("rn") - 1) / lines_per_page) + 1).alias("page"), F.posexplode(lines).alias("part", "text"))
 
 
 def file_control(spark: SparkSession, source: DataFrame) -> DataFrame:

@@ -25,6 +25,34 @@ def test_ragged_tail(spark, tmp_path):
     assert files.read_fixed(spark, path, 4, ragged="drop").count() == 2
 
 
+def test_large_files_are_read_in_splits(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "LARGE", 100)
+    os.makedirs(tmp_path / "big")
+    for name, n in (("a", 10), ("b", 200), ("c", 5)):
+        (tmp_path / "big" / name).write_bytes(b"".join(b"%s%07d" % (name.encode(), k) for k in range(n)))
+    got = files.read_fixed(spark, str(tmp_path / "big"), 8).orderBy("position").collect()
+    assert [bytes(r["record"]) for r in got] == [b"%s%07d" % (name.encode(), k) for name, n in (("a", 10), ("b", 200), ("c", 5)) for k in range(n)]
+
+
+def test_rewrite_by_position(spark):
+    records = spark.createDataFrame([(k, bytes([65 + k])) for k in range(4)], "position long, record binary")
+    changes = spark.createDataFrame([(1, b"x"), (1, b"y"), (9, b"z")], "position long, record binary")
+    done, judged = files.rewrite(records, changes)
+    assert [bytes(r["record"]) for r in done.orderBy("position").collect()] == [b"A", b"y", b"C", b"D"]
+    assert sorted((r["position"], r["file_status"]) for r in judged.collect()) == [(1, "00"), (1, "00"), (9, "23")]
+
+
+def test_numbering_over_ranges(spark):
+    from recordloom.sources.staged import numbered
+
+    df = spark.createDataFrame([(k % 3 if k % 7 else None, k * 37 % 1000) for k in range(1000)], "g int, v int")
+    got = numbered(df, ["v"], "rn", ["g"]).collect()
+    for g in (0, 1, 2, None):
+        own = sorted((r["v"], r["rn"]) for r in got if r["g"] == g)
+        assert [n for _, n in own] == list(range(1, len(own) + 1))
+    assert sorted(r["rn"] for r in numbered(df, [F.desc("v")]).collect()) == list(range(1, 1001))
+
+
 def test_variable_files(spark, tmp_path):
     path = str(tmp_path / "v")
     files.write_variable(spark.createDataFrame([(b"x",), (b"longer",), (b"",)], "record binary").coalesce(1), path)

@@ -120,3 +120,42 @@ def test_maintenance_orders_within_a_key(spark):
 def test_start_on_nothing(spark):
     rows, status = K.start(spark.range(3), "id", ">", 10)
     assert status == "23" and rows.count() == 0
+
+
+def test_insert_and_update_with_repeated_keys(spark):
+    store = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    new, judged = K.insert(store, spark.createDataFrame([(3, "x", 2), (3, "w", 1), (1, "q", 3)], "k int, v string, seq int"), ["k"], "seq")
+    assert sorted(map(tuple, new.collect())) == [(1, "a"), (2, "b"), (3, "w")]
+    assert sorted((r["seq"], r["file_status"]) for r in judged.collect()) == [(1, "00"), (2, "22"), (3, "22")]
+    changed, status = K.update(store, spark.createDataFrame([(1, "y", 2), (1, "z", 1), (9, "n", 3)], "k int, v string, seq int"), ["k"], "seq")
+    assert sorted(map(tuple, changed.collect())) == [(1, "y"), (2, "b")]
+    assert sorted((r["seq"], r["file_status"]) for r in status.collect()) == [(1, "00"), (2, "00"), (3, "23")]
+
+
+def test_call_by_reference_content_and_exception(spark):
+    from recordloom.operators.calls import call
+
+    df = spark.createDataFrame([("A", 1, 2), ("B", 3, 4), ("GONE", 5, 6), (None, 7, 8)], "name string, x int, y int")
+    programs = {"a": lambda x, y: {0: x + 10, 1: y + 10, "returning": x + y}, "B": lambda x, y: {1: y * 2}}
+    out = call(df, programs, F.col("name"), ["x", "y"], content=[0], returning="rc").orderBy("x").collect()
+    assert [(r["x"], r["y"], r["rc"], r["exception"]) for r in out] == [(1, 12, 3, False), (3, 8, None, False), (5, 6, None, True), (7, 8, None, True)]
+
+
+def test_where_current_of(spark):
+    df = spark.createDataFrame([(1, 5), (2, 6)], "k int, v int")
+    tx, cursor = Q.Transaction({"t": df}), Q.Cursor(df.orderBy("k"))
+    assert tx.update_current("t", cursor, ["k"], {"v": F.lit(0)}).sqlcode == -508
+    cursor.open()
+    cursor.fetch()
+    cursor.fetch()
+    assert tx.update_current("t", cursor, ["k"], {"v": F.lit(0)}).value == 1 and sorted(map(tuple, tx["t"].collect())) == [(1, 5), (2, 0)]
+    assert tx.delete_current("t", cursor, ["k"]).is_success and tx["t"].count() == 1
+
+
+def test_commit_groups_restart(spark, tmp_path):
+    from recordloom.operators import batch as B
+
+    groups = B.commit_groups_global(spark.range(95).withColumnRenamed("id", "k"), "k", 10)
+    assert B.publish_groups(groups.filter("commit_group < 3"), str(tmp_path / "c")).count() == 30
+    out = B.publish_groups(groups, str(tmp_path / "c"))
+    assert out.count() == 95 and out.select("k").distinct().count() == 95
