@@ -122,6 +122,111 @@ def test_quality_of_odd_tables(spark, docs, clash, empty, rows):
     labels = spark.createDataFrame([(10, 1, 0), (13, 0, 1), (13, 0, 1), (16, None, 1), (99999, 1, 1)], "doc_id long, quality int, toxic int")
     assert Q.assess(empty, labels).count() == 0
     assert all(r["kept"] for r in Q.assess(docs, labels.limit(0)).collect())
-    assert Q.assess(clash.drop("host").union(clash.drop("host")), labels, path=F.col("lang")).count() == 2 * len(rows)
+    assert Q.assess(clash.union(clash), labels, path=F.col("lang")).count() == 2 * len(rows)
     forms, codes, starts, shape = Q.read(pa.array(["", None, "A!"]))
     assert shape.shape == (3, Q.SHAPES) and (shape.sum(axis=1) == 4).all() and len(forms) == 1 + len(Q.PREFIXES)
+
+
+def brute_sites(rows, labels, out):
+    """Posterior of each row by plain sums over hosts and paths, from the classifier's own probabilities."""
+    import math
+
+    known = {k: (q, t) for k, q, t in labels}
+    logit = lambda p: math.log(min(max(p, 1e-6), 1 - 1e-6) / (1 - min(max(p, 1e-6), 1 - 1e-6)))
+    posterior = {}
+    for which, (column, seen) in enumerate((("document_quality", "quality"), ("document_toxicity", "toxicity"))):
+        value = {k: float(known[k][which]) if k in known else out[k][column] for k, *_ in rows}
+        total, hosts, paths = [0, 0.0], {}, {}
+        for k, _, host, path in rows:
+            for one in (total, hosts.setdefault(host or "", [0, 0.0]), paths.setdefault((host or "", path or ""), [0, 0.0])):
+                one[0] += 1
+                one[1] += value[k]
+        mean = min(max(total[1] / total[0], 1e-4), 1 - 1e-4)
+
+        def strength(groups, centre, mean=mean):
+            between = sum(n * (s / n - centre(g)) ** 2 - mean * (1 - mean) for g, (n, s) in groups.items()) / sum(n for n, _ in groups.values())
+            return min(max(mean * (1 - mean) / max(between, 1e-9) - 1, 1.0), 1e6)
+
+        k_host, k_path = strength(hosts, lambda g, mean=mean: mean), strength(paths, lambda g, hosts=hosts: hosts[g[0]][1] / hosts[g[0]][0])
+        for k, _, host, path in rows:
+            n, s = hosts[host or ""]
+            of_host = (s + k_host * mean) / (n + k_host)
+            n, s = paths[host or "", path or ""]
+            shift = logit((s + k_path * of_host) / (n + k_path)) - logit(mean)
+            p = out[k][column]
+            posterior.setdefault(k, {})[seen] = 1 / (1 + math.exp(-(math.log(p / (1 - p)) + shift)))
+    return posterior
+
+
+def test_site_posterior_against_brute_force(spark, monkeypatch):
+    rows, labels = quality_rows()
+    rows = [(k, t, s if k % 6 else None, p if k % 10 else None) for k, t, s, p in rows]
+    labels = [(k, int(q and k % 7 != 2), t) for k, q, t in labels[:350]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, path string")
+    known = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    real = Q.look_up
+    for most in (200_000, 0):  # sites broadcast, and dealt in parts
+        monkeypatch.setattr(Q, "look_up", lambda *a, most=most: real(*a, most=most))
+        out = {r["doc_id"]: r for r in Q.assess(docs, known, path=F.col("path")).collect()}
+        want = brute_sites(rows, labels, out)
+        for k, one in want.items():
+            assert abs(out[k]["quality"] - one["quality"]) < 1e-6 and abs(out[k]["toxicity"] - one["toxicity"]) < 1e-6
+            assert out[k]["kept"] == (one["quality"] >= 0.5 and one["toxicity"] < 0.25)
+
+
+def brute_language(rows, model, languages):
+    """(language, posterior) of each row by multiplying the evidence up."""
+    import math
+
+    import numpy as np
+
+    names = [*languages, I.UND]
+    loglik, n_grams = model.score(pa.array([r[1] or "" for r in rows], pa.string()))
+    loglik *= I.TEMPER
+    softmax = lambda x: np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+    soft = np.array([softmax(x) for x in loglik])
+    told = [k for k in range(len(rows)) if n_grams[k]]
+    counts = soft[told].sum(axis=0) + 1
+    corpus = counts / counts.sum()
+    declared = {v: np.zeros(len(names)) for v in {*(rows[k][2] for k in told if rows[k][2]), *languages}}
+    hosts, above = {}, {}
+    for k in told:
+        if rows[k][2]:
+            declared[rows[k][2]] += soft[k]
+        if rows[k][3]:
+            for table, key in ((hosts, rows[k][3]), (above, rows[k][3].split(".", 1)[1] if "." in rows[k][3] else None)):
+                if key:
+                    table.setdefault(key, [0, np.zeros(len(names))])
+                    table[key][0] += 1
+                    table[key][1] = table[key][1] + soft[k]
+    for v in declared:
+        declared[v] = declared[v] + [v == n for n in names]
+    given = {v: np.log((x + 1) / (sum(declared.values()) + len(declared) + 1)) for v, x in declared.items()}
+    smooth = lambda n, s, prior: (s + I.KAPPA * prior) / (n + I.KAPPA)
+    out = {}
+    for k, (i, _, lang, host) in enumerate(rows):
+        prior = corpus
+        if host in hosts:
+            up = host.split(".", 1)[1] if "." in host else None
+            prior = smooth(*hosts[host], smooth(*above[up], corpus) if up in above else corpus)
+        logs = loglik[k] + np.log(prior) + (given[lang] if lang in given else 0)
+        post = softmax(logs)
+        best = names[int(post.argmax())] if n_grams[k] or lang in languages else I.UND
+        out[i] = (best, float(post.max()))
+        assert math.isfinite(out[i][1])
+    return out
+
+
+def test_language_posterior_against_brute_force(spark, monkeypatch):
+    rows = [(k, t, d, f"h{k % 5}.{s}" if s and k % 2 else s) for k, t, d, s in tongue_rows()]
+    rows += [(900, None, "fr", "h1.www.fr.example.com"), (901, "", None, None), (902, "日本語のテキスト", None, "x.y")]
+    kept = []
+    real, look_up = I.TextModel, I.look_up
+    monkeypatch.setattr(I, "TextModel", lambda *a: kept.append(real(*a)) or kept[-1])
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    for most in (1000, 0):
+        monkeypatch.setattr(I, "look_up", lambda *a, most=most, **b: look_up(*a, most=most))
+        out = {r["doc_id"]: r for r in I.identify(docs).collect()}
+        want = brute_language(rows, kept[-1], ["de", "en", "fr"])
+        for i, (language, posterior) in want.items():
+            assert out[i]["language"] == language and abs(out[i]["posterior"] - posterior) < 1e-9
