@@ -161,7 +161,8 @@ def identify(docs: DataFrame, declared: str | None = "lang", url: str | None = N
     """doc_id, language, posterior, text_language (by the text alone), n_grams, kept (not rejected), for each row.
 
     ``declared``, ``url`` and ``host`` name columns or are None; nulls in them are missing evidence. Null or empty
-    text leaves the other evidence. Without any row that declares a language, every row is ``und``. Repeated rows
+    text leaves the other evidence. Very long texts are read whole; of equally likely languages the first code is
+    taken. Without any row that declares a language, every row is ``und``. Repeated rows
     give rows each and count each; an empty table gives none. Other columns are ignored.
     """
     text = F.coalesce("text", F.lit(""))

@@ -94,19 +94,26 @@ def _placed(table: np.ndarray, shift: int):
 
 
 def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    block, seen = TaskContext.get().partitionId(), {}
+    """Rows with the task's number and the row's number among the task's rows of its length."""
+    block, seen = TaskContext.get().partitionId(), np.zeros(0, np.int64)
     for batch in batches:
-        nth = []
-        for length in batch["length"].to_pylist():
-            nth.append(k := seen.get(length, 0))
-            seen[length] = k + 1
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([block] * len(nth), pa.int32()), pa.array(nth, pa.int64())], [*batch.schema.names, "block", "nth"])
+        length = batch["length"].to_numpy()
+        if len(length):
+            seen = np.pad(seen, (0, max(0, int(length.max()) + 1 - len(seen))))
+        order = np.argsort(length, kind="stable")
+        counts = np.bincount(length, minlength=len(seen))
+        nth = np.empty(len(length), np.int64)
+        nth[order] = np.arange(len(length)) - np.repeat(np.cumsum(counts) - counts, counts)
+        nth += seen[length]
+        seen = seen + counts
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(length), block, np.int32)), pa.array(nth)], [*batch.schema.names, "block", "nth"])
 
 
 def pack(items: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Add sequence_id and offset (long) to items with a column ``length`` (long, 1 to capacity).
 
-    Every row keeps its other columns. Equal rows are items of their own. No rows in, no rows out. A length that is
+    Every row keeps its other columns. Equal rows are items of their own, and of items of one length any may come
+    first. No rows in, no rows out. A length that is
     null or out of range is an error. Columns named block, nth, number, sequence_id or offset are replaced.
     """
     items = items.drop("block", "nth", "number", "sequence_id", "offset")
@@ -145,6 +152,7 @@ def token_pieces(docs: DataFrame, tokenizer_path: str, end: int = 0, capacity: i
     """Tokenise whole texts, end each document with ``end``, and cut only what is longer than the capacity.
 
     doc_id long, piece int, start long, length long, ids binary (little-endian unsigned 32 bit). A null or empty
-    text is one piece that holds ``end``. Other columns are ignored; rows that repeat a doc_id give pieces each.
+    text is one piece that holds ``end``; a null doc_id stays null. A very long text gives as many pieces as it needs.
+    Other columns are ignored; rows that repeat a doc_id give pieces each; an empty table gives none.
     """
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tidy(_cut(tokenizer_path, end, capacity)), "doc_id long, piece int, start long, length long, ids binary")

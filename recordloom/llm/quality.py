@@ -173,7 +173,8 @@ def assess(docs: DataFrame, labels: DataFrame, host: str = "source", path: Colum
 
     kept: quality >= least_quality and toxicity < most_toxic. ``host`` names a column, ``path`` is an expression; a
     null host or path is a site of its own. labels: doc_id, quality, toxic (0 or 1); rows with a null or without a document don't count; repeated
-    labels are averaged. Null texts are empty. Repeated rows give rows each; an empty table gives none; without
+    labels are averaged. Null texts are empty, very long ones are read whole. A tie with a threshold is kept for
+    quality and rejected for toxicity. Repeated rows give rows each; an empty table gives none; without
     labels all rows have probability 0.5 and are kept. Other columns are ignored.
     """
     site = F.coalesce(F.col(host).cast("string"), F.lit(""))
