@@ -193,47 +193,41 @@ def edited(value: Column, picture: str, blank_when_zero: bool = False) -> Column
     whole, _, fraction = body.partition(".")
     digit = lambda c: c in "9Z*" or c == floating and c != ""
     n_whole, n_fraction = sum(map(digit, whole)) - bool(floating), sum(map(digit, fraction))
-    text = _digits(value, n_fraction, n_whole + n_fraction)
     negative = value < 0
     sign_of = {"+": F.when(negative, "-").otherwise("+"), "-": F.when(negative, "-").otherwise(" "), "$": F.lit("$")}
-    shown: list[Column] = []
-    at, open_, star = 0, F.lit(False), "*" in whole
-    filler = "*" if star else " "
-    skip = bool(floating)
-    for c in whole:
-        if digit(c):
-            if skip:  # the first of a floating run holds no digit
-                shown.append(F.lit(" "))
+    filler = "*" if "*" in whole else " "
+
+    def shown(text: Column) -> Column:
+        """What stands for the digits ``text``, between a leading and a trailing sign."""
+        left: list[Column] = []
+        at, opened, skip = 0, False, bool(floating)
+        for c in whole:
+            if digit(c) and skip:  # the first of a floating run holds no digit
+                left.append(F.lit(" "))
                 skip = False
                 continue
-            one = F.substr(text, F.lit(at + 1), F.lit(1))
-            if c == "9":
-                open_ = F.lit(True)
-                shown.append(one)
-            else:
-                open_ = open_ | (one != "0")
-                shown.append(F.when(open_, one).otherwise(filler))
-            at += 1
-        else:
-            mark = {"B": " "}.get(c, c)
-            shown.append(F.when(open_, F.lit(mark)).otherwise(filler if c in ",0/B" else mark))
-    left = F.concat(*shown) if shown else F.lit("")
-    if floating:
-        # the sign stands just before the first character shown
-        bare = F.ltrim(left)
-        left = F.lpad(F.concat(sign_of[floating], bare), len(shown), " ")
-    right = [F.lit(".")] if "." in body else []
-    for c in fraction:
-        right.append(F.substr(text, F.lit(at + 1), F.lit(1)) if digit(c) else F.lit({"B": " "}.get(c, c)))
-        at += digit(c)
+            at, opened = at + digit(c), opened or c == "9"
+            one = F.substr(text, F.lit(at), F.lit(1)) if digit(c) else F.lit({"B": " "}.get(c, c))
+            hidden = F.lit(filler) if digit(c) or c in ",0/B" else one
+            left.append(one if opened else F.when(F.left(text, F.lit(at)) != "0" * at, one).otherwise(hidden))
+        out = F.concat(*left) if left else F.lit("")
+        if floating:  # the sign stands just before the first character shown
+            out = F.lpad(F.concat(sign_of[floating], F.ltrim(out)), len(left), " ")
+        right = [F.lit(".")] if "." in body else []
+        for c in fraction:
+            at += digit(c)
+            right.append(F.substr(text, F.lit(at), F.lit(1)) if digit(c) else F.lit({"B": " "}.get(c, c)))
+        return F.concat(out, *right)
+
+    # as a lambda's variable the digits are worked out once, however many places look at them
     parts = [sign_of[lead]] if lead else []
-    parts += [left, *right]
+    parts.append(F.element_at(F.transform(F.array(_digits(value, n_fraction, n_whole + n_fraction)), shown), 1))
     if tail:
         parts.append(sign_of[tail])
     if suffix:
         parts.append(F.when(negative, suffix).otherwise("  "))
     out = F.concat(*parts)
-    size = len(lead) + len(shown) + len(right) + len(tail) + len(suffix)
+    size = len(lead) + len(whole) + len(fraction) + ("." in body) + len(tail) + len(suffix)
     return blank_zero(out, value, size) if blank_when_zero else out
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from recordloom.sources.files import file_type
 
 # Patterns of the reference behaviour; neither has a word boundary before it.
 CALL, COPY, PROGRAM_ID = r"(?i)CALL\s+['\"]?([A-Z0-9-]+)['\"]?", r"(?i)COPY\s+([A-Z0-9-]+)", r"(?i)PROGRAM-ID\.\s+([A-Z0-9-]+)"
