@@ -221,6 +221,14 @@ def _(spark, d):
     return G.cycles(cyclic(spark, d)).select(F.array_join("cycle", ",").alias("cycle"))
 
 
+@query("graph_long_cycles", "SELECT string_agg('P' || lpad(CAST(p_partkey AS VARCHAR), 9, '0'), ',' ORDER BY p_partkey) AS cycle FROM part GROUP BY p_partkey // 12 HAVING count(*) = 12")
+def _(spark, d):
+    """Rings of twelve programs."""
+    k = F.col("p_partkey")
+    ring = table(spark, d, "part").select(name(k).alias("src"), name(F.when(k % 12 == 11, k - 11).otherwise(k + 1)).alias("dst"))
+    return G.cycles(ring).select(F.array_join("cycle", ",").alias("cycle"))
+
+
 @query("graph_on_cycles", "SELECT 'P' || lpad(CAST(p_partkey AS VARCHAR), 9, '0') AS name FROM part WHERE p_partkey - p_partkey % 3 + 2 <= (SELECT max(p_partkey) FROM part)")
 def _(spark, d):
     return G.on_cycles(cyclic(spark, d))
