@@ -7,6 +7,8 @@ known. Order-dependent results take names in ascending order.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -109,22 +111,36 @@ def on_cycles(edges: DataFrame) -> DataFrame:
         pairs = kept
 
 
+#: Steps that paths grow between two writes.
+STEPS = 6
+
+
 def cycles(edges: DataFrame, longest: int | None = None) -> DataFrame:
     """(cycle): each simple cycle once, as its nodes from the least name on; with ``longest``, those of at most so many
-    nodes. Paths grow until none is left, and a path ends when it meets itself, so rounds number the longest path
+    nodes. Paths grow until none is left, and a path ends when it meets itself, so steps number the longest path
     among nodes on cycles, and rows the simple paths, which dense graphs have very many of."""
     pairs = settled(edges.select("src", "dst").distinct())
     core = on_cycles(edges)
-    pairs = settled(pairs.join(core.select(F.col("name").alias("src")), "src", "left_semi").join(core.select(F.col("name").alias("dst")), "dst", "left_semi"))
-    paths = settled(pairs.filter("dst >= src").select(F.col("src").alias("first"), F.array("src").alias("path"), F.col("dst").alias("at")))
-    found = paths.filter("at = first").select(F.col("path").alias("cycle"))
-    size = 1
-    while (longest is None or size < longest) and not paths.isEmpty():
-        grown = paths.filter((F.col("at") > F.col("first")) & ~F.array_contains("path", F.col("at"))).withColumn("path", F.array_append("path", F.col("at")))
-        paths = settled(grown.join(pairs, grown["at"] == pairs["src"]).filter("dst >= first").select("first", "path", F.col("dst").alias("at")))
-        found = found.union(paths.filter("at = first").select("path"))
-        size += 1
-    return found
+    pairs = pairs.join(core.select(F.col("name").alias("src")), "src", "left_semi").join(core.select(F.col("name").alias("dst")), "dst", "left_semi")
+    following = settled(pairs.groupBy(F.col("src").alias("node")).agg(F.collect_list("dst").alias("next")))
+    closed, none = F.col("at") == F.col("first"), F.array().cast("array<string>")
+
+    def grown(paths: DataFrame) -> DataFrame:
+        """Every open path by one node; closed ones stay as they are, so a chain of steps is one plan without branches."""
+        ahead = F.when(F.array_contains("path", F.col("at")), none).otherwise(F.filter(F.coalesce("next", none), lambda x: x >= F.col("first")))
+        joined = paths.join(following, (F.col("at") == F.col("node")) & ~closed, "left")
+        return joined.select("first", F.when(closed, F.col("path")).otherwise(F.array_append("path", F.col("at"))).alias("path"), F.explode(F.when(closed, F.array("at")).otherwise(ahead)).alias("at"))
+
+    paths = following.select(F.col("node").alias("first"), F.array("node").alias("path"), F.explode(F.filter("next", lambda x: x >= F.col("node"))).alias("at"))
+    found, size = [paths.filter(closed)], 1
+    while True:
+        paths = paths.filter(~closed)
+        for _ in range(STEPS if longest is None else min(STEPS, longest - size)):
+            paths, size = grown(paths), size + 1
+        paths = settled(paths)
+        found.append(paths.filter(closed))
+        if size == longest or paths.filter(~closed).isEmpty():
+            return reduce(DataFrame.unionByName, found).select(F.col("path").alias("cycle"))
 
 
 def least_root(nodes: DataFrame, edges: DataFrame, roots: DataFrame | None = None) -> DataFrame:
