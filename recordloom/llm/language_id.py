@@ -32,7 +32,7 @@ from recordloom.llm.textblocks import slices, tidy
 
 SAMPLE, LEAST, TEMPER, KAPPA, UND, BITS = 4000, 100, 0.25, 20.0, "und", 16
 #: Bytes of host priors that may be broadcast, and parts in which a language's sample is first cut down.
-MOST_BYTES, PARTS = 20_000_000, 64
+MOST_BYTES, PARTS = 20_000_000, (64, 8)
 #: Codes that name no language.
 NO_LANGUAGE = [UND, "mis", "mul", "zxx"]
 #: Bytes that are no letters count as one separator.
@@ -131,8 +131,9 @@ def _sample(rows: DataFrame, languages: list[str]) -> tuple[list[str], list[str]
     each = max(SAMPLE // len(languages), LEAST)
     told = rows.filter(F.col("declared").isin(languages)).withColumn("order", F.xxhash64("doc_id", "text"))
     least = told.select("declared", "order").mapInArrow(tidy(_least(each)), "declared string, order long")
-    parts = least.repartition("declared", F.pmod("order", F.lit(PARTS)))  # so that one task never has all tasks' rows of a language
-    least = parts.mapInArrow(tidy(_least(each)), "declared string, order long").distinct()
+    for parts in PARTS:  # so that one task never has all tasks' rows of a language
+        least = least.repartition("declared", F.pmod("order", F.lit(parts))).mapInArrow(tidy(_least(each)), "declared string, order long")
+    least = least.distinct()
     nth = F.row_number().over(Window.partitionBy("declared").orderBy("order"))
     last = least.withColumn("nth", nth).filter(F.col("nth") <= each).groupBy("declared").agg(F.max("order").alias("last"))
     used = told.join(F.broadcast(last), "declared").filter("order <= last").select("declared", "text", "order").repartition("declared", "order").dropDuplicates(["declared", "order"]).toPandas()

@@ -165,7 +165,7 @@ def test_stages(spark, docs, rows, tmp_path):
     assert len(first) >= len(letters) - 2  # plain prose stays
     want = brute_pipeline([r for r in letters if r[0] in first], [passage])
     redacted = {r["doc_id"]: r for r in frames["secret_scans"].collect()}
-    assert set(redacted) == want and frames["secret_scans"].columns == corpus_pipeline.COLUMNS
+    assert set(redacted) == want and frames["secret_scans"].columns == pipeline.COLUMNS
     assert redacted[letters[5][0]]["text"].endswith(" [SECRET] end") and redacted[letters[5][0]]["n_chars"] == len(redacted[letters[5][0]]["text"])
     packed = data.toPandas()
     assert set(packed["doc_id"]) == want and (packed.groupby("sequence_id")["length"].sum() <= 2048).all()
