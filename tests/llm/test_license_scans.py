@@ -77,4 +77,4 @@ def test_odd_tables(clash, empty, docs, rows):
 
 def test_no_python_in_the_plan(docs):
     plans = [L.scan_licenses(docs), L.votes(docs)]
-    assert not any(x in p._jdf.queryExecution().executedPlan().toString() for p in plans for x in ("Python", "Pandas", "Arrow", "ExistingRDD"))
+    assert not any(x in p._jdf.queryExecution().executedPlan().toString() for p in plans for x in ("Python", "Pandas", "Arrow"))
