@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recordloom.llm import language_model, license_scans, pipeline, secret_scans
+from recordloom.llm import conversation_repair, language_model, license_scans, pipeline, secret_scans, spelling_variants
 from recordloom.llm.decontamination import contaminated
 from recordloom.llm.fingerprints import fingerprints_and_edits
 from recordloom.llm.html_extraction import extract_main_text
@@ -77,6 +77,15 @@ def op11_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scans.scan_licenses(documents(spark, sf_dir).select("doc_id", "text")).drop("text")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality, op2_secret_scans, op3_near_duplicates, op4_language_id, op5_lm_scoring, op6_token_files, op7_packing, op8_html_extraction, op9_decontamination, op10_fingerprints, op11_license_scans)}
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    return conversation_repair.digest(conversation_repair.damage(conversations), conversations)
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.spelling_variants(documents(spark, sf_dir))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_quality, op2_secret_scans, op3_near_duplicates, op4_language_id, op5_lm_scoring, op6_token_files, op7_packing, op8_html_extraction, op9_decontamination, op10_fingerprints, op11_license_scans, op12_conversation_repair, op13_spelling_variants)}
 QUERIES["pipeline"] = pipeline.run
 ORACLE_SQL: dict[str, str] = {"op2_secret_scans": secret_scans.ORACLE_SQL, "op11_license_scans": license_scans.ORACLE_SQL}
