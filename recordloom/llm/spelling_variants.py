@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from recordloom.llm.staging import look_up, stage
 
-# Fixed values of the contract: runs, the divisor of damaged runs, least code points and occurrences.
-RUN, DIVISOR, LEAST_LENGTH, LEAST_N = r"[A-Za-zÀ-ÿ]+", 97, 5, 3
+# Fixed values of the contract: what is between runs, the divisor of damaged runs, least code points and occurrences.
+GAP, DIVISOR, LEAST_LENGTH, LEAST_N = r"[\x00-\x40\x5B-\x60\x7B-\xBF\x{100}-\x{10FFFF}]+", 97, 5, 3
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Words of one edge in a shard, segments for which there is a shard, and code points that are compared at once.
 SHARD, SEGMENTS, AT_ONCE = 10_000, 20_000, 2_000_000
@@ -39,20 +39,20 @@ EDGE = LEAST_LENGTH // 2
 PAIRS = "word string, n long, near string, near_n long"
 
 
-def damaged_runs(docs: DataFrame) -> DataFrame:
-    """(word): the runs of every text in lower case (A to Z only), those whose hash DIVISOR divides short of one code
-    point."""
-    runs = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), F.explode(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(RUN), F.lit(0))).alias("run"))
-    low = runs.select("id", F.translate("run", UPPER, LOWER).alias("run"))
-    hashed = low.withColumn("h", F.crc32(F.concat_ws(":", "id", "run").cast("binary")))
-    at = (F.col("h") % F.char_length("run")).cast("int")
+def damaged_runs(docs: DataFrame, least: int = 1) -> DataFrame:
+    """(word): the runs of ``least`` code points at least of every text in lower case (A to Z only), those whose hash
+    DIVISOR divides short of one code point."""
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER).alias("text"))
+    runs = texts.select("id", F.explode(F.split("text", GAP)).alias("run")).filter(F.char_length("run") >= least)  # a run is cut short at most
+    h = F.crc32(F.concat("id", F.lit(":"), "run").cast("binary"))
+    at = (h % F.char_length("run")).cast("int")
     shorter = F.concat(F.substr("run", F.lit(1), at), F.substr("run", at + 2))
-    return hashed.select(F.when(F.col("h") % DIVISOR == 0, shorter).otherwise(F.col("run")).alias("word"))
+    return runs.select(F.when(h % DIVISOR == 0, shorter).otherwise(F.col("run")).alias("word"))
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word, n) of the words of LEAST_LENGTH code points and LEAST_N occurrences at least."""
-    words = damaged_runs(docs).filter(F.char_length("word") >= LEAST_LENGTH)
+    words = damaged_runs(docs, LEAST_LENGTH).filter(F.char_length("word") >= LEAST_LENGTH)
     return words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= LEAST_N)
 
 
@@ -85,11 +85,11 @@ def _one_edit(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of rows of code points, whose lengths differ by one at most: whether they are one edit apart, and how many code
     points they begin with alike."""
     w = min(a.shape[1], b.shape[1])
-    front = (a[:, :w] == b[:, :w]).cumprod(axis=1, dtype=np.int32).sum(axis=1)
-    back = (a[:, ::-1][:, :w] == b[:, ::-1][:, :w]).cumprod(axis=1, dtype=np.int32).sum(axis=1)
+    alike = lambda x, y: np.where((ne := x != y).any(axis=1), ne.argmax(axis=1), w)
+    front = alike(a[:, :w], b[:, :w])
     if a.shape[1] == b.shape[1]:
-        return (front < w) & (front + back >= w - 1), front
-    return front + back >= w, front
+        return (a != b).sum(axis=1) == 1, front
+    return front + alike(a[:, ::-1][:, :w], b[:, ::-1][:, :w]) >= w, front
 
 
 def near_in_shard(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:

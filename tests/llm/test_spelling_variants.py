@@ -55,6 +55,7 @@ def texts():
     pool = ["".join(rng.choice("abéA") for _ in range(rng.randint(4, 8))) for _ in range(150)] + ["Straße", "ÀÉÎÕÜ", "naïves", "mother×son"]
     text = lambda: " ".join(rng.choice(pool) + rng.choice(["", ",", "1", "'s"]) for _ in range(rng.randint(0, 300)))
     rows = [(k if k % 7 else None, text()) for k in range(40)] + [(90, None), (91, ""), (92, "ß" * 20_000 + " " + "ß" * 19_999), (93, "ß" * 20_000), (93, "ß" * 20_000), (94, ("ß" * 19_999 + " ") * 2)]
+    rows.append((95, "stones " * 60 + "stonez " * 20 + "ztonez " * 6))
     return rows + rows[:3]
 
 
