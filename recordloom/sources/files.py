@@ -1,26 +1,17 @@
-"""Record files as DataFrames.
+"""Files as DataFrames: open, read, write and rewrite with status codes, lines, reports, source trees, JDBC.
 
-Fixed-length and length-prefixed (RDW) files are read through Spark's binary file source, and line files through its
-text source, so from any store that Spark reads. Spark has no writer of bare bytes: the record writer is a Python data
-source for paths that are mounted on all machines, which emits parts in the order of the rows' partitions.
+Record files themselves are the data source of ``records``; line files are Spark's text source.
 """
 
 from __future__ import annotations
 
-import os
-import struct
-from collections.abc import Iterator
-
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
-from recordloom.sources.staged import numbered
+from recordloom.sources.records import list_files, read_fixed, read_variable, variable_status, write_fixed, write_variable
+from recordloom.sources.staged import numbered, settled
 
-#: Bytes of a file that one task cuts up, at most.
-LARGE = 256 * 1024 * 1024
-BATCH = 10_000
+__all__ = ["list_files", "read_fixed", "read_variable", "variable_status", "write_fixed", "write_variable"]
 
 # File status codes and their descriptions.
 FILE_STATUS = {
@@ -52,122 +43,6 @@ def status_success(code: Column) -> Column:
     return code.isin("00", "10")
 
 
-class _RecordWriter(DataSourceArrowWriter):
-    """Part files in a folder; a whole folder is replaced on overwrite, added to otherwise."""
-
-    def __init__(self, options: dict, overwrite: bool):
-        self.path, self.length, self.variable = options["path"].removeprefix("file://"), options.get("recordlength"), options.get("variable") == "true"
-        self.pad = bytes.fromhex(options.get("pad", "20"))
-        os.makedirs(self.path, exist_ok=True)
-        self.old = [os.path.join(self.path, f) for f in os.listdir(self.path)] if overwrite else []
-        self.generation = len(os.listdir(self.path))
-
-    def write(self, batches: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
-        from pyspark import TaskContext
-
-        context = TaskContext.get()
-        path = os.path.join(self.path, f"_part-{self.generation:06d}-{context.partitionId():06d}-{context.taskAttemptId()}")
-        with open(path, "wb") as f:
-            for batch in batches:
-                for data in batch["record"].to_pylist():
-                    data = data or b""
-                    if self.variable:
-                        f.write(struct.pack(">HH", len(data) + 4, 0) + data)
-                    else:
-                        n = int(self.length)
-                        f.write(data[:n] + self.pad * (n - len(data)))
-        message = WriterCommitMessage()
-        message.path = path
-        return message
-
-    def commit(self, messages: list) -> None:
-        for path in self.old:
-            os.remove(path)
-        for m in filter(None, messages):
-            os.rename(m.path, os.path.join(self.path, os.path.basename(m.path)[1:]))
-
-    def abort(self, messages: list) -> None:
-        for m in filter(None, messages):
-            if os.path.exists(m.path):
-                os.remove(m.path)
-
-
-class RecordFiles(DataSource):
-    """Format ``records``, for writing (position long, record binary). Options: recordLength, variable, pad (hex)."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "records"
-
-    def schema(self) -> str:
-        return "position bigint, record binary"
-
-    def writer(self, schema: object, overwrite: bool) -> DataSourceArrowWriter:
-        return _RecordWriter({k.lower(): v for k, v in self.options.items()}, overwrite)
-
-
-def _contents(spark: SparkSession, path: str) -> DataFrame:
-    """(file, size, content) of the files of a path, pattern or folder, files numbered in the order of their names."""
-    files = spark.read.format("binaryFile").load(path)
-    names = files.select("path", F.col("length").alias("size")).withColumn("file", F.row_number().over(Window.orderBy("path")) - 1)  # a row for each file
-    return files.select("path", "content").join(F.broadcast(names), "path")
-
-
-def _records(spark: SparkSession, path: str, size: int, length: int, file: int, pad: bytes, ragged: str) -> DataFrame:
-    """The records of one large file, by input splits of whole records."""
-    if size % length:
-        raise ValueError(f"39: {path}: a file of {size} bytes holds no whole number of records of {length}")
-    lines = spark.sparkContext.newAPIHadoopFile(path, "org.apache.hadoop.mapreduce.lib.input.FixedLengthInputFormat", "org.apache.hadoop.io.LongWritable", "org.apache.hadoop.io.BytesWritable", conf={"fixedlengthinputformat.record.length": str(length)})
-    return spark.createDataFrame(lines.map(lambda r: ((file << 40) + r[0] // length, bytes(r[1]))), "position long, record binary")
-
-
-def read_fixed(spark: SparkSession, path: str, length: int, ragged: str = "pad", pad: bytes = b" ") -> DataFrame:
-    """Sequential scan of (position, record), from any store that Spark reads: a short last record is padded ("pad") or
-    left out ("drop", as keyed files are loaded). Files are cut up by their own task; one beyond LARGE is read in splits."""
-    files = spark.read.format("binaryFile").load(path).select("path", "length")
-    large = files.filter(F.col("length") > LARGE).collect()  # few: the others are cut without the driver
-    rows = _contents(spark, path).filter(F.col("size") <= LARGE)
-    whole = F.floor(F.col("size") / length) if ragged == "drop" else F.ceil(F.col("size") / length)
-    cut = F.when(whole > 0, F.transform(F.sequence(F.lit(0).cast("long"), whole - 1), lambda k: F.struct(k.alias("k"), F.call_function("rpad", F.substr("content", (k * length + 1).cast("int"), F.lit(length)), F.lit(length), F.lit(pad)).alias("record"))))
-    out = rows.select("file", F.explode(cut).alias("r")).select((F.shiftleft(F.col("file").cast("long"), 40) + F.col("r.k")).alias("position"), "r.record")
-    if large:
-        order = [r["path"] for r in files.orderBy("path").collect()]
-        for r in large:
-            out = out.unionByName(_records(spark, r["path"], r["length"], length, order.index(r["path"]), pad, ragged))
-    return out
-
-
-def write_fixed(df: DataFrame, path: str, length: int, mode: str = "overwrite") -> None:
-    """OPEN OUTPUT ("overwrite") or EXTEND ("append"): records are padded or cut to ``length``."""
-    df.sparkSession.dataSource.register(RecordFiles)
-    df.select(F.lit(0).cast("long").alias("position"), F.col("record").cast("binary").alias("record")).write.format("records").mode(mode).option("recordLength", length).save(path)
-
-
-def _unwrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for file, data in zip(batch["file"].to_pylist(), batch["content"], strict=True):
-            data, at, k, held = data.as_buffer().to_pybytes(), 0, 0, []
-            while at + 4 <= len(data):
-                size = struct.unpack_from(">H", data, at)[0]
-                held.append(data[at + 4 : at + max(size, 4)])
-                at += max(size, 4)
-                k += 1
-                if len(held) == BATCH or at + 4 > len(data):
-                    yield pa.RecordBatch.from_arrays([pa.array(range((file << 40) + k - len(held), (file << 40) + k), pa.int64()), pa.array(held, pa.binary())], ["position", "record"])
-                    held = []
-
-
-def read_variable(spark: SparkSession, path: str) -> DataFrame:
-    """(position, record) of records behind a four-byte descriptor: big-endian length with the descriptor, and two zero
-    bytes. Such a file can only be read from its start, so a task takes a file; large sets are folders of files."""
-    return _contents(spark, path).select("file", "content").mapInArrow(_unwrapped, "position long, record binary")
-
-
-def write_variable(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    df.sparkSession.dataSource.register(RecordFiles)
-    df.select(F.lit(0).cast("long").alias("position"), F.col("record").cast("binary").alias("record")).write.format("records").mode(mode).option("variable", "true").save(path)
-
-
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether the path, pattern or folder names a file, in any store."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -180,6 +55,65 @@ def open_input(spark: SparkSession, path: str, length: int) -> tuple[DataFrame |
     return (read_fixed(spark, path, length), "00") if exists(spark, path) else (None, "35")
 
 
+class RecordFile:
+    """A file of fixed-length records, opened in one of four modes; every operation leaves its ``status``.
+
+    INPUT and I-O need a file (35); OUTPUT replaces it, EXTEND adds to it, and both make one. What a mode doesn't allow
+    leaves 47 (read), 48 (write) or 49 (rewrite), without touching the file; 41 is a file opened twice, 42 one closed
+    twice, 30 a path that no file system serves. REWRITE writes the file anew, in order, and replaces it when done.
+    """
+
+    READS, WRITES = ("INPUT", "I-O"), ("OUTPUT", "EXTEND", "I-O")
+
+    def __init__(self, spark: SparkSession, path: str, length: int):
+        self.spark, self.path, self.length, self.mode, self.status, self.fresh = spark, path, length, None, "00", False
+
+    def open(self, mode: str) -> str:
+        if mode not in {*self.READS, *self.WRITES}:
+            raise ValueError(mode)
+        if self.mode:
+            self.status = "41"
+            return self.status
+        self.status = "00"
+        try:
+            list_files(self.path)
+        except FileNotFoundError:
+            self.status = "35" if mode in self.READS else "00"
+        except ValueError:
+            self.status = "30"
+        if self.status == "00":
+            self.mode, self.fresh = mode, mode == "OUTPUT"
+        return self.status
+
+    def close(self) -> str:
+        self.status = "00" if self.mode else "42"
+        self.mode = None
+        return self.status
+
+    def read(self) -> DataFrame | None:
+        """(position, record), or None with status 47."""
+        self.status = "00" if self.mode in self.READS else "47"
+        return read_fixed(self.spark, self.path, self.length) if self.status == "00" else None
+
+    def write(self, records: DataFrame) -> str:
+        """Records in the order of their partitions, behind those that are there."""
+        self.status = "00" if self.mode in self.WRITES else "48"
+        if self.status == "00":
+            write_fixed(records, self.path, self.length, "overwrite" if self.fresh else "append")
+            self.fresh = False
+        return self.status
+
+    def rewrite(self, changes: DataFrame) -> DataFrame | None:
+        """Replace records by position. (position, record, file_status) of the changes, 00 or 23; None with status 49."""
+        self.status = "00" if self.mode == "I-O" else "49"
+        if self.status != "00":
+            return None
+        done, judged = rewrite(read_fixed(self.spark, self.path, self.length), settled(changes))
+        judged = settled(judged)
+        write_fixed(done.repartitionByRange("position").sortWithinPartitions("position"), self.path, self.length)
+        return judged
+
+
 def rewrite(records: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """REWRITE by position: (records with the changed ones replaced, changes with file_status 00 or 23). Both are
     (position, record); of changes of one position the greatest counts."""

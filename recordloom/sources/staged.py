@@ -59,6 +59,20 @@ def numbered(df: DataFrame, order: Sequence[str | Column], name: str = "rn", wit
     return joined.withColumn(name, (F.col("_base") + F.col("_rn")).cast("long")).select(*df.columns, name)
 
 
+def running_total(df: DataFrame, order: Sequence[str | Column], value: str, name: str, within: Sequence[str] = ()) -> DataFrame:
+    """``df`` with the sum of ``value`` up to and with each row of a total order, within each value of ``within``; as with
+    numbered() a value's rows are dealt over ranges, which add the sums of the ranges before them."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = settled(df.repartitionByRange(n, *within, *order).withColumn("_p", F.spark_partition_id()))
+    sums = ranged.groupBy(*within, "_p").agg(F.sum(value).alias("_n"))
+    before = Window.partitionBy(*within).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sums.select(*within, "_p", F.sum("_n").over(before).alias("_base"))  # ranges times values at most
+    own = F.sum(value).over(Window.partitionBy(*within, "_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    joined = _same(ranged.withColumn("_rn", own), bases, [*within, "_p"])
+    total = F.when(F.col("_base").isNull(), F.col("_rn")).otherwise(F.col("_base") + F.coalesce("_rn", F.lit(0)))
+    return joined.withColumn(name, total.cast(sums.schema["_n"].dataType)).select(*df.columns, name)
+
+
 def _same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """An inner join in which nulls equal nulls."""
     renamed = right.select(*[F.col(k).alias(f"_r{i}") if k in keys else F.col(k) for i, k in enumerate(right.columns)])

@@ -25,15 +25,6 @@ def test_ragged_tail(spark, tmp_path):
     assert files.read_fixed(spark, path, 4, ragged="drop").count() == 2
 
 
-def test_large_files_are_read_in_splits(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(files, "LARGE", 100)
-    os.makedirs(tmp_path / "big")
-    for name, n in (("a", 10), ("b", 200), ("c", 5)):
-        (tmp_path / "big" / name).write_bytes(b"".join(b"%s%07d" % (name.encode(), k) for k in range(n)))
-    got = files.read_fixed(spark, str(tmp_path / "big"), 8).orderBy("position").collect()
-    assert [bytes(r["record"]) for r in got] == [b"%s%07d" % (name.encode(), k) for name, n in (("a", 10), ("b", 200), ("c", 5)) for k in range(n)]
-
-
 def test_rewrite_by_position(spark):
     records = spark.createDataFrame([(k, bytes([65 + k])) for k in range(4)], "position long, record binary")
     changes = spark.createDataFrame([(1, b"x"), (1, b"y"), (9, b"z")], "position long, record binary")
