@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from recordloom.sources.staged import numbered, settled
+from recordloom.sources.staged import numbered, running_total, settled
 
 
 def signed_amount(kind: Column, amount: Column) -> Column:
@@ -73,14 +73,13 @@ def page_numbers(df: DataFrame, within: str, order: Sequence[str], per_page: int
 
 
 def running_balance(df: DataFrame, key: str, order: Sequence[str], amount: Column) -> DataFrame:
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("balance", F.sum(amount).over(w))
+    """``balance``: the sum of ``amount`` up to and with each row of its key, whatever the key's share of the rows."""
+    return running_total(df.withColumn("_amount", amount), order, "_amount", "balance", [key]).drop("_amount")
 
 
 def commit_groups(df: DataFrame, within: str, order: Sequence[str], every: int) -> DataFrame:
     """The number of the commit that each row belongs to, ``every`` rows a commit in each ``within``."""
-    rn = F.row_number().over(Window.partitionBy(within).orderBy(*order))
-    return df.withColumn("commit_group", F.floor((rn - 1) / every).cast("long"))
+    return numbered(df, order, "_line", [within]).select(*df.columns, F.floor((F.col("_line") - 1) / every).cast("long").alias("commit_group"))
 
 
 def commit_groups_global(df: DataFrame, order: str, every: int) -> DataFrame:
@@ -139,9 +138,9 @@ def merge_files(files: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
 
 
 def progress(df: DataFrame, within: str, order: Sequence[str]) -> DataFrame:
-    """The rounded percentage of a partition's rows done after each row."""
-    w = Window.partitionBy(within)
-    return df.withColumn("percent", F.round(F.row_number().over(w.orderBy(*order)) * 100.0 / F.count(F.lit(1)).over(w)).cast("long"))
+    """The rounded percentage of a partition's rows done after each row, whatever the partition's share of the rows."""
+    rows = numbered(df, order, "_line", [within], total="_of")
+    return rows.select(*df.columns, F.round(F.col("_line") * 100.0 / F.col("_of")).cast("long").alias("percent"))
 
 
 def publish_groups(df: DataFrame, path: str, group: str = "commit_group") -> DataFrame:

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Mapping
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+from recordloom.sources.sorted_files import SortedStore
+from recordloom.sources.staged import new_path
+
 # Leading words of a statement and its type, in the order they are tried.
 STATEMENT_TYPES = (
     "SELECT", "INSERT", "UPDATE", "DELETE", ("OPEN", "OPEN_CURSOR"), "FETCH", ("CLOSE", "CLOSE_CURSOR"), "COMMIT", "ROLLBACK", "INCLUDE", "WHENEVER", "BEGIN", "END",
@@ -191,6 +194,66 @@ class Cursor:
             yield one.value
 
 
+class ScrollCursor(Cursor):
+    """A scrollable cursor over rows in an order. OPEN sorts them once, into a store with a directory of ranks; a fetch
+    reads a page of rows around its position, from the file that holds it, and following fetches are served from it.
+
+    The position is 0 before the first row and one more than the last after it; a fetch beyond either end leaves it there
+    and gives 100. FETCH RELATIVE 0 gives the current row again."""
+
+    def __init__(self, df: DataFrame, order: Sequence[str], path: str | None = None, page: int = 1_000):
+        super().__init__(df)
+        self.order, self.path, self.size, self.store, self.position, self.page, self.reads = list(order), path, page, None, 0, {}, 0
+
+    def open(self) -> Outcome:
+        self.store = SortedStore.write(self.df, self.path or new_path(self.df.sparkSession, "cursor"), self.order)
+        self.position, self.page, self.current, self.fetched = 0, {}, None, 0
+        return Outcome()
+
+    def close(self) -> Outcome:
+        if self.store is None:
+            return Outcome(None, -501, "24000")
+        self.store, self.page, self.current = None, {}, None
+        return Outcome()
+
+    def _at(self, position: int) -> Outcome:
+        if self.store is None:
+            return Outcome(None, -501, "24000")
+        self.position = max(0, min(position, self.store.total + 1))
+        if self.position != position or not 1 <= position <= self.store.total:
+            self.current = None
+            return Outcome(None, 100, "02000")
+        if position not in self.page:
+            first = max(1, position - self.size // 4)
+            self.page = {r["rank"]: r for r in self.store.slice(first, first + self.size - 1).collect()}  # a page
+            self.reads += 1
+        found = self.page[position].asDict()
+        del found["rank"]
+        self.current = Row(**found)
+        self.fetched += 1
+        return Outcome(self.current, 0, "00000", 1)
+
+    def fetch(self) -> Outcome:
+        """FETCH NEXT."""
+        return self._at(self.position + 1)
+
+    def prior(self) -> Outcome:
+        return self._at(self.position - 1)
+
+    def first(self) -> Outcome:
+        return self._at(1)
+
+    def last(self) -> Outcome:
+        return self.absolute(-1)
+
+    def absolute(self, n: int) -> Outcome:
+        """FETCH ABSOLUTE; negative positions count from the end, 0 is before the first row."""
+        return self._at(n if n >= 0 or self.store is None else self.store.total + 1 + n)
+
+    def relative(self, n: int) -> Outcome:
+        return self._at(self.position + n)
+
+
 class Transaction:
     """Tables as versions of frames: changes are staged by name and published together on commit."""
 

@@ -5,10 +5,11 @@ Keys that are read or changed come as a DataFrame, so a run of a thousand keys i
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from recordloom.sources.staged import numbered
+from recordloom.sources.records import read_fixed, write_fixed
+from recordloom.sources.staged import numbered, settled
 
 #: Bytes of a table that may be broadcast.
 MOST_BYTES = 64 * 1024 * 1024
@@ -88,10 +89,74 @@ def fetch(rows: DataFrame, order: list[str], position: int, relative_to: int = 0
 
 
 def relative_record(df: DataFrame, position: str) -> DataFrame:
-    """Relative files: the record number of each record from its position in the file (0-based)."""
+    """Relative files: the record number (from 1) of each record from its position (from 0), as read_fixed() counts it
+    over all files of a folder."""
     return df.withColumn("record_number", F.col(position) + 1)
 
 
+class RelativeFile:
+    """Records by number (from 1) in slots of one length, over any number of files. Which slots are empty is kept beside the
+    records, as bitmaps of 32,768 slots each, so DELETE leaves the records where they are; a slot beyond the end is empty.
+
+    The bitmaps of each change are a new folder, read once it is complete; readers of record files don't see them."""
+
+    def __init__(self, spark: SparkSession, path: str, length: int):
+        self.spark, self.path, self.length = spark, path, length
+
+    def load(self, records: DataFrame) -> None:
+        """OPEN OUTPUT: records (record_number, record); numbers that are missing are empty slots."""
+        last = records.agg(F.max("record_number")).first()[0] or 0
+        slots = self.spark.range(1, last + 1).select(F.col("id").alias("record_number"))
+        whole = settled(slots.join(records.select("record_number", "record", F.lit(True).alias("_there")), "record_number", "left"))
+        write_fixed(whole.repartitionByRange("record_number").sortWithinPartitions("record_number"), self.path, self.length)
+        self._save(whole.filter("_there is null").select("record_number"), None)
+
+    def _versions(self) -> list[str]:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/_empty")
+        fs = where.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        done = [f.getPath() for f in fs.listStatus(where) if fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(f.getPath(), "_SUCCESS"))] if fs.exists(where) else []
+        return sorted(p.getName() for p in done)
+
+    def _save(self, empty: DataFrame, old: DataFrame | None) -> None:
+        """New bitmaps: the empty slots of before, and those of ``empty``."""
+        at = F.col("record_number") - 1
+        bits = empty.groupBy(F.call_function("bitmap_bucket_number", at).alias("bucket")).agg(F.call_function("bitmap_construct_agg", F.call_function("bitmap_bit_position", at)).alias("bits"))
+        if old is not None:
+            bits = old.unionByName(bits).groupBy("bucket").agg(F.call_function("bitmap_or_agg", F.col("bits")).alias("bits"))
+        version = int((self._versions() or ["0"])[-1]) + 1
+        bits.write.parquet(f"{self.path}/_empty/{version:012d}")
+
+    def empty(self) -> DataFrame:
+        """(bucket, bits) of the empty slots."""
+        versions = self._versions()
+        schema = "bucket bigint, bits binary"
+        return self.spark.read.schema(schema).parquet(f"{self.path}/_empty/{versions[-1]}") if versions else self.spark.createDataFrame([], schema)
+
+    def _judged(self, requests: DataFrame) -> DataFrame:
+        """Requests (record_number, …) with ``_empty``: whether the bitmaps say so."""
+        at = F.col("record_number") - 1
+        bucket, bit = F.call_function("bitmap_bucket_number", at), F.call_function("bitmap_bit_position", at)
+        byte = F.conv(F.hex(F.substr("bits", (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+        joined = requests.withColumn("bucket", bucket).withColumn("_bit", bit).join(self.empty(), "bucket", "left").withColumn("_byte", F.coalesce(byte, F.lit(0)))
+        return joined.withColumn("_empty", F.expr("bit_get(_byte, cast(_bit % 8 as int)) = 1")).drop("bucket", "bits", "_bit", "_byte")
+
+    def read(self) -> DataFrame:
+        """READ NEXT over the file: (record_number, record) of the slots that hold a record."""
+        records = relative_record(read_fixed(self.spark, self.path, self.length), "position").select("record_number", "record")
+        return self._judged(records).filter(~F.col("_empty")).drop("_empty")
+
+    def read_at(self, requests: DataFrame) -> DataFrame:
+        """Every request with its record and file_status 00 or 23."""
+        return read_keys(requests, self.read(), ["record_number"])
+
+    def delete(self, requests: DataFrame) -> DataFrame:
+        """Requests with file_status: 00 for a slot that held a record and is empty now, 23 for others."""
+        judged = settled(self.read_at(requests).drop("record"))
+        old = settled(self.empty())
+        self._save(judged.filter("file_status = '00'").select("record_number").distinct(), old)
+        return judged
+
+
 def maintain(store: DataFrame, transactions: DataFrame, key: str, sequence: str, action: str, payload: list[str]) -> tuple[DataFrame, DataFrame]:
     """Apply A(dd), U(pdate) and D(elete) transactions in order within each key.
 

@@ -13,7 +13,9 @@ from recordloom.operators.calls import call
 from recordloom.plans import copybook
 from recordloom.plans.registry import Registry, table
 from recordloom.sources import files
+from recordloom.sources.sorted_files import SortedStore
 from recordloom.sources.staged import new_path
+from recordloom.sources.versions import VersionedStore, committed_groups
 
 query = Registry()
 MONEY = "decimal(15,2)"
@@ -107,19 +109,152 @@ def _(spark, d):
     return back.join(F.broadcast(least)).select("o_custkey", "o_orderkey", (F.col("o_custkey") == F.col("least")).alias("first"))
 
 
-@query("relative_record", "SELECT CAST(row_number() OVER (ORDER BY n_nationkey) AS BIGINT) AS record_number, n_name FROM nation")
+@query("relative_record", "SELECT CAST(row_number() OVER (ORDER BY s_suppkey) AS BIGINT) AS record_number, s_name FROM supplier")
 def _(spark, d):
+    """A relative file of several parts: numbers go on from part to part."""
     path = new_path(spark, "relative")
-    ordered = table(spark, d, "nation").orderBy("n_nationkey").coalesce(1).select(F.encode(C.fixed_string(F.col("n_name"), 25), "ISO-8859-1").alias("record"))
+    ordered = table(spark, d, "supplier").repartitionByRange(6, "s_suppkey").sortWithinPartitions("s_suppkey").select(F.encode(C.fixed_string(F.col("s_name"), 25), "ISO-8859-1").alias("record"))
     files.write_fixed(ordered, path, 25)
-    return K.relative_record(files.read_fixed(spark, path, 25), "position").select("record_number", C.decode_text(F.col("record")).alias("n_name"))
+    return K.relative_record(files.read_fixed(spark, path, 25), "position").select("record_number", C.decode_text(F.col("record")).alias("s_name"))
 
 
-@query("open_input_status", "SELECT * FROM (VALUES ('there', '00'), ('missing', '35')) t(file, status)")
+@query("relative_slots", """WITH last AS (SELECT c_custkey * 3 AS record_number, c_name, c_custkey % 4 = 0 AS gone FROM customer)
+SELECT o.o_orderkey, CASE WHEN l.c_name IS NULL OR l.gone THEN '23' ELSE '00' END AS file_status, CASE WHEN NOT l.gone THEN l.c_name END AS c_name
+FROM orders o LEFT JOIN last l ON l.record_number = o.o_custkey + o.o_orderkey % 5""")
 def _(spark, d):
-    path = new_path(spark, "there")
-    files.write_fixed(table(spark, d, "region").select(F.encode("r_name", "ISO-8859-1").alias("record")), path, 25)
-    return spark.createDataFrame([("there", files.open_input(spark, path, 25)[1]), ("missing", files.open_input(spark, f"{path}-none", 25)[1])], "file string, status string")
+    """A relative file in which two of three slots were never written and every fourth record is deleted, read by number."""
+    file = K.RelativeFile(spark, new_path(spark, "slots"), 25)
+    file.load(table(spark, d, "customer").select((F.col("c_custkey") * 3).alias("record_number"), F.encode(F.col("c_name"), "ISO-8859-1").alias("record")))
+    file.delete(table(spark, d, "customer").filter("c_custkey % 4 = 0").select((F.col("c_custkey") * 3).alias("record_number")))
+    requests = table(spark, d, "orders").select("o_orderkey", (F.col("o_custkey") + F.col("o_orderkey") % 5).alias("record_number"))
+    return file.read_at(requests).select("o_orderkey", "file_status", C.decode_text(F.col("record")).alias("c_name"))
+
+
+@query("fixed_ragged", "SELECT c_custkey, CASE WHEN c_custkey = (SELECT max(c_custkey) FROM customer) THEN rpad(left(c_name, 12), 20, ' ') ELSE rpad(c_name, 20, ' ') END AS c_name FROM customer")
+def _(spark, d):
+    """A file whose last record is short: the rest of it is blanks."""
+    path = new_path(spark, "short")
+    rows = table(spark, d, "customer").repartitionByRange(4, "c_custkey").sortWithinPartitions("c_custkey")
+    text = F.concat(F.lpad(F.col("c_custkey").cast("string"), 10, "0"), C.fixed_string(F.col("c_name"), 20))
+    last = table(spark, d, "customer").agg(F.max("c_custkey").alias("last"))
+    short = rows.join(F.broadcast(last)).select(F.encode(F.when(F.col("c_custkey") == F.col("last"), F.left(text, F.lit(22))).otherwise(text), "ISO-8859-1").alias("record"))  # one row
+    # a writer of records would pad it: a length of two divides both kinds of records
+    halves = short.select(F.explode(F.transform(F.sequence(F.lit(1), F.octet_length("record"), F.lit(2)), lambda k: F.substr("record", k, F.lit(2)))).alias("record"))
+    files.write_fixed(halves, path, 2)
+    record = F.decode("record", "ISO-8859-1")
+    return files.read_fixed(spark, path, 30).select(F.substr(record, F.lit(1), F.lit(10)).cast("long").alias("c_custkey"), F.substr(record, F.lit(11)).alias("c_name"))
+
+
+@query("rdw_blocked", "SELECT CAST(row_number() OVER (ORDER BY o_orderkey) - 1 AS BIGINT) AS position, o_orderkey, CAST(o_orderkey % 90 AS BIGINT) AS stars FROM orders")
+def _(spark, d):
+    """BLOCK CONTAINS 4096 CHARACTERS: records of several lengths in blocks, over several files, numbered in order."""
+    path = new_path(spark, "blocked")
+    rows = table(spark, d, "orders").repartitionByRange(6, "o_orderkey").sortWithinPartitions("o_orderkey")
+    files.write_variable(rows.select(F.encode(F.concat(F.lpad(F.col("o_orderkey").cast("string"), 12, "0"), F.repeat(F.lit("*"), (F.col("o_orderkey") % 90).cast("int"))), "ISO-8859-1").alias("record")), path, block=4096)
+    back = files.read_variable(spark, path, blocked=True)
+    return back.select("position", F.decode(F.substr("record", F.lit(1), F.lit(12)), "ISO-8859-1").cast("long").alias("o_orderkey"), (F.octet_length("record") - 12).cast("long").alias("stars"))
+
+
+@query("rdw_status", "SELECT f AS file, n AS records, CASE WHEN f = 'whole' THEN '00' ELSE '04' END AS file_status FROM (SELECT count(*) AS n FROM supplier), (VALUES ('torn'), ('whole')) t(f)")
+def _(spark, d):
+    """A length-prefixed file, and one of the same records with a descriptor at its end that promises more than is there."""
+    rows = table(spark, d, "supplier").select("s_suppkey", F.encode("s_name", "ISO-8859-1").alias("record")).coalesce(1)
+    framed = F.concat(F.unhex(F.lpad(F.hex((F.octet_length("record") + 4).cast("long")), 4, "0")), F.unhex(F.lit("0000")), "record")
+    torn = rows.select(framed.alias("record")).unionByName(spark.range(1).select(F.unhex(F.lit("00640000")).alias("record"))).coalesce(1)
+    found = []
+    for name, frame in (("whole", rows.select(framed.alias("record"))), ("torn", torn)):
+        path = new_path(spark, name)
+        single = frame.select(F.explode(F.transform(F.sequence(F.lit(1), F.octet_length("record")), lambda k: F.substr("record", k, F.lit(1)))).alias("record"))
+        files.write_fixed(single, path, 1)
+        found.append(files.variable_status(spark, path).select(F.lit(name).alias("file"), "records", "file_status"))
+    return found[0].unionByName(found[1])
+
+
+@query("open_input_status", """SELECT n_name, CASE WHEN mode IN ('INPUT', 'I-O') AND n_nationkey % 2 = 1 THEN '35' ELSE '00' END AS opened,
+  CASE WHEN mode IN ('OUTPUT', 'EXTEND') OR (mode IN ('INPUT', 'I-O') AND n_nationkey % 2 = 1) THEN '47' ELSE '00' END AS read,
+  CASE WHEN mode IN ('INPUT', 'I-O') AND n_nationkey % 2 = 0 THEN (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) END AS records
+FROM (SELECT *, ['INPUT', 'OUTPUT', 'I-O', 'EXTEND'][n_nationkey % 4 + 1] AS mode FROM nation)""")
+def _(spark, d):
+    """A file of customers for every other nation, each nation's file opened in one of the four modes and read."""
+    folder = new_path(spark, "nations")
+    nations = table(spark, d, "nation").select("n_nationkey", "n_name").collect()  # a file for each
+    found = []
+    for n in nations:
+        key, path = n["n_nationkey"], f"{folder}/{n['n_nationkey']}"
+        if key % 2 == 0:
+            files.write_fixed(table(spark, d, "customer").filter(F.col("c_nationkey") == key).select(F.encode("c_name", "ISO-8859-1").alias("record")), path, 20)
+        file = files.RecordFile(spark, path, 20)
+        opened = file.open(("INPUT", "OUTPUT", "I-O", "EXTEND")[key % 4])
+        rows = file.read()
+        found.append((n["n_name"], opened, file.status, None if rows is None else rows.count()))
+    return spark.createDataFrame(found, "n_name string, opened string, read string, records bigint")
+
+
+@query("indexed_point_read", "SELECT n_nationkey, o_orderkey, o_custkey, CASE WHEN o_orderkey IS NULL THEN '23' ELSE '00' END AS file_status FROM nation LEFT JOIN orders ON o_orderkey = n_nationkey * 37")
+def _(spark, d):
+    """READ by key from a store of many files: only those that can hold a key are opened."""
+    store = SortedStore.write(table(spark, d, "orders").select("o_orderkey", "o_custkey"), new_path(spark, "index"), ["o_orderkey"], files=32)
+    requests = table(spark, d, "nation").select("n_nationkey", (F.col("n_nationkey") * 37).cast("long").alias("o_orderkey"))
+    found = store.read_keys(requests)
+    return found.select("n_nationkey", F.when(F.col("file_status") == "00", F.col("o_orderkey")).alias("o_orderkey"), "o_custkey", "file_status")
+
+
+@query("indexed_browse", """(SELECT 'next' AS way, o_totalprice, o_orderkey FROM orders WHERE o_totalprice > 150000 ORDER BY o_totalprice, o_orderkey LIMIT 40)
+UNION ALL (SELECT 'previous', o_totalprice, o_orderkey FROM orders WHERE o_totalprice < 150000 ORDER BY o_totalprice DESC, o_orderkey DESC LIMIT 40)""")
+def _(spark, d):
+    """READ NEXT and READ PREVIOUS from a value between the keys of an alternate index."""
+    store = SortedStore.write(table(spark, d, "orders").select("o_totalprice", "o_orderkey"), new_path(spark, "browse"), ["o_totalprice", "o_orderkey"], files=32)
+    after = store.read_next(40, 150_000.0).select(F.lit("next").alias("way"), "o_totalprice", "o_orderkey")
+    return after.unionByName(store.read_previous(40, 150_000.0).select(F.lit("previous").alias("way"), "o_totalprice", "o_orderkey"))
+
+
+@query("fetch_relative_many", """WITH r AS (SELECT o_orderkey, o_custkey, row_number() OVER (ORDER BY o_orderkey) AS n FROM orders)
+SELECT a.o_orderkey AS from_key, b.o_orderkey AS to_key FROM r a LEFT JOIN r b ON b.n = a.n + a.o_custkey % 7 - 3""")
+def _(spark, d):
+    """FETCH RELATIVE -3 to +3 from every row of a cursor: the rows are sorted once, into a store with a directory of ranks."""
+    store = SortedStore.write(table(spark, d, "orders").select("o_orderkey", "o_custkey"), new_path(spark, "ranks"), ["o_orderkey"])
+    moves = store.ranked().select(F.col("o_orderkey").alias("from_key"), F.nullif(F.col("rank") + F.col("o_custkey") % 7 - 3, F.lit(0).cast("long")).alias("position"))
+    inside = moves.withColumn("position", F.when(F.col("position") > 0, F.col("position")))
+    return store.fetch_many(inside, "position").select("from_key", F.col("o_orderkey").alias("to_key"))
+
+
+@query("restart_after_commit", "SELECT CAST((row_number() OVER (ORDER BY c_custkey) - 1) // 100 AS BIGINT) AS commit_group, c_custkey, CAST(CAST(c_acctbal AS DECIMAL(15,2)) AS DOUBLE) AS bal FROM customer")
+def _(spark, d):
+    """Batch update with a commit every 100 rows, five commits a job, in a versioned store: the first run ends after its
+    first commits, the second goes on from the position in the manifest."""
+    path = new_path(spark, "restart")
+    source = SortedStore.write(table(spark, d, "customer").select("c_custkey", F.col("c_acctbal").cast(MONEY).alias("bal")), f"{path}/source", ["c_custkey"])
+    for _ in committed_groups(VersionedStore(spark, path), "master", source, 100, 5):
+        break  # the first run is lost here
+    for _ in committed_groups(VersionedStore(spark, path), "master", source, 100, 5):
+        pass
+    return VersionedStore(spark, path).read("master").select("commit_group", "c_custkey", F.col("bal").cast("double").alias("bal"))
+
+
+@query("stored_transaction", """WITH m AS (SELECT c_custkey, c_nationkey, CAST(c_acctbal AS DECIMAL(15,2)) AS bal FROM customer)
+SELECT 'master' AS t, c_custkey AS k, CAST(CASE WHEN c_nationkey < 5 THEN bal + 100 ELSE bal END AS DOUBLE) AS bal FROM m WHERE NOT (c_nationkey = 7 AND bal < 0)
+UNION ALL SELECT 'log', s_suppkey, CAST(CAST(s_acctbal AS DECIMAL(15,2)) AS DOUBLE) FROM supplier""")
+def _(spark, d):
+    """Two tables changed in one transaction that ends at a savepoint and is resumed by another session; a rolled-back
+    change leaves no trace."""
+    path = new_path(spark, "store")
+    store = VersionedStore(spark, path)
+    tx = store.begin()
+    tx.create("master", table(spark, d, "customer").select("c_custkey", "c_nationkey", F.col("c_acctbal").cast(MONEY).alias("bal")).repartitionByRange(6, "c_nationkey"))
+    tx.create("log", table(spark, d, "supplier").select("s_suppkey", F.col("s_acctbal").cast(MONEY).alias("bal")).limit(0))
+    tx.commit()
+    tx = store.begin()
+    tx.update("master", {"bal": F.col("bal") + 100}, F.col("c_nationkey") < 5)
+    kept = tx.savepoint("kept")
+    tx.delete("master", F.col("c_nationkey") > 10)
+    tx.rollback_to(kept)
+    later = VersionedStore(spark, path).resume(kept)
+    later.delete("master", (F.col("c_nationkey") == 7) & (F.col("bal") < 0))
+    later.insert("log", table(spark, d, "supplier").select("s_suppkey", F.col("s_acctbal").cast(MONEY).alias("bal")))
+    later.commit()
+    out = VersionedStore(spark, path)
+    master = out.read("master").select(F.lit("master").alias("t"), F.col("c_custkey").alias("k"), F.col("bal").cast("double").alias("bal"))
+    return master.unionByName(out.read("log").select(F.lit("log").alias("t"), F.col("s_suppkey").alias("k"), F.col("bal").cast("double").alias("bal")))
 
 
 @query("keyed_insert_repeats", "SELECT o_orderkey AS seq, CASE WHEN o_custkey % 5 = 0 OR row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) > 1 THEN '22' ELSE '00' END AS file_status FROM orders")

@@ -45,18 +45,18 @@ def settled(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def numbered(df: DataFrame, order: Sequence[str | Column], name: str = "rn", within: Sequence[str] = ()) -> DataFrame:
-    """``df`` with the row's number (from 1) in a total order, within each value of ``within``, with no task for all rows
-    of one value: rows are dealt by range and written once, so that both readings see the same ranges; then each range
+def numbered(df: DataFrame, order: Sequence[str | Column], name: str = "rn", within: Sequence[str] = (), total: str | None = None) -> DataFrame:
+    """``df`` with the row's number (from 1) in a total order, within each value of ``within``, and with the number of the
+    value's rows as ``total`` if that is named; with no task for all rows of one value: rows are dealt by range and written once, so that both readings see the same ranges; then each range
     numbers its own and adds the sizes of the ranges before it."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = settled(df.repartitionByRange(n, *within, *order).withColumn("_p", F.spark_partition_id()))
     sizes = ranged.groupBy(*within, "_p").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*within).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sizes.select(*within, "_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))  # ranges times values at most
+    bases = sizes.select(*within, "_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"), F.sum("_n").over(Window.partitionBy(*within)).alias("_of"))  # ranges times values at most
     own = F.row_number().over(Window.partitionBy(*within, "_p").orderBy(*order))
     joined = _same(ranged.withColumn("_rn", own), bases, [*within, "_p"])
-    return joined.withColumn(name, (F.col("_base") + F.col("_rn")).cast("long")).select(*df.columns, name)
+    return joined.withColumn(name, (F.col("_base") + F.col("_rn")).cast("long")).select(*df.columns, name, *([F.col("_of").alias(total)] if total else []))
 
 
 def running_total(df: DataFrame, order: Sequence[str | Column], value: str, name: str, within: Sequence[str] = ()) -> DataFrame:
