@@ -53,7 +53,7 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 RAW = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in ("script", "style", "textarea", "title", "noscript", "iframe", "template", "noembed", "noframes", "xmp")}
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-DROPPED = set("nav header footer aside form script style noscript iframe template button select option textarea label fieldset svg canvas object embed audio video head title menu dialog math noembed noframes".split())
+DROPPED = set("nav header footer aside form script style noscript iframe template button select option textarea label fieldset svg embed audio video head title menu dialog noembed noframes".split())
 BLOCKS = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol option p pre section summary table tbody tfoot thead tr ul".split())
 SPACED = set("br td th img wbr".split()) - {"wbr"}
 SCOPES = set("article aside body div footer header main nav section table td th tr ul ol li form blockquote html".split())
@@ -63,6 +63,10 @@ MARKS = set(
     " ad ads advert adverts advertisement advertising sponsor sponsored promo promotion comment comments disqus respond replies reply newsletter subscribe signup login"
     " popup modal overlay share sharing social related recommended recommendations widget toolbar search pagination pager form complementary contentinfo skip".split()
 )
+#: Names that begin so say what a page or post has or is about, and mark nothing; marks that count only as a name's first part.
+STATES, LEADING = ("has", "no", "with", "without", "is", "category", "tag", "type", "format", "topic"), {"share", "sharing", "search", "skip", "reply"}
+#: Marks that an article can have in its own right; other marks don't take away an outermost article, and none a main element.
+FOREIGN = set("comment comments disqus respond replies reply ad ads advert adverts advertisement advertising sponsor sponsored promo promotion related recommended newsletter".split())
 #: What marks the header of an article, whose headings are part of the text.
 HEADINGS, HEADER_MARKS = set("h1 h2 h3 h4 h5 h6".split()), {"header", "masthead"}
 #: Names of a main container that is neither article nor main.
@@ -81,9 +85,10 @@ def _names(attributes: str) -> tuple[set[str], set[str]]:
     for name, value in ATTRIBUTE.findall(attributes):
         if name.lower() in ("class", "id", "role", "itemprop"):
             for one in html.unescape(value.strip("\"'")).split():
-                one = re.sub(r"(?<=[a-z])(?=[A-Z])", "-", one).lower()
-                words.update(re.split(r"[-_:.]+", one))
-                whole.add(re.sub(r"[-_:.]+", "", one))
+                parts = re.split(r"[-_:.]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", one).lower())
+                whole.add("".join(parts))
+                if len(parts) == 1 or parts[0] not in STATES:
+                    words.update(parts[:1], (p for p in parts[1:] if p not in LEADING))
         elif name.lower() == "hidden":
             words.add("modal")
     return words, whole
@@ -139,14 +144,17 @@ def read_page(source: str) -> Page:
             elif tag == "header" and above[2] >= 2:
                 drop = max(above[1], 2 if words & MARKS - HEADER_MARKS else 1)
             else:
-                drop = 2 if tag in DROPPED or words & MARKS and tag not in ("body", "html") else above[1]
+                marks = set() if tag in ("body", "html", "main") else words & (FOREIGN if tag == "article" and not above[2] else MARKS)
+                drop = 2 if tag in DROPPED or marks else above[1]
             kind = 3 if tag == "article" else 2 if tag == "main" or "main" in words and tag != "body" else 1 if whole & MAIN_NAMES and tag not in ("body", "html") else 0
             stack.append((tag, drop, max(above[2], kind)))
         dropped, inside = (stack[-1][1], stack[-1][2]) if stack else (0, 0)
     done = [(kind, " ".join("".join(parts).split())) for kind, parts in blocks]
     done = [x for x in done if x[1]]
     best = max((kind for kind, _ in done), default=0)
-    return Page([t for kind, t in done if kind == best], best > 0)
+    size = lambda kinds: sum(len(t) for kind, t in done if kind in kinds)
+    kept = (1, 2, 3) if best > 1 and size(range(1, best)) > size([best]) else (best,)  # articles beside a longer story are part of it
+    return Page([t for kind, t in done if kind in kept], best > 0)
 
 
 def hashed(values: list[str]) -> np.ndarray:

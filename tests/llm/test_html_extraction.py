@@ -30,6 +30,42 @@ def test_containers_and_none():
     assert H.read_page("<script>x").blocks == []
 
 
+STORY = "<p>The story itself</p>"
+#: Forms of pages, and the blocks that are their text.
+FORMS = [
+    (f'<main class="site-main has-sidebar">{STORY}</main>', ["The story itself"]),
+    (f'<main class="sidebar-layout">{STORY}</main>', ["The story itself"]),
+    (f'<main id="main" class="page-with-banner">{STORY}<div class="banner">b</div></main>', ["The story itself"]),
+    (f'<div class="content no-menu">{STORY}</div><div class="menu">m</div>', ["The story itself"]),
+    (f'<div class="content with-sidebar">{STORY}</div>', ["The story itself"]),
+    (f'<article class="post type-post category-advertising tag-cookies">{STORY}</article><p>stray</p>', ["The story itself"]),
+    (f'<article class="post is-sponsored-free has-comments">{STORY}</article>', ["The story itself"]),
+    (f'<article class="widget-page">{STORY}</article>', ["The story itself"]),
+    (f'<article id="post-7" class="hentry">{STORY}<footer>by me</footer></article>', ["The story itself"]),
+    ('<main><p>A story of some length</p><article class="teaser">Next</article></main>', ["A story of some length", "Next"]),
+    (f'<main><h2>News</h2><article>{STORY}</article></main>', ["The story itself"]),
+    (f'<main><article>{STORY}</article><div class="related">r</div><aside>a</aside></main>', ["The story itself"]),
+    (f'<article>{STORY}<article class="comment">Nice</article></article>', ["The story itself"]),
+    (f'<article class="comment">First!</article><div class="content">{STORY}</div>', ["The story itself"]),
+    (f'<article class="ad">Buy</article><main>{STORY}</main>', ["The story itself"]),
+    ("<article><p>let <math><mi>x</mi><mo>+</mo><mn>1</mn></math> be</p></article>", ["let x+1 be"]),
+    ('<article><p>see <object data="x">the chart</object></p><canvas>no canvas</canvas></article>', ["see the chart", "no canvas"]),
+    ('<article><p class="market-share">Ten percent</p><p class="share-buttons">tweet</p></article>', ["Ten percent"]),
+    ('<article><p class="job-search">Found</p><div class="search-form">s</div></article>', ["Found"]),
+    (f'<article>{STORY}<div class="social-share">s</div><div class="cookie-notice">c</div><div id="disqus_thread">d</div></article>', ["The story itself"]),
+    (f'<article>{STORY}<div class="newsletterSignup">n</div><div role="navigation">v</div></article>', ["The story itself"]),
+    (f'<header class="masthead"><h1>Site</h1></header><article><header><h1>Title</h1><p>by me</p></header>{STORY}</article>', ["Title", "The story itself"]),
+    (f'<div id="content"><div class="entry-content">{STORY}</div></div><div class="site-footer">f</div>', ["The story itself"]),
+    (f'<body class="has-ads sidebar">{STORY}</body>', ["The story itself"]),
+]
+
+
+@pytest.mark.parametrize("form", range(len(FORMS)))
+def test_forms_of_pages(form):
+    source, blocks = FORMS[form]
+    assert H.read_page(f"<html><body><nav>menu</nav>{source}<footer>foot</footer></body></html>").blocks == blocks
+
+
 def notice(k):
     return f"<article><p>Story {k} has words of its own number {k} and more of them</p><p>Please support our work by becoming a member of this site today</p></article>"
 
