@@ -1,8 +1,7 @@
 """The dependency graph as two frames, nodes(name, type) and edges(src, dst, type), and its queries.
 
-Traversals are frontier joins over DataFrames: each round joins the frontier with the edges, drops what is known, and
-writes what is new to the shared folder: that cuts lineage, and small frontiers and graphs are broadcast as their sizes are
-known. Order-dependent results take names in ascending order.
+Traversals contract the graph (see ``paths``): what a round finds is written to the shared folder, which cuts lineage, and
+small frames are broadcast as their sizes are known. Order-dependent results take names in ascending order.
 """
 
 from __future__ import annotations
@@ -12,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from recordloom.operators import paths
 from recordloom.sources.staged import numbered, settled
 
 
@@ -62,17 +62,16 @@ def lookup(edges: DataFrame, name: str) -> DataFrame:
     return out.unionByName(into).distinct()
 
 
-def levels(edges: DataFrame, roots: DataFrame, most: int = 10_000) -> DataFrame:
-    """(name, level): the fewest edges from a root. roots: name."""
-    pairs = settled(edges.select("src", "dst").distinct())
-    seen = frontier = settled(roots.select("name").distinct().withColumn("level", F.lit(0)))
-    for level in range(1, most):
-        reached = frontier.join(pairs, frontier.name == pairs.src).select(F.col("dst").alias("name")).distinct()
-        frontier = settled(reached.join(seen.select("name"), "name", "left_anti").withColumn("level", F.lit(level)))
-        if frontier.isEmpty():
-            return seen
-        seen = seen.unionByName(frontier) if level % 16 else settled(seen.unionByName(frontier))
-    raise RuntimeError("no end after the most rounds")
+def levels(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(name, level): the fewest edges from a root. roots: name. Any number of levels; see ``paths``."""
+    roots = roots.select("name").distinct()
+    own = paths.with_ends(edges, roots).join(roots.withColumn("value", F.lit(0).cast("long")), "name", "left")
+    found = paths.resolve(own, _pairs(edges), paths.Kind(add=True))
+    return found.filter("value is not null").select("name", F.col("value").cast("int").alias("level"))
+
+
+def _pairs(edges: DataFrame) -> DataFrame:
+    return edges.select("src", "dst", F.lit(1).cast("long").alias("w")).distinct()
 
 
 def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
@@ -81,34 +80,69 @@ def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
 
 def topological_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(name, level): callers have lower levels than what they call. Raises on a cycle."""
+    own = paths.with_ends(edges, nodes).withColumn("value", F.lit(0).cast("long"))
+    return paths.resolve(own, _pairs(edges), paths.Kind(least=False, add=True, cycle="error")).select("name", F.col("value").cast("int").alias("level"))
+
+
+def preorder(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """(name, position): the order, from 1, in which a depth-first search from the roots, in the order of names, comes to
+    the nodes it reaches.
+
+    The search reaches a node over the least of all simple paths to it, by the names along them; and all but the last node
+    of that path is such a path too. So paths are bettered edge by edge until none changes, in as many rounds as the search
+    is deep, and their order is the search's. A row holds its path."""
     pairs = settled(edges.select("src", "dst").distinct())
-    left = settled(nodes.select("name").union(pairs.select("src")).union(pairs.select("dst")).distinct())
-    done, level = left.withColumn("level", F.lit(0)).limit(0), 0
+    best = frontier = settled(roots.select("name").distinct().withColumn("path", F.array("name")))
     while True:
-        # a node is ready if none that is left calls it; the others stay
-        inner = pairs.join(left, pairs.src == left.name, "left_semi").select(F.col("dst").alias("name")).distinct().withColumn("waits", F.lit(True))
-        both = settled(left.join(inner, "name", "left"))
-        n, waiting = both.agg(F.count(F.lit(1)), F.count("waits")).first()
-        if n and n == waiting:
-            raise ValueError("the graph has a cycle")
-        done = done.unionByName(both.filter("waits is null").select("name", F.lit(level).alias("level")))
-        if not waiting:
-            return done
-        left, level = both.filter("waits").select("name"), level + 1
+        longer = frontier.join(pairs, F.col("name") == F.col("src")).filter(~F.array_contains("path", F.col("dst"))).groupBy("dst").agg(F.min(F.array_append("path", F.col("dst"))).alias("_new"))
+        frontier = settled(longer.withColumnRenamed("dst", "name").join(best, "name", "left").filter("path is null or _new < path").select("name", F.col("_new").alias("path")))
+        if frontier.isEmpty():
+            return numbered(best, ["path"], "position").select("name", "position")
+        best = settled(best.join(frontier.select("name"), "name", "left_anti").unionByName(frontier))
 
 
 def on_cycles(edges: DataFrame) -> DataFrame:
-    """(name): nodes left after those without callers, and those without callees, are taken away again and again —
-    every cycle and what lies between cycles."""
+    """(name): every node that a cycle reaches and that reaches a cycle: all on cycles, and what lies between cycles."""
     pairs = settled(edges.select("src", "dst").distinct())
-    n = pairs.count()
-    while True:
-        kept = pairs.join(pairs.select(F.col("dst").alias("k")).distinct(), F.col("src") == F.col("k"), "left_semi").join(pairs.select(F.col("src").alias("k")).distinct(), F.col("dst") == F.col("k"), "left_semi")
-        kept, before = settled(kept), n
-        n = kept.count()
-        if n == before:
-            return kept.select(F.col("src").alias("name")).union(kept.select("dst")).distinct()
-        pairs = kept
+    back = pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return paths.marked(pairs).join(paths.marked(back), "name", "left_semi")
+
+
+def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(name, component): nodes that reach each other, named by their least name; a node on no cycle is its own."""
+    pairs = settled(edges.select("src", "dst").distinct())
+    core = settled(on_cycles(pairs))
+    inner = pairs.join(core.select(F.col("name").alias("src")), "src", "left_semi").join(core.select(F.col("name").alias("dst")), "dst", "left_semi")
+    found = settled(paths.strong(core, inner))
+    return paths.with_ends(pairs, nodes).join(found, "name", "left").select("name", F.coalesce("component", "name").alias("component"))
+
+
+def back_edge_cycles(edges: DataFrame) -> DataFrame:
+    """(cycle): a cycle for each edge that leads back to an ancestor, in the tree of fewest edges (and least names) from
+    the least name of each strongly connected component; as its nodes from the ancestor on. Every component has one at
+    least, and there are no more than edges, however many simple cycles there are."""
+    pairs = settled(edges.select("src", "dst").distinct())
+    component = settled(strong_components(paths.with_ends(pairs), pairs))
+    of = lambda c, k: component.select(F.col("name").alias(c), F.col("component").alias(k))
+    inner = settled(pairs.join(of("src", "_s"), "src").join(of("dst", "_d"), "dst").filter("_s = _d").select("src", "dst", F.col("_s").alias("component")))
+    level = settled(levels(inner, inner.select(F.col("component").alias("name"))))
+    at = lambda c, k: level.select(F.col("name").alias(c), F.col("level").alias(k))
+    placed = settled(inner.join(at("src", "_s"), "src").join(at("dst", "_d"), "dst"))
+    parents = settled(placed.filter("_d = _s + 1").groupBy(F.col("dst").alias("name")).agg(F.min("src").alias("up")))
+    lifts = paths.lifted(parents, max(1, level.agg(F.max("level")).first()[0] or 0))
+    # the ancestor of src at the level of dst: over one power of two after the other
+    walk = placed.filter("_d <= _s").select("src", "dst", (F.col("_s") - F.col("_d")).alias("d"), F.col("src").alias("at"))
+    for k, up in enumerate(lifts):
+        joined = walk.join(up.select(F.col("name").alias("at"), "up"), "at", "left")
+        walk = settled(joined.select("src", "dst", "d", F.when(F.shiftright("d", k).bitwiseAND(1) == 1, F.col("up")).otherwise(F.col("at")).alias("at")))
+    # pieces (node, steps up it stands for) are halved until each stands for itself
+    pieces = walk.filter("at = dst").select("src", "dst", F.col("src").alias("node"), F.lit(0).alias("pos"), (F.col("d") + 1).alias("n"))
+    for k, up in reversed(list(enumerate(lifts))):
+        step = 1 << k
+        joined = pieces.join(up.select(F.col("name").alias("node"), "up"), "node", "left")
+        split = F.when(F.col("n") > step, F.array(F.struct("node", "pos", F.lit(step).alias("n")), F.struct(F.col("up").alias("node"), (F.col("pos") + step).alias("pos"), (F.col("n") - step).alias("n")))).otherwise(F.array(F.struct("node", "pos", "n")))
+        pieces = settled(joined.select("src", "dst", F.inline(split)))
+    return pieces.groupBy("src", "dst").agg(F.array_sort(F.collect_list(F.struct((-F.col("pos")).alias("p"), "node"))).alias("c")).select(F.transform("c", lambda x: x["node"]).alias("cycle"))
 
 
 #: Steps that paths grow between two writes.
@@ -146,22 +180,14 @@ def cycles(edges: DataFrame, longest: int | None = None) -> DataFrame:
 def least_root(nodes: DataFrame, edges: DataFrame, roots: DataFrame | None = None) -> DataFrame:
     """(name, root): the least root that reaches each node; without roots every node is one. This is the component
     that a depth-first search with a shared visited set, started in the order of names, puts the node in."""
-    pairs = settled(edges.select("src", "dst").distinct())
-    label = settled((nodes if roots is None else roots).select("name", F.col("name").alias("root")))
-    frontier = label
-    while True:
-        offered = frontier.join(pairs, frontier.name == pairs.src).groupBy(F.col("dst").alias("name")).agg(F.min("root").alias("new"))
-        better = settled(offered.join(label, "name", "left").filter("root is null or new < root").select("name", F.col("new").alias("root")))
-        if better.isEmpty():
-            return label
-        label = settled(label.join(better.select("name"), "name", "left_anti").unionByName(better))
-        frontier = better
+    roots = (nodes if roots is None else roots).select("name").distinct()
+    own = paths.with_ends(edges, roots).join(roots.select("name", F.col("name").alias("value")), "name", "left")
+    return paths.resolve(own, _pairs(edges), paths.Kind()).filter("value is not null").select("name", F.col("value").alias("root"))
 
 
 def weak_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(name, component): the least name connected in either direction."""
-    both = edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    return least_root(nodes, both).withColumnRenamed("root", "component")
+    return paths.connected(paths.with_ends(edges, nodes), edges)
 
 
 def call_flows(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -11,8 +11,10 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from recordloom.functions import codecs
 
@@ -239,6 +241,29 @@ def flatten(spark: SparkSession, roots: list[Item]) -> DataFrame:
     return spark.createDataFrame(rows, "position int, path string, level int, picture string, usage string, offset int, length int, occurs int")
 
 
+ITEMS = "position int, path string, level int, picture string, usage string, offset int, length int, occurs int"
+
+
+def items_of(sources: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, position, path, …) of every item of the copybooks that are the rows of a frame, one copybook a row; as
+    flatten() gives them. A text that is no copybook has no items."""
+
+    def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [sources_schema.field(0).type, pa.int32(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32()]
+        for batch in batches:
+            rows = []
+            for own, source in zip(batch[0].to_pylist(), batch[1].to_pylist(), strict=True):
+                roots = parse(source) if source else []
+                items = [(path, i) for r in roots for path, i in r.walk()]
+                rows += [(own, k, path, i.level, i.picture.text if i.picture else None, i.usage, i.offset, i.size, i.occurs) for k, (path, i) in enumerate(items)]
+            columns = list(zip(*rows, strict=True)) if rows else [[] for _ in kinds]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], [key, *[f.split()[0] for f in ITEMS.split(", ")]])
+
+    chosen = sources.select(key, text)
+    sources_schema = to_arrow_schema(chosen.schema)
+    return chosen.mapInArrow(parsed, f"`{key}` {chosen.schema[key].dataType.simpleString()}, {ITEMS}")
+
+
 #: Occurrences of a table that are written out one by one.
 UNROLLED = 64
 

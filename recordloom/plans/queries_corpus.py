@@ -229,6 +229,51 @@ def _(spark, d):
     return G.cycles(ring).select(F.array_join("cycle", ",").alias("cycle"))
 
 
+SQUARES_SQL = "RECURSIVE m AS (SELECT max(s_suppkey) + 1 AS m FROM supplier), e AS (SELECT s_suppkey AS s, (s_suppkey * s_suppkey + 1) % m AS t FROM supplier, m), n AS (SELECT s AS x FROM e UNION SELECT t FROM e)"
+TANGLED_SQL = SQUARES_SQL.replace("FROM supplier, m)", "FROM supplier, m UNION SELECT s_suppkey, s_suppkey + 1 FROM supplier WHERE s_suppkey % 4 = 1 UNION SELECT s_suppkey, s_suppkey // 2 FROM supplier WHERE s_suppkey % 3 = 0)")
+REACH_SQL = "r AS (SELECT x AS a, x AS b FROM n UNION SELECT a, t FROM r JOIN e ON s = b)"
+
+
+def squares(spark, d, tangled=False):
+    """Calls among suppliers to the square's remainder: trees that lead into cycles. If ``tangled``, some also call the next
+    one and the half, so cycles share nodes."""
+    suppliers = table(spark, d, "supplier")
+    k, m = F.col("s_suppkey"), F.lit(suppliers.agg(F.max("s_suppkey")).first()[0] + 1)
+    to = lambda when, dst: suppliers.filter(when).select(name(k).alias("src"), name(dst).alias("dst"), F.lit("CALL").alias("type"))
+    own = to(F.lit(True), (k * k + 1) % m)
+    return own.unionByName(to(k % 4 == 1, k + 1)).unionByName(to(k % 3 == 0, F.floor(k / 2))).distinct() if tangled else own
+
+
+@query("graph_scc", f"WITH {SQUARES_SQL}, {REACH_SQL} SELECT {nm('a.a')} AS name, {nm('min(a.b)')} AS component FROM r a JOIN r b ON a.a = b.b AND a.b = b.a GROUP BY a.a")
+def _(spark, d):
+    edges = squares(spark, d)
+    return G.strong_components(edges.select(F.col("src").alias("name")), edges)
+
+
+@query("graph_tangled_levels", f"WITH {TANGLED_SQL}, l AS (SELECT min(x) AS x, 0 AS level FROM n UNION SELECT t, level + 1 FROM l JOIN e ON s = x WHERE level < (SELECT count(*) FROM n)) SELECT {nm('x')} AS name, CAST(min(level) AS INT) AS level FROM l GROUP BY x")
+def _(spark, d):
+    """The fewest calls from the first supplier, in a graph of cycles."""
+    edges = squares(spark, d, tangled=True)
+    ends = edges.select(F.col("src").alias("name")).union(edges.select("dst"))
+    return G.levels(edges, ends.agg(F.min("name").alias("name")))
+
+
+@query("graph_back_edges", f"WITH {SQUARES_SQL}, {REACH_SQL}, c AS (SELECT a.a AS x, min(a.b) AS c FROM r a JOIN r b ON a.a = b.b AND a.b = b.a GROUP BY a.a) SELECT {nm('c')} AS component, count(*) AS nodes FROM c GROUP BY c HAVING count(*) > 1 OR bool_or(EXISTS (SELECT 1 FROM e WHERE s = x AND t = x))")
+def _(spark, d):
+    """The components that the cycles of back edges are of, with the number of their nodes: each has a cycle at least."""
+    edges = squares(spark, d)
+    component = G.strong_components(edges.select(F.col("src").alias("name")), edges)
+    found = G.back_edge_cycles(edges).select(F.explode("cycle").alias("name")).distinct().join(component, "name").select("component").distinct()
+    return component.join(found, "component").groupBy("component").agg(F.count(F.lit(1)).alias("nodes"))
+
+
+@query("graph_preorder", f"""WITH RECURSIVE {GRAPH_SQL}, p AS (SELECT {nm('k')} AS x, [{nm('k')}] AS path FROM n WHERE k NOT IN (SELECT t FROM e) UNION ALL SELECT {nm('t')}, list_append(path, {nm('t')}) FROM p JOIN e ON {nm('s')} = x)
+SELECT x AS name, row_number() OVER (ORDER BY path) AS position FROM (SELECT x, min(path) AS path FROM p GROUP BY x)""")
+def _(spark, d):
+    _, nodes, edges = graph(spark, d)
+    return G.preorder(edges, G.entry_points(nodes, edges))
+
+
 @query("graph_on_cycles", "SELECT 'P' || lpad(CAST(p_partkey AS VARCHAR), 9, '0') AS name FROM part WHERE p_partkey - p_partkey % 3 + 2 <= (SELECT max(p_partkey) FROM part)")
 def _(spark, d):
     return G.on_cycles(cyclic(spark, d))

@@ -98,15 +98,13 @@ def _(spark, d):
     return files.rewrite(records, changes)[1].groupBy("file_status").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("indexed_persist", "SELECT o_custkey, max(o_orderkey) AS o_orderkey, lag(o_custkey) OVER (ORDER BY o_custkey) IS NULL AS first FROM orders GROUP BY o_custkey")
+@query("indexed_persist", "SELECT o_custkey, max(o_orderkey) AS o_orderkey, CAST(row_number() OVER (ORDER BY o_custkey) AS BIGINT) AS rank FROM orders GROUP BY o_custkey")
 def _(spark, d):
-    """An indexed file closed and opened again: the last record of each key, in the order of the keys."""
+    """An indexed file closed and opened again: the last record of each key, by its place in the store."""
     path = new_path(spark, "indexed")
-    rows = table(spark, d, "orders").select("o_custkey", "o_orderkey")
-    K.persist_order(K.load_last(rows.withColumn("position", F.col("o_orderkey")), ["o_custkey"], "position").select("o_custkey", "o_orderkey"), ["o_custkey"]).write.parquet(path)
-    back = spark.read.parquet(path)
-    least = back.agg(F.min("o_custkey").alias("least"))
-    return back.join(F.broadcast(least)).select("o_custkey", "o_orderkey", (F.col("o_custkey") == F.col("least")).alias("first"))
+    rows = table(spark, d, "orders").select("o_custkey", "o_orderkey", F.col("o_orderkey").alias("position"))
+    SortedStore.write(K.load_last(rows, ["o_custkey"], "position").select("o_custkey", F.col("o_orderkey")), path, ["o_custkey"])
+    return SortedStore(spark, path).ranked()
 
 
 @query("relative_record", "SELECT CAST(row_number() OVER (ORDER BY s_suppkey) AS BIGINT) AS record_number, s_name FROM supplier")

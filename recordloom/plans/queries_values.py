@@ -8,6 +8,7 @@ from recordloom.functions import codecs as C
 from recordloom.functions import expressions as X
 from recordloom.plans import copybook
 from recordloom.plans.registry import Registry, table
+from recordloom.sources import files
 
 query = Registry()
 MONEY = "decimal(15,2)"
@@ -172,11 +173,19 @@ def _(spark, d):
 
 
 @query("copybook_items", """
-SELECT * FROM (VALUES ('ORDER-RECORD', 0, 50), ('ORDER-RECORD.ORD-KEY', 0, 10), ('ORDER-RECORD.ORD-DATE', 10, 8), ('ORDER-RECORD.ORD-DATE-PARTS', 10, 8), ('ORDER-RECORD.ORD-DATE-PARTS.ORD-YEAR', 10, 4),
- ('ORDER-RECORD.ORD-DATE-PARTS.ORD-MONTH', 14, 2), ('ORDER-RECORD.ORD-DATE-PARTS.ORD-DAY', 16, 2), ('ORDER-RECORD.ORD-STATUS', 18, 1), ('ORDER-RECORD.ORD-TOTAL', 19, 6), ('ORDER-RECORD.ORD-CUSTOMER', 25, 4),
- ('ORDER-RECORD.ORD-SLOTS', 29, 7), ('ORDER-RECORD.ORD-SLOTS.SLOT-NO', 29, 2), ('ORDER-RECORD.ORD-SLOTS.SLOT-AMOUNT', 31, 5)) t(path, "offset", length)""")
-def _(spark, d):
-    return copybook.flatten(spark, copybook.parse(ORDER_COPYBOOK)).filter("level <> 66").select("path", "offset", "length")
+WITH p AS (SELECT p_partkey, CASE WHEN p_partkey % 12 + 1 <= 4 THEN 2 WHEN p_partkey % 12 + 1 <= 9 THEN 4 ELSE 8 END AS k, length(p_name) AS n, p_size % 5 + 1 AS times, (p_partkey % 13 + 3) // 2 + 1 AS a FROM part)
+SELECT p_partkey, path, CAST("offset" AS INT) AS "offset", CAST(length AS INT) AS length, CAST(occurs AS INT) AS occurs FROM (
+  SELECT p_partkey, 'PART' AS path, 0 AS "offset", k + n + times * (a + 3) AS length, 1 AS occurs FROM p UNION ALL SELECT p_partkey, 'PART.P-KEY', 0, k, 1 FROM p UNION ALL SELECT p_partkey, 'PART.P-NAME', k, n, 1 FROM p
+  UNION ALL SELECT p_partkey, 'PART.P-SHORT', k, 2, 1 FROM p UNION ALL SELECT p_partkey, 'PART.P-PRICES', k + n, a + 3, times FROM p
+  UNION ALL SELECT p_partkey, 'PART.P-PRICES.AMOUNT', k + n, a, 1 FROM p UNION ALL SELECT p_partkey, 'PART.P-PRICES.AREA', k + n + a, 3, 1 FROM p)""")
+def _(spark, d):
+    """A copybook for each part, with pictures and a table of its own sizes: places and lengths of all items."""
+    k = F.col("p_partkey")
+    source = F.format_string(
+        "01 PART. 05 P-KEY PIC 9(%d) COMP. 05 P-NAME PIC X(%d). 05 P-SHORT REDEFINES P-NAME PIC X(2). 05 P-PRICES OCCURS %d TIMES. 10 AMOUNT PIC S9(%d)V99 COMP-3. 10 AREA PIC 9(3).",
+        k % 12 + 1, F.char_length("p_name"), F.col("p_size") % 5 + 1, k % 13 + 1,
+    )
+    return copybook.items_of(table(spark, d, "part").select("p_partkey", source.alias("source")), "p_partkey", "source").select("p_partkey", "path", "offset", "length", "occurs")
 
 
 @query("edited_report_amounts", """
@@ -449,9 +458,14 @@ def _(spark, d):
     return table(spark, d, "orders").select("o_orderkey", X.plausible_date(text).alias("ok"))
 
 
-@query("status_code_dim", "SELECT * FROM (VALUES ('00', 'Successful completion', NULL, true), ('10', 'End of file reached', 'End of file', true), ('23', 'Record not found', 'Record not found', false), ('46', 'Read attempted on file not open', 'READ after end of file', false), ('77', 'Unknown status: 77', 'Unknown file status: 77', false)) t(code, description, outcome, success)")
-def _(spark, d):
-    from recordloom.sources import files
+def status_values(codes):
+    return ", ".join(f"('{c}', '{t}')" for c, t in codes.items())
 
-    codes = spark.createDataFrame([(c,) for c in ("00", "10", "23", "46", "77")], "code string")
-    return codes.select("code", files.status_description(F.col("code")).alias("description"), files.status_outcome(F.col("code")).alias("outcome"), files.status_success(F.col("code")).alias("success"))
+
+@query("status_code_dim", f"""WITH d(code, text) AS (VALUES {status_values(files.FILE_STATUS)}), o(code, text) AS (VALUES {status_values(files.STATUS_OUTCOME)})
+SELECT o_orderkey, code, coalesce(d.text, 'Unknown status: ' || code) AS description, CASE WHEN code <> '00' THEN coalesce(o.text, 'Unknown file status: ' || code) END AS outcome, code IN ('00', '10') AS success
+FROM (SELECT o_orderkey, lpad(CAST(o_orderkey % 60 AS VARCHAR), 2, '0') AS code FROM orders) LEFT JOIN d USING (code) LEFT JOIN o USING (code)""")
+def _(spark, d):
+    """A status for each order: its description, its outcome as an error, and whether it is a success."""
+    code = F.lpad((F.col("o_orderkey") % 60).cast("string"), 2, "0")
+    return table(spark, d, "orders").select("o_orderkey", code.alias("code"), files.status_description(code).alias("description"), files.status_outcome(code).alias("outcome"), files.status_success(code).alias("success"))
