@@ -181,7 +181,8 @@ def assess(docs: DataFrame, labels: DataFrame, host: str = "source", path: Colum
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), site.alias("host"), F.coalesce(path.cast("string") if path is not None else F.lit(""), F.lit("")).alias("path"))
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("lq"), F.col("toxic").cast("double").alias("lt")).dropna().groupBy("doc_id").agg(F.avg("lq").alias("lq"), F.avg("lt").alias("lt"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-    sample = rows.join(F.broadcast(chosen), "doc_id").select("text", "lq", "lt").limit(2 * SAMPLE).toPandas()
+    one = F.min_by(F.struct("text", "lq", "lt"), F.struct(F.xxhash64("text"), "text")).alias("one")  # of rows that share an id
+    sample = rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(one).select("doc_id", "one.*").toPandas().sort_values("doc_id")
     if not len(sample):
         half = F.lit(0.5)
         return rows.select("doc_id", half.alias("quality"), half.alias("toxicity"), half.alias("document_quality"), half.alias("document_toxicity"), F.lit(True).alias("kept"))

@@ -230,3 +230,14 @@ def test_language_posterior_against_brute_force(spark, monkeypatch):
         want = brute_language(rows, kept[-1], ["de", "en", "fr"])
         for i, (language, posterior) in want.items():
             assert out[i]["language"] == language and abs(out[i]["posterior"] - posterior) < 1e-9
+
+
+def test_quality_of_repeated_ids_in_any_order(spark):
+    """Rows that share an id: one of them is fitted on, whichever way the rows come."""
+    from recordloom.llm import quality as Q
+
+    rows = [(k % 40, f"{'fine clear prose' if k % 2 else 'junk $$ zz'} number {k}", "s", "en") for k in range(200)]
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(40)], "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    found = [sorted((r["doc_id"], round(r["document_quality"], 9)) for r in Q.assess(x, labels).collect()) for x in (docs.coalesce(1), docs.orderBy("text").repartition(5))]
+    assert found[0] == found[1] and len(found[0]) == 200
