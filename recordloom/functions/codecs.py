@@ -96,15 +96,17 @@ def encode_binary(value: Column, size: int, scale: int = 0, exact: bool = False)
 
 
 def decode_float(data: Column, size: int) -> Column:
-    """IEEE 754 big-endian single (4 bytes) or double (8 bytes), from its bits; null for infinities and NaN."""
-    exponent_bits, fraction_bits = (8, 23) if size == 4 else (11, 52)
-    bits = decode_binary(data, size)
-    bias, top = 2 ** (exponent_bits - 1) - 1, 2**exponent_bits - 1
-    exponent = F.shiftrightunsigned(bits, fraction_bits).bitwiseAND(F.lit(top)).cast("int")
-    fraction = bits.bitwiseAND(F.lit(2**fraction_bits - 1)).cast("double") / F.lit(float(2**fraction_bits))
-    value = F.when(exponent == 0, fraction * F.pow(F.lit(2.0), F.lit(1.0 - bias))).otherwise((fraction + 1) * F.pow(F.lit(2.0), (exponent - bias).cast("double")))
-    signed = F.when(bits < 0, -value).otherwise(value)
-    return F.when(exponent != top, signed).cast("float" if size == 4 else "double")
+    """IEEE 754 big-endian single (4 bytes) or double (8 bytes), from its bits; null for infinities and NaN. Sign and
+    exponent come from the first hexadecimal digits and the fraction from the others, so no part is computed from all bits
+    and the generated code stays small."""
+    text = _zeros(F.hex(data), 2 * size)
+    part = lambda at, n: F.conv(F.substr(text, F.lit(at), F.lit(n)), 16, 10).cast("long")
+    head, bias, top, scale = (F.shiftright(part(1, 3), 3), 127, 255, 2.0**-23) if size == 4 else (part(1, 3), 1023, 2047, 2.0**-52)
+    fraction = (part(3, 6).bitwiseAND(F.lit(2**23 - 1)) if size == 4 else part(4, 13)).cast("double")
+    exponent = head.bitwiseAND(F.lit(top))
+    power = F.pow(F.lit(2.0), (exponent - bias).cast("double")) * F.when(head > top, -1.0).otherwise(1.0)
+    whole = F.when(exponent == 0, fraction * (2 * scale)).otherwise(fraction * scale + 1)
+    return F.when(exponent != top, whole * power).cast("float" if size == 4 else "double")
 
 
 def decode_zoned(data: Column, digits: int, scale: int = 0, signed: bool = True) -> Column:

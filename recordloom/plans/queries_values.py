@@ -62,6 +62,18 @@ def _(spark, d):
     return table(spark, d, "orders").select("o_orderkey", C.decode_binary(data, 2, signed=False).alias("wrapped"))
 
 
+@query("float_bits", """SELECT o_orderkey, s * (1 + f / 4503599627370496.0) * pow(2, e - 1023) AS value, CAST(s * (1 + g / 8388608.0) * pow(2, x - 127) AS DOUBLE) AS single, CAST(NULL AS DOUBLE) AS none
+FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 1 THEN -1.0 ELSE 1.0 END::DOUBLE AS s, (900 + o_orderkey % 200)::DOUBLE AS e, ((o_orderkey * 987654321987) % 4503599627370496)::DOUBLE AS f, (60 + o_orderkey % 120)::DOUBLE AS x, ((o_orderkey * 7919) % 8388608)::DOUBLE AS g FROM orders)""")
+def _(spark, d):
+    """Doubles and singles of many exponents from their bits; the bits of an infinity give null."""
+    k = F.col("o_orderkey")
+    sign = k % 2
+    double = sign * F.lit(-(2**63)) + (900 + k % 200) * F.lit(2**52) + (k * 987654321987) % F.lit(2**52)
+    single = sign * F.lit(2**31) + (60 + k % 120) * F.lit(2**23) + (k * 7919) % F.lit(2**23)
+    none = C.decode_float(F.unhex(F.when(sign == 0, "7FF0000000000000").otherwise("FFF8000000000001")), 8)
+    return table(spark, d, "orders").select("o_orderkey", C.decode_float(C.encode_binary(double, 8), 8).alias("value"), C.decode_float(C.encode_binary(single, 4), 4).cast("double").alias("single"), none.alias("none"))
+
+
 @query("float_decode", "SELECT s_suppkey, s_acctbal AS value, CAST(CAST(s_suppkey AS FLOAT) / 4 AS DOUBLE) AS quarter FROM supplier")
 def _(spark, d):
     # the bits of a double follow from its exponent and fraction
