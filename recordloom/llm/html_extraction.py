@@ -174,10 +174,10 @@ class Streams:
     """The token streams of a batch of pages (host, blocks) and the suffix keys of their tokens.
 
     ``starts`` bounds each page's tokens, ``whole`` tells whether RUN tokens begin at a place, ``key`` is the hash of
-    the host and these tokens, ``gram`` that of the host and the least SEED-gram among them.
+    the host and these tokens, ``gram`` that of the host and the least SEED-gram among them, of which ``bits`` are kept.
     """
 
-    def __init__(self, hosts: list[str], blocks: pa.Array):
+    def __init__(self, hosts: list[str], blocks: pa.Array, bits: int = 64):
         words = split_words(pc.binary_join(blocks, " "), lower=False)
         self.starts = words.starts
         site = np.repeat(mix(hashed(hosts) + GOLD), np.diff(self.starts))
@@ -188,7 +188,7 @@ class Streams:
         least = paired(four, ahead(one, 4))
         for step in (1, 2):  # least of RUN - SEED + 1 = 4 in a row
             least = np.minimum(least, ahead(least, step, 0xFFFFFFFFFFFFFFFF))
-        self.gram = paired(least, site)
+        self.gram = paired(least, site) >> U(64 - bits) << U(64 - bits)
         named = np.repeat([bool(h) for h in hosts], np.diff(self.starts))
         self.whole = (np.arange(len(one)) + RUN <= np.repeat(self.starts[1:], np.diff(self.starts))) & named
         self.page = owners(self.starts)
@@ -324,14 +324,20 @@ def _sent(block: int, keys: np.ndarray, numbers: np.ndarray, parts: int) -> pa.R
     return _batch([(k, block, packed(keys[a:b]), small(numbers[a:b])) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if b > a], SENT)
 
 
-def _grams(parts: int):
+def gram_bits(blocks: int) -> int:
+    """Bits of a gram that are kept, as they only filter: 9 more than the input's bytes have, so that few grams that no
+    other page holds pass with another's number. Supports are counted on whole keys."""
+    return min(64, 9 + (max(blocks, 1) * BLOCK_BYTES).bit_length())
+
+
+def _grams(parts: int, bits: int):
     """The filter grams of each block, by range; number 2 if several of its pages' contents hold one, else 1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, data in zip(batch["block"].to_pylist(), batch["pages"], strict=True):
                 pages = opened(data.as_buffer())
-                gram, several = Streams(pages["host"].to_pylist(), pages["blocks"]).grams(contents(pages["blocks"]))
+                gram, several = Streams(pages["host"].to_pylist(), pages["blocks"], bits).grams(contents(pages["blocks"]))
                 yield _sent(block, gram, 1 + several, parts)
 
     return run
@@ -381,7 +387,7 @@ def _heard(answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return summed([unpacked(k) for k in own["keys"].to_pylist()], [grown(n) for n in own["numbers"].to_pylist()])
 
 
-def _held(parts: int):
+def _held(parts: int, bits: int):
     """The keys of a block's windows that pass the filter, by range."""
 
     def run(key: tuple, block: pa.Table, answers: pa.Table) -> pa.Table:
@@ -391,7 +397,7 @@ def _held(parts: int):
             counts = np.zeros(pages.num_rows, bool)
             for nth in answers["first"].to_pylist():
                 counts[nth or []] = True
-            keys, numbers = Streams(pages["host"].to_pylist(), pages["blocks"]).held(_heard(answers)[0], counts)
+            keys, numbers = Streams(pages["host"].to_pylist(), pages["blocks"], bits).held(_heard(answers)[0], counts)
             out.append(_sent(key[0].as_py(), keys, numbers, parts))
         return pa.Table.from_batches(out, SENT)
 
@@ -425,7 +431,7 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host.alias("host"))
     blocks = stage_by(rows.mapInArrow(tidy(_read), "block long, pages binary"), "pages", "block")
     n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = max(n, pages.count() // RANGE_PAGES)
+    parts, bits = max(n, pages.count() // RANGE_PAGES), gram_bits(blocks.count())
     dealt = lambda sent, least: sent.repartitionById(parts, "part").sortWithinPartitions("part").mapInArrow(tidy(_counted(least)), HEARD_SQL)
     own = stage(blocks.mapInArrow(tidy(_contents), "block long, nth int, site long, c1 long, c2 long"), "contents")
     first = own.groupBy("site", "c1", "c2").agg(F.min(F.struct("block", "nth")).alias("f")).select("site", "f.*")
@@ -433,7 +439,7 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     firsts = first.groupBy("block").agg(F.collect_list("nth").alias("first"))
     sizes = own.select("block", "site").distinct().join(distinct, "site").groupBy("block").agg(F.collect_list("site").alias("sites"), F.collect_list("m").alias("distinct"))
     grouped, schema = blocks.groupBy("block"), "page_id long, url string, text string"
-    grams = dealt(blocks.mapInArrow(tidy(_grams(parts)), SENT_SQL), 2).unionByName(firsts, allowMissingColumns=True)
-    supports = dealt(grouped.cogroup(grams.groupBy("block")).applyInArrow(_held(parts), SENT_SQL), PAGES).unionByName(sizes, allowMissingColumns=True)
+    grams = dealt(blocks.mapInArrow(tidy(_grams(parts, bits)), SENT_SQL), 2).unionByName(firsts, allowMissingColumns=True)
+    supports = dealt(grouped.cogroup(grams.groupBy("block")).applyInArrow(_held(parts, bits), SENT_SQL), PAGES).unionByName(sizes, allowMissingColumns=True)
     texts = grouped.cogroup(supports.groupBy("block")).applyInArrow(_extracted, schema)
     return texts.withColumn("n_chars", F.char_length("text").cast("long"))
