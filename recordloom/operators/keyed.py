@@ -195,10 +195,9 @@ def alternate_read(store: DataFrame, alternates: list[str], requests: DataFrame,
     the order of the prime key, and file_status 00, 02 (another follows) or 23."""
     other = [c for c in store.columns if c not in alternates]
     found = requests.join(store.select(*alternates, *other).withColumn("_hit", F.lit(True)), alternates, "left")
-    w = Window.partitionBy(*requests.columns).orderBy(key)
-    more = F.lead("_hit").over(w).isNotNull()
-    status = F.when(F.col("_hit").isNull(), "23").when(more, "02").otherwise("00")
-    return found.withColumn("duplicate", F.row_number().over(w)).withColumn("file_status", status).drop("_hit")
+    placed = numbered(found, [key], "duplicate", requests.columns, total="_of")  # rows of a hot key are dealt by range
+    status = F.when(F.col("_hit").isNull(), "23").when(F.col("duplicate") < F.col("_of"), "02").otherwise("00")
+    return placed.withColumn("duplicate", F.col("duplicate").cast("int")).withColumn("file_status", status).drop("_hit", "_of")
 
 
 def search(array: Column, test: object) -> Column:

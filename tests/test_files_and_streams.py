@@ -64,6 +64,17 @@ def test_lines_and_tree(spark, tmp_path):
     assert {r["type"] for r in files.source_tree(spark, str(tmp_path / "src")).collect()} == {"cobol", "copybook"}
 
 
+def test_jdbc_both_ways(spark, tmp_path):
+    """Spark ships the driver of a database that lives in a folder."""
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    rows = spark.createDataFrame([(1, "one", 1.5), (2, None, -2.0)], "k int, name string, v double")
+    files.write_jdbc(rows, url, "t", "overwrite", driver="org.apache.derby.jdbc.EmbeddedDriver")
+    files.write_jdbc(rows.filter("k = 2"), url, "t", driver="org.apache.derby.jdbc.EmbeddedDriver")
+    back = files.jdbc(spark, url, "t", driver="org.apache.derby.jdbc.EmbeddedDriver")
+    assert sorted((r["k"], r["name"] or "", r["v"]) for r in back.select(*[F.col(c).alias(c.lower()) for c in back.columns]).collect()) == [(1, "one", 1.5), (2, "", -2.0), (2, "", -2.0)]
+    assert back.filter("k = 1").count() == 1
+
+
 def test_posting_stream_equals_batch(spark, tmp_path):
     schema = "k int, kind string, amt decimal(15,2), dt int, seq int"
     for n, rows in enumerate([[(1, "DP", "5.00", 20240101, 1), (2, "WD", "1.00", 20240102, 2)], [(1, "FE", "0.50", 20240103, 3), (9, "DP", "1.00", 20240104, 4)]]):
