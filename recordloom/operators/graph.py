@@ -186,8 +186,10 @@ def least_root(nodes: DataFrame, edges: DataFrame, roots: DataFrame | None = Non
 
 
 def weak_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(name, component): the least name connected in either direction."""
-    return paths.connected(paths.with_ends(edges, nodes), edges)
+    """(name, component): the least of the ``nodes`` connected in either direction."""
+    found = paths.connected(paths.with_ends(edges, nodes), edges)
+    least = found.join(nodes.select("name").distinct(), "name", "left_semi").groupBy("component").agg(F.min("name").alias("_least"))
+    return found.join(least, "component").select("name", F.col("_least").alias("component"))
 
 
 def call_flows(nodes: DataFrame, edges: DataFrame) -> DataFrame:

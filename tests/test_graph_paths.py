@@ -63,19 +63,10 @@ def test_random_graphs(spark, seed, n, m):
     edges, every = frame(spark, pairs), sorted({x for p in pairs for x in p})
     roots = [every[0], every[len(every) // 2]]
     assert {r["name"]: r["level"] for r in G.levels(edges, names(spark, *roots)).collect()} == bfs(pairs, roots)
-    least = {}
-    for root in every:
-        for x in bfs(pairs, [root]):
-            least.setdefault(x, root)
-    assert {r["name"]: r["root"] for r in G.least_root(names(spark, *every), edges).collect()} == least
     reach = {x: set(bfs(pairs, [x])) for x in every}
     strong = {x: min(y for y in reach[x] if x in reach[y]) for x in every}
     assert {r["name"]: r["component"] for r in G.strong_components(names(spark, *every), edges).collect()} == strong
     ring = {x for x in every if any(x in reach[y] for y in successors(pairs).get(x, ()))}
-    between = {x for x in every if reach[x] & ring and any(x in reach[y] for y in ring)}
-    assert {r["name"] for r in G.on_cycles(edges).collect()} == between
-    both = pairs + [(b, a) for a, b in pairs]
-    assert {r["name"]: r["component"] for r in G.weak_components(names(spark, *every), edges).collect()} == {x: min(bfs(both, [x])) for x in every}
     order = [r["name"] for r in G.preorder(edges, names(spark, *roots)).orderBy("position").collect()]
     assert order == dfs(pairs, roots)
     cycles = [r["cycle"] for r in G.back_edge_cycles(edges).collect()]
@@ -109,7 +100,7 @@ def test_a_long_path_ends_in_few_rounds(spark, writes):
     found = G.levels(chain, names(spark, "n000000"))
     assert found.count() == 12_001 and found.agg({"level": "max"}).first()[0] == 12_000 and len(writes) < 40
     assert G.topological_levels(names(spark), chain).agg({"level": "max"}).first()[0] == 12_000
-    assert G.weak_components(names(spark), chain).select("component").distinct().count() == 1
+    assert [r["component"] for r in G.weak_components(names(spark, "n000007", "n000003"), chain).select("component").distinct().collect()] == ["n000003"]
 
 
 def test_a_chain_before_a_ring(spark, writes):
