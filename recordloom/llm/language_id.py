@@ -33,6 +33,8 @@ from recordloom.llm.textblocks import slices, tidy
 SAMPLE, LEAST, TEMPER, KAPPA, UND, BITS = 4000, 100, 0.25, 20.0, "und", 16
 #: Bytes of host priors that may be broadcast, and parts in which a language's sample is first cut down.
 MOST_BYTES, PARTS = 20_000_000, (64, 8)
+#: Texts that the model counts at once.
+FITTED = 100
 #: Codes that name no language.
 NO_LANGUAGE = [UND, "mis", "mul", "zxx"]
 #: Bytes that are no letters count as one separator.
@@ -61,10 +63,13 @@ class TextModel:
 
     def __init__(self, languages: list[str], texts: list[str], declared: list[str]):
         self.languages = languages
-        hashed, _, starts = trigrams(pa.array(texts, pa.string()))
-        of = np.repeat(np.array([languages.index(d) for d in declared], np.int64), np.diff(starts))
-        hashed = hashed[: len(of)]
-        counts = np.bincount(of * (1 << BITS) + hashed, minlength=len(languages) << BITS).reshape(len(languages), -1).astype(np.float64)
+        codes, counts = np.array([languages.index(d) for d in declared], np.int64), np.zeros(len(languages) << BITS)
+        for at in range(0, len(texts), FITTED):
+            hashed, _, starts = trigrams(pa.array(texts[at : at + FITTED], pa.string()))
+            of = np.repeat(codes[at : at + FITTED], np.diff(starts))
+            place, n = np.unique((of << BITS) + hashed[: len(of)], return_counts=True)
+            counts[place] += n
+        counts = counts.reshape(len(languages), -1)
         self.table = np.log((counts + 0.05) / (counts.sum(axis=1, keepdims=True) + 0.05 * (1 << BITS))).T.astype(np.float32)
 
     def score(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
