@@ -4,6 +4,9 @@ A manifest names the files of every table of a store and the restart positions o
 stage a new list; nothing is visible before the commit, which renames a finished manifest to the next version's name and
 fails if there is one. So a transaction over several tables is published at once or not at all, it survives the session,
 and the lineage of a table is its files. Updates and deletes rewrite only the files that hold rows they change.
+
+A run of many commits writes the rows of many of them in one job, as a list of files in order; each of its versions says
+how many of the list's first rows are in the table, so a version has the same size however many there are.
 """
 
 from __future__ import annotations
@@ -11,6 +14,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Iterator, Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +31,7 @@ class VersionedStore:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
+        self._lists: dict[str, list] = {}
 
     def _fs(self, path: str) -> tuple[object, object]:
         where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -34,12 +39,25 @@ class VersionedStore:
 
     def versions(self) -> list[int]:
         fs, where = self._fs(f"{self.path}/_manifests")
-        return sorted(int(f.getPath().getName().removesuffix(".json")) for f in fs.listStatus(where) if f.getPath().getName().endswith(".json")) if fs.exists(where) else []
+        names = [f.getPath().getName() for f in fs.listStatus(where)] if fs.exists(where) else []
+        return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json"))
+
+    def last(self) -> int:
+        """The last version; as there are no gaps it is found in a logarithm of questions."""
+        fs, where = self._fs(f"{self.path}/_manifests")
+        there = lambda v: fs.exists(self.spark._jvm.org.apache.hadoop.fs.Path(where, f"{v:020d}.json"))
+        low, high = 0, 1
+        while there(high):
+            low, high = high, 2 * high
+        while high - low > 1:
+            middle = (low + high) // 2
+            low, high = (middle, high) if there(middle) else (low, middle)
+        return low
 
     def manifest(self, version: int | None = None) -> dict:
-        """{version, tables: {name: {files, schema}}, positions: {run: groups committed}} of a version, the last by default."""
-        known = self.versions()
-        version = version if version is not None else (known[-1] if known else 0)
+        """{version, tables: {name: {files, schema, lists}}, positions: {run: groups committed}} of a version, the last by
+        default; ``lists`` are those of runs, with the number of their first rows that are in the table."""
+        version = self.last() if version is None else version
         return self._load(f"_manifests/{version:020d}.json") if version else {"version": 0, "tables": {}, "positions": {}}
 
     def _load(self, name: str) -> dict:
@@ -53,14 +71,11 @@ class VersionedStore:
         out.write(bytearray(json.dumps(content).encode()))
         out.close()
         target = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        fs.mkdirs(target.getParent())
-        context = self.spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(where.getFileSystem(self.spark._jsc.hadoopConfiguration()).getUri(), self.spark._jsc.hadoopConfiguration())
-        kinds = self.spark._sc._gateway.new_array(self.spark._jvm.org.apache.hadoop.fs.Options.Rename, 0)
-        try:
-            context.rename(where, target, kinds)
-        except Exception as e:
+        if not fs.exists(target.getParent()):
+            fs.mkdirs(target.getParent())
+        if fs.exists(target) or not fs.rename(where, target):
             fs.delete(where, False)
-            raise Conflict(f"{name} is there already") from e
+            raise Conflict(f"{name} is there already")
 
     def commit(self, manifest: dict) -> int:
         """Publish a manifest as the version after the one it was made from."""
@@ -75,10 +90,42 @@ class VersionedStore:
         fs, where = self._fs(f"{self.path}/{folder}")
         return sorted(f"{folder}/{f.getPath().getName()}" for f in fs.listStatus(where) if f.getPath().getName().startswith("part-"))
 
-    def frame(self, table: dict) -> DataFrame:
-        """The rows of a manifest's entry of a table."""
-        reader = self.spark.read.schema(table["schema"])
-        return reader.parquet(*[f"{self.path}/{f}" for f in table["files"]]) if table["files"] else self.spark.createDataFrame([], table["schema"])
+    def write_list(self, df: DataFrame, order: str) -> tuple[str, int]:
+        """Rows written in an order, without its column; the name of the list of their files, and the number of rows."""
+        files = self.write_files(df.repartitionByRange(order).sortWithinPartitions(order).drop(order))
+        rows = self.spark.read.parquet(*[f"{self.path}/{f}" for f in files]).groupBy(F.col("_metadata.file_name").alias("file")).agg(F.count(F.lit(1)).alias("n"))
+        size = {r["file"]: r["n"] for r in rows.collect()}  # a row for each file
+        name = f"_lists/{uuid.uuid4().hex}"
+        self._save(f"{name}.json", {"files": [(f, size[f.rpartition("/")[2]]) for f in files if f.rpartition("/")[2] in size]})
+        return name, sum(size.values())
+
+    def pieces(self, table: dict) -> tuple[list[str], dict[str, int]]:
+        """The files whose rows are all in a table, and those of which some first rows are, with their number."""
+        whole, cut = list(table["files"]), {}
+        for name, rows in table.get("lists", {}).items():
+            if name not in self._lists:
+                self._lists[name] = self._load(f"{name}.json")["files"]
+            for file, n in self._lists[name]:
+                if rows >= n:
+                    whole.append(file)
+                elif rows > 0:
+                    cut[file] = rows
+                rows -= n
+        return whole, cut
+
+    def frame(self, table: dict, file: str | None = None) -> DataFrame:
+        """The rows of a manifest's entry of a table, with the name of their file as column ``file`` if that is named."""
+        whole, cut = self.pieces(table)
+        name = F.concat(F.lit("data/"), F.element_at(F.split(F.col("_metadata.file_path"), "/data/"), -1))
+
+        def read(files: list[str], *more: Column) -> DataFrame:
+            rows = self.spark.read.schema(table["schema"]).parquet(*[f"{self.path}/{f}" for f in files])
+            return rows.select("*", *([name.alias(file)] if file else []), *more)
+
+        frames = [read(whole)] if whole else []
+        for f, rows in cut.items():  # one for each run that was stopped within a file
+            frames.append(read([f], F.col("_metadata.row_index").alias("_row")).filter(F.col("_row") < rows).drop("_row"))
+        return reduce(DataFrame.unionByName, frames) if frames else self.spark.createDataFrame([], table["schema"] + (f", `{file}` string" if file else ""))
 
     def read(self, name: str, version: int | None = None) -> DataFrame:
         return self.frame(self.manifest(version)["tables"][name])
@@ -100,19 +147,19 @@ class Staged:
     def __getitem__(self, name: str) -> DataFrame:
         return self.store.frame(self.manifest["tables"][name])
 
-    def _set(self, name: str, files: list[str], schema: str) -> None:
-        tables = {**self.manifest["tables"], name: {"files": files, "schema": schema}}
+    def _set(self, name: str, files: list[str], schema: str, lists: Mapping[str, int] | None = None) -> None:
+        tables = {**self.manifest["tables"], name: {"files": files, "schema": schema, **({"lists": dict(lists)} if lists else {})}}
         self.manifest = {**self.manifest, "tables": tables}
 
     def create(self, name: str, df: DataFrame) -> None:
-        self._set(name, self.store.write_files(df), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema))
+        self._set(name, self.store.write_files(df), _schema(df))
 
     def insert(self, name: str, rows: DataFrame) -> int:
         """Append; the number of rows."""
         table = self.manifest["tables"][name]
         columns = self[name].columns
         new = self.store.write_files(rows.select(*columns))
-        self._set(name, table["files"] + new, table["schema"])
+        self._set(name, table["files"] + new, table["schema"], table.get("lists"))
         return self.store.frame({"files": new, "schema": table["schema"]}).count()
 
     def update(self, name: str, values: Mapping[str, Column], where: Column) -> int:
@@ -126,13 +173,14 @@ class Staged:
 
     def _rewrite(self, name: str, where: Column, change: object) -> int:
         table = self.manifest["tables"][name]
-        rows = self[name]
-        hit = rows.filter(where).groupBy(F.element_at(F.split(F.col("_metadata.file_path"), "/data/"), -1).alias("file")).count().collect() if table["files"] else []  # at most a row for each file
+        whole, cut = self.store.pieces(table)
+        hit = self.store.frame(table, "_file").filter(where).groupBy("_file").count().collect() if whole or cut else []  # at most a row for each file
         if not hit:
             return 0
-        old = {f"data/{r['file']}" for r in hit}
-        new = self.store.write_files(change(self.store.frame({**table, "files": sorted(old)})))
-        self._set(name, [f for f in table["files"] if f not in old] + new, table["schema"])
+        old = {r["_file"] for r in hit} | set(cut)  # of which the rest isn't in the table
+        rows = self.store.frame(table, "_file").filter(F.col("_file").isin(sorted(old))).drop("_file") if cut else self.store.frame({**table, "files": sorted(old), "lists": {}})
+        new = self.store.write_files(change(rows))
+        self._set(name, [f for f in whole if f not in old] + new, table["schema"])
         return sum(r["count"] for r in hit)
 
     def savepoint(self, name: str) -> str:
@@ -154,22 +202,41 @@ class Staged:
         return version
 
 
+def _schema(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+
+
 def committed_groups(store: VersionedStore, name: str, source: SortedStore, every: int, together: int = 1) -> Iterator[int]:
-    """Append the rows of ``source`` to table ``name`` in commits of ``every`` rows, ``together`` groups a job, each group a
-    part of the same commit; yields the groups committed so far. The number is the restart position and is part of the
-    manifest, so a run that was stopped anywhere goes on with the first group that isn't committed. Rows get their
-    ``commit_group`` (from 0)."""
+    """Append the rows of ``source`` to table ``name`` in groups of ``every`` rows, ``together`` groups a commit; yields the
+    groups committed so far. The number is the restart position and is part of the manifest, so a run that was stopped
+    anywhere goes on with the first group that isn't committed. Rows get their ``commit_group`` (from 0).
+
+    A job writes the rows of as many commits as the run has made so far, so there are a logarithm of jobs, and a run that is
+    stopped loses no more than it has committed, or one commit. A commit publishes only the number of the rows that are in.
+    Between commits others may change the store; another run of the same name is a Conflict."""
     groups = -(-source.total // every)
-    done = store.manifest()["positions"].get(name, 0)
+    staged = store.begin()
+    began = done = staged.manifest["positions"].get(name, 0)
     while done < groups:
-        upto = min(done + together, groups)
-        rows = source.slice(done * every + 1, upto * every).withColumn("commit_group", F.floor((F.col("rank") - 1) / every).cast("long")).drop("rank")
-        staged = store.begin()
-        if name in staged.manifest["tables"]:
-            staged.insert(name, rows)
-        else:
-            staged.create(name, rows)
-        staged.manifest = {**staged.manifest, "positions": {**staged.manifest["positions"], name: upto}}
-        staged.commit()
-        done = upto
-        yield done
+        base = staged.manifest["tables"].get(name)
+        ahead = min(done + max(together, (done - began) // together * together), groups)
+        rows = source.slice(done * every + 1, ahead * every).withColumn("commit_group", F.floor((F.col("rank") - 1) / every).cast("long"))
+        prepared, total = store.write_list(rows.select(*staged[name].columns, "rank") if base else rows, "rank")
+        schema = base["schema"] if base else _schema(rows.drop("rank"))
+        first, published = done, base
+        while done < ahead:
+            upto = min(done + together, ahead)
+            staged._set(name, base["files"] if base else [], schema, {**(base or {}).get("lists", {}), prepared: min((upto - first) * every, total)})
+            staged.manifest = {**staged.manifest, "positions": {**staged.manifest["positions"], name: upto}}
+            before, mine = staged.manifest["version"], staged.manifest["tables"][name]
+            try:
+                staged.commit()
+            except Conflict:
+                staged = store.begin()  # others have committed
+                if staged.manifest["version"] == before or staged.manifest["positions"].get(name, 0) != done:
+                    raise
+                if staged.manifest["tables"].get(name) != published:
+                    break  # they have changed this table: the rest is written for what it is now
+                continue
+            published, done = mine, upto
+            yield done

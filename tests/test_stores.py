@@ -147,6 +147,42 @@ def test_a_lost_run_goes_on_after_its_last_commit(spark, tmp_path):
     assert list(committed_groups(store, "t", source, 100)) == []
 
 
+def test_many_commits_take_few_jobs(spark, tmp_path, monkeypatch):
+    """Two hundred commits: a logarithm of jobs, versions of one size, and each commit's rows in its version."""
+    source, path, jobs = SortedStore.write(spark.range(4010), str(tmp_path / "source"), ["id"]), str(tmp_path / "s"), []
+    write = VersionedStore.write_files
+    monkeypatch.setattr(VersionedStore, "write_files", lambda self, df: jobs.append(1) or write(self, df))
+    store = VersionedStore(spark, path)
+    assert list(committed_groups(store, "t", source, 10, 2)) == [*range(2, 401, 2), 401]
+    assert len(jobs) < 12 and store.versions() == list(range(1, 202))
+    assert {(r["id"], r["commit_group"]) for r in store.read("t").collect()} == {(k, k // 10) for k in range(4010)}
+    for version in (1, 2, 77, 200):
+        assert sorted(r["id"] for r in VersionedStore(spark, path).read("t", version).collect()) == list(range(20 * version))
+    assert max(len(str(store.manifest(v))) for v in (150, 201)) < 2000
+
+
+def test_a_store_is_changed_between_the_commits_of_a_run(spark, tmp_path):
+    source = SortedStore.write(spark.range(400), str(tmp_path / "source"), ["id"])
+    store = VersionedStore(spark, str(tmp_path / "s"))
+    run = committed_groups(store, "t", source, 10, 1)
+    assert [next(run) for _ in range(5)] == [1, 2, 3, 4, 5]  # the fifth is within a list of files
+    tx = store.begin()
+    tx.create("other", spark.range(3))
+    tx.commit()
+    assert next(run) == 6 and store.read("other").count() == 3
+    tx = store.begin()
+    assert tx.update("t", {"commit_group": F.lit(-1)}, F.col("id") < 15) == 15 and tx.delete("t", F.col("id") == 59) == 1
+    tx.commit()
+    assert next(run) == 7 and store.read("t").count() == 69
+    assert list(run)[-1] == 40
+    found = {r["id"]: r["commit_group"] for r in store.read("t").collect()}
+    assert found == {k: -1 if k < 15 else k // 10 for k in range(400) if k != 59} and store.read("t").count() == 399
+    run, twin = (committed_groups(store, "u", source, 10, 1) for _ in range(2))
+    assert next(run) == 1 and next(twin) == 2
+    with pytest.raises(Conflict):
+        next(run)
+
+
 def test_relative_file(spark, tmp_path):
     file = K.RelativeFile(spark, str(tmp_path / "r"), 4)
     slots = [1, 2, 5, 40_000, 70_000]
