@@ -14,9 +14,9 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
 
 from recordloom.functions import codecs
+from recordloom.sources.staged import settled
 
 
 @dataclass(frozen=True)
@@ -246,22 +246,31 @@ ITEMS = "position int, path string, level int, picture string, usage string, off
 
 def items_of(sources: DataFrame, key: str, text: str) -> DataFrame:
     """(key, position, path, …) of every item of the copybooks that are the rows of a frame, one copybook a row; as
-    flatten() gives them. A text that is no copybook has no items."""
-
-    def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [sources_schema.field(0).type, pa.int32(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32()]
-        for batch in batches:
-            rows = []
-            for own, source in zip(batch[0].to_pylist(), batch[1].to_pylist(), strict=True):
-                roots = parse(source) if source else []
-                items = [(path, i) for r in roots for path, i in r.walk()]
-                rows += [(own, k, path, i.level, i.picture.text if i.picture else None, i.usage, i.offset, i.size, i.occurs) for k, (path, i) in enumerate(items)]
-            columns = list(zip(*rows, strict=True)) if rows else [[] for _ in kinds]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], [key, *[f.split()[0] for f in ITEMS.split(", ")]])
-
-    chosen = sources.select(key, text)
-    sources_schema = to_arrow_schema(chosen.schema)
-    return chosen.mapInArrow(parsed, f"`{key}` {chosen.schema[key].dataType.simpleString()}, {ITEMS}")
+    flatten() gives them. A text that is no copybook has no items.
+
+    Texts are dealt over all tasks, however few files or row groups they come from, and a text that many rows share is
+    parsed once."""
+    spark = sources.sparkSession
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    texts = sources.select(F.col(text).alias("_text")).filter("_text is not null").repartition(n).distinct()
+    parsed = settled(texts.repartition(4 * n).mapInArrow(_parsed, f"_text string, _items array<struct<{', '.join(f.replace(' ', ': ', 1) for f in ITEMS.split(', '))}>>"))
+    rows = sources.select(key, F.col(text).alias("_text")).repartition(n)
+    return rows.join(parsed, "_text").select(key, F.inline("_items"))
+
+
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Copybooks with their items."""
+    kinds = [pa.int32(), pa.string(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32()]
+    names = [f.split()[0] for f in ITEMS.split(", ")]
+    for batch in batches:
+        rows, ends = [], [0]
+        for source in batch[0].to_pylist():
+            items = [(path, i) for r in parse(source) for path, i in r.walk()]
+            rows += [(k, path, i.level, i.picture.text if i.picture else None, i.usage, i.offset, i.size, i.occurs) for k, (path, i) in enumerate(items)]
+            ends.append(len(rows))
+        columns = list(zip(*rows, strict=True)) if rows else [[] for _ in kinds]
+        items = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
+        yield pa.RecordBatch.from_arrays([batch[0], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), items)], ["_text", "_items"])
 
 
 #: Occurrences of a table that are written out one by one.

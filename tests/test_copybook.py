@@ -55,3 +55,17 @@ def test_condition_columns(spark):
     names = K.condition_columns(root)
     assert [tuple(r) for r in df.select(names["GOOD"], names["MID"]).collect()] == [(True, True), (False, False)]
     assert K.flatten(spark, [root]).filter(F.col("path") == "R.N").first()["offset"] == 1
+
+
+def test_copybooks_of_one_row_group_are_parsed_by_many_tasks(spark, tmp_path, monkeypatch):
+    """A file of one row group, in which every other row has the same text: texts are dealt over tasks, each parsed once,
+    and a row has the items of its own."""
+    spark.range(2000).selectExpr("id", "case when id % 50 = 0 then null when id % 50 = 1 then 'no copybook' when id % 2 = 0 then '01 R. 05 A PIC 9(3).' else concat('01 R. 05 A PIC X(', id, '). 05 B PIC 9(2) COMP.') end as text").coalesce(1).write.parquet(str(tmp_path / "f"))
+    sources, written = spark.read.parquet(str(tmp_path / "f")), []
+    monkeypatch.setattr(K, "settled", lambda df, f=K.settled: written.append(f(df)) or written[-1])
+    found = {}
+    for r in K.items_of(sources, "id", "text").collect():
+        found.setdefault(r["id"], []).append((r["position"], r["path"], r["offset"], r["length"]))
+    want = {k: [(0, "R", 0, 3), (1, "R.A", 0, 3)] if k % 2 == 0 else [(0, "R", 0, k + 2), (1, "R.A", 0, k), (2, "R.B", k, 2)] for k in range(2000) if k % 50 > 1}
+    assert {k: sorted(v) for k, v in found.items()} == want
+    assert written[0].count() == 962 and len(written[0].inputFiles()) > 4
