@@ -102,27 +102,34 @@ def preorder(edges: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def on_cycles(edges: DataFrame) -> DataFrame:
-    """(name): every node that a cycle reaches and that reaches a cycle: all on cycles, and what lies between cycles."""
+    """(name): every node that a cycle reaches and that reaches a cycle: all on cycles, and what lies between cycles.
+    What a node that a cycle reaches leads to is reached by that cycle too, so only edges among such nodes are followed
+    back."""
     pairs = settled(edges.select("src", "dst").distinct())
-    back = pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    return paths.marked(pairs).join(paths.marked(back), "name", "left_semi")
+    reached = settled(paths.marked(pairs))
+    return paths.marked(_among(pairs, reached).select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+
+
+def _among(pairs: DataFrame, names: DataFrame) -> DataFrame:
+    """The pairs of which both ends are among the names."""
+    return pairs.join(names.select(F.col("name").alias("src")), "src", "left_semi").join(names.select(F.col("name").alias("dst")), "dst", "left_semi")
 
 
 def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(name, component): nodes that reach each other, named by their least name; a node on no cycle is its own."""
     pairs = settled(edges.select("src", "dst").distinct())
     core = settled(on_cycles(pairs))
-    inner = pairs.join(core.select(F.col("name").alias("src")), "src", "left_semi").join(core.select(F.col("name").alias("dst")), "dst", "left_semi")
-    found = settled(paths.strong(core, inner))
+    found = settled(paths.strong(core, _among(pairs, core)))
     return paths.with_ends(pairs, nodes).join(found, "name", "left").select("name", F.coalesce("component", "name").alias("component"))
 
 
-def back_edge_cycles(edges: DataFrame) -> DataFrame:
+def back_edge_cycles(edges: DataFrame, component: DataFrame | None = None) -> DataFrame:
     """(cycle): a cycle for each edge that leads back to an ancestor, in the tree of fewest edges (and least names) from
     the least name of each strongly connected component; as its nodes from the ancestor on. Every component has one at
-    least, and there are no more than edges, however many simple cycles there are."""
+    least, and there are no more than edges, however many simple cycles there are. ``component`` is what
+    strong_components() gives for the edges, where it is there already."""
     pairs = settled(edges.select("src", "dst").distinct())
-    component = settled(strong_components(paths.with_ends(pairs), pairs))
+    component = settled(strong_components(paths.with_ends(pairs), pairs)) if component is None else component
     of = lambda c, k: component.select(F.col("name").alias(c), F.col("component").alias(k))
     inner = settled(pairs.join(of("src", "_s"), "src").join(of("dst", "_d"), "dst").filter("_s = _d").select("src", "dst", F.col("_s").alias("component")))
     level = settled(levels(inner, inner.select(F.col("component").alias("name"))))
@@ -155,7 +162,7 @@ def cycles(edges: DataFrame, longest: int | None = None) -> DataFrame:
     among nodes on cycles, and rows the simple paths, which dense graphs have very many of."""
     pairs = settled(edges.select("src", "dst").distinct())
     core = on_cycles(edges)
-    pairs = pairs.join(core.select(F.col("name").alias("src")), "src", "left_semi").join(core.select(F.col("name").alias("dst")), "dst", "left_semi")
+    pairs = _among(pairs, core)
     following = settled(pairs.groupBy(F.col("src").alias("node")).agg(F.collect_list("dst").alias("next")))
     closed, none = F.col("at") == F.col("first"), F.array().cast("array<string>")
 

@@ -8,6 +8,7 @@ from recordloom.operators import corpus as S
 from recordloom.operators import graph as G
 from recordloom.plans.registry import Registry, table
 from recordloom.sources import files
+from recordloom.sources.staged import settled
 
 query = Registry()
 
@@ -262,8 +263,8 @@ def _(spark, d):
 def _(spark, d):
     """The components that the cycles of back edges are of, with the number of their nodes: each has a cycle at least."""
     edges = squares(spark, d)
-    component = G.strong_components(edges.select(F.col("src").alias("name")), edges)
-    found = G.back_edge_cycles(edges).select(F.explode("cycle").alias("name")).distinct().join(component, "name").select("component").distinct()
+    component = settled(G.strong_components(edges.select(F.col("src").alias("name")), edges))
+    found = G.back_edge_cycles(edges, component).select(F.explode("cycle").alias("name")).distinct().join(component, "name").select("component").distinct()
     return component.join(found, "component").groupBy("component").agg(F.count(F.lit(1)).alias("nodes"))
 
 

@@ -5,6 +5,7 @@ import pytest
 
 from recordloom.operators import graph as G
 from recordloom.operators import paths
+from recordloom.plans.catalog import QUERIES
 
 
 def frame(spark, pairs):
@@ -115,6 +116,22 @@ def test_a_chain_before_a_ring(spark, writes):
     assert sorted(map(len, cycles)) == [2] * 19 + [50]
 
 
+def test_components_are_found_once_and_followed_back_among_what_cycles_reach(spark, tmp_path, monkeypatch):
+    sizes, strong = [], []
+    monkeypatch.setattr(paths, "marked", lambda df, f=paths.marked: sizes.append(df.count()) or f(df))
+    monkeypatch.setattr(paths, "strong", lambda *a, f=paths.strong: strong.append(1) or f(*a))
+    spark.range(120).selectExpr("id as s_suppkey").write.parquet(str(tmp_path / "supplier.parquet"))
+    to = {k: (k * k + 1) % 120 for k in range(120)}
+    want, on = {}, lambda k, n=0: to[k] if n == 0 else on(to[k], n - 1)
+    for k in range(120):
+        ring = {on(k, n) for n in range(120)}
+        if k in ring:
+            want[f"P{min(ring):09d}"] = len(ring)
+    got = {r["component"]: r["nodes"] for r in QUERIES["graph_back_edges"](spark, str(tmp_path)).collect()}
+    assert got == want and len(strong) == 1
+    assert sizes == [120, sum(want.values())]
+
+
 def test_empty_graphs(spark):
     none = frame(spark, [])
     assert G.strong_components(names(spark, "a"), none).collect()[0]["component"] == "a"
