@@ -70,10 +70,10 @@ class Ranges(InputPartition):
 
 
 def dealt(pieces: list[tuple[str, int, int, int]]) -> list[Ranges]:
-    """Pieces put together, in order, up to SPLIT bytes a task."""
-    out, size = [], SPLIT
+    """Pieces put together, in order, up to SPLIT bytes a task; a piece of an empty file may come first."""
+    out, size = [], 0
     for piece in pieces:
-        if size + piece[2] - piece[1] > SPLIT:
+        if not out or size + piece[2] - piece[1] > SPLIT:
             out.append(Ranges([]))
             size = 0
         out[-1].pieces.append(piece)

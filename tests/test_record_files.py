@@ -6,6 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from recordloom.plans import catalog
 from recordloom.sources import files, records
 from recordloom.sources.staged import running_total
 
@@ -118,6 +119,24 @@ def test_length_prefixed_in_chunks(spark, tmp_path):
     assert {r["path"][-1]: (r["records"], r["file_status"]) for r in files.variable_status(spark, str(tmp_path), 70_000).collect()} == {"a": (900, "00"), "b": (3, "00"), "c": (0, "00"), "d": (1500, "00")}
 
 
+@pytest.mark.parametrize("block", [0, 8000])
+@pytest.mark.parametrize("want", [sample(3, 50), []])
+def test_empty_files_before_others(spark, tmp_path, block, want):
+    """A task without rows writes an empty file, be it the first or each one."""
+    path = str(tmp_path / "v")
+    files.write_variable(spark.createDataFrame([(p,) for p in want], "record binary").coalesce(1), path, block=block)
+    (tmp_path / "v" / "a").touch()
+    assert records.list_files(path)[0] == (f"{path}/a", 0)
+    frame = files.read_variable(spark, path, blocked=bool(block))
+    assert held(frame) == want and numbers(frame) == list(range(len(want)))
+    assert {r["file_status"] for r in files.variable_status(spark, path).collect()} == {"00"}
+
+
+def test_rdw_scan_on_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], "c_custkey long, c_name string").coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    assert catalog.QUERIES["rdw_scan"](spark, str(tmp_path)).collect() == []
+
+
 @pytest.mark.parametrize("tail,status", [(b"\x00\x20\x00\x00short", "04"), (b"\x00\x05", "04"), (b"\x00\x02\x00\x00", "39"), (b"garbage, no descriptor", "39")])
 def test_torn_tails(spark, tmp_path, tail, status):
     parts = sample(8, 400)
